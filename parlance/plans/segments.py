@@ -1,3 +1,118 @@
-"""Queries (segments)."""
+"""Queries: segment_text, segment_view, resolve_speakers, speaker_cap.
+
+Stand-in for ``segment_text``: ``events`` per user is one transcript; each
+``signup`` starts a speaker segment that ends at the user's next signup (so the
+next signup's own item sits on a shared boundary and lands in both segments),
+or one day later for the last one.  Every event is an item: ``error`` events are
+punctuation ``.``, the others are words named after their type, and ``click``
+events with ``value < 10`` carry no start time (dropped, like untimed items).
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.functions.times import epoch_seconds, hms, js_parse_float
+from parlance.operators.ordered import with_next
+from parlance.operators.segments import resolve_speakers, segment_text, speaker_cap
+from parlance.plans.registry import query
+from parlance.sources.tables import conversation_segments, table
+
+DAY_S = 86400.0
+
+
+def event_segments_items(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("transcript_id"), "event_id", "event_type", "value", epoch_seconds("ts").alias("t")
+    )
+    signups = ev.where(F.col("event_type") == "signup").select(
+        "transcript_id", F.col("event_id").alias("seg_no"), F.col("t").alias("start_s")
+    )
+    signups = with_next(signups, "transcript_id", "start_s", ["start_s"])
+    segments = signups.select(
+        "transcript_id", "seg_no", "start_s",
+        F.coalesce("next_start_s", F.col("start_s") + F.lit(DAY_S)).alias("end_s"),
+    )
+    items = ev.select(
+        "transcript_id",
+        F.col("event_id").alias("item_no"),
+        F.when((F.col("event_type") == "click") & (F.col("value") < 10), F.lit(None).cast("double"))
+        .otherwise(F.col("t")).alias("start_s"),
+        F.when(F.col("event_type") == "error", "punctuation").otherwise("pronunciation").alias("type"),
+        F.when(F.col("event_type") == "error", ".").otherwise(F.col("event_type")).alias("content"),
+    )
+    return segments, items
+
+
+SEGMENT_TEXT_SQL = """
+WITH ev AS (
+  SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS t FROM events
+), seg AS (
+  SELECT user_id, event_id AS seg_no, t AS start_s,
+         coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t), t + 86400.0) AS end_s
+  FROM ev WHERE event_type = 'signup'
+), it AS (
+  SELECT user_id, event_id AS item_no,
+         CASE WHEN event_type = 'click' AND value < 10 THEN NULL ELSE t END AS start_s,
+         CASE WHEN event_type = 'error' THEN 'punctuation' ELSE 'pronunciation' END AS type,
+         CASE WHEN event_type = 'error' THEN '.' ELSE event_type END AS content
+  FROM ev
+)
+SELECT s.user_id, s.seg_no, s.start_s, s.end_s,
+       coalesce(string_agg(i.content, ' ' ORDER BY i.item_no), '') AS text,
+       count(i.item_no)::BIGINT AS n_tokens
+FROM seg s LEFT JOIN it i
+  ON i.user_id = s.user_id AND i.start_s >= s.start_s AND i.start_s <= s.end_s
+ AND i.type IN ('pronunciation', 'punctuation')
+GROUP BY ALL
+"""
+
+
+@query("segment_text", SEGMENT_TEXT_SQL)
+def q_segment_text(spark, sf_dir):
+    segments, items = event_segments_items(spark, sf_dir)
+    out = segment_text(segments, items, bin_s=3600.0)
+    return out.select(F.col("transcript_id").alias("user_id"), "seg_no", "start_s", "end_s", "text", "n_tokens")
+
+
+@query(
+    "segment_view",
+    """SELECT l_orderkey, l_linenumber,
+       printf('[%02d:%02d:%02d]', floor(l_extendedprice / 3600)::BIGINT,
+              floor(fmod(l_extendedprice, 3600) / 60)::BIGINT, floor(fmod(l_extendedprice, 60))::BIGINT) AS hms
+FROM lineitem""",
+)
+def q_segment_view(spark, sf_dir):
+    """SCL-5/6 over every lineitem: the price, written out as a timestamp string and
+    parsed back with the lenient prefix parser, is formatted as ``[HH:MM:SS]``."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    ts = js_parse_float(F.col("l_extendedprice").cast("string"))
+    return li.select("l_orderkey", "l_linenumber", hms(ts).alias("hms"))
+
+
+# speaker names known for some labels; 'system' has none and keeps its label
+SPEAKER_NAMES_SQL = "SELECT * FROM (VALUES ('user', 'Counsel'), ('assistant', 'Witness')) AS m(speaker_label, name)"
+
+
+@query(
+    "resolve_speakers",
+    f"""WITH m AS ({SPEAKER_NAMES_SQL})
+SELECT c.conv_id, c.turn, coalesce(m.name, c.role) AS speaker_name
+FROM conversations c LEFT JOIN m ON m.speaker_label = c.role""",
+)
+def q_resolve_speakers(spark, sf_dir):
+    segs = conversation_segments(spark, sf_dir)
+    # one global map of fixed size (two rows), so it is broadcast
+    names = spark.createDataFrame([("user", "Counsel"), ("assistant", "Witness")], "speaker_label string, name string")
+    out = resolve_speakers(segs, F.broadcast(names))
+    return out.select(F.col("transcript_id").alias("conv_id"), F.col("seg_no").alias("turn"), "speaker_name")
+
+
+@query(
+    "speaker_cap",
+    """SELECT conv_id, count(DISTINCT role)::BIGINT AS n_speakers, count(DISTINCT role) <= 2 AS within_cap
+FROM conversations GROUP BY conv_id""",
+)
+def q_speaker_cap(spark, sf_dir):
+    out = speaker_cap(conversation_segments(spark, sf_dir), cap=2)
+    return out.select(F.col("transcript_id").alias("conv_id"), "n_speakers", "within_cap")
