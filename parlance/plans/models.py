@@ -1,3 +1,119 @@
-"""Queries (models)."""
+"""Queries: clean_model_output, chunk_audit, apply_model.
+
+Stand-in for model responses: every ``events`` row is the response to one chunk
+(``user_id`` = transcript, ``event_id`` = chunk).  The body is a JSON object
+built from the row; the shape depends on ``event_id % 12``: plain JSON, a
+```` ```json ```` fence, a bare fence, trailing text, a preamble before the fence,
+single quotes, or an empty string (11), so every cleaning rule is exercised on
+the whole table.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.functions.text import WS
+from parlance.operators.models import apply_model, chunk_audit, clean_model_output, echo_model_factory
+from parlance.operators.packing import pack_chunks, token_counts
+from parlance.operators.recombine import chunk_payload
+from parlance.plans.chunking import packing_cte
+from parlance.plans.registry import query
+from parlance.sources.tables import conversation_segments, table
+
+BODY_SQL = """'{"transcript": "' || event_type || ' ' || event_id || '", "segments": [{"timestamp": "' || event_id
+  || '", "speaker": "spk_' || (user_id % 3) || '", "text": "' || event_type || '"}]}'"""
+RESPONSE_SQL = f"""CASE event_id % 12
+    WHEN 0 THEN {BODY_SQL}
+    WHEN 1 THEN '```json' || chr(10) || {BODY_SQL} || chr(10) || '```'
+    WHEN 2 THEN '```' || chr(10) || {BODY_SQL} || chr(10) || '```'
+    WHEN 3 THEN {BODY_SQL} || ' trailing words'
+    WHEN 4 THEN 'Here is the JSON:' || chr(10) || '```json' || chr(10) || {BODY_SQL} || chr(10) || '```'
+    WHEN 5 THEN replace({BODY_SQL}, '"', '''')
+    WHEN 6 THEN '  ' || {BODY_SQL} || chr(10)
+    WHEN 7 THEN '```json ' || {BODY_SQL} || '``` and more'
+    WHEN 8 THEN '{{"segments": []}}'
+    WHEN 9 THEN {BODY_SQL} || ', ' || {BODY_SQL}
+    WHEN 10 THEN '```json' || chr(10) || {BODY_SQL}
+    ELSE '' END"""
+
+
+def responses(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    # the body is built once, then shaped (keeps the generated code small)
+    with_body = ev.select("event_id", "user_id", F.expr(BODY_SQL).alias("body"))
+    shaped = RESPONSE_SQL.replace(BODY_SQL, "body").replace("chr(10)", "char(10)")
+    return with_body.select("event_id", "user_id", F.expr(shaped).alias("response"))
+
+
+def strip_sql(x: str) -> str:
+    """Python ``str.strip()`` in DuckDB SQL."""
+    return f"regexp_replace({x}, '^{WS}|{WS}$', '', 'g')"
+
+
+CLEAN_SQL = f"""
+WITH r AS (SELECT event_id, user_id, {RESPONSE_SQL} AS response FROM events),
+s AS (SELECT *, {strip_sql('response')} AS t FROM r),
+c AS (
+  SELECT *, CASE WHEN starts_with(t, '```')
+                 THEN {strip_sql("string_split(string_split(t, '```json')[2], '```')[1]")}
+                 ELSE t END AS cleaned
+  FROM s
+), v AS (
+  SELECT *, coalesce(json_valid(cleaned), false) AND starts_with(cleaned, '{{') AND ends_with(cleaned, '}}') AS valid
+  FROM c
+)
+SELECT event_id, user_id,
+       CASE WHEN cleaned IS NULL THEN 'bad_fence'
+            WHEN NOT valid THEN 'invalid_json'
+            WHEN json_extract_string(cleaned, '$.transcript') IS NULL THEN 'missing_transcript' END AS error,
+       CASE WHEN valid THEN json_extract_string(cleaned, '$.transcript') END AS transcript,
+       CASE WHEN valid THEN json_array_length(cleaned, '$.segments') END::BIGINT AS n_segments
+FROM v"""
+
+
+@query("clean_model_output", CLEAN_SQL)
+def q_clean_model_output(spark, sf_dir):
+    out = clean_model_output(responses(spark, sf_dir))
+    return out.select(
+        "event_id", "user_id", "error", "transcript", F.size("segments").cast("bigint").alias("n_segments")
+    ).withColumn("n_segments", F.when(F.col("n_segments") >= 0, F.col("n_segments")))
+
+
+@query(
+    "chunk_audit",
+    f"""WITH x AS ({CLEAN_SQL})
+SELECT user_id, count(*)::BIGINT AS n_chunks,
+       count(*) FILTER (WHERE error IS NOT NULL)::BIGINT AS n_lost,
+       min(event_id) FILTER (WHERE error IS NOT NULL) AS first_lost,
+       count(*) FILTER (WHERE error IS NULL)::BIGINT AS n_ok,
+       CASE WHEN count(*) FILTER (WHERE error IS NULL) = 0 THEN 'FAILED'
+            WHEN count(*) FILTER (WHERE error IS NOT NULL) > 0 THEN 'PARTIAL' ELSE 'OK' END AS status,
+       CASE WHEN count(*) FILTER (WHERE error IS NULL) = 0 THEN 500 ELSE 200 END AS http_code
+FROM x GROUP BY user_id""",
+)
+def q_chunk_audit(spark, sf_dir):
+    resp = responses(spark, sf_dir).withColumnRenamed("user_id", "transcript_id").withColumnRenamed("event_id", "chunk_no")
+    cleaned = clean_model_output(resp)
+    audit = chunk_audit(resp.select("transcript_id", "chunk_no"), cleaned)
+    return audit.select(
+        F.col("transcript_id").alias("user_id"), "n_chunks", "n_lost", "first_lost", "n_ok", "status", "http_code"
+    )
+
+
+@query(
+    "apply_model",
+    packing_cte(60)
+    + """
+SELECT conv_id, chunk_no, true AS ok, string_agg(text, ' ' ORDER BY turn) AS transcript,
+       count(*)::BIGINT AS n_segments
+FROM packed GROUP BY ALL""",
+)
+def q_apply_model(spark, sf_dir):
+    packed = pack_chunks(token_counts(conversation_segments(spark, sf_dir)), 60)
+    payloads = chunk_payload(packed).select("transcript_id", "chunk_no", "payload")
+    answered = apply_model(payloads, echo_model_factory)
+    out = clean_model_output(answered)
+    return out.select(
+        F.col("transcript_id").alias("conv_id"), "chunk_no", "ok", "transcript",
+        F.size("segments").cast("bigint").alias("n_segments"),
+    )
