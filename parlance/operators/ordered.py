@@ -55,14 +55,35 @@ def _with_next(body: pa.RecordBatch, nxt, key, values, last_in_part):
     return pa.RecordBatch.from_pydict(cols)
 
 
-def with_next(df: DataFrame, key: str, order: str, values: list[str], num_partitions: int | None = None) -> DataFrame:
+def _first_rows(cols: list[str]):
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows:
+                yield rb.select(cols).slice(0, 1)
+                return
+
+    return run
+
+
+def with_next(
+    df: DataFrame,
+    key: str,
+    order: str | list[str],
+    values: list[str],
+    num_partitions: int | None = None,
+    descending: bool = False,
+) -> DataFrame:
     """Add ``next_<v>`` for each ``v`` in ``values``: the value of the following
-    row of the same ``key`` in ``order`` (null for the last row of a key)."""
+    row of the same ``key`` in ``order`` (null for the last row of a key).
+    ``descending=True`` walks the order backwards (a lag)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = list(dict.fromkeys([key, order, *values, *df.columns]))
-    ordered = df.select(*cols).repartitionByRange(nparts, key, order).sortWithinPartitions(key, order)
+    order = [order] if isinstance(order, str) else list(order)
+    sort = [F.col(key)] + [F.col(o).desc() if descending else F.col(o) for o in order]
+    cols = list(dict.fromkeys([key, *order, *values, *df.columns]))
+    ordered = df.select(*cols).repartitionByRange(nparts, *sort).sortWithinPartitions(*sort)
+    # stable partition contents for the two passes below (shared checkpoint folder)
     ordered = ordered.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
 
     out_fields = list(ordered.schema.fields) + [
@@ -70,12 +91,11 @@ def with_next(df: DataFrame, key: str, order: str, values: list[str], num_partit
     ] + [T.StructField("_last_in_part", T.BooleanType(), False)]
     local = ordered.mapInArrow(_local_lead(key, values), T.StructType(out_fields))
 
-    firsts = (
-        ordered.groupBy("_pid")
-        .agg(F.min_by(F.struct(key, *values), F.struct(key, order)).alias("_f"))
-        .select("_pid", "_f.*")
+    first_cols = ["_pid", key, *values]
+    firsts = ordered.mapInArrow(
+        _first_rows(first_cols), T.StructType([ordered.schema[c] for c in first_cols])
     )
-    # next non-empty partition's first row, for every partition id (tiny table)
+    # next non-empty partition's first row, for every partition id (one row per partition)
     w = Window.orderBy("_pid")
     edge = firsts.select(
         F.lag("_pid").over(w).alias("_pid"),
@@ -88,3 +108,13 @@ def with_next(df: DataFrame, key: str, order: str, values: list[str], num_partit
         *[F.col(c) for c in df.columns],
         *[F.when(take, F.col(f"_e_{v}")).otherwise(F.col(f"next_{v}")).alias(f"next_{v}") for v in values],
     )
+
+
+def with_prev(
+    df: DataFrame, key: str, order: str | list[str], values: list[str], num_partitions: int | None = None
+) -> DataFrame:
+    """Add ``prev_<v>``: the value of the preceding row of the same ``key`` (lag)."""
+    out = with_next(df, key, order, values, num_partitions, descending=True)
+    for v in values:
+        out = out.withColumnRenamed(f"next_{v}", f"prev_{v}")
+    return out

@@ -1,3 +1,124 @@
-"""Queries (jobs)."""
+"""Queries: latest_job_status, plan_job_starts, status_report.
+
+Stand-in job log: every ``events`` row is an event of job ``stt-u<user_id>``;
+``signup`` = QUEUED (a submission), ``view``/``click`` = IN_PROGRESS,
+``purchase`` = COMPLETED (with a result URI unless ``value < 5``), ``error`` =
+FAILED.  Enhanced results exist for the transcripts of ``conversations``
+(``stt-u<conv_id>_enhanced.json``).  Status requests are ``customer`` rows asking
+for ``u<c_custkey>`` (no name when the account balance is negative).
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.operators.jobs import latest_job_status, plan_job_starts, status_report
+from parlance.operators.uploads import resolve_result_uri
+from parlance.plans.registry import query
+from parlance.sources.tables import table
+
+STATUS_SQL = """CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'purchase' THEN 'COMPLETED'
+    WHEN 'error' THEN 'FAILED' ELSE 'IN_PROGRESS' END"""
+URI_SQL = """CASE WHEN event_type = 'purchase' AND value >= 5
+    THEN 'https://store.example.com/results/stt-u' || user_id || '.json' END"""
+JOB_EVENTS_SQL = f"""job_events AS (
+  SELECT event_id, 'stt-u' || user_id AS job_name, {STATUS_SQL} AS status, ts, {URI_SQL} AS uri,
+         event_type = 'signup' AS is_submission
+  FROM events)"""
+
+
+def job_events(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    return ev.select(
+        "event_id",
+        F.concat(F.lit("stt-u"), F.col("user_id").cast("string")).alias("job_name"),
+        F.expr(STATUS_SQL).alias("status"),
+        "ts",
+        F.expr(URI_SQL).alias("uri"),
+        (F.col("event_type") == "signup").alias("is_submission"),
+    )
+
+
+@query(
+    "latest_job_status",
+    f"""WITH {JOB_EVENTS_SQL}
+SELECT job_name, arg_max_null(status, (ts, event_id)) AS status, arg_max_null(uri, (ts, event_id)) AS uri,
+       max(ts) AS last_ts, count(*)::BIGINT AS n_events
+FROM job_events GROUP BY job_name""",
+)
+def q_latest_job_status(spark, sf_dir):
+    return latest_job_status(job_events(spark, sf_dir)).select("job_name", "status", "uri", "last_ts", "n_events")
+
+
+@query(
+    "plan_job_starts",
+    f"""WITH {JOB_EVENTS_SQL},
+p AS (SELECT *, lag(status) OVER (PARTITION BY job_name ORDER BY ts, event_id) AS prior_status FROM job_events)
+SELECT event_id, job_name, prior_status,
+       CASE WHEN prior_status IS NULL THEN 'start'
+            WHEN prior_status IN ('COMPLETED', 'FAILED') THEN 'delete_and_start' ELSE 'start_unique' END AS action,
+       CASE WHEN prior_status IS NULL OR prior_status IN ('COMPLETED', 'FAILED') THEN job_name
+            ELSE job_name || '-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || left(sha256(job_name || '|' || event_id), 8) END
+         AS start_name,
+       'QUEUED' AS record_status
+FROM p WHERE is_submission""",
+)
+def q_plan_job_starts(spark, sf_dir):
+    ev = job_events(spark, sf_dir)
+    return plan_job_starts(ev, F.col("is_submission")).select(
+        "event_id", "job_name", "prior_status", "action", "start_name", "record_status"
+    )
+
+
+@query(
+    "status_report",
+    f"""WITH {JOB_EVENTS_SQL},
+latest AS (SELECT job_name, arg_max_null(status, (ts, event_id)) AS status, arg_max_null(uri, (ts, event_id)) AS uri
+           FROM job_events GROUP BY job_name),
+lk AS (SELECT *, regexp_extract(uri, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM latest),
+lk2 AS (SELECT job_name, status, uri,
+               CASE WHEN string_split(path, '/')[2] IS NULL THEN NULL
+                    ELSE replace(array_to_string(string_split(path, '/')[3:], '/'), '.json', '_enhanced.json') END
+                 AS result_key
+        FROM lk),
+res AS (SELECT 'stt-u' || conv_id || '_enhanced.json' AS result_key,
+               string_agg(text, ' ' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id),
+req AS (SELECT c_custkey AS request_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE 'u' || c_custkey END AS file_name
+        FROM customer),
+j AS (SELECT req.*, 'stt-' || req.file_name AS job_name, lk2.status AS st, lk2.uri, res.transcript,
+             coalesce(res.transcript <> '', false) AS has
+      FROM req LEFT JOIN lk2 ON lk2.job_name = 'stt-' || req.file_name LEFT JOIN res ON res.result_key = lk2.result_key)
+SELECT request_id, file_name,
+       CASE WHEN file_name IS NULL THEN 400 WHEN st IS NULL THEN 404
+            WHEN st = 'COMPLETED' AND (uri IS NULL OR NOT has) THEN 500 ELSE 200 END AS http_code,
+       CASE WHEN file_name IS NULL OR st IS NULL THEN 'ERROR'
+            WHEN st = 'COMPLETED' AND uri IS NULL THEN 'ERROR'
+            WHEN st = 'COMPLETED' AND NOT has THEN 'FAILED'
+            WHEN st = 'COMPLETED' THEN 'COMPLETED'
+            WHEN st IN ('QUEUED', 'IN_PROGRESS') THEN 'IN_PROGRESS' ELSE 'FAILED' END AS status,
+       CASE WHEN file_name IS NULL THEN 'Missing fileName parameter'
+            WHEN st IS NULL THEN 'Transcription job not found: ' || job_name
+            WHEN st = 'COMPLETED' AND uri IS NULL THEN 'TranscriptFileUri not found in completed job'
+            WHEN st = 'COMPLETED' AND NOT has THEN 'Failed to retrieve transcript content after multiple attempts'
+            WHEN st IN ('COMPLETED', 'QUEUED', 'IN_PROGRESS') THEN NULL
+            ELSE 'Transcription failed with status: ' || st END AS error,
+       CASE WHEN st = 'COMPLETED' AND uri IS NOT NULL AND has THEN transcript END AS result_transcript,
+       coalesce(st = 'COMPLETED' AND uri IS NOT NULL AND has, false) AS has_result
+FROM j""",
+)
+def q_status_report(spark, sf_dir):
+    latest = latest_job_status(job_events(spark, sf_dir))
+    latest = resolve_result_uri(latest, "uri").select("job_name", "status", "uri", "result_key")
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    results = conv.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias(
+            "transcript"
+        )
+    ).select(F.concat(F.lit("stt-u"), F.col("conv_id").cast("string"), F.lit("_enhanced.json")).alias("result_key"), "transcript")
+    req = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"),
+        F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("u"), F.col("c_custkey").cast("string"))).alias("file_name"),
+    )
+    out = status_report(req, latest, results)
+    return out.select("request_id", "file_name", "http_code", "status", "error", "result_transcript", "has_result")
