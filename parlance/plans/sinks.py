@@ -1,3 +1,189 @@
-"""Queries (sinks)."""
+"""Queries: raw_transcript_read, sink_roundtrip, store_validation, list_audio.
+
+``raw_transcript_read`` writes the ``events`` table as raw transcripts (JSON
+lines, one transcript per user and block of 100 event ids: signups are speaker
+segments 600 s long, every event an item) to the shared checkpoint folder, reads
+them back with the D4 schema and runs the interval join on them.
+``sink_roundtrip`` writes ``conversations`` as enhanced transcripts to the
+partitioned result table twice (all partitions, then one partition again) and
+reads the table back.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.functions.times import epoch_seconds
+from parlance.operators.segments import raw_segments_and_items, segment_text, timed_items
+from parlance.plans.registry import query
+from parlance.sinks.results import store_validation, with_lineage, write_results
+from parlance.sources.tables import table
+from parlance.sources.transcripts import list_audio, read_enhanced, read_raw_transcripts
+from parlance.streaming.flows import scratch_path
+
+SEG_LEN_S = 600.0
+
+
+def _raw_docs(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "event_type", "value", epoch_seconds("ts").alias("t")
+    )
+    ev = ev.withColumn("doc", F.floor(F.col("event_id") / 100))
+    t_str = F.col("t").cast("string")
+    seg = F.when(
+        F.col("event_type") == "signup",
+        F.struct(
+            t_str.alias("start_time"),
+            (F.col("t") + F.lit(SEG_LEN_S)).cast("string").alias("end_time"),
+            F.concat(F.lit("spk_"), (F.col("event_id") % 3).cast("string")).alias("speaker_label"),
+        ),
+    )
+    content = F.when(F.col("event_type") == "error", F.lit(".")).otherwise(F.col("event_type"))
+    item = F.struct(
+        F.when((F.col("event_type") == "click") & (F.col("value") < 10), F.lit(None).cast("string"))
+        .otherwise(t_str).alias("start_time"),
+        F.lit(None).cast("string").alias("end_time"),
+        F.when(F.col("event_type") == "error", "punctuation").otherwise("pronunciation").alias("type"),
+        F.when((F.col("event_type") == "purchase") & (F.col("value") < 5),
+               F.array().cast("array<struct<content:string>>"))
+        .otherwise(F.array(F.struct(content.alias("content")))).alias("alternatives"),
+    )
+    # a document holds at most 100 events (one block of event ids of one user)
+    docs = ev.groupBy("user_id", "doc").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", seg.alias("s"), item.alias("i")))).alias("rows")
+    )
+    return docs.select(
+        F.concat(F.lit("stt-u"), F.col("user_id").cast("string"), F.lit("-"), F.col("doc").cast("string")).alias("jobName"),
+        F.struct(
+            F.struct(F.filter(F.transform("rows", lambda r: r["s"]), lambda s: s.isNotNull()).alias("segments")).alias(
+                "speaker_labels"
+            ),
+            F.transform("rows", lambda r: r["i"]).alias("items"),
+        ).alias("results"),
+    )
+
+
+RAW_SQL = f"""
+WITH ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS t,
+                   'stt-u' || user_id || '-' || (event_id // 100) AS transcript_id FROM events),
+seg AS (SELECT transcript_id, t AS s, t + {SEG_LEN_S} AS e FROM ev WHERE event_type = 'signup'),
+it AS (SELECT transcript_id, event_id,
+              CASE WHEN event_type = 'click' AND value < 10 THEN NULL ELSE t END AS t,
+              NOT (event_type = 'purchase' AND value < 5) AS has_alt FROM ev),
+words AS (SELECT seg.transcript_id, count(it.event_id) AS n
+          FROM seg JOIN it ON it.transcript_id = seg.transcript_id AND it.t >= seg.s AND it.t <= seg.e AND it.has_alt
+          GROUP BY seg.transcript_id)
+SELECT ev.transcript_id,
+       count(*) FILTER (WHERE event_type = 'signup')::BIGINT AS n_segments,
+       count(*)::BIGINT AS n_items,
+       count(*) FILTER (WHERE NOT (event_type = 'click' AND value < 10))::BIGINT AS n_timed_items,
+       count(*) FILTER (WHERE event_type = 'purchase' AND value < 5)::BIGINT AS n_rejected_items,
+       coalesce(any_value(words.n), 0)::BIGINT AS n_words
+FROM ev LEFT JOIN words USING (transcript_id)
+GROUP BY ev.transcript_id"""
+
+
+@query("raw_transcript_read", RAW_SQL)
+def q_raw_transcript_read(spark, sf_dir):
+    path = scratch_path(spark, "raw_transcripts")
+    _raw_docs(spark, sf_dir).write.mode("overwrite").json(path)
+    raw = read_raw_transcripts(spark, path, multi_line=False)
+    segs, items = raw_segments_and_items(raw)
+    texts = segment_text(segs.select("transcript_id", "seg_no", "start_s", "end_s"), items, bin_s=3600.0)
+    words = texts.groupBy("transcript_id").agg(F.sum("n_tokens").cast("bigint").alias("n_words"))
+    seg_counts = segs.groupBy("transcript_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_segments"))
+    item_counts = items.groupBy("transcript_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_items"),
+        F.count_if(F.col("start_s").isNotNull()).cast("bigint").alias("n_timed_items"),
+        F.count_if(F.col("reject_reason").isNotNull()).cast("bigint").alias("n_rejected_items"),
+    )
+    out = item_counts.join(seg_counts, "transcript_id", "left").join(words, "transcript_id", "left")
+    return out.select(
+        "transcript_id",
+        F.coalesce("n_segments", F.lit(0).cast("bigint")).alias("n_segments"),
+        "n_items", "n_timed_items", "n_rejected_items",
+        F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"),
+    )
+
+
+def _enhanced_from_conversations(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    seg = F.struct(
+        F.col("turn").alias("_o"),
+        F.col("turn").cast("string").alias("timestamp"),
+        F.col("role").alias("speaker"),
+        F.col("text").alias("text"),
+    )
+    per = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(seg)).alias("_s"))
+    segs = F.transform("_s", lambda x: F.struct(x["timestamp"].alias("timestamp"), x["speaker"].alias("speaker"),
+                                                x["text"].alias("text")))
+    out = per.select(
+        "conv_id",
+        F.array_join(F.transform("_s", lambda x: x["text"]), " ").alias("transcript"),
+        segs.alias("segments"),
+        F.create_map().cast("map<string,array<string>>").alias("entities"),
+        F.lit("results").alias("bucket"),
+        F.concat(F.lit("stt-c"), F.col("conv_id").cast("string"), F.lit(".json")).alias("job_key"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 4).cast("int")).alias("ingest_date"),
+    )
+    return with_lineage(out).drop("bucket", "job_key")
+
+
+@query(
+    "sink_roundtrip",
+    """SELECT conv_id, DATE '2024-01-01' + (conv_id % 4)::INT AS ingest_date, count(*)::BIGINT AS n_segments,
+       length(string_agg(text, ' ' ORDER BY turn))::BIGINT AS transcript_chars,
+       'stt-c' || conv_id || '_enhanced.json' AS output_key, NULL::VARCHAR AS reject_reason
+FROM conversations GROUP BY conv_id""",
+)
+def q_sink_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "enhanced")
+    enhanced = _enhanced_from_conversations(spark, sf_dir)
+    write_results(enhanced, path)
+    # re-running one day replaces only that partition
+    write_results(enhanced.where(F.col("ingest_date") == F.lit("2024-01-01").cast("date")), path)
+    back = store_validation(read_enhanced(spark, path))
+    return back.select(
+        "conv_id", "ingest_date", F.size("segments").cast("bigint").alias("n_segments"),
+        F.length("transcript").cast("bigint").alias("transcript_chars"), "output_key", "reject_reason",
+    )
+
+
+@query(
+    "store_validation",
+    """SELECT d.doc_id,
+       CASE WHEN d.text IS NULL OR d.text = '' THEN 'missing_transcript'
+            WHEN l.doc_id IS NULL THEN 'missing_segments'
+            WHEN d.lang = 'es' OR d.source IS NULL OR d.source = '' THEN 'missing_location' END AS reject_reason,
+       CASE WHEN NOT (d.text IS NULL OR d.text = '') AND l.doc_id IS NOT NULL
+                 AND NOT (d.lang = 'es' OR d.source IS NULL OR d.source = '')
+            THEN 'stt-d' || d.doc_id || '_enhanced.json' END AS output_key
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+)
+def q_store_validation(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("_labelled"))
+    seg = F.struct(F.lit("0").alias("timestamp"), F.lit("spk_0").alias("speaker"), F.col("text").alias("text"))
+    rows = docs.join(labels, "doc_id", "left").select(
+        "doc_id",
+        F.col("text").alias("transcript"),
+        F.when(F.col("_labelled"), F.array(seg)).otherwise(F.array().cast(f"array<{seg_type()}>")).alias("segments"),
+        F.struct(
+            F.when(F.col("lang") == "es", F.lit(None).cast("string")).otherwise(F.col("source")).alias(
+                "transcriptionOutputBucket"
+            ),
+            F.concat(F.lit("stt-d"), F.col("doc_id").cast("string"), F.lit(".json")).alias("transcriptionJobName"),
+        ).alias("s3"),
+    )
+    return store_validation(rows).select("doc_id", "reject_reason", "output_key")
+
+
+def seg_type() -> str:
+    return "struct<timestamp:string,speaker:string,text:string>"
+
+
+@query("list_audio")
+def q_list_audio(spark, sf_dir):
+    """Rows-only: one row per table file of the data folder (name, size, MIME)."""
+    files = list_audio(spark, sf_dir, glob="*.parquet")
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", "mime")
