@@ -135,7 +135,12 @@ def chunk_audit(manifest: DataFrame, cleaned: DataFrame, *, key: str = "transcri
     """PRJ-9 + JOIN-6 + AGG-8 per transcript: chunks sent, chunks that came back
     valid, chunks lost (manifest anti-joined with the valid responses) and a status
     (``FAILED`` when nothing valid came back, ``PARTIAL`` when some chunks were lost)."""
-    valid = cleaned.where(F.col("ok")).select(key, chunk)
+    # validity per chunk is aggregated first: a filter on ``ok`` directly would be
+    # pushed below the parse projection and inline the whole parse expression
+    valid = (
+        cleaned.groupBy(key, chunk).agg(F.max(F.col("ok").cast("int")).alias("_ok"))
+        .where(F.col("_ok") == 1).select(key, chunk)
+    )
     lost = manifest.select(key, chunk).join(valid, [key, chunk], "left_anti")
     rows = manifest.select(key, chunk, F.lit(0).alias("_lost")).unionByName(lost.select(key, chunk, F.lit(1).alias("_lost")))
     agg = rows.groupBy(key).agg(
