@@ -28,8 +28,13 @@ def _col(c) -> Column:
 
 
 def word_count(text) -> Column:
-    """``len(text.split())`` as a BIGINT; null text counts as 0 words."""
-    return F.coalesce(F.regexp_count(_col(text), F.lit(NON_WS)).cast("bigint"), F.lit(0).cast("bigint"))
+    """``len(text.split())`` as a BIGINT; null text counts as 0 words.
+
+    Splitting the stripped text is about twice as fast as counting regex matches
+    (which Spark evaluates by materialising every match)."""
+    stripped = py_strip(text)
+    n = F.size(F.split(stripped, WS, -1)).cast("bigint")
+    return F.when(stripped.isNull() | (stripped == ""), F.lit(0).cast("bigint")).otherwise(n)
 
 
 def py_strip(text) -> Column:

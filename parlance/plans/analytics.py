@@ -18,7 +18,7 @@ from parlance.operators.entities import extract_entities
 from parlance.plans.entities import _extract_sql
 from parlance.plans.jobs import JOB_EVENTS_SQL, job_events
 from parlance.plans.registry import query
-from parlance.sources.tables import table
+from parlance.sources.tables import spread, table
 
 
 @query(
@@ -28,7 +28,7 @@ FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM docu
 GROUP BY term ORDER BY n DESC, term LIMIT 50""",
 )
 def q_top_terms(spark, sf_dir):
-    return top_terms(table(spark, sf_dir, "documents").select("text"), 50)
+    return top_terms(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), 50)
 
 
 @query(
@@ -38,7 +38,7 @@ SELECT category, value, count(DISTINCT doc_id)::BIGINT AS n_transcripts
 FROM x GROUP BY ALL ORDER BY n_transcripts DESC, category, value LIMIT 20""",
 )
 def q_top_entities(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), "text"), "transcript_id")
     return top_entities(extract_entities(docs), 20)
 
 
@@ -112,4 +112,4 @@ def q_apply_vocabulary_table(spark, sf_dir):
 FROM documents GROUP BY lang""",
 )
 def q_language_counts(spark, sf_dir):
-    return language_counts(table(spark, sf_dir, "documents").select("lang", "n_chars", "text"))
+    return language_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text"), "doc_id"))

@@ -22,7 +22,7 @@ from parlance.schemas import (
     NUMBER_WORDS,
     PLURAL_LABELS,
 )
-from parlance.sources.tables import table
+from parlance.sources.tables import spread, table
 
 WORDS_BY_NUMBER = [w for w, _ in sorted(NUMBER_WORDS.items(), key=lambda kv: int(kv[1]))]
 NUMBER_WORDS_SQL = "(VALUES " + ", ".join(f"('{w}', '{d}', {d})" for w, d in NUMBER_WORDS.items()) + ") AS nw(word, digit, n)"
@@ -49,7 +49,7 @@ FROM f"""
 
 @query("entities_extract", _extract_sql())
 def q_entities_extract(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), "text"), "transcript_id")
     out = extract_entities(docs)
     return out.select(F.col("transcript_id").alias("doc_id"), "category", "cat_pos", "pos", "value")
 

@@ -18,7 +18,7 @@ from parlance.operators.packing import pack_chunks, token_counts
 from parlance.operators.recombine import chunk_payload
 from parlance.plans.chunking import packing_cte
 from parlance.plans.registry import query
-from parlance.sources.tables import conversation_segments, table
+from parlance.sources.tables import conversation_segments, spread, table
 
 BODY_SQL = """'{"transcript": "' || event_type || ' ' || event_id || '", "segments": [{"timestamp": "' || event_id
   || '", "speaker": "spk_' || (user_id % 3) || '", "text": "' || event_type || '"}]}'"""
@@ -38,7 +38,7 @@ RESPONSE_SQL = f"""CASE event_id % 12
 
 
 def responses(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id")
     # the body is built once, then shaped (keeps the generated code small)
     with_body = ev.select("event_id", "user_id", F.expr(BODY_SQL).alias("body"))
     shaped = RESPONSE_SQL.replace(BODY_SQL, "body").replace("chr(10)", "char(10)")

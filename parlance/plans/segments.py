@@ -16,7 +16,7 @@ from parlance.functions.times import epoch_seconds, hms, js_parse_float
 from parlance.operators.ordered import with_next
 from parlance.operators.segments import resolve_speakers, segment_text, speaker_cap
 from parlance.plans.registry import query
-from parlance.sources.tables import conversation_segments, table
+from parlance.sources.tables import conversation_segments, spread, table
 
 DAY_S = 86400.0
 
@@ -85,7 +85,7 @@ FROM lineitem""",
 def q_segment_view(spark, sf_dir):
     """SCL-5/6 over every lineitem: the price, written out as a timestamp string and
     parsed back with the lenient prefix parser, is formatted as ``[HH:MM:SS]``."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
     ts = js_parse_float(F.col("l_extendedprice").cast("string"))
     return li.select("l_orderkey", "l_linenumber", hms(ts).alias("hms"))
 

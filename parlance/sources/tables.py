@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition on ``keys`` only when the scan yields fewer partitions than
+    the cluster can run at once (e.g. one large row group feeding CPU-heavy regex
+    or JSON work).  At scale the scan is already wide and this is a no-op; hashing
+    on a key (not round-robin) keeps retried tasks deterministic."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)
+
+
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as speaker segments: conv_id = transcript, turn = ordinal, role = speaker."""
     return table(spark, sf_dir, "conversations").select(
