@@ -69,16 +69,25 @@ def timed_items(items: DataFrame) -> DataFrame:
     return items.where(_valid_time(F.col("start_s")) & F.col("type").isin(*ITEM_TYPES))
 
 
-def _tiers_needed(segments: DataFrame, bin_s: float, fanout: int) -> int:
-    span = segments.where(_valid_time(F.col("start_s")) & _valid_time(F.col("end_s"))).agg(
-        F.max(F.col("end_s") - F.col("start_s"))
-    ).first()[0]
-    if span is None or span <= 0:
-        return 1
+def _bin_plan(segments: DataFrame, bin_s: float | None, fanout: int) -> tuple[float, int]:
+    """Bin width and number of tiers from one aggregate over the segments.
+
+    Without a given width a quarter of the median segment span is used: a typical
+    segment lists about five bins and each item meets one or two candidate
+    segments; tiers then cover the longest segment.  The result does
+    not depend on the width, only the amount of work does."""
+    span = F.col("end_s") - F.col("start_s")
+    ok = _valid_time(F.col("start_s")) & _valid_time(F.col("end_s")) & (span >= 0)
+    row = segments.where(ok).agg(
+        F.percentile_approx(span, 0.5, 1000).alias("med"), F.max(span).alias("mx")
+    ).first()
+    med, mx = (row["med"], row["mx"]) if row else (None, None)
+    if bin_s is None:
+        bin_s = float(med) / 4.0 if med and med > 0 else 1.0
     tiers = 1
-    while span / (bin_s * fanout ** (tiers - 1)) > fanout:
+    while mx and mx / (bin_s * fanout ** (tiers - 1)) > fanout:
         tiers += 1
-    return tiers
+    return bin_s, tiers
 
 
 def segment_text(
@@ -86,7 +95,7 @@ def segment_text(
     items: DataFrame,
     *,
     key: str = "transcript_id",
-    bin_s: float = 60.0,
+    bin_s: float | None = None,
     fanout: int = 64,
     tiers: int | None = None,
 ) -> DataFrame:
@@ -97,8 +106,8 @@ def segment_text(
     Output: segment columns + ``text`` (contents in item order joined by one
     space, ``""`` when no item falls inside) + ``n_tokens``.
     """
-    if tiers is None:
-        tiers = _tiers_needed(segments, bin_s, fanout)
+    if tiers is None or bin_s is None:
+        bin_s, tiers = _bin_plan(segments, bin_s, fanout)
     seg_cols = segments.columns
     s = segments.select(
         key, "seg_no", F.col("start_s").alias("_s"), F.col("end_s").alias("_e")

@@ -71,7 +71,7 @@ GROUP BY ALL
 @query("segment_text", SEGMENT_TEXT_SQL)
 def q_segment_text(spark, sf_dir):
     segments, items = event_segments_items(spark, sf_dir)
-    out = segment_text(segments, items, bin_s=3600.0)
+    out = segment_text(segments, items)
     return out.select(F.col("transcript_id").alias("user_id"), "seg_no", "start_s", "end_s", "text", "n_tokens")
 
 

@@ -89,7 +89,7 @@ def q_raw_transcript_read(spark, sf_dir):
     _raw_docs(spark, sf_dir).write.mode("overwrite").json(path)
     raw = read_raw_transcripts(spark, path, multi_line=False)
     segs, items = raw_segments_and_items(raw)
-    texts = segment_text(segs.select("transcript_id", "seg_no", "start_s", "end_s"), items, bin_s=3600.0)
+    texts = segment_text(segs.select("transcript_id", "seg_no", "start_s", "end_s"), items)
     words = texts.groupBy("transcript_id").agg(F.sum("n_tokens").cast("bigint").alias("n_words"))
     seg_counts = segs.groupBy("transcript_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_segments"))
     item_counts = items.groupBy("transcript_id").agg(
