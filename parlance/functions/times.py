@@ -37,8 +37,13 @@ def hms(seconds) -> Column:
 
 
 def iso_datetime(c) -> Column:
-    """SCL-13: ISO-8601 text of a timestamp (status dumps)."""
-    return F.date_format(_c(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """SCL-13: ``datetime.isoformat()`` text of a (naive) timestamp: the
+    fraction is printed with six digits, and left out when it is zero."""
+    t = _c(c)
+    base = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    frac = F.date_format(t, ".SSSSSS")
+    whole = (F.unix_micros(t.cast("timestamp")) % F.lit(1_000_000)) == 0
+    return F.when(t.isNotNull(), F.concat(base, F.when(whole, F.lit("")).otherwise(frac)))
 
 
 def epoch_seconds(c) -> Column:

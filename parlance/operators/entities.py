@@ -128,3 +128,13 @@ def case_header(long: DataFrame, *, key: str = "transcript_id") -> DataFrame:
         F.max((F.col("category") == "CASE_NUMBER").cast("int")).alias("_has_case"),
     )
     return agg.withColumn("missing_case_number", F.col("_has_case") == 0).drop("_has_case")
+
+
+def entities_from_map(docs: DataFrame, entities: str = "entities", *, key: str = "transcript_id") -> DataFrame:
+    """D9 map -> long form, keeping the key order of the map as ``cat_pos`` and the
+    list order as ``pos`` (a missing map gives no rows)."""
+    cats = docs.select(key, F.posexplode(F.map_entries(F.col(entities))).alias("cat_pos", "e"))
+    return cats.select(
+        key, F.col("e.key").alias("category"), F.col("cat_pos").cast("int").alias("cat_pos"),
+        F.posexplode_outer(F.col("e.value")).alias("pos", "value"),
+    ).where(F.col("value").isNotNull()).withColumn("pos", F.col("pos").cast("bigint"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.times import iso_datetime
 from parlance.operators.ordered import with_prev
 from parlance.schemas import TERMINAL_STATES
 
@@ -24,7 +25,23 @@ def latest_job_status(events: DataFrame, *, job: str = "job_name") -> DataFrame:
         F.max_by("uri", order).alias("uri"),
         F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).cast("bigint").alias("n_events"),
+    ).withColumn("last_ts_iso", iso_datetime("last_ts"))
+
+
+def status_envelope(report: DataFrame) -> DataFrame:
+    """D11: the ``{status, result, error}`` body as JSON text (nulls kept, as the
+    service writes them) next to the HTTP code."""
+    body = F.to_json(
+        F.struct(F.col("status"), F.col("result_transcript").alias("result"), F.col("error")),
+        {"ignoreNullFields": "false"},
     )
+    return report.withColumn("body", body)
+
+
+def unwrap_envelope(body) -> F.Column:
+    """PRJ-14: the ``result`` member of a status body (text or parsed object)."""
+    b = F.col(body) if isinstance(body, str) else body
+    return F.get_json_object(b, "$.result")
 
 
 def unique_suffix(key, ts, salt) -> F.Column:

@@ -153,3 +153,38 @@ def chunk_audit(manifest: DataFrame, cleaned: DataFrame, *, key: str = "transcri
         "status",
         F.when(F.col("n_ok") == 0, "FAILED").when(F.col("n_lost") > 0, "PARTIAL").otherwise("OK"),
     ).withColumn("http_code", F.when(F.col("n_ok") == 0, 500).otherwise(200))
+
+
+def transcribe(audio: DataFrame, model_factory: ModelFactory, *, batch_rows: int = 8) -> DataFrame:
+    """UDF-1 hook: speech-to-text over audio objects.
+
+    ``audio`` has ``path`` and ``content`` (``binaryFile``) plus the job columns of
+    ``derive_job_keys`` (``job_name``, ``media_format``).  The model receives JSON
+    requests ``{uri, format, language, speaker_labels, max_speakers}`` and returns
+    raw transcript JSON (D4) or ``None``; the result is parsed with the fixed D4
+    schema (no inference) into ``raw`` plus a ``transcribe_error`` column.
+    """
+    from parlance.schemas import LANGUAGE_CODE, MAX_SPEAKERS, RAW_TRANSCRIPT_DDL
+
+    req = F.to_json(
+        F.struct(
+            F.col("path").alias("uri"),
+            F.col("media_format").alias("format"),
+            F.lit(LANGUAGE_CODE).alias("language"),
+            F.lit(True).alias("speaker_labels"),
+            F.lit(MAX_SPEAKERS).alias("max_speakers"),
+        )
+    )
+    with_req = audio.withColumn("_request", req)
+    answered = apply_model(with_req, model_factory, request="_request", response="_raw_json", batch_rows=batch_rows)
+    parsed = F.from_json("_raw_json", RAW_TRANSCRIPT_DDL)
+    return (
+        answered.withColumn("raw", parsed)
+        .withColumn(
+            "transcribe_error",
+            F.when(F.col("_raw_json").isNull(), F.lit("no_response"))
+            .when(F.col("raw.results").isNull(), F.lit("invalid_transcript")),
+        )
+        .withColumn("transcript_id", F.coalesce(F.col("raw.jobName"), F.col("job_name")))
+        .drop("_request", "_raw_json")
+    )

@@ -13,7 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.operators.entities import DEFAULT_CATALOGUE, case_header, entity_view, extract_entities, words_to_digits
+from parlance.operators.entities import (
+    DEFAULT_CATALOGUE,
+    case_header,
+    entities_from_map,
+    entity_map,
+    entity_view,
+    extract_entities,
+    words_to_digits,
+)
 from parlance.plans.registry import query
 from parlance.schemas import (
     CATEGORY_COLORS,
@@ -182,3 +190,17 @@ def q_location_digits(spark, sf_dir):
     part = part.withColumn("word", F.element_at(words, F.col("p_size")))
     loc = part.select("p_partkey", F.expr(LOCATION_SQL.replace("left(word, 1)", "substr(word, 1, 1)")).alias("location"))
     return loc.select("p_partkey", "location", words_to_digits("location").alias("digits"))
+
+
+@query(
+    "entity_map_roundtrip",
+    f"""WITH {CUSTOMER_ENTITIES_SQL.strip()}
+SELECT transcript_id, category,
+       (dense_rank() OVER (PARTITION BY transcript_id ORDER BY cat_pos) - 1)::INT AS cat_pos, pos, value
+FROM long""",
+)
+def q_entity_map_roundtrip(spark, sf_dir):
+    """Long entities -> one D9 map per transcript -> long again: category order
+    survives as the map's key order, value order as list order."""
+    maps = entity_map(customer_entities(spark, sf_dir))
+    return entities_from_map(maps).select("transcript_id", "category", "cat_pos", "pos", "value")

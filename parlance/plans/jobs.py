@@ -43,11 +43,16 @@ def job_events(spark, sf_dir):
     "latest_job_status",
     f"""WITH {JOB_EVENTS_SQL}
 SELECT job_name, arg_max_null(status, (ts, event_id)) AS status, arg_max_null(uri, (ts, event_id)) AS uri,
-       max(ts) AS last_ts, count(*)::BIGINT AS n_events
+       max(ts) AS last_ts, count(*)::BIGINT AS n_events,
+       strftime(max(ts), '%Y-%m-%dT%H:%M:%S')
+         || CASE WHEN epoch_us(max(ts)) % 1000000 = 0 THEN ''
+                 ELSE '.' || lpad(CAST(epoch_us(max(ts)) % 1000000 AS VARCHAR), 6, '0') END AS last_ts_iso
 FROM job_events GROUP BY job_name""",
 )
 def q_latest_job_status(spark, sf_dir):
-    return latest_job_status(job_events(spark, sf_dir)).select("job_name", "status", "uri", "last_ts", "n_events")
+    return latest_job_status(job_events(spark, sf_dir)).select(
+        "job_name", "status", "uri", "last_ts", "n_events", "last_ts_iso"
+    )
 
 
 @query(

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators.uploads import derive_job_keys, parse_notifications, resolve_result_uri, validate_uploads
+from parlance.operators.uploads import derive_job_keys, resolve_result_uri, validate_uploads
 from parlance.plans.registry import query
 from parlance.sources.tables import table
+from parlance.sources.transcripts import read_notifications
+from parlance.streaming.flows import scratch_path
 
 # key shapes: plain, double extension, none, hidden, trailing dot, repeated .json
 UPLOAD_KEY_SQL = """CASE doc_id % 6
@@ -33,7 +35,7 @@ def uploads(spark, sf_dir):
     return docs.select(
         "doc_id",
         F.expr(UPLOAD_BUCKET_SQL).alias("bucket"),
-        F.expr(UPLOAD_KEY_SQL.replace("||", "||")).alias("key"),
+        F.expr(UPLOAD_KEY_SQL).alias("key"),
         F.expr(UPLOAD_MIME_SQL).alias("mime"),
         F.expr(UPLOAD_LENGTH_SQL).cast("bigint").alias("length"),
     )
@@ -104,15 +106,12 @@ def q_explode_notifications(spark, sf_dir):
             F.struct(F.expr(NOTE_KEY).alias("key")).alias("object"),
         ).alias("s3")
     )
-    # a notification document holds at most eight records (consecutive event ids)
-    notes = ev.groupBy(F.floor(F.col("event_id") / 8).alias("notif_id")).agg(
-        F.to_json(
-            F.struct(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))), lambda x: x["r"]
-                ).alias("Records")
-            )
-        ).alias("body")
+    # a notification document holds at most eight records (consecutive event ids);
+    # documents are written as JSON files and read back through the SRC-1 reader
+    notes = ev.groupBy(F.floor(F.col("event_id") / 8).cast("bigint").alias("notif_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("r")))), lambda x: x["r"]).alias("Records")
     )
-    out = parse_notifications(notes, "body", "notif_id")
-    return out.select(F.col("notif_id").cast("bigint").alias("notif_id"), "rec_no", "bucket", "key", "reject_reason")
+    path = scratch_path(spark, "notifications")
+    notes.write.mode("overwrite").json(path)
+    out = read_notifications(spark, path, id_field="notif_id")
+    return out.select("notif_id", "rec_no", "bucket", "key", "reject_reason")

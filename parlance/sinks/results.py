@@ -51,6 +51,15 @@ def write_results(df: DataFrame, path: str, partition_col: str = "ingest_date")
     )
 
 
+def export_json(df: DataFrame, path: str, partition_col: str | None = "ingest_date") -> None:
+    """SNK-1 optional export: JSON lines of D10 documents (one line per transcript),
+    partitioned like the table; written by the executors, never via the driver."""
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if partition_col:
+        w = w.partitionBy(partition_col)
+    w.option("ignoreNullFields", "false").json(path)
+
+
 def write_start_records(uploads: DataFrame, path: str) -> None:
     """SNK-2: append a QUEUED job event per accepted upload."""
     (

@@ -23,10 +23,15 @@ def _stem(path_col):
     return F.regexp_replace(name, r"\.json$", "")
 
 
-def read_notifications(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: JSON notifications -> one (bucket, key) row per record."""
-    notes = spark.read.schema(NOTIFICATION_DDL).json(path).withColumn("source_file", F.input_file_name())
-    return explode_notifications(notes, "Records", "source_file")
+def read_notifications(spark: SparkSession, path: str, id_field: str | None = None) -> DataFrame:
+    """SRC-1: JSON notifications -> one (bucket, key) row per record, in record
+    order.  ``id_field`` names an extra top-level bigint identifying the
+    notification; otherwise the source file identifies it."""
+    ddl = NOTIFICATION_DDL + (f", {id_field} bigint" if id_field else "")
+    notes = spark.read.schema(ddl).json(path)
+    if not id_field:
+        notes = notes.withColumn("source_file", F.input_file_name())
+    return explode_notifications(notes, "Records", id_field or "source_file")
 
 
 def list_audio(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -51,18 +56,17 @@ def read_raw_transcripts(spark: SparkSession, path: str, multi_line: bool = True
     return raw.withColumn("transcript_id", F.coalesce(F.col("jobName"), _stem(F.input_file_name())))
 
 
-def read_enhanced(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """SRC-4 / SRC-6: enhanced transcripts from the result table (Parquet) or from
-    ``*_enhanced.json`` exports."""
+def read_enhanced(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True,
+                  glob: str | None = "*_enhanced.json") -> DataFrame:
+    """SRC-4 / SRC-6: enhanced transcripts from the result table (Parquet), from
+    ``*_enhanced.json`` objects (one per file, ``multi_line=True``) or from JSON-lines
+    exports (``multi_line=False, glob=None``)."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    return (
-        spark.read.schema(ENHANCED_DDL)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*_enhanced.json")
-        .json(path)
-        .withColumn("source_file", F.input_file_name())
-    )
+    reader = spark.read.schema(ENHANCED_DDL).option("multiLine", multi_line)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.json(path).withColumn("source_file", F.input_file_name())
 
 
 def read_job_events(spark: SparkSession, path: str) -> DataFrame:
