@@ -298,15 +298,14 @@ def pack_chunks(
     ``max_ordinal`` may be passed when known; otherwise one scalar aggregate
     decides whether any transcript spans more than one fragment.
     """
-    spark = segments.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if max_ordinal is None:
         max_ordinal = segments.agg(F.max(order)).first()[0] or 0
     key_type = segments.schema[key].dataType.simpleString()
     out_schema = T.StructType(list(segments.schema.fields) + [T.StructField("chunk_no", T.LongType(), False)])
 
     if max_ordinal < fragment_rows:
-        sorted_rows = segments.repartition(nparts, key).sortWithinPartitions(key, order)
+        # partition count left to spark.sql.shuffle.partitions / AQE
+        sorted_rows = segments.repartition(key).sortWithinPartitions(key, order)
         return sorted_rows.mapInArrow(_fold_batches(key, None, tokens, budget, False), out_schema)
 
     with_frag = segments.withColumn("_frag", F.floor(F.col(order) / fragment_rows).cast("long"))
@@ -334,7 +333,7 @@ def pack_chunks(
         F.coalesce("_c_in", F.lit(0).cast("long")).alias("_c_in"),
         F.coalesce("_k_in", F.lit(0).cast("long")).alias("_k_in"),
     )
-    rows = rows.repartition(nparts, key, "_frag").sortWithinPartitions(key, "_frag", order)
+    rows = rows.repartition(key, "_frag").sortWithinPartitions(key, "_frag", order)
     fold_schema = T.StructType(
         list(rows.schema.fields) + [T.StructField("chunk_no", T.LongType(), False)]
     )

@@ -41,17 +41,22 @@ def chunk_payload(packed: DataFrame, *, key: str = "transcript_id", order: str =
     )
 
 
-def combine_chunks(enhanced: DataFrame, *, key: str = "transcript_id") -> DataFrame:
+def combine_chunks(enhanced: DataFrame, *, key: str = "transcript_id", ok: str | None = None) -> DataFrame:
     """AGG-5: per transcript, chunk transcripts joined in chunk order (``t + ' '`` each,
     then stripped) and segment lists concatenated in order.
 
     Input: ``key, chunk_no, transcript string, segments array<struct<...>>`` (D8 rows,
-    failed chunks already removed).  Output: ``key, transcript, segments, n_chunks``.
+    failed chunks already removed, or flagged by the boolean column ``ok``: failed
+    chunks are then skipped inside the aggregation).  Output: ``key, transcript,
+    segments, n_chunks``; a transcript without any valid chunk is left out.
     """
+    item = F.struct("chunk_no", "transcript", "segments")
+    if ok:
+        item = F.when(F.col(ok), item)
     agg = enhanced.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_no", "transcript", "segments"))).alias("_c"),
-        F.count(F.lit(1)).alias("n_chunks"),
-    )
+        F.array_sort(F.collect_list(item)).alias("_c"),
+        F.count(item).alias("n_chunks"),
+    ).where(F.col("n_chunks") > 0)
     return agg.select(
         key,
         py_strip(F.array_join(F.transform("_c", lambda x: x["transcript"]), " ")).alias("transcript"),

@@ -116,3 +116,36 @@ def q_combine_chunks(spark, sf_dir):
         F.size("segments").cast("bigint").alias("n_segments"),
         "n_chunks",
     )
+
+
+def _enhance_oracle() -> str:
+    from parlance.operators.entities import DEFAULT_CATALOGUE
+
+    n_ent = " + ".join(f"len(list_distinct(regexp_extract_all(transcript, '{rx}')))" for _, rx in DEFAULT_CATALOGUE)
+    return packing_cte(60) + f"""
+, t AS (
+  SELECT conv_id,
+         regexp_replace(string_agg(text, ' ' ORDER BY turn), '^{WS}|{WS}$', '', 'g') AS transcript,
+         count(*)::BIGINT AS n_segments, count(DISTINCT chunk_no)::BIGINT AS n_chunks
+  FROM packed GROUP BY conv_id
+)
+SELECT conv_id, length(transcript)::BIGINT AS transcript_chars, n_segments, n_chunks, 0::BIGINT AS n_lost,
+       'OK' AS status, ({n_ent})::BIGINT AS n_entities,
+       CASE WHEN transcript = '' THEN 'missing_transcript' END AS reject_reason,
+       CASE WHEN transcript <> '' THEN 'stt-' || conv_id || '_enhanced.json' END AS output_key
+FROM t"""
+
+
+@query("enhance_transcripts", _enhance_oracle())
+def q_enhance_transcripts(spark, sf_dir):
+    """Entry point A end to end on conversations (budget 60, echo model)."""
+    from parlance.operators.enhance import enhance
+
+    doc = enhance(conversation_segments(spark, sf_dir), budget=60)
+    n_ent = F.aggregate(F.map_values("entities"), F.lit(0), lambda acc, v: acc + F.size(v)).cast("bigint")
+    return doc.select(
+        F.col("transcript_id").alias("conv_id"),
+        F.length("transcript").cast("bigint").alias("transcript_chars"),
+        F.size("segments").cast("bigint").alias("n_segments"),
+        "n_chunks", "n_lost", "status", n_ent.alias("n_entities"), "reject_reason", "output_key",
+    )

@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.001"
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert set(df.columns) >= {"conv_id", "transcript", "n_segments", "n_chunks"}
+    assert set(df.columns) >= {"conv_id", "transcript_chars", "n_segments", "n_chunks", "status", "output_key"}
 
 
 def test_every_query_runs_on_the_smallest_tables(spark):
