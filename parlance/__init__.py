@@ -1,7 +1,8 @@
 """parlance: transcript analytics on Spark.
 
 DataFrame in, DataFrame out.  Every job is keyed by ``transcript_id`` (or a
-job name) so that any number of transcripts is processed in one plan.
+job name) so that any number of transcripts is processed in one plan (RM-1:
+batch processing of many files is inherent, not a separate feature).
 
 Sub-packages
 ------------

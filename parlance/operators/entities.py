@@ -83,7 +83,8 @@ def category_dim(spark: SparkSession) -> DataFrame:
 
 def entity_view(long: DataFrame, *, key: str = "transcript_id") -> DataFrame:
     """PRJ-13 + JOIN-4 + AGG-9 + SCL-7/8: one display row per non-empty category
-    except CASE_NUMBER and DATE, in category order, with label, values and colour.
+    except CASE_NUMBER and DATE, with label, values and colour.  ``cat_pos`` keeps
+    the map's key order for display (ORD-2).
 
     ``long`` must carry ``cat_pos`` (key order of the entity map).
     """
@@ -108,7 +109,7 @@ def entity_view(long: DataFrame, *, key: str = "transcript_id") -> DataFrame:
 
 
 def case_header(long: DataFrame, *, key: str = "transcript_id") -> DataFrame:
-    """PRJ-12 + AGG-11: first case number, first date, plaintiffs, defendants.
+    """PRJ-12 + AGG-11 (ORD-3): first case number, first date, plaintiffs, defendants.
 
     A missing category gives null (the viewer would throw) plus a flag."""
     def first_of(cat):

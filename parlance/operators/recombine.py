@@ -16,7 +16,8 @@ SEGMENT_FIELDS = ("timestamp", "speaker", "text")
 
 
 def _ordered(list_col, field: str):
-    """Values of ``field`` from a list of structs, sorted by their first field."""
+    """Values of ``field`` from a list of structs, sorted by their first field
+    (ORD-1: order is restored from the ordinal, never from row order)."""
     return F.transform(F.array_sort(list_col), lambda x: x[field])
 
 
@@ -49,6 +50,7 @@ def combine_chunks(enhanced: DataFrame, *, key: str = "transcript_id", ok: str |
     failed chunks already removed, or flagged by the boolean column ``ok``: failed
     chunks are then skipped inside the aggregation).  Output: ``key, transcript,
     segments, n_chunks``; a transcript without any valid chunk is left out.
+    Texts are joined with ``array_join`` (SCL-3).
     """
     item = F.struct("chunk_no", "transcript", "segments")
     if ok:

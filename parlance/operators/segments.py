@@ -31,7 +31,8 @@ def _valid_time(c: Column) -> Column:
 
 
 def raw_segments_and_items(raw: DataFrame, key: str = "transcript_id"):
-    """Explode D4 raw transcripts into D5 segments and D6 items (ordinals kept).
+    """Explode D4 raw transcripts into D5 segments and D6 items (ordinals kept:
+    ORD-1, array position is meaning, so every explode is a ``posexplode``).
 
     Times are parsed with ``try_cast``; an unparsable or NaN time gives a null
     time and a ``reject_reason`` instead of an error.
@@ -54,6 +55,7 @@ def raw_segments_and_items(raw: DataFrame, key: str = "transcript_id"):
         F.col("i.type").alias("type"),
         F.expr("try_cast(i.start_time AS DOUBLE)").alias("start_s"),
         F.col("i.start_time").alias("start_raw"),
+        # PRJ-7 / ORD-3: first alternative only (``get`` is null-safe under ANSI)
         F.get(F.col("i.alternatives"), 0)["content"].alias("content"),
     )
     items = items.withColumn(
@@ -163,3 +165,13 @@ def speaker_cap(segments: DataFrame, cap: int = 10, *, key: str = "transcript_id
     return segments.groupBy(key).agg(F.count_distinct("speaker").cast("bigint").alias("n_speakers")).withColumn(
         "within_cap", F.col("n_speakers") <= cap
     )
+
+
+def segment_view(segments: DataFrame, *, key: str = "transcript_id", ordered: bool = False) -> DataFrame:
+    """D14 / SCL-5+6 / ORD-2: display rows ``(key, seg_no, hms, speaker, text)``;
+    the ``timestamp`` string is read with the lenient prefix parser.  Sorting is
+    presentation only (``ordered=True``), never relied on by other jobs."""
+    from parlance.functions.times import hms, js_parse_float
+
+    out = segments.select(key, "seg_no", hms(js_parse_float("timestamp")).alias("hms"), "speaker", "text")
+    return out.orderBy(key, "seg_no") if ordered else out

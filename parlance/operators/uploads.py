@@ -44,7 +44,7 @@ def parse_notifications(text_df: DataFrame, text_col: str = "body", id_col: str
 
 
 def validate_uploads(uploads: DataFrame, mime: str = "mime", length: str = "length") -> DataFrame:
-    """PRJ-1: accept iff the MIME type starts with ``audio/`` and the size is at
+    """PRJ-1 (SCL-12 ``startswith``): accept iff the MIME type starts with ``audio/`` and the size is at
     most 10 MiB (inclusive).  One pass; ``accepted`` and ``reject_reason`` tag the rows
     so accepted/rejected outputs are two filters of the same plan."""
     reason = (

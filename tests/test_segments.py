@@ -88,3 +88,25 @@ def test_speaker_cap(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "transcript_id long, speaker string")
     got = {r.transcript_id: (r.n_speakers, r.within_cap) for r in speaker_cap(df, cap=2).collect()}
     assert got == {1: (3, False), 2: (1, True)}
+
+
+def test_segment_view_rows(spark):
+    from parlance.operators.segments import segment_view
+
+    df = spark.createDataFrame([(1, 1, "3600", "spk_1", "b"), (1, 0, "564.799", "spk_0", "a"), (1, 2, "abc", "spk_0", "c")],
+                               "transcript_id long, seg_no long, timestamp string, speaker string, text string")
+    got = [(r.seg_no, r.hms) for r in segment_view(df, ordered=True).collect()]
+    assert got == [(0, "[00:09:24]"), (1, "[01:00:00]"), (2, None)]
+
+
+def test_interval_join_invariant_to_order_and_partitions(spark):
+    rng = random.Random(9)
+    segs = [(t, s, float(s * 10), float(s * 10 + 12)) for t in range(5) for s in range(8)]
+    items = [(t, i, round(rng.uniform(0, 90), 2), "pronunciation", f"w{i}") for t in range(5) for i in range(70)]
+    a = run(spark, segs, items)
+    rng.shuffle(segs)
+    rng.shuffle(items)
+    sdf = spark.createDataFrame(segs, SEG).repartition(5)
+    idf = spark.createDataFrame(items, ITEM).repartition(3)
+    b = {(r.transcript_id, r.seg_no): r.text for r in segment_text(sdf, idf).collect()}
+    assert a == b == brute(segs, items)
