@@ -87,3 +87,45 @@ def test_timeout_stream_over_several_files(spark):
     got = {r.job_name: r.outcome for r in out.collect()}
     watermark = ts(1000) - dt.timedelta(minutes=10)
     assert got == brute_timeout(rows, 3600, watermark)
+
+
+def _write_batches(spark, schema, batches):
+    d = tempfile.mkdtemp(prefix="parlance-stream-")
+    for i, chunk in enumerate(batches):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.parquet(os.path.join(d, f"b{i}"))
+    return d
+
+
+def test_dedup_across_files_within_watermark(spark):
+    from parlance.streaming.flows import dedup_stream
+
+    schema = "job_name string, status string, ts timestamp"
+    d = _write_batches(spark, schema, [
+        [("j1", "QUEUED", ts(0)), ("j1", "QUEUED", ts(1))],  # duplicate in the same batch
+        [("j1", "QUEUED", ts(5)), ("j2", "QUEUED", ts(6))],  # duplicate in a later batch, within the delay
+        [("j1", "COMPLETED", ts(300))],
+    ])
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(d)
+    out = run_to_table(dedup_stream(src, ["job_name", "status"], delay="1 hour"), spark, "t_dedup")
+    got = sorted((r.job_name, r.status) for r in out.collect())
+    assert got == [("j1", "COMPLETED"), ("j1", "QUEUED"), ("j2", "QUEUED")]
+
+
+def test_late_result_joined_within_bound(spark):
+    from parlance.streaming.flows import result_join_stream
+
+    schema = "kind string, user_id long, ts timestamp, eid long"
+    d = _write_batches(spark, schema, [
+        [("done", 1, ts(0), 1), ("done", 2, ts(0), 2)],
+        [("result", 1, ts(30), 3)],  # arrives in a later batch, within 2 hours
+        [("result", 2, ts(500), 4), ("done", 3, ts(600), 5)],  # outside the bound; advances the watermark
+    ])
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(d)
+    c = src.where(F.col("kind") == "done").select(F.col("eid").alias("c_id"), "user_id", F.col("ts").alias("c_ts"))
+    r = src.where(F.col("kind") == "result").select(F.col("eid").alias("r_id"), F.col("user_id").alias("user_id_r"),
+                                                    F.col("ts").alias("r_ts"))
+    out = run_to_table(result_join_stream(c, r, key="user_id", within="2 hours", delay="10 minutes")
+                       .select("c_id", "r_id"), spark, "t_late")
+    got = sorted((row.c_id, row.r_id) for row in out.collect())
+    # user 1 matched late; user 2's completion timed out unmatched once the watermark passed its bound
+    assert (1, 3) in got and (2, None) in got and all(c != 3 for c, _ in got if _ is not None)
