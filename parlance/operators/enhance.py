@@ -17,6 +17,7 @@ from parlance.operators.entities import DEFAULT_CATALOGUE, entity_map, extract_e
 from parlance.operators.models import ModelFactory, apply_model, chunk_audit, clean_model_output, echo_model_factory
 from parlance.operators.packing import DEFAULT_BUDGET, pack_chunks, token_counts
 from parlance.operators.recombine import chunk_payload, combine_chunks
+from parlance.session import ensure_checkpoint_dir
 from parlance.sinks.results import store_validation
 
 
@@ -38,7 +39,11 @@ def enhance(
     """
     packed = pack_chunks(token_counts(segments), budget, key=key)
     payloads = chunk_payload(packed, key=key)
-    answered = apply_model(payloads.select(key, "chunk_no", "payload"), model_factory)
+    # raw responses are written once to the shared checkpoint folder: the audit and
+    # the recombination both read them, so the model is called once per chunk and
+    # both see the same answers (a retried task cannot silently re-ask the model)
+    ensure_checkpoint_dir(segments.sparkSession)
+    answered = apply_model(payloads.select(key, "chunk_no", "payload"), model_factory).checkpoint(eager=True)
     cleaned = clean_model_output(answered)
     audit = chunk_audit(payloads.select(key, "chunk_no"), cleaned, key=key)
     combined = combine_chunks(cleaned.select(key, "chunk_no", "transcript", "segments", "ok"), key=key, ok="ok")

@@ -13,7 +13,6 @@ from parlance.operators.segments import raw_segments_and_items, segment_text
 from parlance.operators.uploads import derive_job_keys
 from parlance.sinks.results import export_json, store_validation, write_results, write_start_records
 from parlance.sources.transcripts import list_audio, read_enhanced, read_job_events, read_notifications
-from parlance.schemas import ENHANCED_DDL
 
 
 def test_transcribe_hook_over_binary_files(spark):

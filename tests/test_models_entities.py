@@ -1,6 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
 
 from parlance.operators.entities import case_header, entity_view, extract_entities, words_to_digits
 from parlance.operators.models import apply_model, chunk_audit, clean_model_output, echo_model_factory

@@ -1,7 +1,5 @@
-import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from parlance.functions.keys import client_stem, enhanced_key, first_bucket, job_name, media_format, output_key
 from parlance.functions.text import py_strip, word_count
