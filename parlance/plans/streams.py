@@ -99,11 +99,21 @@ def q_stream_job_timeout(spark, sf_dir):
 
 @query(
     "stream_result_join",
-    """SELECT v.event_id AS view_id, p.event_id AS purchase_id, v.user_id
-FROM events v JOIN events p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 2 HOUR
-WHERE v.event_type = 'view' AND p.event_type = 'purchase'""",
+    """WITH v AS (SELECT * FROM events WHERE event_type = 'view'),
+p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+m AS (SELECT v.event_id AS view_id, p.event_id AS purchase_id, v.user_id
+      FROM v JOIN p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 2 HOUR),
+wm AS (SELECT least((SELECT max(ts) FROM v), (SELECT max(ts) FROM p)) - INTERVAL 1 HOUR AS w)
+SELECT * FROM m
+UNION ALL
+SELECT v.event_id, NULL, v.user_id FROM v
+WHERE v.event_id NOT IN (SELECT view_id FROM m) AND v.ts + INTERVAL 2 HOUR < (SELECT w FROM wm)""",
 )
 def q_stream_result_join(spark, sf_dir):
+    """Every row the stream emits: matched (completion, result) pairs, and
+    completions without a result once the watermark (the smaller of the two
+    streams' event-time maxima minus the 1 h delay) has passed their 2 h bound.
+    Completions whose bound is still open stay in the join state."""
     ev = event_stream(spark, sf_dir)
     views = ev.where(F.col("event_type") == "view").select(
         F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("c_ts")
@@ -111,7 +121,5 @@ def q_stream_result_join(spark, sf_dir):
     buys = ev.where(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("purchase_id"), F.col("user_id").alias("user_id_r"), F.col("ts").alias("r_ts")
     )
-    joined = result_join_stream(views, buys, key="user_id", within="2 hours")
-    out = run_to_table(joined.select("view_id", "purchase_id", "user_id"), spark, "stream_result_join")
-    # completions still waiting for their bound are not final; report matched rows
-    return out.where(F.col("purchase_id").isNotNull())
+    joined = result_join_stream(views, buys, key="user_id", within="2 hours", delay="1 hour")
+    return run_to_table(joined.select("view_id", "purchase_id", "user_id"), spark, "stream_result_join")
