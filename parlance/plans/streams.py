@@ -90,11 +90,26 @@ def q_stream_latest_status(spark, sf_dir):
     return out.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
-@query("stream_job_timeout")
+@query(
+    "stream_job_timeout",
+    f"""WITH {JOB_EVENTS_SQL},
+f AS (SELECT job_name, min(ts) AS first,
+             min(ts) FILTER (WHERE status IN ('COMPLETED', 'FAILED')) AS t_term,
+             arg_min(status, ts) FILTER (WHERE status IN ('COMPLETED', 'FAILED')) AS s_term
+      FROM job_events GROUP BY job_name),
+wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM job_events)
+SELECT job_name,
+       CASE WHEN t_term <= first + INTERVAL 2 DAY THEN s_term ELSE 'TIMED_OUT' END AS outcome,
+       CASE WHEN t_term <= first + INTERVAL 2 DAY THEN t_term ELSE first + INTERVAL 2 DAY END AS decided_at
+FROM f WHERE t_term IS NOT NULL OR first + INTERVAL 2 DAY < (SELECT w FROM wm)""",
+)
 def q_stream_job_timeout(spark, sf_dir):
-    """Rows-only: which jobs are decided depends on watermark progress."""
+    """One file is one micro-batch: every job is decided from its events at once,
+    and silent jobs time out in the following no-data batch when the watermark
+    (latest event time minus 1 h) has passed their deadline."""
     timed = job_timeout_stream(job_event_stream(spark, sf_dir), limit_s=2 * 86400)
-    return run_to_table(timed, spark, "stream_job_timeout")
+    out = run_to_table(timed, spark, "stream_job_timeout")
+    return out.withColumn("decided_at", F.col("decided_at").cast("timestamp_ntz"))
 
 
 @query(

@@ -82,48 +82,59 @@ def latest_status_stream(events: DataFrame, *, job: str = "job_name") -> DataFra
 
 
 TIMEOUT_OUT_SCHEMA = "job_name string, outcome string, decided_at timestamp"
-TIMEOUT_STATE_SCHEMA = "first_ms long, done boolean"
+TIMEOUT_STATE_SCHEMA = "first_us long, done boolean"
+
+
+def _micros(col: pd.Series) -> pd.Series:
+    if pd.api.types.is_datetime64_any_dtype(col):
+        return col.astype("datetime64[us]").astype("int64")
+    return col.astype("int64")
 
 
 def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour", job: str = "job_name") -> DataFrame:
     """Per job: the first terminal status reached within ``limit_s`` of the job's
-    first event, else ``TIMED_OUT`` once the watermark passes that deadline.
+    first event, else ``TIMED_OUT`` (decided at the deadline) -- at once when a
+    late terminal event shows the deadline passed, or when the watermark passes
+    the deadline.
 
-    The state per job is two numbers; group rows arrive as an iterator of Arrow
-    chunks and are folded one chunk at a time.
+    The state per job is two values; group rows arrive as an iterator of Arrow
+    chunks and are folded one chunk at a time, so a busy job never has to fit in
+    memory at once.
     """
-    limit_ms = int(limit_s) * 1000
+    limit_us = int(limit_s) * 1_000_000
+
+    def out(name, outcome, when_us):
+        return pd.DataFrame({"job_name": [name], "outcome": [outcome],
+                             "decided_at": [pd.Timestamp(int(when_us), unit="us")]})
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (name,) = key
         if state.hasTimedOut:
-            first_ms, done = state.get
+            first_us, done = state.get
             state.remove()
             if not done:
-                yield pd.DataFrame(
-                    {"job_name": [name], "outcome": ["TIMED_OUT"],
-                     "decided_at": [pd.Timestamp(first_ms + limit_ms, unit="ms")]}
-                )
+                yield out(name, "TIMED_OUT", first_us + limit_us)
             return
-        first_ms, done = state.get if state.exists else (None, False)
-        best = None  # (ms, status) of the first terminal event seen in this batch
+        first_us, done = state.get if state.exists else (None, False)
+        best = None  # (us, status) of the earliest terminal event in this batch
         for pdf in pdfs:
-            ms = pdf["ts"].astype("int64") // 1_000_000 if pd.api.types.is_datetime64_any_dtype(pdf["ts"]) else pdf["ts"]
-            lo = int(ms.min())
-            first_ms = lo if first_ms is None else min(first_ms, lo)
-            term = pdf[pdf["status"].isin(TERMINAL_STATES)]
-            if len(term):
-                tms = ms[term.index]
-                i = int(tms.values.argmin())
-                cand = (int(tms.values[i]), str(term["status"].values[i]))
+            us = _micros(pdf["ts"])
+            lo = int(us.min())
+            first_us = lo if first_us is None else min(first_us, lo)
+            term = pdf["status"].isin(TERMINAL_STATES).to_numpy()
+            if term.any():
+                t_us = us.to_numpy()[term]
+                i = int(t_us.argmin())
+                cand = (int(t_us[i]), str(pdf["status"].to_numpy()[term][i]))
                 best = cand if best is None or cand < best else best
         if not done and best is not None:
             done = True
-            outcome = best[1] if best[0] <= first_ms + limit_ms else "TIMED_OUT"
-            when = best[0] if outcome != "TIMED_OUT" else first_ms + limit_ms
-            yield pd.DataFrame({"job_name": [name], "outcome": [outcome], "decided_at": [pd.Timestamp(when, unit="ms")]})
-        state.update((first_ms, done))
-        state.setTimeoutTimestamp(first_ms + limit_ms)
+            if best[0] <= first_us + limit_us:
+                yield out(name, best[1], best[0])
+            else:
+                yield out(name, "TIMED_OUT", first_us + limit_us)
+        state.update((first_us, done))
+        state.setTimeoutTimestamp((first_us + limit_us) // 1000)
 
     return (
         events.withWatermark("ts", delay)
