@@ -17,10 +17,29 @@ from parlance.operators.ordered import with_prev
 from parlance.schemas import TERMINAL_STATES
 
 
-def latest_job_status(events: DataFrame, *, job: str = "job_name") -> DataFrame:
-    """AGG-7: latest status per job; ties on ``ts`` broken by ``event_id``."""
+# Fixed value: the shape of the unique suffix a restarted job gets (SCL-14).
+UNIQUE_SUFFIX = r"-[0-9]{14}-[0-9a-f]{8}$"
+
+
+def base_job_name(job) -> F.Column:
+    """Job name without a unique restart suffix (``stt-x-20240101000000-1a2b3c4d`` -> ``stt-x``)."""
+    return F.regexp_replace(F.col(job) if isinstance(job, str) else job, UNIQUE_SUFFIX, "")
+
+
+def latest_job_status(events: DataFrame, *, job: str = "job_name", by_base: bool = False) -> DataFrame:
+    """AGG-7: latest status per job; ties on ``ts`` broken by ``event_id``.
+
+    ``by_base=True`` groups suffixed restarts under their base name and reports
+    the latest of them (``job_name`` is then the base name, ``latest_job`` the
+    job that reported), so a lookup by upload name finds restarted jobs too."""
     order = F.struct("ts", "event_id")
+    if by_base:
+        events = events.withColumn("latest_job", F.col(job)).withColumn(job, base_job_name(job))
+        extra = [F.max_by("latest_job", order).alias("latest_job")]
+    else:
+        extra = []
     return events.groupBy(job).agg(
+        *extra,
         F.max_by("status", order).alias("status"),
         F.max_by("uri", order).alias("uri"),
         F.max("ts").alias("last_ts"),

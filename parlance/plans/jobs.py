@@ -78,8 +78,9 @@ def q_plan_job_starts(spark, sf_dir):
 @query(
     "status_report",
     f"""WITH {JOB_EVENTS_SQL},
-latest AS (SELECT job_name, arg_max_null(status, (ts, event_id)) AS status, arg_max_null(uri, (ts, event_id)) AS uri
-           FROM job_events GROUP BY job_name),
+latest AS (SELECT regexp_replace(job_name, '-[0-9]{14}-[0-9a-f]{8}$', '') AS job_name,
+                  arg_max_null(status, (ts, event_id)) AS status, arg_max_null(uri, (ts, event_id)) AS uri
+           FROM job_events GROUP BY 1),
 lk AS (SELECT *, regexp_extract(uri, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM latest),
 lk2 AS (SELECT job_name, status, uri,
                CASE WHEN string_split(path, '/')[2] IS NULL THEN NULL
@@ -112,7 +113,8 @@ SELECT request_id, file_name,
 FROM j""",
 )
 def q_status_report(spark, sf_dir):
-    latest = latest_job_status(job_events(spark, sf_dir))
+    # looked up by base name, so restarted (suffixed) jobs are found as well
+    latest = latest_job_status(job_events(spark, sf_dir), by_base=True)
     latest = resolve_result_uri(latest, "uri").select("job_name", "status", "uri", "result_key")
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     results = conv.groupBy("conv_id").agg(

@@ -187,3 +187,68 @@ def q_list_audio(spark, sf_dir):
     """Rows-only: one row per table file of the data folder (name, size, MIME)."""
     files = list_audio(spark, sf_dir, glob="*.parquet")
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", "mime")
+
+
+RAW_BUDGET = 3
+
+
+def _raw_enhance_oracle() -> str:
+    from parlance.functions.text import WS
+    from parlance.operators.entities import DEFAULT_CATALOGUE
+
+    n_ent = " + ".join(f"len(list_distinct(regexp_extract_all(transcript, '{rx}')))" for _, rx in DEFAULT_CATALOGUE)
+    b = RAW_BUDGET
+    return f"""
+WITH RECURSIVE ev AS (
+  SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1e6 AS t,
+         'stt-u' || user_id || '-' || (event_id // 100) AS transcript_id FROM events
+), seg AS (
+  SELECT transcript_id, event_id, t AS s, t + {SEG_LEN_S} AS e,
+         (row_number() OVER (PARTITION BY transcript_id ORDER BY event_id) - 1)::BIGINT AS seg_no
+  FROM ev WHERE event_type = 'signup'
+), it AS (
+  SELECT transcript_id, event_id, t,
+         CASE WHEN event_type = 'error' THEN '.' ELSE event_type END AS content
+  FROM ev WHERE NOT (event_type = 'click' AND value < 10) AND NOT (event_type = 'purchase' AND value < 5)
+), st AS (
+  SELECT seg.transcript_id, seg.seg_no,
+         coalesce(string_agg(it.content, ' ' ORDER BY it.event_id), '') AS text, count(it.event_id)::BIGINT AS n_tokens
+  FROM seg LEFT JOIN it ON it.transcript_id = seg.transcript_id AND it.t >= seg.s AND it.t <= seg.e
+  GROUP BY seg.transcript_id, seg.seg_no
+), r AS (
+  SELECT transcript_id, seg_no, CASE WHEN n_tokens > {b} THEN 1 ELSE 0 END::BIGINT AS chunk_no, n_tokens AS cur
+  FROM st WHERE seg_no = 0
+  UNION ALL
+  SELECT st.transcript_id, st.seg_no,
+         CASE WHEN r.cur + st.n_tokens > {b} THEN r.chunk_no + 1 ELSE r.chunk_no END,
+         CASE WHEN r.cur + st.n_tokens > {b} THEN st.n_tokens ELSE r.cur + st.n_tokens END
+  FROM r JOIN st ON st.transcript_id = r.transcript_id AND st.seg_no = r.seg_no + 1
+), t AS (
+  SELECT r.transcript_id,
+         regexp_replace(string_agg(st.text, ' ' ORDER BY r.seg_no), '^{WS}|{WS}$', '', 'g') AS transcript,
+         count(*)::BIGINT AS n_segments, count(DISTINCT r.chunk_no)::BIGINT AS n_chunks
+  FROM r JOIN st USING (transcript_id, seg_no) GROUP BY r.transcript_id
+)
+SELECT transcript_id, transcript, n_segments, n_chunks, 'OK' AS status, ({n_ent})::BIGINT AS n_entities,
+       CASE WHEN transcript = '' THEN 'missing_transcript' END AS reject_reason
+FROM t"""
+
+
+@query("enhance_raw_transcripts", _raw_enhance_oracle())
+def q_enhance_raw_transcripts(spark, sf_dir):
+    """Entry point A from raw transcripts: JSON read (SRC-3) -> interval join and
+    segment text (JOIN-1, AGG-1) -> packing (budget 3) -> echo model -> cleaning
+    -> recombination -> entities -> store validation."""
+    from parlance.operators.enhance import enhance
+
+    path = scratch_path(spark, "raw_transcripts")
+    _raw_docs(spark, sf_dir).write.mode("overwrite").json(path)
+    raw = read_raw_transcripts(spark, path, multi_line=False)
+    segs, items = raw_segments_and_items(raw)
+    texts = segment_text(segs.select("transcript_id", "seg_no", "timestamp", "speaker", "start_s", "end_s"), items)
+    doc = enhance(texts.select("transcript_id", "seg_no", "timestamp", "speaker", "text"), budget=RAW_BUDGET)
+    n_ent = F.aggregate(F.map_values("entities"), F.lit(0), lambda acc, v: acc + F.size(v)).cast("bigint")
+    return doc.select(
+        "transcript_id", "transcript", F.size("segments").cast("bigint").alias("n_segments"), "n_chunks", "status",
+        n_ent.alias("n_entities"), "reject_reason",
+    )

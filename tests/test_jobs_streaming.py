@@ -129,3 +129,21 @@ def test_late_result_joined_within_bound(spark):
     got = sorted((row.c_id, row.r_id) for row in out.collect())
     # user 1 matched late; user 2's completion timed out unmatched once the watermark passed its bound
     assert (1, 3) in got and (2, None) in got and all(c != 3 for c, _ in got if _ is not None)
+
+
+def test_status_lookup_finds_restarted_jobs(spark):
+    ev = spark.createDataFrame(
+        [
+            (1, "stt-a", "IN_PROGRESS", ts(1), None),
+            (2, "stt-a-20240101000200-0123abcd", "COMPLETED", ts(2), "https://h/b/stt-a-20240101000200-0123abcd.json"),
+        ],
+        "event_id long, job_name string, status string, ts timestamp, uri string",
+    )
+    latest = latest_job_status(ev, by_base=True)
+    row = latest.first()
+    assert (row.job_name, row.latest_job, row.status) == ("stt-a", "stt-a-20240101000200-0123abcd", "COMPLETED")
+    latest = latest.withColumn("result_key", F.lit("k"))
+    results = spark.createDataFrame([("k", "text")], "result_key string, transcript string")
+    req = spark.createDataFrame([("a",)], "file_name string")
+    r = status_report(req, latest, results).first()
+    assert (r.http_code, r.status, r.result_transcript) == (200, "COMPLETED", "text")
