@@ -37,12 +37,15 @@ def enhance(
     and ``output_key``.  A transcript whose chunks all failed keeps a row with
     status FAILED and a reject reason, instead of aborting the run.
     """
-    packed = pack_chunks(token_counts(segments), budget, key=key)
+    # the segment table is written once: packing needs one scalar pass (longest
+    # transcript) before the fold, and an upstream interval join must not run twice
+    ensure_checkpoint_dir(segments.sparkSession)
+    counted = token_counts(segments).checkpoint(eager=True)
+    packed = pack_chunks(counted, budget, key=key)
     payloads = chunk_payload(packed, key=key)
     # raw responses are written once to the shared checkpoint folder: the audit and
     # the recombination both read them, so the model is called once per chunk and
     # both see the same answers (a retried task cannot silently re-ask the model)
-    ensure_checkpoint_dir(segments.sparkSession)
     answered = apply_model(payloads.select(key, "chunk_no", "payload"), model_factory).checkpoint(eager=True)
     cleaned = clean_model_output(answered)
     audit = chunk_audit(payloads.select(key, "chunk_no"), cleaned, key=key)
