@@ -121,3 +121,13 @@ def test_packing_invariant_to_partitioning_and_input_order(spark):
     ra = sorted(tuple(r) for r in pack_chunks(a, 15).collect())
     rb = sorted(tuple(r) for r in pack_chunks(b, 15, fragment_rows=4, fan_in=2).collect())
     assert ra == rb
+
+
+def test_result_table_partition_pruning(spark):
+    d = tempfile.mkdtemp(prefix="parlance-prune-")
+    df = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1}") for i in range(9)], "id long, ingest_date string")
+    write_results(df, d)
+    q = read_enhanced(spark, d).where(F.col("ingest_date") == "2024-01-02").select("id")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ingest_date" in plan and "2024-01-02" in plan
+    assert sorted(r.id for r in q.collect()) == [1, 4, 7]
