@@ -90,11 +90,17 @@ def apply_model(
     request: str = "payload",
     response: str = "response",
     batch_rows: int = 64,
+    concurrency: int | None = None,
+    spread_by: list[str] | None = None,
 ) -> DataFrame:
     """UDF-1/2/3 hook: call the model for every row's request, ``batch_rows`` at a
-    time, through ``mapInPandas``.  Partitions are the concurrency limit; a failed
-    call gives a null response and the other rows continue."""
+    time, through ``mapInPandas``.  Partitions are the concurrency limit: with
+    ``concurrency`` the requests are hash-spread (on ``spread_by``, deterministic
+    under retries) over exactly that many partitions, i.e. parallel clients.  A
+    failed call gives a null response and the other rows continue."""
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField(response, T.StringType(), True)])
+    if concurrency:
+        df = df.repartition(int(concurrency), *(spread_by or [request]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
@@ -188,3 +194,36 @@ def transcribe(audio: DataFrame, model_factory: ModelFactory, *, batch_rows: int
         .withColumn("transcript_id", F.coalesce(F.col("raw.jobName"), F.col("job_name")))
         .drop("_request", "_raw_json")
     )
+
+
+def entities_with_model(
+    docs: DataFrame,
+    model_factory: ModelFactory,
+    *,
+    key: str = "transcript_id",
+    text: str = "transcript",
+    concurrency: int | None = None,
+) -> DataFrame:
+    """UDF-3 through a model: the whole transcript text is the request (the token
+    budget does not apply, as in the service); the response is cleaned natively and
+    its ``entities`` map is returned in long form.  Failed extractions keep a row in
+    the second output with ``error`` so the transcript can be stored without
+    entities (status NER_FAILED) instead of failing the run.
+    Returns ``(long_entities, failures)``."""
+    from parlance.operators.entities import entities_from_map
+
+    req = docs.select(key, F.col(text).alias("_request"))
+    from parlance.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(docs.sparkSession)
+    # raw answers are written once: both outputs below read them, so the model is
+    # called once per transcript
+    answered = apply_model(req, model_factory, request="_request", response="response",
+                           concurrency=concurrency, spread_by=[key]).checkpoint(eager=True)
+    cleaned = clean_model_output(answered)
+    # an entity response needs no transcript field: only JSON validity counts here
+    failures = cleaned.where(F.col("error").isin("no_response", "bad_fence", "invalid_json")).select(
+        key, "error", F.lit("NER_FAILED").alias("status")
+    )
+    good = cleaned.where(~F.col("error").isin("no_response", "bad_fence", "invalid_json") | F.col("error").isNull())
+    return entities_from_map(good.select(key, "entities"), key=key), failures

@@ -86,3 +86,25 @@ def test_extract_unique_first_appearance(spark):
     df = spark.createDataFrame([(1, "mail b@x.io then a@y.io and b@x.io; ip 10.0.0.1")], "transcript_id long, text string")
     got = [(r.category, r.pos, r.value) for r in extract_entities(df).orderBy("cat_pos", "pos").collect()]
     assert got == [("EMAIL", 0, "b@x.io"), ("EMAIL", 1, "a@y.io"), ("IP_ADDRESS", 0, "10.0.0.1")]
+
+
+def test_entities_with_model_and_failures(spark):
+    from parlance.operators.models import entities_with_model
+
+    def factory():
+        def model(texts):
+            out = []
+            for t in texts:
+                if "broken" in t:
+                    out.append("not json")
+                else:
+                    out.append("```json\n" + json.dumps({"transcript": t, "entities": {
+                        "JUDGE": [w for w in t.split() if w.istitle()], "DATE": []}}) + "\n```")
+            return out
+        return model
+
+    docs = spark.createDataFrame([(1, "hello Smith and Jones"), (2, "broken reply")], "transcript_id long, transcript string")
+    long, failures = entities_with_model(docs, factory, concurrency=2)
+    got = sorted((r.transcript_id, r.category, r.pos, r.value) for r in long.collect())
+    assert got == [(1, "JUDGE", 0, "Smith"), (1, "JUDGE", 1, "Jones")]
+    assert [(r.transcript_id, r.status) for r in failures.collect()] == [(2, "NER_FAILED")]
