@@ -76,3 +76,14 @@ def echo_chunks(payloads: DataFrame, *, key: str = "transcript_id") -> DataFrame
         F.array_join(F.transform("segments", lambda x: x["text"]), " ").alias("transcript"),
         "segments",
     )
+
+
+def combine_chunks_long(enhanced: DataFrame, *, key: str = "transcript_id", ok: str | None = None) -> DataFrame:
+    """AGG-5 / SET-1 without a transcript-wide list: one row per enhanced segment
+    with its position ``(chunk_no, pos)`` in the recombined transcript.  Nothing is
+    grouped, so a transcript of any size stays spread over the cluster; writing
+    it sorted by ``(key, chunk_no, pos)`` gives the recombined document in order."""
+    rows = enhanced if ok is None else enhanced.where(F.col(ok))
+    return rows.select(key, "chunk_no", F.posexplode("segments").alias("pos", "seg")).select(
+        key, "chunk_no", F.col("pos").cast("bigint").alias("pos"), "seg.timestamp", "seg.speaker", "seg.text"
+    )

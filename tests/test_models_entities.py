@@ -108,3 +108,15 @@ def test_entities_with_model_and_failures(spark):
     got = sorted((r.transcript_id, r.category, r.pos, r.value) for r in long.collect())
     assert got == [(1, "JUDGE", 0, "Smith"), (1, "JUDGE", 1, "Jones")]
     assert [(r.transcript_id, r.status) for r in failures.collect()] == [(2, "NER_FAILED")]
+
+
+def test_combine_long_matches_document_form(spark):
+    from parlance.operators.recombine import combine_chunks_long
+
+    chunks = spark.createDataFrame(
+        [(1, 1, "c d", [("2", "s", "c"), ("3", "t", "d")]), (1, 0, "a", [("0", "s", "a")])],
+        "transcript_id long, chunk_no long, transcript string, segments array<struct<timestamp:string,speaker:string,text:string>>",
+    )
+    long = [r.text for r in combine_chunks_long(chunks).orderBy("transcript_id", "chunk_no", "pos").collect()]
+    doc = combine_chunks(chunks).first()
+    assert long == [s.text for s in doc.segments] == ["a", "c", "d"]
