@@ -42,10 +42,30 @@ def iso_datetime(c) -> Column:
     t = _c(c)
     base = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
     frac = F.date_format(t, ".SSSSSS")
-    whole = (F.unix_micros(t.cast("timestamp")) % F.lit(1_000_000)) == 0
+    whole = F.date_format(t, "SSSSSS") == F.lit("000000")
     return F.when(t.isNotNull(), F.concat(base, F.when(whole, F.lit("")).otherwise(frac)))
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def ntz_micros(c) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP_NTZ wall-clock value, read as
+    UTC -- independent of the session time zone (a cast to TIMESTAMP is not)."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(c))
+
+
+def ntz_to_instant(c) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP at the same UTC instant (for event-time watermarks)."""
+    return F.timestamp_micros(ntz_micros(c))
+
+
+def instant_to_ntz(c) -> Column:
+    """TIMESTAMP -> TIMESTAMP_NTZ wall clock in UTC (inverse of ``ntz_to_instant``)."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(c)), F.expr(_EPOCH_NTZ))
+
+
 def epoch_seconds(c) -> Column:
-    """Seconds since the epoch as a double (exact micro count / 1e6)."""
-    return F.unix_micros(_c(c).cast("timestamp")) / F.lit(1e6)
+    """Seconds since the epoch of a TIMESTAMP_NTZ value, as a double (exact micro
+    count / 1e6), independent of the session time zone."""
+    return ntz_micros(c) / F.lit(1e6)

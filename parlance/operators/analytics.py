@@ -45,7 +45,7 @@ def job_progress(events: DataFrame, *, job: str = "job_name") -> DataFrame:
     piv = events.groupBy(job).pivot("status", list(JOB_STATES)).agg(F.min("ts"))
     for s in JOB_STATES:
         piv = piv.withColumnRenamed(s, f"first_{s.lower()}")
-    secs = (F.unix_micros(F.col("first_completed").cast("timestamp")) - F.unix_micros(F.col("first_queued").cast("timestamp"))) / 1e6
+    secs = F.timestamp_diff("MICROSECOND", F.col("first_queued"), F.col("first_completed")) / F.lit(1e6)
     return piv.withColumn("turnaround_s", secs)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parlance.functions.times import instant_to_ntz, ntz_to_instant
 from parlance.plans.jobs import JOB_EVENTS_SQL, STATUS_SQL
 from parlance.plans.registry import query
 from parlance.sources.tables import table
@@ -31,7 +32,7 @@ def event_stream(spark, sf_dir):
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf_dir)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
+        .withColumn("ts", ntz_to_instant("ts"))
     )
 
 
@@ -87,7 +88,7 @@ FROM job_events GROUP BY job_name""",
 def q_stream_latest_status(spark, sf_dir):
     latest = latest_status_stream(job_event_stream(spark, sf_dir))
     out = run_to_table(latest, spark, "stream_latest_status", mode="complete")
-    return out.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    return out.withColumn("last_ts", instant_to_ntz("last_ts"))
 
 
 @query(
@@ -109,7 +110,7 @@ def q_stream_job_timeout(spark, sf_dir):
     (latest event time minus 1 h) has passed their deadline."""
     timed = job_timeout_stream(job_event_stream(spark, sf_dir), limit_s=2 * 86400)
     out = run_to_table(timed, spark, "stream_job_timeout")
-    return out.withColumn("decided_at", F.col("decided_at").cast("timestamp_ntz"))
+    return out.withColumn("decided_at", instant_to_ntz("decided_at"))
 
 
 @query(

@@ -38,5 +38,8 @@ def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with ``ts`` as TIMESTAMP (streaming watermarks reject TIMESTAMP_NTZ)."""
-    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    """``events`` with ``ts`` as TIMESTAMP (streaming watermarks reject TIMESTAMP_NTZ),
+    the wall clock read as UTC whatever the session time zone."""
+    from parlance.functions.times import ntz_to_instant
+
+    return table(spark, sf_dir, "events").withColumn("ts", ntz_to_instant("ts"))

@@ -85,12 +85,6 @@ TIMEOUT_OUT_SCHEMA = "job_name string, outcome string, decided_at timestamp"
 TIMEOUT_STATE_SCHEMA = "first_us long, done boolean"
 
 
-def _micros(col: pd.Series) -> pd.Series:
-    if pd.api.types.is_datetime64_any_dtype(col):
-        return col.astype("datetime64[us]").astype("int64")
-    return col.astype("int64")
-
-
 def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour", job: str = "job_name") -> DataFrame:
     """Per job: the first terminal status reached within ``limit_s`` of the job's
     first event, else ``TIMED_OUT`` (decided at the deadline) -- at once when a
@@ -104,8 +98,9 @@ def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour"
     limit_us = int(limit_s) * 1_000_000
 
     def out(name, outcome, when_us):
+        # a UTC-aware value: Spark stores the instant whatever the session time zone
         return pd.DataFrame({"job_name": [name], "outcome": [outcome],
-                             "decided_at": [pd.Timestamp(int(when_us), unit="us")]})
+                             "decided_at": [pd.Timestamp(int(when_us), unit="us", tz="UTC")]})
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (name,) = key
@@ -118,7 +113,7 @@ def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour"
         first_us, done = state.get if state.exists else (None, False)
         best = None  # (us, status) of the earliest terminal event in this batch
         for pdf in pdfs:
-            us = _micros(pdf["ts"])
+            us = pdf["_ts_us"].astype("int64")  # exact instant, computed by Spark
             lo = int(us.min())
             first_us = lo if first_us is None else min(first_us, lo)
             term = pdf["status"].isin(TERMINAL_STATES).to_numpy()
@@ -138,6 +133,7 @@ def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour"
 
     return (
         events.withWatermark("ts", delay)
+        .withColumn("_ts_us", F.unix_micros("ts"))
         .groupBy(job)
         .applyInPandasWithState(step, TIMEOUT_OUT_SCHEMA, TIMEOUT_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     )
