@@ -35,9 +35,24 @@ def _load_all() -> None:
     from parlance.plans import chunking, segments, keys, models, entities, jobs, streams, sinks, analytics  # noqa: F401
 
 
+def _shipping(fn: QueryFn) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from parlance.session import ensure_checkpoint_dir, ship_package
+
+        ship_package(spark)
+        ensure_checkpoint_dir(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
+    """Registered queries; each makes sure the workers can import this package
+    and that a checkpoint folder is known before building its plan."""
     _load_all()
-    return dict(_QUERIES)
+    return {name: _shipping(fn) for name, fn in _QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:

@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
+_shipped: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "parlance") -> SparkSession:
     builder = (
@@ -31,9 +35,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``parlance`` importable in the Python workers of every executor.
+
+    Arrow/pandas functions are pickled by reference to this package, so workers
+    must import it.  The package is zipped once per driver process and added with
+    ``addPyFile`` (the same as ``--py-files`` on a cluster)."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    out = os.path.join(tempfile.mkdtemp(prefix="parlance-pkg-"), "parlance.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(_PACKAGE_DIR):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("parlance", os.path.relpath(full, _PACKAGE_DIR)))
+    spark.sparkContext.addPyFile(out)
+    _shipped[app] = out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     current = spark.conf.get("spark.checkpoint.dir", None)
