@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions.text import word_count
+from parlance.session import ensure_checkpoint_dir
 
 # Fixed value: the model batch budget, in whitespace words.
 DEFAULT_BUDGET = 15000
@@ -313,11 +314,14 @@ def pack_chunks(
     long_keys = narrow.where(F.col("_frag") > 0).select(key).distinct()
     narrow = narrow.join(long_keys, key, "left_semi")
 
-    # up-sweep: composed functions per tree level
-    levels = [_summaries(narrow, key, tokens, budget)]
+    # up-sweep: composed functions per tree level.  Each level is a small table
+    # (a few rows per fragment) used again by the down-sweep, so it is written
+    # once to the checkpoint folder instead of being recomputed.
+    ensure_checkpoint_dir(segments.sparkSession)
+    levels = [_summaries(narrow, key, tokens, budget).checkpoint(eager=True)]
     width = max_ordinal // fragment_rows + 1
     while width > 1:
-        levels.append(_up(levels[-1], key, key_type, fan_in, budget))
+        levels.append(_up(levels[-1], key, key_type, fan_in, budget).checkpoint(eager=True))
         width = (width + fan_in - 1) // fan_in
     # down-sweep: the root of every long transcript enters with (0, 0)
     entry = levels[-1].select(key, "_node").distinct().select(
