@@ -70,7 +70,8 @@ def _fold_groups(n, starts, ends, c_in, k_in, budget):
     marks = np.zeros(m, dtype=np.int64)
     if m:
         # first close of each group: first j >= start with c_in + P[j] - Pex[start] > budget
-        j = np.searchsorted(P, Pex[starts] - c_in + budget, side="right")
+        # (an entering count above the budget closes at the start itself)
+        j = np.maximum(np.searchsorted(P, Pex[starts] - c_in + budget, side="right"), starts)
         last = np.full(len(starts), -1, dtype=np.int64)
         act = j < ends
         j, ends_a, idx = j[act], ends[act], np.nonzero(act)[0]
@@ -218,6 +219,16 @@ def _fold_batches(key, frag, tokens, budget, has_entry):
     return run
 
 
+def _clustered(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition on a column derived from ``cols`` so that every group is in one
+    partition.  ``mapInArrow`` declares no required distribution, so a plain
+    ``repartition(cols)`` can be dropped as redundant when the child is already
+    partitioned on ``cols`` (e.g. by a join), and AQE may later read that child
+    through a local shuffle reader (join turned into a broadcast join), splitting
+    groups.  A derived key is never redundant."""
+    return df.withColumn("_cluster", F.xxhash64(*cols)).repartition("_cluster").drop("_cluster")
+
+
 def _summaries(narrow: DataFrame, key: str, tokens: str, budget: int) -> DataFrame:
     """Level-0 function table: one piecewise function per (key, fragment)."""
 
@@ -306,7 +317,7 @@ def pack_chunks(
 
     if max_ordinal < fragment_rows:
         # partition count left to spark.sql.shuffle.partitions / AQE
-        sorted_rows = segments.repartition(key).sortWithinPartitions(key, order)
+        sorted_rows = _clustered(segments, key).sortWithinPartitions(key, order)
         return sorted_rows.mapInArrow(_fold_batches(key, None, tokens, budget, False), out_schema)
 
     with_frag = segments.withColumn("_frag", F.floor(F.col(order) / fragment_rows).cast("long"))
@@ -337,7 +348,7 @@ def pack_chunks(
         F.coalesce("_c_in", F.lit(0).cast("long")).alias("_c_in"),
         F.coalesce("_k_in", F.lit(0).cast("long")).alias("_k_in"),
     )
-    rows = rows.repartition(key, "_frag").sortWithinPartitions(key, "_frag", order)
+    rows = _clustered(rows, key, "_frag").sortWithinPartitions(key, "_frag", order)
     fold_schema = T.StructType(
         list(rows.schema.fields) + [T.StructField("chunk_no", T.LongType(), False)]
     )

@@ -88,3 +88,45 @@ def test_pack_chunks_spark_long_transcripts(spark, frag_rows, fan_in):
     for r in sorted(out, key=lambda r: (r.transcript_id, r.seg_no)):
         got.setdefault(r.transcript_id, []).append(r.chunk_no)
     assert got == expected
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=12), min_size=1, max_size=6),
+       st.lists(st.integers(0, 60), min_size=6, max_size=6), st.integers(1, 25))
+def test_fold_several_groups_with_entering_counts(groups, entering, budget):
+    """Groups folded together in one batch, entering with counts that may exceed the budget."""
+    ns = [n for g in groups for n in g]
+    starts = np.cumsum([0] + [len(g) for g in groups[:-1]])
+    ends = starts + np.array([len(g) for g in groups])
+    c_in = np.array(entering[: len(groups)], dtype=np.int64)
+    k_in = np.arange(len(groups), dtype=np.int64) * 100
+    chunk, c_out, k_out = _fold_groups(np.array(ns, dtype=np.int64), starts, ends, c_in, k_in, budget)
+    for gi, g in enumerate(groups):
+        cur, k, exp = int(c_in[gi]), int(k_in[gi]), []
+        for n in g:
+            if cur + n > budget:
+                k, cur = k + 1, 0
+            exp.append(k)
+            cur += n
+        assert list(chunk[starts[gi]:ends[gi]]) == exp
+        assert (c_out[gi], k_out[gi]) == (cur, k)
+
+
+def test_long_transcript_many_batches_and_broadcast_entry(spark):
+    """30k segments in one transcript: many Arrow batches per partition, fragments
+    entering with oversize counts, and an entry join that AQE turns into a
+    broadcast join (which must not split groups)."""
+    rng = np.random.default_rng(3)
+    n = 30_000
+    ns = rng.integers(0, 40, n)
+    ns[::97] = 250
+    rows = [(0, i, int(x)) for i, x in enumerate(ns)] + [(t, i, int(rng.integers(0, 40))) for t in range(1, 300) for i in range(4)]
+    df = spark.createDataFrame(rows, "transcript_id long, seg_no long, n_tokens long").repartition(6)
+    got = {(r.transcript_id, r.seg_no): r.chunk_no for r in pack_chunks(df, 100, fragment_rows=1500, fan_in=3).collect()}
+    exp0 = brute([int(x) for x in ns], 100)[0]
+    assert [got[(0, i)] for i in range(n)] == exp0
+    by = {}
+    for t, i, x in rows[n:]:
+        by.setdefault(t, []).append(x)
+    for t, lst in by.items():
+        assert [got[(t, i)] for i in range(len(lst))] == brute(lst, 100)[0]
