@@ -20,3 +20,33 @@ def test_lead_lag_with_a_hot_key_across_many_partitions(spark):
         for j, (o, v) in enumerate(lst):
             assert got[o] == (lst[j + 1][1] if j + 1 < len(lst) else None)
             assert prev[o] == (lst[j - 1][1] if j > 0 else None)
+
+
+def test_lead_and_fold_across_many_small_arrow_batches(spark):
+    """Force 50-row Arrow batches so the carry between batches is exercised."""
+    from parlance.operators.packing import pack_chunks
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rng = random.Random(8)
+        rows = [(k, i, rng.randint(0, 30)) for k in range(4) for i in range(400)]
+        df = spark.createDataFrame(rows, "k long, o long, v long")
+        nxt = {(r.k, r.o): r.next_v for r in with_next(df, "k", "o", ["v"], num_partitions=3).collect()}
+        prv = {(r.k, r.o): r.prev_v for r in with_prev(df, "k", "o", ["v"], num_partitions=2).collect()}
+        for k, o, v in rows:
+            assert nxt[(k, o)] == (rows[k * 400 + o + 1][2] if o + 1 < 400 else None)
+            assert prv[(k, o)] == (rows[k * 400 + o - 1][2] if o > 0 else None)
+        seg = df.withColumnRenamed("k", "transcript_id").withColumnRenamed("o", "seg_no").withColumnRenamed("v", "n_tokens")
+        got = {(r.transcript_id, r.seg_no): r.chunk_no for r in pack_chunks(seg, 45).collect()}
+        for k in range(4):
+            cur, c, exp = 0, 0, []
+            for o in range(400):
+                n = rows[k * 400 + o][2]
+                if cur + n > 45:
+                    c, cur = c + 1, 0
+                exp.append(c)
+                cur += n
+            assert [got[(k, o)] for o in range(400)] == exp
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
