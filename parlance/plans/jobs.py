@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators.jobs import latest_job_status, plan_job_starts, status_report
+from parlance.operators.jobs import latest_job_status, plan_job_starts, status_envelope, status_report, unwrap_envelope
 from parlance.operators.uploads import resolve_result_uri
 from parlance.plans.registry import query
 from parlance.sources.tables import table
@@ -75,9 +75,7 @@ def q_plan_job_starts(spark, sf_dir):
     )
 
 
-@query(
-    "status_report",
-    f"""WITH {JOB_EVENTS_SQL},
+STATUS_REPORT_SQL = f"""WITH {JOB_EVENTS_SQL},
 latest AS (SELECT regexp_replace(job_name, '-[0-9]{14}-[0-9a-f]{8}$', '') AS job_name,
                   arg_max_null(status, (ts, event_id)) AS status, arg_max_null(uri, (ts, event_id)) AS uri
            FROM job_events GROUP BY 1),
@@ -110,8 +108,10 @@ SELECT request_id, file_name,
             ELSE 'Transcription failed with status: ' || st END AS error,
        CASE WHEN st = 'COMPLETED' AND uri IS NOT NULL AND has THEN transcript END AS result_transcript,
        coalesce(st = 'COMPLETED' AND uri IS NOT NULL AND has, false) AS has_result
-FROM j""",
-)
+FROM j"""
+
+
+@query("status_report", STATUS_REPORT_SQL)
 def q_status_report(spark, sf_dir):
     # looked up by base name, so restarted (suffixed) jobs are found as well
     latest = latest_job_status(job_events(spark, sf_dir), by_base=True)
@@ -129,3 +129,17 @@ def q_status_report(spark, sf_dir):
     )
     out = status_report(req, latest, results)
     return out.select("request_id", "file_name", "http_code", "status", "error", "result_transcript", "has_result")
+
+
+@query(
+    "status_envelope",
+    """WITH r AS (""" + STATUS_REPORT_SQL + """)
+SELECT request_id, http_code,
+       json_object('status', status, 'result', result_transcript, 'error', error)::VARCHAR AS body,
+       result_transcript AS unwrapped
+FROM r""",
+)
+def q_status_envelope(spark, sf_dir):
+    """D11 body text per request and PRJ-14: the client unwraps ``result`` again."""
+    env = status_envelope(q_status_report(spark, sf_dir))
+    return env.select("request_id", "http_code", "body", unwrap_envelope("body").alias("unwrapped"))
