@@ -95,7 +95,9 @@ def with_next(
     firsts = ordered.mapInArrow(
         _first_rows(first_cols), T.StructType([ordered.schema[c] for c in first_cols])
     )
-    # next non-empty partition's first row, for every partition id (one row per partition)
+    # next non-empty partition's first row, for every partition id.  The table has
+    # one row per partition, so this un-partitioned window (a single task) is
+    # bounded by the partition count, not by the data.
     w = Window.orderBy("_pid")
     edge = firsts.select(
         F.lag("_pid").over(w).alias("_pid"),

@@ -55,6 +55,20 @@ def upload_stream(uploads: DataFrame) -> DataFrame:
     return derive_job_keys(validate_uploads(uploads))
 
 
+def notification_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """STR-1 + SRC-1 as a stream: object-created notification files (JSON, fixed
+    D1 schema) -> one job request per record, with its job name and media format.
+    Records lacking bucket or key are kept with ``reject_reason``."""
+    from parlance.operators.uploads import explode_notifications
+    from parlance.schemas import NOTIFICATION_DDL
+
+    reader = spark.readStream.schema(NOTIFICATION_DDL)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    notes = reader.json(path).withColumn("source_file", F.input_file_name())
+    return derive_job_keys(explode_notifications(notes, "Records", "source_file"), key="key", bucket="bucket")
+
+
 # ---------------------------------------------------------------------------
 # STR-2 duplicate submissions
 

@@ -147,3 +147,18 @@ def test_status_lookup_finds_restarted_jobs(spark):
     req = spark.createDataFrame([("a",)], "file_name string")
     r = status_report(req, latest, results).first()
     assert (r.http_code, r.status, r.result_transcript) == (200, "COMPLETED", "text")
+
+
+def test_notification_stream(spark):
+    import json
+
+    from parlance.streaming.flows import notification_stream
+
+    d = tempfile.mkdtemp(prefix="parlance-notes-stream-")
+    for i, keys in enumerate([["a.mp3", "b.m4a"], ["c.wav"]]):
+        with open(os.path.join(d, f"n{i}.json"), "w") as f:
+            f.write(json.dumps({"Records": [{"s3": {"bucket": {"name": "in"}, "object": {"key": k}}} for k in keys]}) + "\n")
+    out = run_to_table(notification_stream(spark, d, max_files_per_trigger=1)
+                       .select("bucket", "key", "job_name", "media_format", "reject_reason"), spark, "t_notes")
+    got = sorted((r.key, r.job_name, r.media_format) for r in out.collect())
+    assert got == [("a.mp3", "stt-a", "mp3"), ("b.m4a", "stt-b", "m4a"), ("c.wav", "stt-c", "wav")]
