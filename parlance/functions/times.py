@@ -10,9 +10,22 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the syntax Python's float() accepts (after stripping whitespace);
+# digits may be grouped with single underscores.
+_DIGITS = r"[0-9](?:_?[0-9])*"
+PY_FLOAT_SYNTAX = (
+    rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)$"
+)
+
+
 def py_float(c) -> Column:
-    """SCL-4: strict float parse; unparsable -> null (Python would raise)."""
-    return _c(c).try_cast("double")
+    """SCL-4: ``float(x)`` with Python's syntax (``1_0`` is 10.0, ``1.5d`` is not a
+    number); anything Python would reject gives null instead of an error."""
+    from parlance.functions.text import py_strip
+
+    t = py_strip(_c(c))
+    ok = F.regexp_like(t, F.lit(PY_FLOAT_SYNTAX))
+    return F.when(ok, F.regexp_replace(t, "_", "").try_cast("double"))
 
 
 # Fixed value: the numeric prefix JavaScript's parseFloat accepts (after leading blanks).

