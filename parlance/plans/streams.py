@@ -26,6 +26,11 @@ from parlance.streaming.flows import (
 )
 
 
+def _cores(spark) -> int:
+    """State partitions for the registered streams: one per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
+
+
 def event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     return (
@@ -76,7 +81,7 @@ def q_stream_uploads(spark, sf_dir):
 @query("stream_dedup", f"WITH {JOB_EVENTS_SQL} SELECT DISTINCT job_name, status FROM job_events")
 def q_stream_dedup(spark, sf_dir):
     dedup = dedup_stream(job_event_stream(spark, sf_dir), ["job_name", "status"])
-    return run_to_table(dedup.select("job_name", "status"), spark, "stream_dedup")
+    return run_to_table(dedup.select("job_name", "status"), spark, "stream_dedup", state_partitions=_cores(spark))
 
 
 @query(
@@ -87,7 +92,7 @@ FROM job_events GROUP BY job_name""",
 )
 def q_stream_latest_status(spark, sf_dir):
     latest = latest_status_stream(job_event_stream(spark, sf_dir))
-    out = run_to_table(latest, spark, "stream_latest_status", mode="complete")
+    out = run_to_table(latest, spark, "stream_latest_status", mode="complete", state_partitions=_cores(spark))
     return out.withColumn("last_ts", instant_to_ntz("last_ts"))
 
 
@@ -109,7 +114,7 @@ def q_stream_job_timeout(spark, sf_dir):
     and silent jobs time out in the following no-data batch when the watermark
     (latest event time minus 1 h) has passed their deadline."""
     timed = job_timeout_stream(job_event_stream(spark, sf_dir), limit_s=2 * 86400)
-    out = run_to_table(timed, spark, "stream_job_timeout")
+    out = run_to_table(timed, spark, "stream_job_timeout", state_partitions=_cores(spark))
     return out.withColumn("decided_at", instant_to_ntz("decided_at"))
 
 
@@ -138,4 +143,5 @@ def q_stream_result_join(spark, sf_dir):
         F.col("event_id").alias("purchase_id"), F.col("user_id").alias("user_id_r"), F.col("ts").alias("r_ts")
     )
     joined = result_join_stream(views, buys, key="user_id", within="2 hours", delay="1 hour")
-    return run_to_table(joined.select("view_id", "purchase_id", "user_id"), spark, "stream_result_join")
+    return run_to_table(joined.select("view_id", "purchase_id", "user_id"), spark, "stream_result_join",
+                        state_partitions=_cores(spark))

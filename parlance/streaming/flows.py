@@ -26,8 +26,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def run_to_table(sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream to completion (availableNow) and return the written table."""
+def run_to_table(
+    sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append", state_partitions: int | None = None
+) -> DataFrame:
+    """Run a stream to completion (availableNow) and return the written table.
+
+    ``state_partitions`` chooses the number of state-store partitions of the
+    stream's stateful operators; it is recorded in the checkpoint at the first
+    batch and cannot change afterwards, so it is a per-stream decision (default:
+    the session's ``spark.sql.shuffle.partitions``)."""
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(int(state_partitions)))
+    try:
+        return _run(sdf, spark, name, mode)
+    finally:
+        spark.conf.set(key, previous)
+
+
+def _run(sdf: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFrame:
     out = scratch_path(spark, name)
     ckpt = f"{out}/_checkpoint"
     data = f"{out}/data"
