@@ -120,3 +120,17 @@ def test_combine_long_matches_document_form(spark):
     long = [r.text for r in combine_chunks_long(chunks).orderBy("transcript_id", "chunk_no", "pos").collect()]
     doc = combine_chunks(chunks).first()
     assert long == [s.text for s in doc.segments] == ["a", "c", "d"]
+
+
+def test_exact_json_mode_closes_native_gaps(spark):
+    exotic = '{"transcript": "a", "segments": []}], [{"b": 2}'
+    dup = '{"transcript": "first", "transcript": "last", "segments": []}'
+    df = spark.createDataFrame([(1, exotic), (2, dup), (3, BODY), (4, "```\n" + BODY + "\n```")], "i long, response string")
+    native = {r.i: (r.error, r.transcript) for r in clean_model_output(df).collect()}
+    exact = {r.i: (r.error, r.transcript) for r in clean_model_output(df, exact_json=True).collect()}
+    # what Python's json.loads says about the same texts
+    assert exact[1] == ("invalid_json", None)
+    assert exact[2] == (None, json.loads(dup)["transcript"]) == (None, "last")
+    assert exact[3] == native[3] == (None, "hello")
+    assert exact[4] == native[4] == ("bad_fence", None)
+    assert native[1][0] is None  # the native check's documented gap
