@@ -78,11 +78,16 @@ def with_next(
     ``descending=True`` walks the order backwards (a lag)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [order] if isinstance(order, str) else list(order)
     sort = [F.col(key)] + [F.col(o).desc() if descending else F.col(o) for o in order]
     cols = list(dict.fromkeys([key, *order, *values, *df.columns]))
-    ordered = df.select(*cols).repartitionByRange(nparts, *sort).sortWithinPartitions(*sort)
+    # without an explicit count AQE may coalesce adjacent ranges (order is kept;
+    # partition ids are taken after that)
+    ranged = (
+        df.select(*cols).repartitionByRange(num_partitions, *sort) if num_partitions
+        else df.select(*cols).repartitionByRange(*sort)
+    )
+    ordered = ranged.sortWithinPartitions(*sort)
     # stable partition contents for the two passes below (shared checkpoint folder)
     ordered = ordered.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
 
