@@ -101,9 +101,14 @@ def segment_text(
     bin_s: float | None = None,
     fanout: int = 64,
     tiers: int | None = None,
+    closed: str = "both",
 ) -> DataFrame:
     """JOIN-1 + AGG-1 + AGG-2: every segment with its text and token count.
 
+    ``closed="both"`` (default, as the service does) puts an item on a shared
+    boundary into both segments; ``closed="left"`` uses ``start <= t < end`` so
+    it lands only in the later one.
+
     ``segments``: key, seg_no, start_s, end_s, other attributes (kept).
     ``items``: key, item_no, start_s, type, content (untimed / other types dropped).
     Output: segment columns + ``text`` (contents in item order joined by one
@@ -130,7 +135,10 @@ def segment_text(
     it = it.withColumn(
         "_bin", F.floor(F.col("_t") / (F.lit(bin_s) * F.pow(F.lit(float(fanout)), F.col("_tier"))))
     )
-    pairs = s.join(it, [key, "_tier", "_bin"]).where((F.col("_s") <= F.col("_t")) & (F.col("_t") <= F.col("_e")))
+    if closed not in ("both", "left"):
+        raise ValueError("closed must be 'both' or 'left'")
+    upper = (F.col("_t") <= F.col("_e")) if closed == "both" else (F.col("_t") < F.col("_e"))
+    pairs = s.join(it, [key, "_tier", "_bin"]).where((F.col("_s") <= F.col("_t")) & upper)
     matched = pairs.select(key, "seg_no", F.struct("item_no", "content").alias("_it"))
 
     # one aggregation over segments + pairs: empty segments survive as "" and the

@@ -18,11 +18,16 @@ from parlance.functions.keys import (
 from parlance.schemas import AUDIO_MIME_PREFIX, MAX_UPLOAD_BYTES, NOTIFICATION_DDL
 
 
-def explode_notifications(notes: DataFrame, records_col: str = "Records", id_col: str | None = None) -> DataFrame:
+def explode_notifications(
+    notes: DataFrame, records_col: str = "Records", id_col: str | None = None, url_decode: bool = False
+) -> DataFrame:
     """One ``(bucket, key)`` row per record, in record order (``rec_no``).
 
-    Keys are taken verbatim (no URL decoding).  A record without bucket name or
-    key is kept with ``reject_reason = 'missing_field'`` instead of failing the job.
+    Keys are taken verbatim by default, as the service does (object-created
+    notifications carry URL-encoded keys); ``url_decode=True`` decodes them
+    (``+`` and ``%xx``; a malformed escape leaves the key as it is).  A record
+    without bucket name or key is kept with ``reject_reason = 'missing_field'``
+    instead of failing the job.
     """
     keep = [id_col] if id_col else []
     rows = notes.select(*keep, F.posexplode(records_col).alias("rec_no", "r"))
@@ -30,7 +35,8 @@ def explode_notifications(notes: DataFrame, records_col: str = "Records", id_col
         *keep,
         F.col("rec_no").cast("bigint").alias("rec_no"),
         F.col("r.s3.bucket.name").alias("bucket"),
-        F.col("r.s3.object.key").alias("key"),
+        (F.coalesce(F.try_url_decode(F.col("r.s3.object.key")), F.col("r.s3.object.key")) if url_decode
+         else F.col("r.s3.object.key")).alias("key"),
     ).withColumn(
         "reject_reason",
         F.when(F.col("bucket").isNull() | F.col("key").isNull(), F.lit("missing_field")),

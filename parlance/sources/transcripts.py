@@ -23,7 +23,9 @@ def _stem(path_col):
     return F.regexp_replace(name, r"\.json$", "")
 
 
-def read_notifications(spark: SparkSession, path: str, id_field: str | None = None) -> DataFrame:
+def read_notifications(
+    spark: SparkSession, path: str, id_field: str | None = None, url_decode: bool = False
+) -> DataFrame:
     """SRC-1: JSON notifications -> one (bucket, key) row per record, in record
     order.  ``id_field`` names an extra top-level bigint identifying the
     notification; otherwise the source file identifies it."""
@@ -31,7 +33,7 @@ def read_notifications(spark: SparkSession, path: str, id_field: str | None = No
     notes = spark.read.schema(ddl).json(path)
     if not id_field:
         notes = notes.withColumn("source_file", F.input_file_name())
-    return explode_notifications(notes, "Records", id_field or "source_file")
+    return explode_notifications(notes, "Records", id_field or "source_file", url_decode=url_decode)
 
 
 def list_audio(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -131,3 +131,15 @@ def test_result_table_partition_pruning(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingest_date" in plan and "2024-01-02" in plan
     assert sorted(r.id for r in q.collect()) == [1, 4, 7]
+
+
+def test_notification_url_decoding_option(spark):
+    d = tempfile.mkdtemp(prefix="parlance-notes-dec-")
+    doc = {"Records": [{"s3": {"bucket": {"name": "b"}, "object": {"key": "My+File%281%29.mp3"}}},
+                       {"s3": {"bucket": {"name": "b"}, "object": {"key": "bad%zz.mp3"}}}]}
+    with open(os.path.join(d, "n.json"), "w") as f:
+        f.write(json.dumps(doc) + "\n")
+    raw = [r.key for r in read_notifications(spark, d).orderBy("rec_no").collect()]
+    dec = [r.key for r in read_notifications(spark, d, url_decode=True).orderBy("rec_no").collect()]
+    assert raw == ["My+File%281%29.mp3", "bad%zz.mp3"]
+    assert dec == ["My File(1).mp3", "bad%zz.mp3"]

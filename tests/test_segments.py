@@ -110,3 +110,12 @@ def test_interval_join_invariant_to_order_and_partitions(spark):
     idf = spark.createDataFrame(items, ITEM).repartition(3)
     b = {(r.transcript_id, r.seg_no): r.text for r in segment_text(sdf, idf).collect()}
     assert a == b == brute(segs, items)
+
+
+def test_closed_left_option(spark):
+    segs = [(1, 0, 0.0, 1.0), (1, 1, 1.0, 2.0)]
+    items = [(1, 0, 1.0, "pronunciation", "edge"), (1, 1, 2.0, "pronunciation", "end")]
+    both = run(spark, segs, items)
+    left = run(spark, segs, items, closed="left")
+    assert both == {(1, 0): "edge", (1, 1): "edge end"}
+    assert left == {(1, 0): "", (1, 1): "edge"}
