@@ -48,7 +48,9 @@ def enhance(
     # both see the same answers (a retried task cannot silently re-ask the model)
     answered = apply_model(payloads.select(key, "chunk_no", "payload"), model_factory).checkpoint(eager=True)
     cleaned = clean_model_output(answered)
-    audit = chunk_audit(payloads.select(key, "chunk_no"), cleaned, key=key)
+    # the checkpointed answers hold one row per chunk sent: they are the manifest,
+    # so the packing fold is not recomputed for the audit
+    audit = chunk_audit(answered.select(key, "chunk_no"), cleaned, key=key)
     combined = combine_chunks(cleaned.select(key, "chunk_no", "transcript", "segments", "ok"), key=key, ok="ok")
     ents = entity_map(extract_entities(combined.select(key, F.col("transcript").alias("text")), catalogue, key=key), key=key)
     doc = (
