@@ -29,10 +29,11 @@ def event_segments_items(spark, sf_dir):
         "transcript_id", F.col("event_id").alias("seg_no"), F.col("t").alias("start_s")
     )
     signups = with_next(signups, "transcript_id", "start_s", ["start_s"])
+    # one row per signup: written once, since the bin plan and the join both read it
     segments = signups.select(
         "transcript_id", "seg_no", "start_s",
         F.coalesce("next_start_s", F.col("start_s") + F.lit(DAY_S)).alias("end_s"),
-    )
+    ).checkpoint(eager=True)
     items = ev.select(
         "transcript_id",
         F.col("event_id").alias("item_no"),
