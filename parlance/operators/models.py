@@ -31,7 +31,7 @@ JSON_FENCE = "```json"
 def strip_fence(response) -> Column:
     """SCL-9: strip surrounding whitespace; if the text starts with a code fence,
     keep what follows the first ```` ```json ```` up to the next fence.  A fence
-    without ``json`` yields null (the reference fails on it)."""
+    without ``json`` yields null (a failed response)."""
     t = py_strip(F.col(response) if isinstance(response, str) else response)
     after = F.get(F.split(t, JSON_FENCE, -1), 1)
     inner = py_strip(F.get(F.split(after, FENCE, -1), 0))

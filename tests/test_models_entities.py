@@ -27,7 +27,7 @@ def test_response_cleaning_fixtures(spark):
     out = {r.i: r for r in clean_model_output(df).collect()}
     for i, (_, err) in enumerate(cases):
         assert out[i].error == err, (i, cases[i][0], out[i].error)
-        # the Python rule the reference applies, re-stated
+        # the Python rule the original service applies, re-stated
         if err is None:
             assert out[i].transcript == "hello" and out[i].segments[0].speaker == "spk_0"
             assert out[i].entities == {}  # missing 'entities' key -> empty map

@@ -6,7 +6,7 @@ from parlance.operators.packing import _fold_groups, compose, fragment_summary,
 
 
 def brute(ns, budget):
-    """Reference fold, written from the stated semantics."""
+    """Brute-force fold, written from the stated semantics."""
     out, cur, k = [], 0, 0
     for n in ns:
         if cur + n > budget:
