@@ -81,28 +81,19 @@ PLURAL_LABELS = {
 }
 SINGULAR_RENAMES = {"LEGAL_TERM": "TERM"}
 
-# Number words one..fifty -> digits, built from the English rule (units, teens,
-# tens joined to units with a hyphen) rather than listed.
-_UNITS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
-_TEENS = ["ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
-_TENS = {20: "twenty", 30: "thirty", 40: "forty", 50: "fifty"}
-
-
-def number_words(limit: int = 50) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for i in range(1, limit + 1):
-        if i < 10:
-            w = _UNITS[i - 1]
-        elif i < 20:
-            w = _TEENS[i - 10]
-        else:
-            tens, unit = _TENS[i - i % 10], i % 10
-            w = tens if unit == 0 else f"{tens}-{_UNITS[unit - 1]}"
-        out[w] = str(i)
-    return out
-
-
-NUMBER_WORDS = number_words(50)
+# Number words one..fifty -> digits (LOCATION values only).
+NUMBER_WORDS = {
+    "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
+    "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10",
+    "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15",
+    "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20",
+    "twenty-one": "21", "twenty-two": "22", "twenty-three": "23", "twenty-four": "24", "twenty-five": "25",
+    "twenty-six": "26", "twenty-seven": "27", "twenty-eight": "28", "twenty-nine": "29", "thirty": "30",
+    "thirty-one": "31", "thirty-two": "32", "thirty-three": "33", "thirty-four": "34", "thirty-five": "35",
+    "thirty-six": "36", "thirty-seven": "37", "thirty-eight": "38", "thirty-nine": "39", "forty": "40",
+    "forty-one": "41", "forty-two": "42", "forty-three": "43", "forty-four": "44", "forty-five": "45",
+    "forty-six": "46", "forty-seven": "47", "forty-eight": "48", "forty-nine": "49", "fifty": "50",
+}
 
 
 def ddl(s: str) -> T.StructType:
