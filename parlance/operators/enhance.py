@@ -29,6 +29,8 @@ def enhance(
     catalogue=DEFAULT_CATALOGUE,
     bucket: str = "results",
     key: str = "transcript_id",
+    exact_json: bool = False,
+    model_concurrency: int | None = None,
 ) -> DataFrame:
     """``segments``: key, seg_no (dense ordinal), timestamp, speaker, text.
 
@@ -46,8 +48,11 @@ def enhance(
     # raw responses are written once to the shared checkpoint folder: the audit and
     # the recombination both read them, so the model is called once per chunk and
     # both see the same answers (a retried task cannot silently re-ask the model)
-    answered = apply_model(payloads.select(key, "chunk_no", "payload"), model_factory).checkpoint(eager=True)
-    cleaned = clean_model_output(answered)
+    answered = apply_model(
+        payloads.select(key, "chunk_no", "payload"), model_factory,
+        concurrency=model_concurrency, spread_by=[key, "chunk_no"],
+    ).checkpoint(eager=True)
+    cleaned = clean_model_output(answered, exact_json=exact_json)
     # the checkpointed answers hold one row per chunk sent: they are the manifest,
     # so the packing fold is not recomputed for the audit
     audit = chunk_audit(answered.select(key, "chunk_no"), cleaned, key=key)
