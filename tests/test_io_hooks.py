@@ -143,3 +143,28 @@ def test_notification_url_decoding_option(spark):
     dec = [r.key for r in read_notifications(spark, d, url_decode=True).orderBy("rec_no").collect()]
     assert raw == ["My+File%281%29.mp3", "bad%zz.mp3"]
     assert dec == ["My File(1).mp3", "bad%zz.mp3"]
+
+
+def test_store_validation_first_reason_wins(spark):
+    seg = "array<struct<timestamp:string,speaker:string,text:string>>"
+    rows = [
+        ("ok", "text", [("0", "a", "t")], "out", "stt-a.json"),
+        ("all_bad", "", [], None, None),            # every check fails: transcript first
+        ("no_segs_no_bucket", "t", [], None, "j.json"),
+        ("no_bucket", "t", [("0", "a", "t")], "", "j.json"),
+        ("no_job", "t", [("0", "a", "t")], "out", None),
+        ("null_text", None, [("0", "a", "t")], "out", "j.json"),
+    ]
+    df = spark.createDataFrame(rows, f"id string, transcript string, segments {seg}, b string, j string").select(
+        "id", "transcript", "segments",
+        F.struct(F.col("b").alias("transcriptionOutputBucket"), F.col("j").alias("transcriptionJobName")).alias("s3"),
+    )
+    got = {r.id: (r.reject_reason, r.output_key) for r in store_validation(df).collect()}
+    assert got == {
+        "ok": (None, "stt-a_enhanced.json"),
+        "all_bad": ("missing_transcript", None),
+        "no_segs_no_bucket": ("missing_segments", None),
+        "no_bucket": ("missing_location", None),
+        "no_job": ("missing_location", None),
+        "null_text": ("missing_transcript", None),
+    }
