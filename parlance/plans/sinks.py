@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from parlance.functions.times import epoch_seconds
 from parlance.operators.segments import raw_segments_and_items, segment_text
 from parlance.plans.registry import query
+from parlance.schemas import SEGMENT_STRUCT
 from parlance.sinks.results import store_validation, with_lineage, write_results
 from parlance.sources.tables import table
 from parlance.sources.transcripts import list_audio, read_enhanced, read_raw_transcripts
@@ -167,7 +168,7 @@ def q_store_validation(spark, sf_dir):
     rows = docs.join(labels, "doc_id", "left").select(
         "doc_id",
         F.col("text").alias("transcript"),
-        F.when(F.col("_labelled"), F.array(seg)).otherwise(F.array().cast(f"array<{seg_type()}>")).alias("segments"),
+        F.when(F.col("_labelled"), F.array(seg)).otherwise(F.array().cast(f"array<{SEGMENT_STRUCT}>")).alias("segments"),
         F.struct(
             F.when(F.col("lang") == "es", F.lit(None).cast("string")).otherwise(F.col("source")).alias(
                 "transcriptionOutputBucket"
@@ -178,10 +179,6 @@ def q_store_validation(spark, sf_dir):
     return store_validation(rows).select("doc_id", "reject_reason", "output_key")
 
 
-def seg_type() -> str:
-    return "struct<timestamp:string,speaker:string,text:string>"
-
-
 @query("list_audio")
 def q_list_audio(spark, sf_dir):
     """Rows-only: one row per table file of the data folder (name, size, MIME)."""
