@@ -249,3 +249,22 @@ def q_enhance_raw_transcripts(spark, sf_dir):
         "transcript_id", "transcript", F.size("segments").cast("bigint").alias("n_segments"), "n_chunks", "status",
         n_ent.alias("n_entities"), "reject_reason",
     )
+
+
+@query(
+    "transcript_segment_rows",
+    """SELECT conv_id, turn AS seg_no,
+       printf('[%02d:%02d:%02d]', turn // 3600, (turn % 3600) // 60, turn % 60) AS hms,
+       role AS speaker, text
+FROM conversations""",
+)
+def q_transcript_segment_rows(spark, sf_dir):
+    """D10 documents (conversations) -> D14 display rows: ``posexplode`` of the
+    segment list (ORD-1), the timestamp string formatted as ``[HH:MM:SS]``."""
+    from parlance.operators.segments import segment_view
+
+    docs = _enhanced_from_conversations(spark, sf_dir)
+    segs = docs.select(F.col("conv_id").alias("transcript_id"), F.posexplode("segments").alias("seg_no", "s")).select(
+        "transcript_id", F.col("seg_no").cast("bigint").alias("seg_no"), "s.timestamp", "s.speaker", "s.text"
+    )
+    return segment_view(segs).select(F.col("transcript_id").alias("conv_id"), "seg_no", "hms", "speaker", "text")
