@@ -50,3 +50,27 @@ def test_lead_and_fold_across_many_small_arrow_batches(spark):
             assert [got[(k, o)] for o in range(400)] == exp
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 4), st.integers(0, 10_000)), min_size=1, max_size=120, unique_by=lambda t: t[1]),
+    st.integers(1, 9),
+    st.booleans(),
+)
+def test_lead_property(spark, rows, nparts, descending):
+    data = [(k, o, o * 7 % 101) for k, o in rows]
+    df = spark.createDataFrame(data, "k long, o long, v long")
+    out = with_next(df, "k", "o", ["v"], num_partitions=nparts, descending=descending).collect()
+    got = {(r.k, r.o): r.next_v for r in out}
+    assert len(out) == len(data)
+    by = {}
+    for k, o, v in data:
+        by.setdefault(k, []).append((o, v))
+    for k, lst in by.items():
+        lst.sort(reverse=descending)
+        for j, (o, _) in enumerate(lst):
+            assert got[(k, o)] == (lst[j + 1][1] if j + 1 < len(lst) else None)
