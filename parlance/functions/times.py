@@ -40,12 +40,14 @@ def js_parse_float(c) -> Column:
 def hms(seconds) -> Column:
     """SCL-6: ``[HH:MM:SS]``: floor of x/3600, of (x rem 3600)/60 and of x rem 60,
     remainders taking the sign of x (JavaScript ``%``); hours are not wrapped and
-    negative parts print as ``-1``.  Non-finite or null input -> null."""
+    negative parts print as ``-1``.  Null, NaN, infinite or beyond-2**53 input -> null."""
     x = _c(seconds)
     h = F.floor(x / 3600).cast("bigint")
     m = F.floor((x % 3600) / 60).cast("bigint")
     s = F.floor(x % 60).cast("bigint")
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    # beyond 2**53 seconds a double no longer holds whole seconds (and the hour
+    # count could overflow BIGINT), so such values give null like non-finite ones
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(2**53)))
     return F.when(finite, F.format_string("[%02d:%02d:%02d]", h, m, s))
 
 

@@ -25,7 +25,8 @@ def test_word_count_and_strip_match_python(spark):
 @pytest.mark.parametrize(
     "raw,expected",
     [("564.799", "[00:09:24]"), ("3600", "[01:00:00]"), ("360000.5", "[100:00:00]"), ("59.999", "[00:00:59]"),
-     ("abc", None), ("12.5s", "[00:00:12]"), (" 7", "[00:00:07]"), ("-1", "[-1:-1:-1]")],
+     ("abc", None), ("12.5s", "[00:00:12]"), (" 7", "[00:00:07]"), ("-1", "[-1:-1:-1]"), ("1e300", None),
+     ("Infinity", None)],
 )
 def test_hms(spark, raw, expected):
     got = spark.createDataFrame([(raw,)], "t string").select(hms(js_parse_float("t")).alias("h")).first().h
