@@ -77,6 +77,7 @@ def customer_entities(spark, sf_dir):
     words = F.array(*[F.lit(w) for w in WORDS_BY_NUMBER])
     slot = (F.col("c_custkey") % 14).cast("int")
     unknown = (F.col("c_mktsegment") == "MACHINERY") & (slot == 3)
+    # nation has 25 rows at every scale factor: a fixed-size broadcast
     e = cust.join(F.broadcast(nation), cust.c_nationkey == nation.n_nationkey).select(
         F.floor(F.col("c_custkey") / 32).alias("transcript_id"),
         "c_custkey",
