@@ -60,8 +60,10 @@ SELECT job_name,
        min(ts) FILTER (WHERE status = 'IN_PROGRESS') AS first_in_progress,
        min(ts) FILTER (WHERE status = 'COMPLETED') AS first_completed,
        min(ts) FILTER (WHERE status = 'FAILED') AS first_failed,
+       min(ts) AS first_ts, max(ts) AS last_ts,
        (epoch_us(min(ts) FILTER (WHERE status = 'COMPLETED')) - epoch_us(min(ts) FILTER (WHERE status = 'QUEUED'))) / 1e6
-         AS turnaround_s
+         AS turnaround_s,
+       (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span_s
 FROM job_events GROUP BY job_name""",
 )
 def q_job_progress(spark, sf_dir):
