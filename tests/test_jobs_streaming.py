@@ -162,3 +162,16 @@ def test_notification_stream(spark):
                        .select("bucket", "key", "job_name", "media_format", "reject_reason"), spark, "t_notes")
     got = sorted((r.key, r.job_name, r.media_format) for r in out.collect())
     assert got == [("a.mp3", "stt-a", "mp3"), ("b.m4a", "stt-b", "m4a"), ("c.wav", "stt-c", "wav")]
+
+
+def test_job_progress_columns(spark):
+    from parlance.operators.analytics import job_progress
+
+    ev = spark.createDataFrame(
+        [("stt-a", "QUEUED", ts(0)), ("stt-a", "IN_PROGRESS", ts(1)), ("stt-a", "COMPLETED", ts(3)), ("stt-b", "FAILED", ts(2))],
+        "job_name string, status string, ts timestamp",
+    )
+    got = {r.job_name: r for r in job_progress(ev).collect()}
+    a, b = got["stt-a"], got["stt-b"]
+    assert (a.first_queued, a.first_completed, a.turnaround_s, a.span_s) == (ts(0), ts(3), 180.0, 180.0)
+    assert b.first_queued is None and b.turnaround_s is None and b.span_s == 0.0 and b.first_failed == ts(2)
