@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import table
+from parlance.llm.decontaminate import contamination
+from parlance.llm.setjoin import near_duplicates
 from parlance.llm.sharding import shard_documents
 from parlance.session import ensure_checkpoint_dir, ship_package
 
@@ -15,12 +17,21 @@ from parlance.session import ensure_checkpoint_dir, ship_package
 ORACLES: dict[str, str] = {}
 
 
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op6_winnowed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = [op9_ring_shards]
+_QUERIES = [op5_shingle_join, op6_winnowed_overlap, op9_ring_shards]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
