@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import table
 from parlance.llm.decontaminate import contamination
+from parlance.llm.secrets import find_secrets, listing
 from parlance.llm.setjoin import near_duplicates
 from parlance.llm.sharding import shard_documents
 from parlance.session import ensure_checkpoint_dir, ship_package
@@ -26,12 +27,22 @@ def op6_winnowed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(listing(F.col("spans"), "assign", "access", "hex").cast("binary"), 256).alias("base_sha256"),
+        listing(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = [op5_shingle_join, op6_winnowed_overlap, op9_ring_shards]
+_QUERIES = [op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op9_ring_shards]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
