@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.session import checkpoint_dir
 
@@ -30,6 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_table(df: DataFrame, rows: list[dict], ddl: str) -> DataFrame:
+    """A small table as a literal, so that nothing but SQL expressions is in the plan."""
+    kind = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
+    return df.sparkSession.range(1).select(F.inline(kind))
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete what ``scratch_path`` has handed out so far; call it once the results are stored."""
     jvm, n = spark.sparkContext._jvm, 0

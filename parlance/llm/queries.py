@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import table
 from parlance.llm.decontaminate import contamination
+from parlance.llm.packing import pack_documents
 from parlance.llm.secrets import find_secrets, listing
 from parlance.llm.setjoin import near_duplicates
 from parlance.llm.sharding import shard_documents
@@ -18,6 +19,10 @@ from parlance.session import ensure_checkpoint_dir, ship_package
 ORACLES: dict[str, str] = {}
 
 
+def op4_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -42,7 +47,7 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = [op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op9_ring_shards]
+_QUERIES = [op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op9_ring_shards]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

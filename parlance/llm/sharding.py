@@ -18,12 +18,10 @@ the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import written
+from parlance.llm.common import literal_table, written
 
 #: Positions on the ring; a fixed table of this many rows is the only one that is broadcast besides the plan.
 RING = 1 << 16
@@ -77,12 +75,6 @@ def assign_arcs(owners: list[int], counts: dict[int, int], shards: int, slack: f
     return out
 
 
-def _literal_table(df: DataFrame, rows: list[dict], ddl: str) -> DataFrame:
-    """A small table as a literal, so that nothing but SQL expressions is in the plan."""
-    kind = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")
-    return df.sparkSession.range(1).select(F.inline(kind))
-
-
 def shard_rows(df: DataFrame, key: Column, shards: int, *, tie: list[str], vnodes: int = 64, slack: float = 0.0) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
 
@@ -97,7 +89,7 @@ def shard_rows(df: DataFrame, key: Column, shards: int, *, tie: list[str], vnode
         .withColumn("_at", F.pmod(F.col("_h"), F.lit(RING)).cast("int")),
         "ring",
     )
-    nodes = _literal_table(df, [{"at": a, "arc": i} for i, (a, _) in enumerate(ring)], "at:int,arc:int")
+    nodes = literal_table(df, [{"at": a, "arc": i} for i, (a, _) in enumerate(ring)], "at:int,arc:int")
     last = Window.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
     positions = (  # RING rows: every position with the virtual node clockwise from it
         df.sparkSession.range(0, RING, 1, 1).select(F.col("id").cast("int").alias("_at"))
@@ -107,7 +99,7 @@ def shard_rows(df: DataFrame, key: Column, shards: int, *, tie: list[str], vnode
     placed = base.join(F.broadcast(positions), "_at").drop("_at")
     counts = placed.groupBy("arc", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     per_arc = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("_n").alias("n")).collect()}
-    plan = _literal_table(df, assign_arcs(owners, per_arc, shards, slack), "arc:int,lo:bigint,hi:bigint,shard:int,slot:bigint")
+    plan = literal_table(df, assign_arcs(owners, per_arc, shards, slack), "arc:int,lo:bigint,hi:bigint,shard:int,slot:bigint")
     before = Window.partitionBy("arc").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("arc", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # at most shards * vnodes * SALTS rows
     rank = F.row_number().over(Window.partitionBy("arc", "_salt").orderBy("_h", *tie)) - 1

@@ -56,6 +56,9 @@ NOT_SPACE = ~_class((0x20, 0x20), (0x09, 0x0D))
 #: Letters, digits and all bytes beyond ASCII: not 0x00-0x2F, 0x3A-0x60, 0x7B-0x7F once A-Z is folded.
 ALNUM = _class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
+#: Bytes of this kind are words of their own where kinds cut words.
+SINGLE = 4
+
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
 
@@ -98,7 +101,7 @@ def parts(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _window(data: np.ndarray, at: np.ndarray, a: int, b: int, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window(data: np.ndarray, at: np.ndarray, a: int, b: int, member: np.ndarray, kinds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mask = member[data[a:b]]
     cut = at[np.searchsorted(at, a) : np.searchsorted(at, b)] - a
     before = np.zeros_like(mask)
@@ -107,6 +110,11 @@ def _window(data: np.ndarray, at: np.ndarray, a: int, b: int, member: np.ndarray
     after = np.zeros_like(mask)
     after[:-1] = mask[1:]
     after[cut[cut > 0] - 1] = False
+    if kinds is not None:
+        kind = kinds[data[a:b]]
+        apart = np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == SINGLE)))
+        before[apart + 1] = False
+        after[apart] = False
     start, end = np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
     return mask, start, end
 
@@ -124,8 +132,11 @@ def _hashes(byte: np.ndarray, length: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(v, first) + length.astype(_U))
 
 
-def find_words(data: np.ndarray, at: np.ndarray, member: np.ndarray, fold: bool = True, hashed: bool = True) -> Words:
-    """The words of all texts, in text order.  Long buffers are walked in windows that end between words."""
+def find_words(data: np.ndarray, at: np.ndarray, member: np.ndarray, fold: bool = True, hashed: bool = True, kinds: np.ndarray | None = None) -> Words:
+    """The words of all texts, in text order.  Long buffers are walked in windows that end between words.
+
+    ``kinds`` (a number per byte) also cuts words between bytes of two different kinds above 0, and
+    between any two of kind ``SINGLE``."""
     starts, ends, hashes = [], [], []
     a, n = 0, len(data)
     while a < n:
@@ -133,7 +144,7 @@ def find_words(data: np.ndarray, at: np.ndarray, member: np.ndarray, fold: bool
         while b < n and member[data[b]] and member[data[b - 1]]:  # go on to the end of the word
             gap = np.flatnonzero(~member[data[b : b + WINDOW]])
             b = b + int(gap[0]) if len(gap) else min(b + WINDOW, n)
-        mask, start, end = _window(data, at, a, b, member)
+        mask, start, end = _window(data, at, a, b, member, kinds)
         starts.append(start + a)
         ends.append(end + a)
         if hashed:
