@@ -13,12 +13,19 @@ from parlance.llm.packing import pack_documents
 from parlance.llm.secrets import find_secrets, listing
 from parlance.llm.setjoin import near_duplicates
 from parlance.llm.sharding import shard_documents
+from parlance.llm.toxicity import held_out, score_documents, train
 from parlance.session import ensure_checkpoint_dir, ship_package
 
 #: DuckDB SQL by query, where SQL can express it.
 ORACLES: dict[str, str] = {}
 
 
+def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -47,7 +54,7 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = [op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op9_ring_shards]
+_QUERIES = [op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op9_ring_shards]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
