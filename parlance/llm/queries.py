@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance.llm.common import table
 from parlance.llm.decontaminate import contamination
 from parlance.llm.packing import pack_documents
+from parlance.llm.quality import apply_rules
 from parlance.llm.secrets import find_secrets, listing
 from parlance.llm.setjoin import near_duplicates
 from parlance.llm.sharding import shard_documents
@@ -49,12 +50,18 @@ def op7_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+    )
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = [op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op9_ring_shards]
+_QUERIES = [op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
