@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,34 @@ def drop_scratch(spark: SparkSession) -> int:
         n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
         _made.remove(path)
     return n
+
+
+def summed_counts(df: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int, slices: int = 64) -> np.ndarray:
+    """Sum over all batches of ``of_batch(batch)``, an integer array of a fixed ``size``.
+
+    Every task adds up its batches and deals its sums out in slices; the slices are added by
+    key, and ``size`` numbers reach the driver, however large the input."""
+    width = -(-size // slices)
+
+    def pack(by: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([c.astype(np.int64).tobytes() for c in by.values()], pa.binary())], ["slice", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * slices, np.int64)
+        for batch in batches:
+            total[:size] += of_batch(batch)
+        parts = total.reshape(slices, width)
+        yield pack({s: parts[s] for s in range(slices) if parts[s].any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                total[s] = total.get(s, 0) + np.frombuffer(counts, np.int64)
+        yield pack(total)
+
+    ddl = "slice int, counts binary"
+    out = np.zeros((slices, width), np.int64)
+    for r in df.mapInArrow(count, ddl).repartition("slice").mapInArrow(add, ddl).collect():
+        out[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+    return out.reshape(-1)[:size]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import table
 from parlance.llm.decontaminate import contamination
+from parlance.llm.importance import resample
 from parlance.llm.packing import pack_documents
 from parlance.llm.quality import apply_rules
 from parlance.llm.secrets import find_secrets, listing
@@ -21,6 +22,10 @@ from parlance.session import ensure_checkpoint_dir, ship_package
 ORACLES: dict[str, str] = {}
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "kept", "n_grams", "log_weight", "key")
+
+
 def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +66,7 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = [op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards]
+_QUERIES = [op1_importance_resampling, op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
