@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import table
 from parlance.llm.decontaminate import contamination
+from parlance.llm.extraction import extract_text
 from parlance.llm.importance import resample
 from parlance.llm.packing import pack_documents
 from parlance.llm.quality import apply_rules
@@ -66,7 +67,11 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-_QUERIES = [op1_importance_resampling, op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards]
+def op10_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+_QUERIES = [op1_importance_resampling, op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards, op10_block_tree]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
