@@ -17,6 +17,7 @@ from parlance.llm.secrets import find_secrets, listing
 from parlance.llm.setjoin import near_duplicates
 from parlance.llm.sharding import shard_documents
 from parlance.llm.toxicity import held_out, score_documents, train
+from parlance.llm.warc import pages_round_trip
 from parlance.session import ensure_checkpoint_dir, ship_package
 
 #: DuckDB SQL by query, where SQL can express it.
@@ -33,6 +34,10 @@ def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op4_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def op10_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-_QUERIES = [op1_importance_resampling, op2_noisy_or, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards, op10_block_tree]
+_QUERIES = [op1_importance_resampling, op2_noisy_or, op3_boundary_chain, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards, op10_block_tree]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
