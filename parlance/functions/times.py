@@ -40,15 +40,20 @@ def js_parse_float(c) -> Column:
 def hms(seconds) -> Column:
     """SCL-6: ``[HH:MM:SS]``: floor of x/3600, of (x rem 3600)/60 and of x rem 60,
     remainders taking the sign of x (JavaScript ``%``); hours are not wrapped and
-    negative parts print as ``-1``.  Null, NaN, infinite or beyond-2**53 input -> null."""
+    negative parts print as ``-1``.  Null, NaN or infinite input -> null.  Hours beyond
+    2**63 are printed as the whole number the double holds, from 1e21 on in scientific
+    notation, as JavaScript prints numbers."""
     x = _c(seconds)
-    h = F.floor(x / 3600).cast("bigint")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    hours = F.when(finite, x / 3600)
+    small = F.abs(hours) < F.lit(9.0e18)
+    h = F.floor(F.when(small, hours)).cast("bigint")
     m = F.floor((x % 3600) / 60).cast("bigint")
     s = F.floor(x % 60).cast("bigint")
-    # beyond 2**53 seconds a double no longer holds whole seconds (and the hour
-    # count could overflow BIGINT), so such values give null like non-finite ones
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(2**53)))
-    return F.when(finite, F.format_string("[%02d:%02d:%02d]", h, m, s))
+    whole = F.when(F.abs(hours) < F.lit(1e21), hours).cast("decimal(38,0)").cast("string")
+    far = F.coalesce(whole, F.replace(hours.cast("string"), F.lit("E"), F.lit("e+")))
+    text = F.when(small, F.format_string("%02d", h)).otherwise(far)
+    return F.when(finite, F.concat(F.lit("["), text, F.format_string(":%02d:%02d]", m, s)))
 
 
 def iso_datetime(c) -> Column:

@@ -25,9 +25,8 @@ def top_terms(docs: DataFrame, k: int = 50, *, text: str = "text") -> DataFrame:
 
 def top_entities(long: DataFrame, k: int = 50, *, key: str = "transcript_id") -> DataFrame:
     """RM-2: entities mentioned by the most transcripts."""
-    counts = long.groupBy("category", "value").agg(
-        F.count_distinct(key).cast("bigint").alias("n_transcripts")
-    )
+    # values are unique within a transcript (AGG-6), so rows are transcripts
+    counts = long.groupBy("category", "value").agg(F.count(F.col(key)).cast("bigint").alias("n_transcripts"))
     return counts.orderBy(F.desc("n_transcripts"), F.asc("category"), F.asc("value")).limit(k)
 
 
@@ -53,10 +52,12 @@ def job_progress(events: DataFrame, *, job: str = "job_name") -> DataFrame:
 def apply_vocabulary(segments: DataFrame, vocab: dict[str, str] | DataFrame, *, text: str = "text") -> DataFrame:
     """RM-5: replace whole words (split on single spaces) by preferred forms.
 
-    A vocabulary given as a dict has a fixed, known size and becomes a literal map
-    (no shuffle).  A vocabulary table of unknown size is joined: words are
-    exploded with their position, joined (shuffle hash on the word), and each
-    text is rebuilt in position order.
+    A vocabulary given as a dict has a fixed, known size and becomes a literal map (no
+    shuffle).  Of a vocabulary table of unknown size (``term, preferred``, terms unique)
+    only the words that occur are joined: the distinct words of each text meet their
+    replacements, and those come back to the text as one map per row, so a text is
+    neither exploded nor rebuilt word by word.  Rows are told apart by a row id of their
+    own, so equal rows and nulls in other columns are kept as they are.
     """
     if isinstance(vocab, dict):
         m = F.create_map(*[F.lit(x) for kv in vocab.items() for x in kv])
@@ -64,17 +65,17 @@ def apply_vocabulary(segments: DataFrame, vocab: dict[str, str] | DataFrame, *,
             "text_out",
             F.array_join(F.transform(F.split(F.col(text), " ", -1), lambda w: F.coalesce(F.try_element_at(m, w), w)), " "),
         )
-    keys = [c for c in segments.columns if c != text]
-    words = segments.select(*keys, F.posexplode(F.split(F.col(text), " ", -1)).alias("_pos", "_w"))
-    v = vocab.select(F.col("term").alias("_w"), F.col("preferred").alias("_p"))
-    joined = words.join(v, "_w", "left")
-    rebuilt = joined.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_p", "_w").alias("w")))), lambda x: x["w"]),
-            " ",
-        ).alias("text_out")
-    )
-    return segments.join(rebuilt, keys, "left")
+    from parlance.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(segments.sparkSession)
+    # the row id must not change between its two uses
+    rows = segments.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    words = rows.select("_row", F.explode(F.array_distinct(F.split(F.col(text), " ", -1))).alias("_w"))
+    terms = vocab.select(F.col("term").alias("_w"), F.col("preferred").alias("_p")).where("_p is not null")
+    known = words.join(terms, "_w").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_p"))).alias("_m"))
+    word = lambda w: F.coalesce(F.try_element_at("_m", w), w)
+    out = F.array_join(F.transform(F.split(F.col(text), " ", -1), word), " ")
+    return rows.join(known, "_row", "left").withColumn("text_out", out).drop("_row", "_m")
 
 
 def language_counts(docs: DataFrame, *, lang: str = "lang") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.times import iso_datetime
 from parlance.operators.ordered import with_prev
-from parlance.schemas import TERMINAL_STATES
+from parlance.schemas import JOB_FAILED_ERROR, JOB_PREFIX, MISSING_NAME_ERROR, NO_CONTENT_ERROR, NO_JOB_ERROR, NO_URI_ERROR, TERMINAL_STATES
 
 
 # Fixed value: the shape of the unique suffix a restarted job gets (SCL-14).
@@ -49,16 +49,16 @@ def latest_job_status(events: DataFrame, *, job: str = "job_name", by_base: bool
 
 def status_envelope(report: DataFrame) -> DataFrame:
     """D11: the ``{status, result, error}`` body as JSON text (nulls kept, as the
-    service writes them) next to the HTTP code."""
+    service writes them) next to the HTTP code; ``result`` is the whole document."""
     body = F.to_json(
-        F.struct(F.col("status"), F.col("result_transcript").alias("result"), F.col("error")),
+        F.struct(F.col("status"), F.col("result"), F.col("error")),
         {"ignoreNullFields": "false"},
     )
     return report.withColumn("body", body)
 
 
 def unwrap_envelope(body) -> F.Column:
-    """PRJ-14: the ``result`` member of a status body (text or parsed object)."""
+    """PRJ-14: the ``result`` member of a status body: the document as JSON text."""
     b = F.col(body) if isinstance(body, str) else body
     return F.get_json_object(b, "$.result")
 
@@ -74,6 +74,13 @@ def unique_suffix(key, ts, salt) -> F.Column:
     )
 
 
+def _start(prior: F.Column, job: str, salt: str) -> tuple[F.Column, F.Column]:
+    """What to do about a submission whose job was last in state ``prior``, and the name to start under."""
+    action = F.when(prior.isNull(), F.lit("start")).when(prior.isin(*TERMINAL_STATES), F.lit("delete_and_start")).otherwise(F.lit("start_unique"))
+    unique = F.concat(F.col(job), F.lit("-"), unique_suffix(job, "ts", salt))
+    return action, F.when(action == "start_unique", unique).otherwise(F.col(job))
+
+
 def plan_job_starts(events: DataFrame, submissions, *, job: str = "job_name") -> DataFrame:
     """JOIN-3: for each submission, the state of the same-named job just before it
     decides the action: none -> ``start``; not terminal -> ``start_unique`` under a
@@ -86,29 +93,45 @@ def plan_job_starts(events: DataFrame, submissions, *, job: str = "job_name") ->
     ev = events.withColumn("_is_sub", submissions)
     with_prior = with_prev(ev, job, ["ts", "event_id"], ["status"])
     subs = with_prior.where(F.col("_is_sub"))
-    action = (
-        F.when(F.col("prev_status").isNull(), F.lit("start"))
-        .when(F.col("prev_status").isin(*TERMINAL_STATES), F.lit("delete_and_start"))
-        .otherwise(F.lit("start_unique"))
-    )
-    name = F.when(
-        action == "start_unique", F.concat(F.col(job), F.lit("-"), unique_suffix(job, "ts", "event_id"))
-    ).otherwise(F.col(job))
+    action, name = _start(F.col("prev_status"), job, "event_id")
     return subs.select(
         "event_id", job, F.col("prev_status").alias("prior_status"), action.alias("action"), name.alias("start_name"),
         F.lit("QUEUED").alias("record_status"),
     )
 
 
+def _left_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Left join in which rows with a null key, which match nothing, are spread over the
+    partitions by their other values instead of meeting in one."""
+    rest = [c for c in left.columns if c != on]
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rest), F.lit(1 << 20)).cast("string"))
+    key = F.coalesce(F.col(on), spread)
+    right = right.where(F.col(on).isNotNull()).withColumnRenamed(on, "_right")
+    return left.withColumn("_left", key).join(right, F.col("_left") == F.col("_right"), "left").drop("_left", "_right")
+
+
+def plan_uploads(uploads: DataFrame, latest: DataFrame, *, job: str = "job_name") -> DataFrame:
+    """JOIN-3 on its real inputs: uploads (job, ts, upload_id, other columns) left-joined with the
+    latest state of the same-named job (AGG-7 output).  Adds ``prior_status``, ``action``
+    (start / start_unique / delete_and_start) and ``start_name``."""
+    prior = latest.select(job, F.col("status").alias("prior_status"))
+    joined = _left_join(uploads, prior, job)
+    action, name = _start(F.col("prior_status"), job, "upload_id")
+    return joined.withColumn("action", action).withColumn("start_name", name)
+
+
 def status_report(requests: DataFrame, latest: DataFrame, results: DataFrame, *, name: str = "file_name") -> DataFrame:
     """JOIN-2 + PRJ-11/14/15: HTTP-style status per request.
 
     ``requests``: request rows with a (nullable) file name.  ``latest``: AGG-7
     output keyed by ``job_name`` with ``result_key`` derived from the URI.
-    ``results``: enhanced results keyed by ``result_key`` with ``transcript``.
+    ``results``: enhanced results keyed by ``result_key`` with ``transcript`` and, if
+    there, ``segments, entities, s3``; ``result`` is the struct of those (D10).
     """
-    req = requests.withColumn("job_name", F.concat(F.lit("stt-"), F.col(name)))
-    joined = req.join(latest, "job_name", "left").join(results, "result_key", "left")
+    document = [c for c in ("transcript", "segments", "entities", "s3") if c in results.columns]
+    req = requests.withColumn("job_name", F.concat(F.lit(JOB_PREFIX), F.col(name)))
+    latest = latest.withColumn("uri", F.nullif(F.col("uri"), F.lit("")))  # an empty address is none
+    joined = _left_join(_left_join(req, latest, "job_name"), results.select("result_key", *document), "result_key")
     has_result = F.col("transcript").isNotNull() & (F.length("transcript") > 0)
     st = F.col("status")
     http = (
@@ -127,17 +150,18 @@ def status_report(requests: DataFrame, latest: DataFrame, results: DataFrame, *,
         .otherwise("FAILED")
     )
     error = (
-        F.when(F.col(name).isNull(), F.lit("Missing fileName parameter"))
-        .when(st.isNull(), F.concat(F.lit("Transcription job not found: "), F.col("job_name")))
-        .when((st == "COMPLETED") & F.col("uri").isNull(), F.lit("TranscriptFileUri not found in completed job"))
-        .when((st == "COMPLETED") & ~has_result, F.lit("Failed to retrieve transcript content after multiple attempts"))
+        F.when(F.col(name).isNull(), F.lit(MISSING_NAME_ERROR))
+        .when(st.isNull(), F.concat(F.lit(NO_JOB_ERROR), F.col("job_name")))
+        .when((st == "COMPLETED") & F.col("uri").isNull(), F.lit(NO_URI_ERROR))
+        .when((st == "COMPLETED") & ~has_result, F.lit(NO_CONTENT_ERROR))
         .when(st.isin("COMPLETED", "QUEUED", "IN_PROGRESS"), F.lit(None))
-        .otherwise(F.concat(F.lit("Transcription failed with status: "), st))
+        .otherwise(F.concat(F.lit(JOB_FAILED_ERROR), st))
     )
     done = (status == "COMPLETED") & has_result
     return joined.select(
         *requests.columns,
         http.alias("http_code"), status.alias("status"), error.alias("error"),
         F.when(done, F.col("transcript")).alias("result_transcript"),
+        F.when(done, F.struct(*document)).alias("result"),
         done.alias("has_result"),
     )

@@ -47,7 +47,9 @@ def strict_json_object(text) -> Column:
     """
     t = F.col(text) if isinstance(text, str) else text
     wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
-    single = wrapped.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    # a text such as ``{..}],[{..}`` closes the list itself; inside an object it cannot
+    named = F.try_parse_json(F.concat(F.lit('{"v": '), t, F.lit("}")))
+    single = wrapped.isNotNull() & named.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
     obj = F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}"))
     return F.when(single & obj, F.try_variant_get(wrapped, "$[0]", "variant"))
 
@@ -74,7 +76,8 @@ def clean_model_output(df: DataFrame, response: str = "response", *, exact_json:
     """Parse model responses into D8 fields with an error column (never raises).
 
     Adds ``ok``, ``error`` (``no_response`` / ``bad_fence`` / ``invalid_json`` /
-    ``missing_transcript``), ``transcript``, ``segments`` and ``entities``.
+    ``missing_transcript`` / ``missing_segments``: absent, not a list, or holding
+    something else than objects), ``transcript``, ``segments`` and ``entities``.
     Validation is native by default; ``exact_json=True`` decides validity with
     Python's ``json.loads`` in an Arrow-batched UDF (slower; closes the gaps the
     native check has on contrived bodies and duplicate keys), and fields are then
@@ -89,6 +92,7 @@ def clean_model_output(df: DataFrame, response: str = "response", *, exact_json:
     out = out.withColumn("_v", v)
     transcript = F.try_variant_get(F.col("_v"), "$.transcript", "string")
     segments = F.try_variant_get(F.col("_v"), "$.segments", f"array<{SEGMENT_STRUCT}>")
+    bad_segments = segments.isNull() | F.exists(segments, lambda s: s.isNull())
     entities = F.coalesce(
         F.try_variant_get(F.col("_v"), "$.entities", "map<string,array<string>>"),
         F.create_map().cast("map<string,array<string>>"),
@@ -98,6 +102,7 @@ def clean_model_output(df: DataFrame, response: str = "response", *, exact_json:
         .when(F.col("_cleaned").isNull(), F.lit("bad_fence"))
         .when(F.col("_v").isNull(), F.lit("invalid_json"))
         .when(transcript.isNull(), F.lit("missing_transcript"))
+        .when(bad_segments, F.lit("missing_segments"))
     )
     return (
         out.withColumn("error", error)
@@ -122,25 +127,36 @@ def apply_model(
     """UDF-1/2/3 hook: call the model for every row's request, ``batch_rows`` at a
     time, through ``mapInPandas``.  Partitions are the concurrency limit: with
     ``concurrency`` the requests are hash-spread (on ``spread_by``, deterministic
-    under retries) over exactly that many partitions, i.e. parallel clients.  A
-    failed call gives a null response and the other rows continue."""
-    out_schema = T.StructType(list(df.schema.fields) + [T.StructField(response, T.StringType(), True)])
+    under retries) over exactly that many partitions, i.e. parallel clients.
+
+    A batch whose call fails, or that gets another number of answers than it has
+    requests, is asked again request by request, so only the requests that fail
+    themselves get a null response; ``<response>_error`` holds the error's text."""
+    error = f"{response}_error"
+    out_schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.StringType(), True) for c in (response, error)])
     if concurrency:
         df = df.repartition(int(concurrency), *(spread_by or [request]))
 
+    def ask(model, part: list, alone: bool = False) -> list[tuple] | None:
+        try:
+            got = list(model(part))
+            if len(got) == len(part):
+                return [(g, None) for g in got]
+            problem = f"{len(got)} answers to {len(part)} requests"
+        except Exception as e:  # noqa: BLE001 - a failed call fails only its request
+            problem = f"{type(e).__name__}: {e}"
+        return [(None, problem)] if alone else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for pdf in batches:
             reqs = pdf[request].tolist()
-            outs: list = []
+            outs: list[tuple] = []
             for i in range(0, len(reqs), batch_rows):
                 part = reqs[i : i + batch_rows]
-                try:
-                    got = list(model(part))
-                except Exception:  # noqa: BLE001 - a failed call fails only its rows
-                    got = [None] * len(part)
-                outs.extend(got)
-            pdf[response] = outs
+                got = ask(model, part)
+                outs.extend(got if got is not None else [ask(model, [r], alone=True)[0] for r in part])
+            pdf[response], pdf[error] = [o for o, _ in outs], [e for _, e in outs]
             yield pdf
 
     return df.mapInPandas(run, out_schema)
@@ -167,18 +183,23 @@ def chunk_audit(manifest: DataFrame, cleaned: DataFrame, *, key: str = "transcri
     """PRJ-9 + JOIN-6 + AGG-8 per transcript: chunks sent, chunks that came back
     valid, chunks lost (manifest anti-joined with the valid responses) and a status
     (``FAILED`` when nothing valid came back, ``PARTIAL`` when some chunks were lost)."""
-    # validity per chunk is aggregated first: a filter on ``ok`` directly would be
-    # pushed below the parse projection and inline the whole parse expression
-    valid = (
-        cleaned.groupBy(key, chunk).agg(F.max(F.col("ok").cast("int")).alias("_ok"))
-        .where(F.col("_ok") == 1).select(key, chunk)
-    )
-    lost = manifest.select(key, chunk).join(valid, [key, chunk], "left_anti")
-    rows = manifest.select(key, chunk, F.lit(0).alias("_lost")).unionByName(lost.select(key, chunk, F.lit(1).alias("_lost")))
+    # manifest rows and responses of a chunk meet in one aggregation; a chunk counts if it was sent
+    sent = manifest.select(key, chunk, F.lit(1).alias("_sent"), F.lit(0).alias("_ok"))
+    came = cleaned.select(key, chunk, F.lit(0).alias("_sent"), F.col("ok").cast("int").alias("_ok"))
+    rows = sent.unionByName(came).groupBy(key, chunk).agg(F.max("_sent").alias("_sent"), F.max("_ok").alias("_ok")).where("_sent = 1")
+    return _audited(rows, key, chunk, F.coalesce(F.col("_ok"), F.lit(0)) == 1)
+
+
+def answers_audit(cleaned: DataFrame, *, key: str = "transcript_id", chunk: str = "chunk_no") -> DataFrame:
+    """``chunk_audit`` where every chunk sent has one row in ``cleaned`` (as ``apply_model`` gives): one aggregation."""
+    return _audited(cleaned.select(key, chunk, "ok"), key, chunk, F.col("ok"))
+
+
+def _audited(rows: DataFrame, key: str, chunk: str, ok: Column) -> DataFrame:
     agg = rows.groupBy(key).agg(
-        F.count_if(F.col("_lost") == 0).cast("bigint").alias("n_chunks"),
-        F.count_if(F.col("_lost") == 1).cast("bigint").alias("n_lost"),
-        F.min(F.when(F.col("_lost") == 1, F.col(chunk))).alias("first_lost"),
+        F.count(F.lit(1)).cast("bigint").alias("n_chunks"),
+        F.count_if(~ok).cast("bigint").alias("n_lost"),
+        F.min(F.when(~ok, F.col(chunk))).alias("first_lost"),
     )
     agg = agg.withColumn("n_ok", F.col("n_chunks") - F.col("n_lost"))
     return agg.withColumn(
@@ -194,7 +215,9 @@ def transcribe(audio: DataFrame, model_factory: ModelFactory, *, batch_rows: int
     ``derive_job_keys`` (``job_name``, ``media_format``).  The model receives JSON
     requests ``{uri, format, language, speaker_labels, max_speakers}`` and returns
     raw transcript JSON (D4) or ``None``; the result is parsed with the fixed D4
-    schema (no inference) into ``raw`` plus a ``transcribe_error`` column.
+    schema (no inference) into ``raw`` plus a ``transcribe_error`` column.  A
+    ``language`` column routes each object (null: the default language); ``content``
+    is left out, since the model gets the object's address.
     """
     from parlance.schemas import LANGUAGE_CODE, MAX_SPEAKERS, RAW_TRANSCRIPT_DDL
 
@@ -202,12 +225,12 @@ def transcribe(audio: DataFrame, model_factory: ModelFactory, *, batch_rows: int
         F.struct(
             F.col("path").alias("uri"),
             F.col("media_format").alias("format"),
-            F.lit(LANGUAGE_CODE).alias("language"),
+            (F.coalesce("language", F.lit(LANGUAGE_CODE)) if "language" in audio.columns else F.lit(LANGUAGE_CODE)).alias("language"),
             F.lit(True).alias("speaker_labels"),
             F.lit(MAX_SPEAKERS).alias("max_speakers"),
         )
     )
-    with_req = audio.withColumn("_request", req)
+    with_req = audio.withColumn("_request", req).drop("content")
     answered = apply_model(with_req, model_factory, request="_request", response="_raw_json", batch_rows=batch_rows)
     parsed = F.from_json("_raw_json", RAW_TRANSCRIPT_DDL)
     return (
@@ -218,7 +241,7 @@ def transcribe(audio: DataFrame, model_factory: ModelFactory, *, batch_rows: int
             .when(F.col("raw.results").isNull(), F.lit("invalid_transcript")),
         )
         .withColumn("transcript_id", F.coalesce(F.col("raw.jobName"), F.col("job_name")))
-        .drop("_request", "_raw_json")
+        .drop("_request", "_raw_json", "_raw_json_error")
     )
 
 
@@ -249,7 +272,7 @@ def entities_with_model(
     cleaned = clean_model_output(answered)
     # an entity response needs no transcript field: only JSON validity counts here
     failures = cleaned.where(F.col("error").isin("no_response", "bad_fence", "invalid_json")).select(
-        key, "error", F.lit("NER_FAILED").alias("status")
+        key, F.coalesce("response_error", "error").alias("error"), F.lit("NER_FAILED").alias("status")
     )
     good = cleaned.where(~F.col("error").isin("no_response", "bad_fence", "invalid_json") | F.col("error").isNull())
     return entities_from_map(good.select(key, "entities"), key=key), failures

@@ -109,7 +109,7 @@ def with_next(
         F.col(key).alias("_ekey"),
         *[F.col(v).alias(f"_e_{v}") for v in values],
     ).where(F.col("_pid").isNotNull())
-    fixed = local.join(F.broadcast(edge), "_pid", "left")
+    fixed = local.join(edge, "_pid", "left")
     take = F.col("_last_in_part") & (F.col("_ekey") == F.col(key))
     return fixed.select(
         *[F.col(c) for c in df.columns],

@@ -158,27 +158,26 @@ def _evaluate(f: pd.DataFrame, c: int, budget: int):
 def compose(h: pd.DataFrame, g: pd.DataFrame, budget: int) -> pd.DataFrame:
     """Function ``g after h`` (fragment h is followed by fragment g)."""
     cmax = budget + 1
-    his = np.append(h.lo.values[1:] - 1, cmax)
-    out = []
-    g_lo = g.lo.values
-    for lo, hi, sh, val, cl in zip(h.lo.values, his, h.is_shift.values, h.val.values, h.closes.values):
-        if not sh:
-            e, c2 = _evaluate(g, val, budget)
-            out.append((lo, False, e, cl + c2))
-            continue
-        # image [lo + val, hi + val] split at g's breakpoints
-        a, b = lo + val, min(hi + val, cmax)
-        i = int(np.searchsorted(g_lo, a, side="right")) - 1
-        while a <= b:
-            g_hi = g_lo[i + 1] - 1 if i + 1 < len(g_lo) else cmax
-            piece_hi = min(b, g_hi)
-            if g.is_shift.values[i]:
-                out.append((a - val, True, val + int(g.val.values[i]), 0))
-            else:
-                out.append((a - val, False, int(g.val.values[i]), int(g.closes.values[i])))
-            a, i = piece_hi + 1, i + 1
-    res = pd.DataFrame(out, columns=["lo", "is_shift", "val", "closes"])
-    return _merge_runs(res)
+    h_lo, h_shift, h_val, h_closes = (h[c].to_numpy() for c in ("lo", "is_shift", "val", "closes"))
+    g_lo, g_shift, g_val, g_closes = (g[c].to_numpy() for c in ("lo", "is_shift", "val", "closes"))
+    h_shift, g_shift = h_shift.astype(bool), g_shift.astype(bool)
+    his = np.append(h_lo[1:] - 1, cmax)
+    # the values h yields: one for a constant piece, a range for a shifted one, split at g's breakpoints
+    a = np.where(h_shift, h_lo + h_val, h_val)
+    b = np.where(h_shift, np.minimum(his + h_val, cmax), h_val)
+    first = np.searchsorted(g_lo, a, side="right") - 1
+    count = np.where(a <= b, np.searchsorted(g_lo, b, side="right") - first, 0)
+    piece = np.repeat(np.arange(len(a)), count)
+    i = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + first[piece]
+    shift, g_const = h_shift[piece], ~g_shift[i]
+    value = np.where(shift, np.maximum(a[piece], g_lo[i]), a[piece])
+    out = {
+        "lo": np.where(shift, value - h_val[piece], h_lo[piece]),
+        "is_shift": shift & ~g_const,
+        "val": np.where(g_const, g_val[i], np.where(shift, h_val[piece] + g_val[i], value + g_val[i])),
+        "closes": np.where(shift, 0, h_closes[piece]) + np.where(g_const, g_closes[i], 0),
+    }
+    return _merge_runs(pd.DataFrame(out))
 
 
 # ---------------------------------------------------------------------------
@@ -187,7 +186,7 @@ def compose(h: pd.DataFrame, g: pd.DataFrame, budget: int) -> pd.DataFrame:
 
 def _fold_batches(key, frag, tokens, budget, has_entry):
     def run(batches):
-        carry_key = None
+        carry_key, seen = None, False
         carry_state = (0, 0)
         for rb in batches:
             m = rb.num_rows
@@ -195,7 +194,11 @@ def _fold_batches(key, frag, tokens, budget, has_entry):
                 continue
             kcol = rb.column(key)
             fcol = rb.column(frag) if frag else None
-            change = pc.not_equal(kcol.slice(1), kcol.slice(0, m - 1))
+            # a null key is a key of its own
+            change = pc.or_(
+                pc.fill_null(pc.not_equal(kcol.slice(1), kcol.slice(0, m - 1)), False),
+                pc.not_equal(pc.is_null(kcol.slice(1)), pc.is_null(kcol.slice(0, m - 1))),
+            )
             if fcol is not None:
                 change = pc.or_(change, pc.not_equal(fcol.slice(1), fcol.slice(0, m - 1)))
             change = np.asarray(change.to_numpy(zero_copy_only=False), dtype=bool)
@@ -208,12 +211,12 @@ def _fold_batches(key, frag, tokens, budget, has_entry):
                 c_in = np.zeros(len(starts), dtype=np.int64)
                 k_in = np.zeros(len(starts), dtype=np.int64)
             first_key = (kcol[0].as_py(), fcol[0].as_py() if fcol is not None else None)
-            if carry_key is not None and first_key == carry_key:
+            if seen and first_key == carry_key:
                 c_in[0], k_in[0] = carry_state
             n = np.asarray(pc.fill_null(rb.column(tokens), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             chunk, c_out, k_out = _fold_groups(n, starts, ends, c_in, k_in, budget)
             carry_key = (kcol[m - 1].as_py(), fcol[m - 1].as_py() if fcol is not None else None)
-            carry_state = (int(c_out[-1]), int(k_out[-1]))
+            carry_state, seen = (int(c_out[-1]), int(k_out[-1])), True
             yield rb.append_column("chunk_no", pa.array(chunk, type=pa.int64()))
 
     return run
@@ -283,9 +286,9 @@ def _down(children: DataFrame, parents_entry: DataFrame, key: str, key_type: str
             k += dk
         return pd.DataFrame(out, columns=[key, "_node", "_c_in", "_k_in"])
 
+    parents = parents_entry.select(F.col(key).alias("_pkey"), F.col("_node").alias("_pnode"), F.col("_c_in").alias("_pc"), F.col("_k_in").alias("_pk"))
     joined = children.withColumn("_parent", F.floor(F.col("_node") / fan_in)).join(
-        parents_entry.select(key, F.col("_node").alias("_parent"), F.col("_c_in").alias("_pc"), F.col("_k_in").alias("_pk")),
-        [key, "_parent"],
+        parents, F.col(key).eqNullSafe(F.col("_pkey")) & (F.col("_parent") == F.col("_pnode"))
     )
     return joined.groupBy(key, "_parent").applyInPandas(
         spread, f"{key} {key_type}, _node long, _c_in long, _k_in long"
@@ -301,48 +304,39 @@ def pack_chunks(
     tokens: str = "n_tokens",
     fragment_rows: int = DEFAULT_FRAGMENT_ROWS,
     fan_in: int = DEFAULT_FAN_IN,
-    max_ordinal: int | None = None,
 ) -> DataFrame:
     """Add ``chunk_no`` (bigint) to every segment row.
 
     ``order`` must be a dense 0-based ordinal per key (``posexplode`` position or
-    ``row_number() - 1``); fragments are ``order div fragment_rows``.
-    ``max_ordinal`` may be passed when known; otherwise one scalar aggregate
-    decides whether any transcript spans more than one fragment.
+    ``row_number() - 1``); fragments are ``order div fragment_rows``.  The plan is the
+    same for every size: a transcript of one fragment has no summary and enters with
+    (0, 0).  Null is a key like any other.
     """
-    if max_ordinal is None:
-        max_ordinal = segments.agg(F.max(order)).first()[0] or 0
     key_type = segments.schema[key].dataType.simpleString()
     out_schema = T.StructType(list(segments.schema.fields) + [T.StructField("chunk_no", T.LongType(), False)])
 
-    if max_ordinal < fragment_rows:
-        # partition count left to spark.sql.shuffle.partitions / AQE
-        sorted_rows = _clustered(segments, key).sortWithinPartitions(key, order)
-        return sorted_rows.mapInArrow(_fold_batches(key, None, tokens, budget, False), out_schema)
-
     with_frag = segments.withColumn("_frag", F.floor(F.col(order) / fragment_rows).cast("long"))
     narrow = with_frag.select(key, "_frag", F.col(order).alias("_ord"), tokens)
-    long_keys = narrow.where(F.col("_frag") > 0).select(key).distinct()
-    narrow = narrow.join(long_keys, key, "left_semi")
+    long_keys = narrow.where(F.col("_frag") > 0).select(F.col(key).alias("_long")).distinct()
+    narrow = narrow.join(long_keys, F.col(key).eqNullSafe(F.col("_long")), "left_semi")
 
-    # up-sweep: composed functions per tree level.  Each level is a small table
-    # (a few rows per fragment) used again by the down-sweep, so it is written
-    # once to the checkpoint folder instead of being recomputed.
+    # up-sweep: composed functions per tree level, until every transcript is one node.
+    # Each level is a small table (a few rows per fragment) used again by the down-sweep,
+    # so it is written once to the checkpoint folder instead of being recomputed.
     ensure_checkpoint_dir(segments.sparkSession)
     levels = [_summaries(narrow, key, tokens, budget).checkpoint(eager=True)]
-    width = max_ordinal // fragment_rows + 1
-    while width > 1:
+    while not levels[-1].where(F.col("_node") > 0).isEmpty():
         levels.append(_up(levels[-1], key, key_type, fan_in, budget).checkpoint(eager=True))
-        width = (width + fan_in - 1) // fan_in
     # down-sweep: the root of every long transcript enters with (0, 0)
     entry = levels[-1].select(key, "_node").distinct().select(
         key, "_node", F.lit(0).cast("long").alias("_c_in"), F.lit(0).cast("long").alias("_k_in")
     )
     for lvl in range(len(levels) - 2, -1, -1):
         entry = _down(levels[lvl], entry, key, key_type, fan_in, budget)
-    entry = entry.select(key, F.col("_node").alias("_frag"), "_c_in", "_k_in")
+    entry = entry.select(F.col(key).alias("_key"), F.col("_node").alias("_node_frag"), "_c_in", "_k_in")
 
-    rows = with_frag.join(entry, [key, "_frag"], "left").select(
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_frag") == F.col("_node_frag"))
+    rows = with_frag.join(entry, same, "left").select(
         *[F.col(c) for c in segments.columns],
         "_frag",
         F.coalesce("_c_in", F.lit(0).cast("long")).alias("_c_in"),

@@ -1,8 +1,8 @@
 """AGG-4 chunk payloads and AGG-5 / SET-1 recombination of enhanced chunks.
 
 Both aggregate in two levels so no transcript-wide list of segments is built:
-segments are collected per chunk (a chunk is bounded by the token budget), and
-only the chunk-level results are gathered per transcript.
+segments are collected per chunk (bounded by the token budget plus its segments
+without words), and only the chunk-level results are gathered per transcript.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def combine_chunks(enhanced: DataFrame, *, key: str = "transcript_id", ok: str |
     return agg.select(
         key,
         py_strip(F.array_join(F.transform("_c", lambda x: x["transcript"]), " ")).alias("transcript"),
-        F.flatten(F.transform("_c", lambda x: x["segments"])).alias("segments"),
+        F.flatten(F.filter(F.transform("_c", lambda x: x["segments"]), lambda s: s.isNotNull())).alias("segments"),
         F.col("n_chunks").cast("bigint").alias("n_chunks"),
     )
 

@@ -18,11 +18,14 @@ A hot transcript is split by its bins; AQE's skew-join splitting covers a hot bi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import word_count
 from parlance.functions.times import py_float
+from parlance.session import ensure_checkpoint_dir
 
 ITEM_TYPES = ("pronunciation", "punctuation")
 
@@ -31,6 +34,19 @@ def _valid_time(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
+def _finite(c: Column) -> Column:
+    return _valid_time(c) & (F.abs(c) != F.lit(float("inf")))
+
+
+def parsed_once(raw: DataFrame) -> DataFrame:
+    """Raw transcripts as a columnar table in the shared folder: the JSON is parsed once, and
+    segments, items and counts read the columns they need."""
+    spark = raw.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex[:12]}"
+    raw.write.parquet(path)
+    return spark.read.schema(raw.schema).parquet(path)
+
+
 def raw_segments_and_items(raw: DataFrame, key: str = "transcript_id"):
     """Explode D4 raw transcripts into D5 segments and D6 items (ordinals kept:
     ORD-1, array position is meaning, so every explode is a ``posexplode``).
@@ -80,7 +96,7 @@ def _bin_plan(segments: DataFrame, bin_s: float | None, fanout: int) -> tuple[fl
     segments; tiers then cover the longest segment.  The result does
     not depend on the width, only the amount of work does."""
     span = F.col("end_s") - F.col("start_s")
-    ok = _valid_time(F.col("start_s")) & _valid_time(F.col("end_s")) & (span >= 0)
+    ok = _finite(F.col("start_s")) & _finite(F.col("end_s")) & (span >= 0)
     row = segments.where(ok).agg(
         F.percentile_approx(span, 0.5, 1000).alias("med"), F.max(span).alias("mx")
     ).first()
@@ -114,12 +130,19 @@ def segment_text(
     Output: segment columns + ``text`` (contents in item order joined by one
     space, ``""`` when no item falls inside) + ``n_tokens``.
     """
-    if tiers is None or bin_s is None:
-        bin_s, tiers = _bin_plan(segments, bin_s, fanout)
     seg_cols = segments.columns
-    s = segments.select(
-        key, "seg_no", F.col("start_s").alias("_s"), F.col("end_s").alias("_e")
-    ).where(_valid_time(F.col("_s")) & _valid_time(F.col("_e")) & (F.col("_e") >= F.col("_s")))
+    timed = timed_items(items).select(key, "item_no", F.col("start_s").alias("_t"), "content")
+    finite_items = timed.where(_finite(F.col("_t")))
+    usable = segments.select(key, "seg_no", F.col("start_s").alias("_s"), F.col("end_s").alias("_e")).where(
+        _valid_time(F.col("_s")) & _valid_time(F.col("_e")) & (F.col("_e") >= F.col("_s"))
+    )
+    # an infinite end reaches to the last item of its transcript; bins need finite ends
+    endless = usable.where(~_finite(F.col("_s")) | ~_finite(F.col("_e")))
+    reach = finite_items.groupBy(key).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    clipped = endless.join(reach, key).select(key, "seg_no", F.greatest("_s", "_lo").alias("_s"), F.least("_e", F.col("_hi") + 1.0).alias("_e")).where("_e >= _s")
+    s = usable.where(_finite(F.col("_s")) & _finite(F.col("_e"))).union(clipped)
+    if tiers is None or bin_s is None:
+        bin_s, tiers = _bin_plan(s.select(F.col("_s").alias("start_s"), F.col("_e").alias("end_s")), bin_s, fanout)
     # tier: smallest with at most `fanout` bins
     span_bins = (F.col("_e") - F.col("_s")) / F.lit(bin_s)
     tier = F.least(
@@ -130,8 +153,7 @@ def segment_text(
     width = F.lit(bin_s) * F.pow(F.lit(float(fanout)), F.col("_tier"))
     s = s.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
 
-    it = timed_items(items).select(key, "item_no", F.col("start_s").alias("_t"), "content")
-    it = it.withColumn("_tier", F.explode(F.sequence(F.lit(0), F.lit(tiers - 1))))
+    it = finite_items.withColumn("_tier", F.explode(F.sequence(F.lit(0), F.lit(tiers - 1))))
     it = it.withColumn(
         "_bin", F.floor(F.col("_t") / (F.lit(bin_s) * F.pow(F.lit(float(fanout)), F.col("_tier"))))
     )
@@ -139,7 +161,10 @@ def segment_text(
         raise ValueError("closed must be 'both' or 'left'")
     upper = (F.col("_t") <= F.col("_e")) if closed == "both" else (F.col("_t") < F.col("_e"))
     pairs = s.join(it, [key, "_tier", "_bin"]).where((F.col("_s") <= F.col("_t")) & upper)
-    matched = pairs.select(key, "seg_no", F.struct("item_no", "content").alias("_it"))
+    # items at an infinite time can only lie in endless segments
+    far = endless.join(timed.where(~_finite(F.col("_t"))), key).where((F.col("_s") <= F.col("_t")) & upper)
+    columns = [key, "seg_no", F.struct("item_no", "content").alias("_it")]
+    matched = pairs.select(*columns).union(far.select(*columns))
 
     # one aggregation over segments + pairs: empty segments survive as "" and the
     # segment attributes ride along, so there is no join back

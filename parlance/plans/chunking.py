@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import NON_WS, WS
 from parlance.operators.packing import chunk_table, pack_chunks, token_counts
-from parlance.operators.recombine import chunk_payload, combine_chunks, echo_chunks
+from parlance.operators.recombine import chunk_payload, combine_chunks, combine_chunks_long, echo_chunks
 from parlance.plans.registry import query
 from parlance.sources.tables import conversation_segments
 
@@ -36,7 +36,7 @@ WITH RECURSIVE s AS (
 
 def _packed(spark, sf_dir, budget):
     segs = token_counts(conversation_segments(spark, sf_dir))
-    return pack_chunks(segs, budget, max_ordinal=None)
+    return pack_chunks(segs, budget)
 
 
 @query(
@@ -118,6 +118,19 @@ def q_combine_chunks(spark, sf_dir):
     )
 
 
+@query(
+    "combine_chunks_long",
+    packing_cte(60)
+    + """
+SELECT conv_id, chunk_no, (row_number() OVER (PARTITION BY conv_id, chunk_no ORDER BY turn) - 1)::BIGINT AS pos, role AS speaker, text
+FROM packed JOIN conversations USING (conv_id, turn, text)""",
+)
+def q_combine_chunks_long(spark, sf_dir):
+    """Recombination as ordered rows, with no list per transcript."""
+    rows = combine_chunks_long(echo_chunks(chunk_payload(_packed(spark, sf_dir, 60))))
+    return rows.select(F.col("transcript_id").alias("conv_id"), "chunk_no", "pos", "speaker", "text")
+
+
 def _enhance_oracle() -> str:
     from parlance.operators.entities import DEFAULT_CATALOGUE
 

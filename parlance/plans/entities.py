@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from parlance.operators.entities import (
     DEFAULT_CATALOGUE,
     case_header,
+    entities_from_gazetteer,
     entities_from_map,
     entity_map,
     entity_view,
@@ -62,12 +63,78 @@ def q_entities_extract(spark, sf_dir):
     return out.select(F.col("transcript_id").alias("doc_id"), "category", "cat_pos", "pos", "value")
 
 
+GAZETTEER_SQL = f"""gaz AS (
+  SELECT term, CASE length(term) % 14 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(ENTITY_CATEGORIES))} END AS category
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) WHERE length(term) >= 4)"""
+
+
+@query(
+    "entities_gazetteer",
+    f"""WITH {GAZETTEER_SQL},
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS value,
+             generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS place FROM documents),
+f AS (SELECT doc_id, lower(value) AS term, min(place) AS place, arg_min(value, place) AS value FROM w GROUP BY ALL)
+SELECT doc_id, category, (row_number() OVER (PARTITION BY doc_id, category ORDER BY place) - 1)::BIGINT AS pos, value
+FROM f JOIN gaz USING (term)""",
+)
+def q_entities_gazetteer(spark, sf_dir):
+    """UDF-3 by lookup: words of ``benchmark`` of four letters or more, their category by length, over all documents."""
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term")).distinct()
+    names = F.array(*[F.lit(c) for c in ENTITY_CATEGORIES])
+    gazetteer = terms.where(F.length("term") >= 4).select("term", F.get(names, F.length("term") % 14).alias("category"))
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("transcript_id"), "text"), "transcript_id")
+    out = entities_from_gazetteer(docs, gazetteer)
+    return out.select(F.col("transcript_id").alias("doc_id"), "category", "pos", "value")
+
+
+def judge_model_factory():
+    """Deterministic stand-in for the entity model: the first word of a text is the judge, words of ten
+    letters or more that begin with a capital are witnesses; a text with a bar gets no answer."""
+    import json
+    import re
+
+    def model(texts: list[str]) -> list:
+        out = []
+        for t in texts:
+            words = re.findall("[A-Za-z]+", t or "")
+            found = {"JUDGE": words[:1], "WITNESS": list(dict.fromkeys(w for w in words if len(w) >= 10 and w[0].isupper()))}
+            out.append(None if "|" in (t or "") else json.dumps({"entities": found}))
+        return out
+
+    return model
+
+
+@query(
+    "entities_model",
+    """WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+w AS (SELECT conv_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM t WHERE NOT contains(text, '|')),
+u AS (SELECT conv_id, unnest(ws) AS value, generate_subscripts(ws, 1) AS place FROM w),
+f AS (SELECT conv_id, value, min(place) AS place FROM u WHERE length(value) >= 10 AND regexp_matches(value, '^[A-Z]') GROUP BY ALL)
+SELECT conv_id, 'OK' AS status, 'JUDGE' AS category, 0::BIGINT AS pos, ws[1] AS value FROM w WHERE len(ws) > 0
+UNION ALL SELECT conv_id, 'OK', 'WITNESS', (row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1)::BIGINT, value FROM f
+UNION ALL SELECT conv_id, 'NER_FAILED', NULL, NULL, NULL FROM t WHERE contains(text, '|')""",
+)
+def q_entities_model(spark, sf_dir):
+    """UDF-3 through the whole pipeline: ``enhance`` with an entity model, its entities in long form,
+    and a row for every transcript the model failed on."""
+    from parlance.operators.enhance import enhance
+    from parlance.sources.tables import conversation_segments
+
+    docs = enhance(conversation_segments(spark, sf_dir), entity_model=judge_model_factory, budget=60).checkpoint(eager=True)
+    long = entities_from_map(docs).join(docs.select("transcript_id", "status"), "transcript_id")
+    failed = docs.where("status = 'NER_FAILED'").select("transcript_id", "status")
+    for c, kind in (("category", "string"), ("pos", "bigint"), ("value", "string")):
+        failed = failed.withColumn(c, F.lit(None).cast(kind))
+    out = long.select("transcript_id", "status", "category", "pos", "value").unionByName(failed)
+    return out.withColumnRenamed("transcript_id", "conv_id")
+
+
 # ---------------------------------------------------------------------------
 # entity long table from customer
 
 
 def _cap(c):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
 def customer_entities(spark, sf_dir):
@@ -157,7 +224,8 @@ SELECT transcript_id,
 FROM long GROUP BY transcript_id""",
 )
 def q_case_header(spark, sf_dir):
-    hdr = case_header(customer_entities(spark, sf_dir))
+    long = customer_entities(spark, sf_dir)
+    hdr = case_header(long, transcripts=long.select("transcript_id"))
     return hdr.select(
         "transcript_id", "case_number", "case_date",
         F.array_join("plaintiffs", "|").alias("plaintiffs"), F.array_join("defendants", "|").alias("defendants"),

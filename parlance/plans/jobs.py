@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators.jobs import latest_job_status, plan_job_starts, status_envelope, status_report, unwrap_envelope
+from parlance.operators.jobs import latest_job_status, plan_job_starts, plan_uploads, status_envelope, status_report, unwrap_envelope
 from parlance.operators.uploads import resolve_result_uri
 from parlance.plans.registry import query
+from parlance.schemas import JOB_FAILED_ERROR, MISSING_NAME_ERROR, NO_CONTENT_ERROR, NO_JOB_ERROR, NO_URI_ERROR
 from parlance.sources.tables import table
 
 STATUS_SQL = """CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'purchase' THEN 'COMPLETED'
@@ -75,6 +76,30 @@ def q_plan_job_starts(spark, sf_dir):
     )
 
 
+@query(
+    "plan_uploads",
+    f"""WITH {JOB_EVENTS_SQL},
+latest AS (SELECT job_name, arg_max_null(status, (ts, event_id)) AS prior_status FROM job_events GROUP BY job_name),
+u AS (SELECT c_custkey AS upload_id, CASE WHEN c_acctbal >= 0 THEN 'stt-u' || c_custkey END AS job_name,
+             TIMESTAMP '2024-06-01 12:00:00' AS ts FROM customer)
+SELECT upload_id, u.job_name, prior_status,
+       CASE WHEN prior_status IS NULL THEN 'start'
+            WHEN prior_status IN ('COMPLETED', 'FAILED') THEN 'delete_and_start' ELSE 'start_unique' END AS action,
+       CASE WHEN prior_status IS NULL OR prior_status IN ('COMPLETED', 'FAILED') THEN u.job_name
+            ELSE u.job_name || '-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || left(sha256(u.job_name || '|' || upload_id), 8) END
+         AS start_name
+FROM u LEFT JOIN latest USING (job_name)""",
+)
+def q_plan_uploads(spark, sf_dir):
+    """Uploads (customers; without a name when the balance is negative) against the latest job states."""
+    uploads = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("upload_id"),
+        F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("stt-u"), F.col("c_custkey").cast("string"))).alias("job_name"),
+        F.expr("TIMESTAMP_NTZ '2024-06-01 12:00:00'").alias("ts"),
+    )
+    return plan_uploads(uploads, latest_job_status(job_events(spark, sf_dir))).select("upload_id", "job_name", "prior_status", "action", "start_name")
+
+
 STATUS_REPORT_SQL = f"""WITH {JOB_EVENTS_SQL},
 latest AS (SELECT regexp_replace(job_name, '-[0-9]{14}-[0-9a-f]{8}$', '') AS job_name,
                   arg_max_null(status, (ts, event_id)) AS status, arg_max_null(uri, (ts, event_id)) AS uri
@@ -100,19 +125,18 @@ SELECT request_id, file_name,
             WHEN st = 'COMPLETED' AND NOT has THEN 'FAILED'
             WHEN st = 'COMPLETED' THEN 'COMPLETED'
             WHEN st IN ('QUEUED', 'IN_PROGRESS') THEN 'IN_PROGRESS' ELSE 'FAILED' END AS status,
-       CASE WHEN file_name IS NULL THEN 'Missing fileName parameter'
-            WHEN st IS NULL THEN 'Transcription job not found: ' || job_name
-            WHEN st = 'COMPLETED' AND uri IS NULL THEN 'TranscriptFileUri not found in completed job'
-            WHEN st = 'COMPLETED' AND NOT has THEN 'Failed to retrieve transcript content after multiple attempts'
+       CASE WHEN file_name IS NULL THEN '{MISSING_NAME_ERROR}'
+            WHEN st IS NULL THEN '{NO_JOB_ERROR}' || job_name
+            WHEN st = 'COMPLETED' AND uri IS NULL THEN '{NO_URI_ERROR}'
+            WHEN st = 'COMPLETED' AND NOT has THEN '{NO_CONTENT_ERROR}'
             WHEN st IN ('COMPLETED', 'QUEUED', 'IN_PROGRESS') THEN NULL
-            ELSE 'Transcription failed with status: ' || st END AS error,
+            ELSE '{JOB_FAILED_ERROR}' || st END AS error,
        CASE WHEN st = 'COMPLETED' AND uri IS NOT NULL AND has THEN transcript END AS result_transcript,
        coalesce(st = 'COMPLETED' AND uri IS NOT NULL AND has, false) AS has_result
 FROM j"""
 
 
-@query("status_report", STATUS_REPORT_SQL)
-def q_status_report(spark, sf_dir):
+def _status_report(spark, sf_dir):
     # looked up by base name, so restarted (suffixed) jobs are found as well
     latest = latest_job_status(job_events(spark, sf_dir), by_base=True)
     latest = resolve_result_uri(latest, "uri").select("job_name", "status", "uri", "result_key")
@@ -127,19 +151,23 @@ def q_status_report(spark, sf_dir):
         F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("u"), F.col("c_custkey").cast("string"))).alias("file_name"),
     )
-    out = status_report(req, latest, results)
-    return out.select("request_id", "file_name", "http_code", "status", "error", "result_transcript", "has_result")
+    return status_report(req, latest, results)
+
+
+@query("status_report", STATUS_REPORT_SQL)
+def q_status_report(spark, sf_dir):
+    return _status_report(spark, sf_dir).select("request_id", "file_name", "http_code", "status", "error", "result_transcript", "has_result")
 
 
 @query(
     "status_envelope",
     """WITH r AS (""" + STATUS_REPORT_SQL + """)
 SELECT request_id, http_code,
-       json_object('status', status, 'result', result_transcript, 'error', error)::VARCHAR AS body,
-       result_transcript AS unwrapped
+       json_object('status', status, 'result', CASE WHEN has_result THEN json_object('transcript', result_transcript) END, 'error', error)::VARCHAR AS body,
+       CASE WHEN has_result THEN json_object('transcript', result_transcript)::VARCHAR END AS unwrapped
 FROM r""",
 )
 def q_status_envelope(spark, sf_dir):
     """D11 body text per request and PRJ-14: the client unwraps ``result`` again."""
-    env = status_envelope(q_status_report(spark, sf_dir))
+    env = status_envelope(_status_report(spark, sf_dir))
     return env.select("request_id", "http_code", "body", unwrap_envelope("body").alias("unwrapped"))

@@ -2,10 +2,11 @@
 
 Stand-in for model responses: every ``events`` row is the response to one chunk
 (``user_id`` = transcript, ``event_id`` = chunk).  The body is a JSON object
-built from the row; the shape depends on ``event_id % 12``: plain JSON, a
+built from the row; the shape depends on ``event_id % 16``: plain JSON, a
 ```` ```json ```` fence, a bare fence, trailing text, a preamble before the fence,
-single quotes, or an empty string (11), so every cleaning rule is exercised on
-the whole table.
+single quotes, an empty string (11), missing or malformed segments (12, 13), two
+objects that close a list between them (14) and a body with entities (15), so every
+cleaning rule is exercised on the whole table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from parlance.sources.tables import conversation_segments, spread, table
 
 BODY_SQL = """'{"transcript": "' || event_type || ' ' || event_id || '", "segments": [{"timestamp": "' || event_id
   || '", "speaker": "spk_' || (user_id % 3) || '", "text": "' || event_type || '"}]}'"""
-RESPONSE_SQL = f"""CASE event_id % 12
+RESPONSE_SQL = f"""CASE event_id % 16
     WHEN 0 THEN {BODY_SQL}
     WHEN 1 THEN '```json' || chr(10) || {BODY_SQL} || chr(10) || '```'
     WHEN 2 THEN '```' || chr(10) || {BODY_SQL} || chr(10) || '```'
@@ -34,13 +35,17 @@ RESPONSE_SQL = f"""CASE event_id % 12
     WHEN 8 THEN '{{"segments": []}}'
     WHEN 9 THEN {BODY_SQL} || ', ' || {BODY_SQL}
     WHEN 10 THEN '```json' || chr(10) || {BODY_SQL}
-    ELSE '' END"""
+    WHEN 11 THEN ''
+    WHEN 12 THEN '{{"transcript": "no list"}}'
+    WHEN 13 THEN '{{"transcript": "no list", "segments": "none"}}'
+    WHEN 14 THEN {BODY_SQL} || '],[' || {BODY_SQL}
+    ELSE '{{"entities": {{"JUDGE": ["' || event_type || '", "' || user_id || '"]}}, "transcript": "t", "segments": []}}' END"""
 
 
 def responses(spark, sf_dir):
     ev = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id")
     # the body is built once, then shaped (keeps the generated code small)
-    with_body = ev.select("event_id", "user_id", F.expr(BODY_SQL).alias("body"))
+    with_body = ev.select("event_id", "user_id", "event_type", F.expr(BODY_SQL).alias("body"))
     shaped = RESPONSE_SQL.replace(BODY_SQL, "body").replace("chr(10)", "char(10)")
     return with_body.select("event_id", "user_id", F.expr(shaped).alias("response"))
 
@@ -65,9 +70,12 @@ c AS (
 SELECT event_id, user_id,
        CASE WHEN cleaned IS NULL THEN 'bad_fence'
             WHEN NOT valid THEN 'invalid_json'
-            WHEN json_extract_string(cleaned, '$.transcript') IS NULL THEN 'missing_transcript' END AS error,
+            WHEN json_extract_string(cleaned, '$.transcript') IS NULL THEN 'missing_transcript'
+            WHEN coalesce(json_type(cleaned, '$.segments'), '') <> 'ARRAY' THEN 'missing_segments' END AS error,
        CASE WHEN valid THEN json_extract_string(cleaned, '$.transcript') END AS transcript,
-       CASE WHEN valid THEN json_array_length(cleaned, '$.segments') END::BIGINT AS n_segments
+       CASE WHEN valid AND json_type(cleaned, '$.segments') = 'ARRAY' THEN json_array_length(cleaned, '$.segments') END::BIGINT AS n_segments,
+       CASE WHEN valid AND json_exists(cleaned, '$.entities.JUDGE')
+            THEN json_extract_string(cleaned, '$.entities.JUDGE[0]') || '|' || json_extract_string(cleaned, '$.entities.JUDGE[1]') ELSE '' END AS judges
 FROM v"""
 
 
@@ -75,7 +83,8 @@ FROM v"""
 def q_clean_model_output(spark, sf_dir):
     out = clean_model_output(responses(spark, sf_dir))
     return out.select(
-        "event_id", "user_id", "error", "transcript", F.size("segments").cast("bigint").alias("n_segments")
+        "event_id", "user_id", "error", "transcript", F.size("segments").cast("bigint").alias("n_segments"),
+        F.coalesce(F.array_join(F.try_element_at("entities", F.lit("JUDGE")), "|"), F.lit("")).alias("judges"),
     ).withColumn("n_segments", F.when(F.col("n_segments") >= 0, F.col("n_segments")))
 
 

@@ -1,12 +1,13 @@
-"""Queries: raw_transcript_read, sink_roundtrip, store_validation, list_audio.
+"""Queries: raw_transcript_read, sink_roundtrip, store_validation, start_records,
+enhance_raw_transcripts, pipeline_status, transcript_segment_rows.
 
 ``raw_transcript_read`` writes the ``events`` table as raw transcripts (JSON
 lines, one transcript per user and block of 100 event ids: signups are speaker
 segments 600 s long, every event an item) to the shared checkpoint folder, reads
 them back with the D4 schema and runs the interval join on them.
 ``sink_roundtrip`` writes ``conversations`` as enhanced transcripts to the
-partitioned result table twice (all partitions, then one partition again) and
-reads the table back.
+partitioned result table in two batches, writes one partition again and reads the
+table back.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.times import epoch_seconds
-from parlance.operators.segments import raw_segments_and_items, segment_text
+from parlance.operators.segments import parsed_once, raw_segments_and_items, segment_text
 from parlance.plans.registry import query
 from parlance.schemas import SEGMENT_STRUCT
 from parlance.sinks.results import store_validation, with_lineage, write_results
 from parlance.sources.tables import table
-from parlance.sources.transcripts import list_audio, read_enhanced, read_raw_transcripts
+from parlance.sources.transcripts import read_enhanced, read_job_events, read_raw_transcripts
 from parlance.streaming.flows import scratch_path
 
 SEG_LEN_S = 600.0
@@ -88,7 +89,7 @@ GROUP BY ev.transcript_id"""
 def q_raw_transcript_read(spark, sf_dir):
     path = scratch_path(spark, "raw_transcripts")
     _raw_docs(spark, sf_dir).write.mode("overwrite").json(path)
-    raw = read_raw_transcripts(spark, path, multi_line=False)
+    raw = parsed_once(read_raw_transcripts(spark, path, multi_line=False))
     segs, items = raw_segments_and_items(raw)
     texts = segment_text(segs.select("transcript_id", "seg_no", "start_s", "end_s"), items)
     words = texts.groupBy("transcript_id").agg(F.sum("n_tokens").cast("bigint").alias("n_words"))
@@ -140,9 +141,11 @@ FROM conversations GROUP BY conv_id""",
 def q_sink_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "enhanced")
     enhanced = _enhanced_from_conversations(spark, sf_dir)
-    write_results(enhanced, path)
-    # re-running one day replaces only that partition
-    write_results(enhanced.where(F.col("ingest_date") == F.lit("2024-01-01").cast("date")), path)
+    even = F.col("conv_id") % 2 == 0
+    # two batches of the same days, then one day of the first batch again
+    write_results(enhanced.where(even), path, batch="a")
+    write_results(enhanced.where(~even), path, batch="b")
+    write_results(enhanced.where(even & (F.col("ingest_date") == F.lit("2024-01-01").cast("date"))), path, batch="a")
     back = store_validation(read_enhanced(spark, path))
     return back.select(
         "conv_id", "ingest_date", F.size("segments").cast("bigint").alias("n_segments"),
@@ -179,13 +182,6 @@ def q_store_validation(spark, sf_dir):
     return store_validation(rows).select("doc_id", "reject_reason", "output_key")
 
 
-@query("list_audio")
-def q_list_audio(spark, sf_dir):
-    """Rows-only: one row per table file of the data folder (name, size, MIME)."""
-    files = list_audio(spark, sf_dir, glob="*.parquet")
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", "mime")
-
-
 RAW_BUDGET = 3
 
 
@@ -225,30 +221,98 @@ WITH RECURSIVE ev AS (
          regexp_replace(string_agg(st.text, ' ' ORDER BY r.seg_no), '^{WS}|{WS}$', '', 'g') AS transcript,
          count(*)::BIGINT AS n_segments, count(DISTINCT r.chunk_no)::BIGINT AS n_chunks
   FROM r JOIN st USING (transcript_id, seg_no) GROUP BY r.transcript_id
-)
-SELECT transcript_id, transcript, n_segments, n_chunks, 'OK' AS status, ({n_ent})::BIGINT AS n_entities,
-       CASE WHEN transcript = '' THEN 'missing_transcript' END AS reject_reason
-FROM t"""
+), docs AS (
+SELECT a.transcript_id, t.transcript, t.n_segments, coalesce(t.n_chunks, 0)::BIGINT AS n_chunks,
+       CASE WHEN t.transcript_id IS NULL THEN 'FAILED' ELSE 'OK' END AS status,
+       CASE WHEN t.transcript_id IS NULL THEN 0 ELSE {n_ent} END::BIGINT AS n_entities,
+       CASE WHEN t.transcript IS NULL OR t.transcript = '' THEN 'missing_transcript' END AS reject_reason,
+       CASE WHEN t.transcript <> '' THEN a.transcript_id || '_enhanced.json' END AS output_key
+FROM (SELECT DISTINCT transcript_id FROM ev) a LEFT JOIN t USING (transcript_id))"""
 
 
-@query("enhance_raw_transcripts", _raw_enhance_oracle())
-def q_enhance_raw_transcripts(spark, sf_dir):
+def _raw_enhanced(spark, sf_dir):
     """Entry point A from raw transcripts: JSON read (SRC-3) -> interval join and
     segment text (JOIN-1, AGG-1) -> packing (budget 3) -> echo model -> cleaning
-    -> recombination -> entities -> store validation."""
+    -> recombination -> entities -> store validation; one row per raw transcript."""
     from parlance.operators.enhance import enhance
 
     path = scratch_path(spark, "raw_transcripts")
     _raw_docs(spark, sf_dir).write.mode("overwrite").json(path)
-    raw = read_raw_transcripts(spark, path, multi_line=False)
+    raw = parsed_once(read_raw_transcripts(spark, path, multi_line=False))
     segs, items = raw_segments_and_items(raw)
-    texts = segment_text(segs.select("transcript_id", "seg_no", "timestamp", "speaker", "start_s", "end_s"), items)
-    doc = enhance(texts.select("transcript_id", "seg_no", "timestamp", "speaker", "text"), budget=RAW_BUDGET)
+    texts = segment_text(segs.select("transcript_id", "seg_no", "timestamp", "speaker", "start_s", "end_s", "reject_reason"), items)
+    places = raw.select("transcript_id", F.lit("media").alias("bucket"), F.concat("transcript_id", F.lit(".json")).alias("job_key"))
+    return enhance(texts.select("transcript_id", "seg_no", "timestamp", "speaker", "text", "reject_reason"), transcripts=places, budget=RAW_BUDGET)
+
+
+@query("enhance_raw_transcripts", _raw_enhance_oracle() + " SELECT * FROM docs")
+def q_enhance_raw_transcripts(spark, sf_dir):
     n_ent = F.aggregate(F.map_values("entities"), F.lit(0), lambda acc, v: acc + F.size(v)).cast("bigint")
-    return doc.select(
-        "transcript_id", "transcript", F.size("segments").cast("bigint").alias("n_segments"), "n_chunks", "status",
-        n_ent.alias("n_entities"), "reject_reason",
+    return _raw_enhanced(spark, sf_dir).select(
+        "transcript_id", "transcript", F.when(F.col("segments").isNotNull(), F.size("segments")).cast("bigint").alias("n_segments"), "n_chunks", "status",
+        n_ent.alias("n_entities"), "reject_reason", "output_key",
+    )
+
+
+@query(
+    "pipeline_status",
+    _raw_enhance_oracle()
+    + """
+SELECT transcript_id, CASE WHEN output_key IS NULL THEN 500 ELSE 200 END AS http_code,
+       CASE WHEN output_key IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status, output_key AS result_key,
+       CASE WHEN output_key IS NOT NULL THEN transcript END AS transcript,
+       CASE WHEN output_key IS NOT NULL THEN n_segments END AS n_segments,
+       CASE WHEN output_key IS NOT NULL THEN n_entities END AS n_entities
+FROM docs""",
+)
+def q_pipeline_status(spark, sf_dir):
+    """Both entry points on one another: raw JSON -> enhance -> result table -> read by key -> status
+    answers with the whole document, for every transcript."""
+    from parlance.operators.jobs import status_report
+    from parlance.operators.uploads import resolve_result_uri
+
+    path = scratch_path(spark, "results")
+    docs = _raw_enhanced(spark, sf_dir).withColumn("ingest_date", F.lit("2024-01-01").cast("date"))
+    write_results(docs.where(F.col("reject_reason").isNull()), path)
+    results = read_enhanced(spark, path)
+    ev = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("stt-u"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("event_id") / 100).cast("string")).alias("job_name")
+    ).distinct()
+    latest = resolve_result_uri(
+        ev.select("job_name", F.lit("COMPLETED").alias("status"), F.concat(F.lit("https://store.example.com/media/"), "job_name", F.lit(".json")).alias("uri")), "uri"
+    ).select("job_name", "status", "uri", "result_key")
+    report = status_report(ev.select(F.substr("job_name", F.lit(5)).alias("file_name")), latest, results)
+    n_ent = F.aggregate(F.map_values("result.entities"), F.lit(0), lambda acc, v: acc + F.size(v)).cast("bigint")
+    return report.select(
+        F.concat(F.lit("stt-"), "file_name").alias("transcript_id"), "http_code", "status",
+        F.replace(F.col("result.s3.transcriptionJobName"), F.lit(".json"), F.lit("_enhanced.json")).alias("result_key"),
+        F.col("result.transcript").alias("transcript"), F.when(F.col("has_result"), F.size("result.segments")).cast("bigint").alias("n_segments"),
+        F.when(F.col("has_result"), n_ent).alias("n_entities"),
+    )
+
+
+@query(
+    "start_records",
+    """SELECT 'stt-o' || o_custkey AS job_name, 'QUEUED' AS status, count(*)::BIGINT AS n_events, max(o_orderkey) AS last_event
+FROM orders GROUP BY o_custkey""",
+)
+def q_start_records(spark, sf_dir):
+    """SNK-2 -> SRC-5 -> AGG-7: every order is a submission (upload id = order key); start records
+    are appended in two writes, read back as the job log and reduced to the latest state per job."""
+    from parlance.operators.jobs import latest_job_status
+    from parlance.sinks.results import write_start_records
+
+    path = scratch_path(spark, "job_events")
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("stt-o"), F.col("o_custkey").cast("string")).alias("job_name"), F.col("o_orderkey").cast("bigint").alias("event_id")
     )
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    even = F.col("event_id") % 2 == 0
+    write_start_records(orders.where(even), path, ts=at)
+    write_start_records(orders.where(~even), path, ts=at)
+    events = read_job_events(spark, path)
+    latest = latest_job_status(events).select("job_name", "status", "n_events")
+    return latest.join(events.groupBy("job_name").agg(F.max("event_id").alias("last_event")), "job_name")
 
 
 @query(

@@ -92,7 +92,7 @@ FROM job_events GROUP BY job_name""",
 )
 def q_stream_latest_status(spark, sf_dir):
     latest = latest_status_stream(job_event_stream(spark, sf_dir))
-    out = run_to_table(latest, spark, "stream_latest_status", mode="complete", state_partitions=_cores(spark))
+    out = run_to_table(latest, spark, "stream_latest_status", mode="update", key=["job_name"], state_partitions=_cores(spark))
     return out.withColumn("last_ts", instant_to_ntz("last_ts"))
 
 

@@ -31,7 +31,7 @@ ENHANCED_DDL = (
 )
 
 # D3 job events
-JOB_EVENT_DDL = "job_name string, status string, ts timestamp, uri string"
+JOB_EVENT_DDL = "job_name string, status string, ts timestamp, event_id bigint, uri string"
 
 # ---------------------------------------------------------------------------
 # Job states.
@@ -45,6 +45,13 @@ MAX_SPEAKERS = 10
 LANGUAGE_CODE = "en-US"
 JOB_PREFIX = "stt-"
 
+# Error texts of the status lookup.
+MISSING_NAME_ERROR = "Missing fileName parameter"
+NO_JOB_ERROR = "Transcription job not found: "
+NO_URI_ERROR = "Unexpected error: TranscriptFileUri not found in completed job"
+NO_CONTENT_ERROR = "Failed to retrieve transcript content after multiple attempts"
+JOB_FAILED_ERROR = "Transcription failed with status: "
+
 # Entity categories, in the order the extractor reports them.
 ENTITY_CATEGORIES = (
     "ATTORNEY", "PLAINTIFF", "DEFENDANT", "JUDGE", "WITNESS", "EXPERT", "COMPANY",

@@ -61,15 +61,21 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not current:
-        current = tempfile.mkdtemp(prefix="parlance-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    """The shared checkpoint folder: the one set with ``setCheckpointDir``, else the
+    one ``spark.checkpoint.dir`` names.  Only a local session gets a folder of its
+    own if neither is set; on a cluster that is an error, since other machines
+    could not read it."""
+    sc = spark.sparkContext
+    own, named = sc.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)
+    if own:
+        return own
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="parlance-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    sc.setCheckpointDir(named)
+    return named
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

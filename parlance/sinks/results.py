@@ -7,7 +7,7 @@ exactly the partitions it produced and never duplicates rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.keys import enhanced_key
@@ -41,16 +41,30 @@ def store_validation(df: DataFrame) -> DataFrame:
     )
 
 
-def write_results(df: DataFrame, path: str, partition_col: str = "ingest_date") -> None:
-    """SNK-1: idempotent write of enhanced results (dynamic partition overwrite)."""
+def write_results(df: DataFrame, path: str, partition_col: str = "ingest_date", batch: str = "0") -> None:
+    """SNK-1: idempotent write of one batch of enhanced results.  The table is partitioned by
+    day and ``batch``: writing a batch again replaces exactly its partitions, and
+    another batch of the same day stays beside it.  ``read_results`` lets the batch that
+    sorts last win per key (name batches so that they sort, e.g. by time)."""
     (
-        df.write.mode("overwrite")
+        df.withColumn("batch", F.lit(batch))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_col)
+        .partitionBy(partition_col, "batch")
         .parquet(path)
     )
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-4/6: the results as stored, one row per result key: of a key written by several
+    batches the row of the last batch.  Adds ``result_key`` (as JOIN-2 derives it).
+    Rows without a key (rejected ones) are left out."""
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("batch", F.col("batch").cast("string"))
+    rows = rows.withColumn("result_key", enhanced_key(F.col("s3.transcriptionJobName"))).where(F.col("result_key").isNotNull())
+    newest = rows.groupBy("result_key").agg(F.max("batch").alias("batch"))  # keys and batches only
+    return rows.join(newest, ["result_key", "batch"]).dropDuplicates(["result_key"])
+
+
 def export_json(df: DataFrame, path: str, partition_col: str | None = "ingest_date") -> None:
     """SNK-1 optional export: JSON lines of D10 documents (one line per transcript),
     partitioned like the table; written by the executors, never via the driver."""
@@ -60,12 +74,16 @@ def export_json(df: DataFrame, path: str, partition_col: str | None = "ingest_da
     w.option("ignoreNullFields", "false").json(path)
 
 
-def write_start_records(uploads: DataFrame, path: str) -> None:
-    """SNK-2: append a QUEUED job event per accepted upload."""
-    (
-        uploads.select(
-            "job_name", F.lit("QUEUED").alias("status"), F.current_timestamp().alias("ts"), F.lit(None).cast("string").alias("uri")
-        )
-        .write.mode("append")
-        .parquet(path)
+def start_records(uploads: DataFrame, ts=None) -> DataFrame:
+    """SNK-2 rows: a QUEUED job event per accepted upload (job_name and, if there, event_id);
+    without an event_id one is derived from the job and the time, the same for a retried task."""
+    when = F.current_timestamp() if ts is None else ts
+    event_id = F.col("event_id") if "event_id" in uploads.columns else F.xxhash64(F.col("job_name"), when)
+    return uploads.select(
+        "job_name", F.lit("QUEUED").alias("status"), when.alias("ts"), event_id.cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("uri")
     )
+
+
+def write_start_records(uploads: DataFrame, path: str, ts=None) -> None:
+    """SNK-2: append the start records to the job event log (SRC-5 reads it back)."""
+    start_records(uploads, ts).write.mode("append").parquet(path)

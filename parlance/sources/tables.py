@@ -16,14 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition on ``keys`` only when the scan yields fewer partitions than
-    the cluster can run at once (e.g. one large row group feeding CPU-heavy regex
-    or JSON work).  At scale the scan is already wide and this is a no-op; hashing
-    on a key (not round-robin) keeps retried tasks deterministic."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys)
+    """Hash-repartition on ``keys`` before CPU-heavy work: asked for by queries over the driver
+    tables, which are files of one row group each and would otherwise be one task.  It is
+    always done, so the plan does not depend on the size; hashing on a key (not
+    round-robin) keeps retried tasks deterministic.  Leave it out for tables of many row groups."""
+    return df.repartition(*keys)
 
 
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

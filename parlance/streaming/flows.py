@@ -2,9 +2,9 @@
 
 Every flow is a function from a streaming DataFrame to a streaming DataFrame;
 ``run_to_table`` drives one with ``trigger(availableNow=True)`` into a Parquet
-table under the shared checkpoint folder (file sink or ``foreachBatch`` with an
-idempotent overwrite), so a bounded run is exactly-once and restartable, and
-nothing is collected on the driver.
+table (file sink or ``foreachBatch`` with an idempotent overwrite).  Given the same
+folder again it goes on from its checkpoint, so runs are exactly-once and
+restartable, and nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.uploads import derive_job_keys, validate_uploads
@@ -27,41 +28,55 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def run_to_table(
-    sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append", state_partitions: int | None = None
+    sdf: DataFrame, spark: SparkSession, name: str, mode: str = "append", state_partitions: int | None = None,
+    key: list[str] | None = None, path: str | None = None,
 ) -> DataFrame:
-    """Run a stream to completion (availableNow) and return the written table.
+    """Run a stream over all that is there now (availableNow) and return the written table.
+
+    ``path`` holds the table and the checkpoint; calling again with the same path goes on
+    where the last run ended (default: a new folder, for one run).  ``append`` uses the
+    file sink, ``complete`` overwrites the table with each batch's whole result.
+    ``update`` needs ``key``: each batch's changed rows are stored under its batch id (a
+    repeated batch replaces itself), and of each key the row of the last batch counts.
 
     ``state_partitions`` chooses the number of state-store partitions of the
     stream's stateful operators; it is recorded in the checkpoint at the first
     batch and cannot change afterwards, so it is a per-stream decision (default:
     the session's ``spark.sql.shuffle.partitions``)."""
-    key = "spark.sql.shuffle.partitions"
-    previous = spark.conf.get(key)
+    if mode == "update" and not key:
+        raise ValueError("update needs the key columns of the result")
+    setting = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(setting)
     if state_partitions:
-        spark.conf.set(key, str(int(state_partitions)))
+        spark.conf.set(setting, str(int(state_partitions)))
     try:
-        return _run(sdf, spark, name, mode)
+        return _run(sdf, spark, mode, key, path or scratch_path(spark, name))
     finally:
-        spark.conf.set(key, previous)
+        spark.conf.set(setting, previous)
 
 
-def _run(sdf: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFrame:
-    out = scratch_path(spark, name)
-    ckpt = f"{out}/_checkpoint"
+def _run(sdf: DataFrame, spark: SparkSession, mode: str, key: list[str] | None, out: str) -> DataFrame:
     data = f"{out}/data"
     if mode == "append":
-        q = sdf.writeStream.format("parquet").option("path", data).option("checkpointLocation", ckpt)
+        q = sdf.writeStream.format("parquet").option("path", data)
+    elif mode == "complete":
+        q = sdf.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(data))
     else:
-        # complete/update results: each micro-batch rewrites the table (idempotent by batch)
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(data)
 
-        q = sdf.writeStream.foreachBatch(write).option("checkpointLocation", ckpt)
-    q = q.outputMode(mode).trigger(availableNow=True).start()
+        def store(batch: DataFrame, batch_id: int) -> None:
+            stored = batch.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+            stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(data)
+
+        q = sdf.writeStream.foreachBatch(store)
+    q = q.option("checkpointLocation", f"{out}/_checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema(sdf.schema).parquet(data)
+    if mode != "update":
+        return spark.read.schema(sdf.schema).parquet(data)
+    rows = spark.read.schema(T.StructType([*sdf.schema.fields, T.StructField("_batch", T.LongType())])).parquet(data)
+    last = rows.groupBy(*key).agg(F.max("_batch").alias("_batch"))
+    return rows.join(last, [*key, "_batch"]).select(*sdf.columns)
 
 
 # ---------------------------------------------------------------------------
@@ -117,11 +132,13 @@ TIMEOUT_OUT_SCHEMA = "job_name string, outcome string, decided_at timestamp"
 TIMEOUT_STATE_SCHEMA = "first_us long, done boolean"
 
 
-def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour", job: str = "job_name") -> DataFrame:
+def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour", job: str = "job_name", keep_s: int = 7 * 86_400) -> DataFrame:
     """Per job: the first terminal status reached within ``limit_s`` of the job's
     first event, else ``TIMED_OUT`` (decided at the deadline) -- at once when a
     late terminal event shows the deadline passed, or when the watermark passes
-    the deadline.
+    the deadline (also when a job speaks only after that).  A decided job is remembered
+    until the watermark is ``keep_s`` seconds beyond its deadline, so later events do
+    not decide it again; events later than that start a new job.
 
     The state per job is two values; group rows arrive as an iterator of Arrow
     chunks and are folded one chunk at a time, so a busy job never has to fit in
@@ -134,13 +151,21 @@ def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour"
         return pd.DataFrame({"job_name": [name], "outcome": [outcome],
                              "decided_at": [pd.Timestamp(int(when_us), unit="us", tz="UTC")]})
 
+    def remember(state: GroupState, first_us: int, done: bool) -> None:
+        # a timeout must lie beyond the watermark
+        deadline = (first_us + limit_us) // 1000
+        state.update((first_us, done))
+        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs()) + int(keep_s) * 1000 + 1 if done else deadline)
+
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (name,) = key
         if state.hasTimedOut:
             first_us, done = state.get
-            state.remove()
-            if not done:
-                yield out(name, "TIMED_OUT", first_us + limit_us)
+            if done:
+                state.remove()
+                return
+            yield out(name, "TIMED_OUT", first_us + limit_us)
+            remember(state, first_us, True)
             return
         first_us, done = state.get if state.exists else (None, False)
         best = None  # (us, status) of the earliest terminal event in this batch
@@ -160,8 +185,10 @@ def job_timeout_stream(events: DataFrame, limit_s: int, *, delay: str = "1 hour"
                 yield out(name, best[1], best[0])
             else:
                 yield out(name, "TIMED_OUT", first_us + limit_us)
-        state.update((first_us, done))
-        state.setTimeoutTimestamp((first_us + limit_us) // 1000)
+        if not done and (first_us + limit_us) // 1000 <= state.getCurrentWatermarkMs():
+            done = True
+            yield out(name, "TIMED_OUT", first_us + limit_us)
+        remember(state, first_us, done)
 
     return (
         events.withWatermark("ts", delay)

@@ -104,11 +104,12 @@ def test_dynamic_overwrite_and_start_records(spark):
 
 
 def test_status_envelope(spark):
-    df = spark.createDataFrame([("COMPLETED", "text", None), ("IN_PROGRESS", None, None)],
-                               "status string, result_transcript string, error string")
+    df = spark.createDataFrame([("COMPLETED", ("text", ["a"]), None), ("IN_PROGRESS", None, None)],
+                               "status string, result struct<transcript:string,segments:array<string>>, error string")
     env = status_envelope(df).select("body", unwrap_envelope("body").alias("r")).collect()
-    assert json.loads(env[0].body) == {"status": "COMPLETED", "result": "text", "error": None}
-    assert env[0].r == "text" and env[1].r is None
+    document = {"transcript": "text", "segments": ["a"]}
+    assert json.loads(env[0].body) == {"status": "COMPLETED", "result": document, "error": None}
+    assert json.loads(env[0].r) == document and env[1].r is None
 
 
 def test_packing_invariant_to_partitioning_and_input_order(spark):
@@ -125,14 +126,29 @@ def test_packing_invariant_to_partitioning_and_input_order(spark):
 
 def test_result_table_partition_pruning(spark):
     d = tempfile.mkdtemp(prefix="parlance-prune-")
-    df = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1}") for i in range(9)], "id long, ingest_date string")
+    df = spark.createDataFrame(
+        [(i, f"2024-01-0{i % 3 + 1}", ("b", f"stt-{i}.json")) for i in range(9)],
+        "id long, ingest_date string, s3 struct<transcriptionOutputBucket:string,transcriptionJobName:string>",
+    )
     write_results(df, d)
-    q = read_enhanced(spark, d).where(F.col("ingest_date") == "2024-01-02").select("id")
+    q = spark.read.parquet(d).where(F.col("ingest_date") == "2024-01-02").select("id")
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingest_date" in plan and "2024-01-02" in plan
     assert sorted(r.id for r in q.collect()) == [1, 4, 7]
 
 
+def test_batches_of_one_day_stay_and_the_last_one_wins_per_key(spark):
+    d = tempfile.mkdtemp(prefix="parlance-batches-")
+    ddl = "id long, note string, ingest_date string, s3 struct<transcriptionOutputBucket:string,transcriptionJobName:string>"
+    rows = lambda ids, note: spark.createDataFrame([(i, note, "2024-01-01", ("b", f"stt-{i}.json")) for i in ids], ddl)
+    write_results(rows([1, 2], "first"), d, batch="001")
+    write_results(rows([3], "second"), d, batch="002")
+    write_results(rows([2], "third"), d, batch="003")
+    write_results(rows([2], "third again"), d, batch="003")
+    got = {r.id: (r.note, r.result_key) for r in read_enhanced(spark, d).collect()}
+    assert got == {1: ("first", "stt-1_enhanced.json"), 2: ("third again", "stt-2_enhanced.json"), 3: ("second", "stt-3_enhanced.json")}
+
+
 def test_notification_url_decoding_option(spark):
     d = tempfile.mkdtemp(prefix="parlance-notes-dec-")
     doc = {"Records": [{"s3": {"bucket": {"name": "b"}, "object": {"key": "My+File%281%29.mp3"}}},

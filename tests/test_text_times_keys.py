@@ -25,7 +25,8 @@ def test_word_count_and_strip_match_python(spark):
 @pytest.mark.parametrize(
     "raw,expected",
     [("564.799", "[00:09:24]"), ("3600", "[01:00:00]"), ("360000.5", "[100:00:00]"), ("59.999", "[00:00:59]"),
-     ("abc", None), ("12.5s", "[00:00:12]"), (" 7", "[00:00:07]"), ("-1", "[-1:-1:-1]"), ("1e300", None),
+     ("abc", None), ("12.5s", "[00:00:12]"), (" 7", "[00:00:07]"), ("-1", "[-1:-1:-1]"), ("1e300", f"[2.777777777777778e+296:{int(1e300 % 3600 // 60):02d}:{int(1e300 % 60):02d}]"),
+     ("1e20", f"[27777777777777776:{int(1e20 % 3600 // 60):02d}:{int(1e20 % 60):02d}]"),
      ("Infinity", None)],
 )
 def test_hms(spark, raw, expected):
