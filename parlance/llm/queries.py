@@ -43,7 +43,7 @@ def op4_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_winnowed_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,13 @@ sequence if it is shorter).  Documents link when ``den * |A & B| >= num * |A | B
 * ``x`` is the boundary with the least cost: subsets enumerated below it against list
   entries scanned above it, both from the sizes of all sets.
 
-Lists are not expanded into pairs.  Each is first scanned once, comparing an entry with
-the first of its block; verified links merge entries into components, and only then are
-entries compared with entries of other components of their list, the largest component
-of a list never with itself.  What that leaves out joins documents that are connected
-already, so components are exact and a group of copies costs as many pairs as it has
-members.  Links are verified on whole sets.
+Lists are not expanded into pairs.  A scan compares each entry with its neighbours, in an
+order that differs from list to list, and verified links merge entries into components.
+After a few scans (only over lists that still hold several components) entries are
+compared with all entries of other components of their list, the largest component of a
+list never with itself.  What that leaves out joins documents that are connected
+already, so components are exact and a group of copies costs about as many pairs as it
+has list entries.  Links are verified on whole sets.
 
 Defined results: documents without words have no shingles and link with nothing; a row
 with a null id keeps its size, links with nothing and gets a null component; repeated
@@ -35,10 +36,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import written
+from parlance.llm.common import free_name, written
 from parlance.llm.words import NOT_SPACE, Words, buffer_of, find_words, mix64, parts, shingles
 
 #: Counters of the frequency sketch: 8 MiB on every task.
@@ -46,8 +47,10 @@ COUNTERS = 1 << 21
 _SLICES = 1024
 #: The boundary between light and heavy sets is at most this; whole light sets are kept up to here.
 MAX_LIGHT = 24
-#: Entries of a list that are compared with the first of them in the first scan.
-BLOCK = 256
+#: Scans of the lists: all but the last compare neighbours only, the last all entries of different components.
+SCANS = 3
+#: 64-bit words of a set's parity bitmap: bits that differ between two sets are shingles that only one of them has.
+PARITY = 8
 #: Bits of the bitmap of nodes whose sets are needed for verification: 4 MiB on every task.
 BITS = 1 << 25
 _BITMAP = 1 << 15
@@ -123,12 +126,13 @@ def _slices(by: dict[int, np.ndarray], kind: type) -> pa.RecordBatch:
 
 
 def _summaries(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sig (digest of the whole set), tokens (rarest first: the listed ones, all of a light set)
-    and scan (entries the lists of the listed ones may have)."""
+    """doc_id, text_md5, n, sig (digest of the whole set), tokens (rarest first: the listed ones, all of a light set)
+    scan (entries the lists of the listed ones may have), bits (of each of 64 * PARITY hash classes, whether an
+    odd number of shingles is in it) and wide (the same in more classes for a large set, else empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, sigs, tokens, scans, sizes = [], [], [], [], [0]
+            ns, sigs, tokens, scans, sizes, bits, wides = [], [], [], [], [0], [], []
             for _, s in _sets(batch, k):
                 n = len(s)
                 ns.append(n)
@@ -136,17 +140,20 @@ def _summaries(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int)
                 often = sketch[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 order = np.argsort(often, kind="stable")  # ties by hash, since the set is sorted
                 own = listed(n, num, den) if n else 0
+                wide = _parity(s)
+                bits.append(_folded(wide, PARITY))
+                wides.append(wide if len(wide) > PARITY else wide[:0])
                 scans.append(int(often[order[:own]].sum()))
                 tokens.append(s[order[: max(own, n if n <= MAX_LIGHT else 0)]])
                 sizes.append(sizes[-1] + len(tokens[-1]))
             flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)), pa.array(scans, pa.int64())],
-                ["doc_id", "n", "sig", "tokens", "scan"],
+                [batch.column("doc_id"), batch.column("text_md5"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)), pa.array(scans, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64()))],
+                ["doc_id", "text_md5", "n", "sig", "tokens", "scan", "bits", "wide"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sig binary, tokens array<bigint>, scan bigint")
+    return docs.select("doc_id", F.md5("text").alias("text_md5"), "text").mapInArrow(run, f"doc_id {kind}, text_md5 string, n bigint, sig binary, tokens array<bigint>, scan bigint, bits array<bigint>, wide array<bigint>")
 
 
 def boundary(nodes: DataFrame, num: int, den: int) -> int:
@@ -201,40 +208,81 @@ def _possible(n_a, n_b, at_a, at_b, num: int, den: int):
     return fits & ((num + den) * most >= num * (n_a + n_b))
 
 
-def _scan_lists(num: int, den: int):
-    """Over entries sorted by token and size: keeps lists of two or more (kind 0), and pairs each entry with
-    the first of its block (kind 1).  A list cut by a batch is kept, its pairs come later."""
+def _scan_lists(num: int, den: int, keep: bool):
+    """Over entries (token, node, n, at, comp) sorted by token: the pairs (node, other) of neighbours in a list that
+    are in different components and may link; with ``keep`` also, with null ``other``, the entries of lists of two
+    or more.  A list cut by a batch is kept."""
+    names = ["token", "node", "n", "at", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, node, n, at = (batch.column(c).to_numpy() for c in ("token", "node", "n", "at"))
+            token, node, n, at, comp = (batch.column(c).to_numpy() for c in ("token", "node", "n", "at", "comp"))
             if not len(token):
                 continue
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(token)))
-            keep = np.repeat(size > 1, size)
-            keep[: size[0]] = keep[len(token) - size[-1] :] = True
-            empty = pa.nulls(int(keep.sum()), pa.int64())
-            kept = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("token").filter(kept), batch.column("node").filter(kept), batch.column("n").filter(kept), batch.column("at").filter(kept), empty], ["token", "node", "n", "at", "other"])
-            i = np.arange(len(token))
-            begin = np.repeat(start, size)
-            rel = i - begin
-            head = begin + np.where(rel % BLOCK == 0, np.maximum(rel - BLOCK, 0), rel - rel % BLOCK)
-            near = den * n[head] < num * n  # the first is too small: take the one before
-            head[near] = np.maximum(i[near] - 1, begin[near])
-            ok = (head != i) & _possible(n[head], n, at[head], at, num, den) & (node[head] != node)
-            a, b = np.minimum(node[head], node)[ok], np.maximum(node[head], node)[ok]
-            if len(a):
-                pair = np.unique(np.stack([a, b], 1), axis=0)
+            same = token[1:] == token[:-1]
+            if keep:
+                listed_ = np.zeros(len(token), bool)
+                listed_[1:] |= same
+                listed_[:-1] |= same
+                listed_[0] = listed_[-1] = True
+                kept = pa.array(listed_)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(kept) for c in names[:4]), pa.nulls(int(listed_.sum()), pa.int64())], names)
+            i = np.flatnonzero(same & (comp[1:] != comp[:-1]))
+            i = i[_possible(n[i], n[i + 1], at[i], at[i + 1], num, den)]
+            if len(i):
+                pair = np.unique(np.stack([np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])], 1), axis=0)
                 gone = pa.nulls(len(pair), pa.int64())
-                yield pa.RecordBatch.from_arrays([gone, pa.array(pair[:, 0]), gone, gone, pa.array(pair[:, 1])], ["token", "node", "n", "at", "other"])
+                yield pa.RecordBatch.from_arrays([gone, pa.array(pair[:, 0]), gone, gone, pa.array(pair[:, 1])], names)
 
     return run
 
 
+def _neighbours(entries: DataFrame, seed: int, num: int, den: int, keep: bool = False) -> DataFrame:
+    """``_scan_lists`` over lists in an order that differs from list to list and by ``seed``, so that an entry
+    meets other neighbours in each of its lists.  A range partitioning splits long lists."""
+    order = F.pmod(F.xxhash64(F.lit(seed), "token", "node"), F.lit(1 << 16))
+    dealt = entries.withColumn("order", order).repartitionByRange("token", "order", "node").sortWithinPartitions("token", "order", "node")
+    return dealt.select("token", "node", "n", "at", "comp").mapInArrow(_scan_lists(num, den, keep), "token bigint, node bigint, n bigint, at bigint, other bigint")
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set as 64-bit words: PARITY of them for up to 128 * PARITY shingles, twice as many for twice as many."""
+    words = PARITY
+    while 128 * words < len(s):
+        words *= 2
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap in fewer words."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _near_wide(num: int, den: int):
+    """Keeps pairs that may link by the wide bitmaps of large sets (the larger of two widths folded to the smaller)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).tolist()
+            keep = []
+            for total, x, y in zip(both, batch.column("wide_a"), batch.column("wide_b")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                words = min(len(x), len(y))
+                apart = int(np.unpackbits((_folded(x, words) ^ _folded(y, words)).view(np.uint8)).sum()) if words else 0
+                keep.append((num + den) * (total - apart) >= 2 * num * total)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _near_bits(num: int, den: int) -> Column:
+    """Whether sets can link whose parity bitmaps are ``bits_a`` and ``bits_b``: every bit that differs is a shingle not shared."""
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(PARITY)), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    return (num + den) * (both - apart) >= 2 * num * both
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Bitmap of BITS bits of the hashes ``h`` of ``ids``, gathered as BITS / 32768 rows at most."""
     bit = F.pmod("h", F.lit(BITS))
@@ -285,6 +333,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs that link: by their bitmaps they may, and by the whole sets of their nodes they do."""
+    bits = nodes.select("node", "n", "bits")
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    pairs = pairs.where(_near_bits(num, den)).select("a", "b", "n_a", "n_b")
+    wide = nodes.select("node", "wide")
+    for side in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("node").alias(side), F.col("wide").alias(f"wide_{side}")), side)
+    pairs = written(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(_near_wide(num, den), "a bigint, b bigint"), "pairs")
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = written(_whole_sets(docs, nodes.select("node", "rep", "sig").join(needed, "node"), k), "whole")
+    return _verify(pairs, sets, num, den)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) for every node of ``links`` (a, b).
 
@@ -312,25 +375,42 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("comp")) if comp is None else comp
 
 
-def _across(entries: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that share a listed shingle, may link, and are in different components."""
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (node, comp) after ``links`` (a, b) are added."""
+    u, v = comp.select(F.col("node").alias("a"), F.col("comp").alias("u")), comp.select(F.col("node").alias("b"), F.col("comp").alias("v"))
+    between = links.join(u, "a", "left").join(v, "b", "left").select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")).where("a <> b").distinct()
+    upper = components(between)
+    new = upper.join(comp.select("node"), "node", "left_anti")
+    top = upper.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return written(comp.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")).union(new), "components")
+
+
+def _unsettled(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries, with their components, of lists that hold more than one component."""
     entries = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return entries.join(mixed, "token")
+
+
+def _across(entries: DataFrame, comp: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that share a listed shingle, may link by sizes, places and ``bits`` (node, bits), and are in different components."""
+    entries = _unsettled(entries, comp)
     per = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    lists = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    entries = entries.join(lists, "token")
-    b = entries.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("main_b"))
-    a = entries.where("comp <> main").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"))
+    main = per.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
+    entries = entries.join(main, "token").join(bits, "node")
+    b = entries.select("token", F.col("bits").alias("bits_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("main_b"))
+    a = entries.where("comp <> main").select("token", F.col("bits").alias("bits_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"))
     met = a.join(b, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("main_b") | (F.col("a") < F.col("b"))))
-    met = met.where(_possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), num, den))
+    met = met.where(_possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b"), num, den) & _near_bits(num, den))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= num / den), one row per row."""
+    """doc_id, text_md5, n_shingles, component_id (smallest doc_id reachable by links of Jaccard >= num / den), one row per row."""
     summaries = written(_summaries(docs, frequency_sketch(docs, k), k, num, den), "sets")
     nodes = written(
         summaries.where("doc_id is not null and n > 0")
-        .groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("scan").alias("scan"))
+        .groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("scan").alias("scan"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -338,31 +418,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     entries = (
         nodes.where(F.floor(F.col("n") * den / num) > x)
         .select("node", "n", F.posexplode(F.expr(f"slice(tokens, 1, cast(n - ceil({num} * n / {den}) + 1 as int))")).alias("at", "token"))
-        .select("token", "node", "n", F.col("at").cast("bigint").alias("at"))
-        .repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
+        .select("token", "node", "n", F.col("at").cast("bigint").alias("at"), F.col("node").alias("comp"))
     )
-    scanned = written(entries.mapInArrow(_scan_lists(num, den), "token bigint, node bigint, n bigint, at bigint, other bigint"), "lists")
-    pairs = scanned.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    scanned = written(_neighbours(entries, 0, num, den, keep=True), "lists")
     entries = scanned.where("other is null").drop("other")
-    needed = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(entries, "token").select("node").distinct()
-    sets = written(_whole_sets(docs, nodes.select("node", "rep", "sig").join(needed, "node"), k), "whole")
-    first = written(_verify(pairs, sets, num, den).union(light_links(nodes, x, num, den)), "verified")
-    comp = components(first)
-    rest = _across(entries, comp, num, den).join(pairs, ["a", "b"], "left_anti")
-    second = _verify(rest, sets, num, den)
-    upper = components(
-        second.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a", "left")
-        .join(comp.select(F.col("node").alias("b"), F.col("comp").alias("v")), "b", "left")
-        .select(F.coalesce("u", "a").alias("a"), F.coalesce("v", "b").alias("b")).where("a <> b").distinct()
-    )
-    class_of = (
-        nodes.select("node", "sig", "rep")
-        .join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        .join(upper.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left")
-        .withColumn("comp", F.coalesce("top", "comp"))
-    )
+    seen = written(scanned.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    comp = components(_linked(docs, nodes, seen, k, num, den).union(light_links(nodes, x, num, den)))
+    for scan in range(1, SCANS + 1):
+        last = scan == SCANS
+        pairs = _across(entries, comp, nodes.select("node", "bits"), num, den) if last else _neighbours(_unsettled(entries, comp), scan, num, den).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            comp = _merged(comp, _linked(docs, nodes, pairs, k, num, den))
+            seen = seen.union(pairs)
+    class_of = nodes.select("node", "sig", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = class_of.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_sig = class_of.join(smallest, "comp").select("sig", "component_id")
-    linked = summaries.where("doc_id is not null and n > 0").join(by_sig, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = summaries.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = summaries.where("doc_id is not null and n > 0").join(by_sig, "sig").select("doc_id", "text_md5", F.col("n").alias("n_shingles"), "component_id")
+    alone = summaries.where("doc_id is null or n = 0").select("doc_id", "text_md5", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of every group of linked documents: that of the smallest doc_id (of several texts
+    under it, the one of the smallest md5).  Rows without words or id stay.  All columns as they were."""
+    md5 = free_name(docs, "text_md5")
+    classes = near_duplicates(docs, k, num, den).where("doc_id is not null and n_shingles > 0")
+    keys = ["doc_id", md5]
+    classes = written(classes.select("doc_id", F.col("text_md5").alias(md5), "component_id"), "classes")
+    keeper = classes.groupBy("component_id").agg(F.min(F.struct(*keys)).alias("keeper"))
+    told = classes.join(keeper, "component_id").withColumn("keeps", F.struct(*keys) == F.col("keeper"))
+    dropped = written(told.where(~F.col("keeps")).select(*keys).distinct(), "dropped")
+    repeated = written(told.where("keeps").groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*keys), "repeated")
+    rest = docs.withColumn(md5, F.md5("text")).join(dropped, keys, "left_anti")
+    if not repeated.isEmpty():
+        rest = rest.join(repeated, keys, "left_anti").unionByName(rest.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return rest.select(*docs.columns)
