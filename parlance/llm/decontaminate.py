@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import written
+from parlance.llm.common import free_name, written
 from parlance.llm.words import ALNUM, Words, buffer_of, find_words, mix64, parts, shingles
 
 #: Words of a shared span that counts.
@@ -207,5 +207,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
 
 def without_contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` without the documents that share ``span`` words with an item, all columns as they were."""
-    bad = contamination(docs, items, span).where("contaminated").select(F.col("text_md5").alias("_md5")).distinct()
-    return docs.withColumn("_md5", F.md5("text")).join(bad, "_md5", "left_anti").drop("_md5")
+    md5 = free_name(docs, "_md5")
+    bad = contamination(docs, items, span).where("contaminated").select(F.col("text_md5").alias(md5)).distinct()
+    # written first, so that a small table is known to be small and the documents need not move
+    return docs.withColumn(md5, F.md5("text")).join(written(bad, "contaminated"), md5, "left_anti").drop(md5)

@@ -75,6 +75,7 @@ LABELLED = (
     ((2, 0.0, 1, 1.0, 3, 1.0, 0, 0), 0), ((4, 0.0, 3, 1.0, 2, 1.0, 0, 1), 0), ((5, 0.0, 0, 0.0, 4, 1.0, 0, 0), 0),
     ((6, 0.0, 5, 0.0, 3, 0.0, 0, 0), 0), ((30, 0.9, 40, 0.0, 20, 0.0, 0, 0), 0), ((12, 0.6, 30, 0.0, 5, 1.0, 0, 0), 0),
     ((8, 0.0, 3, 0.0, 0, 0.0, 0, 0), 0), ((1, 1.0, 40, 0.0, 1, 1.0, 0, 0), 0), ((70, 0.8, 10, 0.9, 9, 1.0, 0, 0), 0),
+    ((2, 0.0, 60, 0.0, 0, 0.0, 0, 0), 0), ((3, 0.0, 90, 0.0, 0, 0.0, 0, 0), 0), ((4, 0.0, 45, 0.0, 0, 0.0, 0, 0), 0),
     ((4, 0.0, 4, 0.0, 5, 0.0, 0, 0), 0), ((9, 0.0, 2, 1.0, 6, 0.4, 0, 0), 0), ((3, 0.5, 60, 0.0, 2, 1.0, 0, 0), 0),
 )
 

@@ -5,7 +5,8 @@ how many there are of each length, so the plan is made from a histogram of at mo
 ``size`` lengths: the longest pieces come first, and the gap each leaves is looked up
 among the sums of one, two and three available lengths; a combination that fills the
 gap exactly is used as often as the counts allow.  What finds no exact complement goes,
-longest first, into the open sequence whose gap fits best.  Every step uses up a length
+longest first, into the open sequence whose gap fits best (if best-fit alone needs fewer
+sequences for these lengths, its plan is taken).  Every step uses up a length
 or a kind of open sequence, so the plan's size is bounded by ``size`` too.  Pieces are
 then ranked within their length and look up their sequence in the plan.
 
@@ -169,12 +170,22 @@ def exact_complement(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
 
 
 def plan_packing(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, how many such sequences), for ``counts`` pieces of each length."""
+    """Sequences as (lengths, how many such sequences), for ``counts`` pieces of each length.
+
+    Exact complements can use up small pieces that many large ones would have needed; where they
+    leave sequences over the least possible number, best-fit alone is tried too and the shorter plan taken."""
+    plan = _plan(counts, size, exact=True)
+    needed = lambda plan: sum(times for _, times in plan)
+    least = -(-sum(x * n for x, n in counts.items()) // size)
+    return plan if needed(plan) == least else min(plan, _plan(counts, size, exact=False), key=needed)
+
+
+def _plan(counts: dict[int, int], size: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
     free = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         free[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
-    for long in range(size, 0, -1):
+    for long in range(size, 0, -1) if exact else ():
         while free[long]:
             if long == size:
                 lengths: tuple[int, ...] = (long,)

@@ -83,6 +83,13 @@ def _telling(slot: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray
     return np.flatnonzero((odds[1] - odds[0]) / error >= Z)
 
 
+def _no_weights() -> np.ndarray:
+    """A model that finds nothing toxic."""
+    weights = np.zeros(SLOTS + 1, np.float32)
+    weights[-1] = -40
+    return weights
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> np.ndarray:
     """Weights (bias last) from whole texts and their labels; ``share`` is the share of toxic labels overall."""
     slots, firsts, docs, words_before, rows_before = [], [], [], 0, 0
@@ -94,9 +101,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> np.ndarray:
         firsts.append(first + words_before)
         docs.append(doc + rows_before)
         words_before, rows_before = words_before + len(words.start), rows_before + j - i
-    weights = np.zeros(SLOTS + 1, np.float32)
+    weights = _no_weights()
     if not words_before or not toxic.any() or toxic.all():
-        weights[-1] = -40
         return weights
     slot, first, doc = np.concatenate(slots), np.concatenate(firsts), np.concatenate(docs)
     n = len(toxic)
@@ -157,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 
     few = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * sample ids
     rows = few.select("text", "toxic").repartition(1).mapInArrow(run, "weights binary").collect()
-    return np.frombuffer(bytes(rows[0]["weights"]), np.float32)
+    return np.frombuffer(bytes(rows[0]["weights"]), np.float32) if rows else _no_weights()
 
 
 def _part_scores(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words]:
