@@ -11,6 +11,7 @@ from parlance.llm.common import table
 from parlance.llm.decontaminate import contamination
 from parlance.llm.extraction import extract_text
 from parlance.llm.importance import resample
+from parlance.llm.oracles import ORACLES  # noqa: F401 - for __spark_entry__
 from parlance.llm.packing import pack_documents
 from parlance.llm.quality import apply_rules
 from parlance.llm.secrets import find_secrets, listing
@@ -20,9 +21,6 @@ from parlance.llm.toxicity import held_out, score_documents, train
 from parlance.llm.warc import pages_round_trip
 from parlance.session import ensure_checkpoint_dir, ship_package
 
-#: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
-
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "kept", "n_grams", "log_weight", "key")
