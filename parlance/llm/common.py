@@ -88,3 +88,19 @@ def summed_counts(df: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray
     for r in df.mapInArrow(count, ddl).repartition("slice").mapInArrow(add, ddl).collect():
         out[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.int64)
     return out.reshape(-1)[:size]
+
+
+def hash_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bitmap (as bytes, lowest bit first) of the lowest bits of the 64-bit hashes in ``column``: ``bits``
+    bits, a power of two, whatever the input; gathered as at most bits / 32768 rows of 4096 bytes."""
+    width = 1 << 15
+    rows = (
+        df.select(F.pmod(column, F.lit(bits)).alias("b")).distinct()
+        .groupBy(F.floor(F.col("b") / width).cast("int").alias("slice"))
+        .agg(F.bitmap_construct_agg(F.col("b") % width).alias("bits"))
+        .collect()
+    )
+    out = np.zeros((bits // width, width // 8), np.uint8)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)

@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import free_name, written
+from parlance.llm.common import free_name, hash_bitmap, written
 from parlance.llm.words import ALNUM, Words, buffer_of, find_words, mix64, parts, shingles
 
 #: Words of a shared span that counts.
 SPAN = 10
 #: Bits of the bitmap that document hashes must pass; 2 MiB on every task.
 BITS = 1 << 24
-_BITMAP = 1 << 15  # bits of one bitmap_construct_agg
 
 
 def _k(span: int) -> int:
@@ -96,21 +95,6 @@ def item_fingerprints(items: DataFrame, span: int = SPAN) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"fp bigint, span int, item_id {kind}, item_words binary")
 
 
-def _bitmap(fingerprints: DataFrame) -> np.ndarray:
-    """One byte per bit would be large; this holds BITS / 8 bytes, gathered as at most BITS / 32768 rows."""
-    bit = F.col("fp").bitwiseAND(F.lit(BITS - 1))
-    rows = (
-        fingerprints.select(bit.alias("b")).distinct()
-        .groupBy(F.floor(F.col("b") / _BITMAP).cast("int").alias("slice"))
-        .agg(F.bitmap_construct_agg(F.col("b") % _BITMAP).alias("bits"))
-        .collect()
-    )
-    out = np.zeros((BITS // _BITMAP, _BITMAP // 8), np.uint8)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.reshape(-1)
-
-
 def document_candidates(docs: DataFrame, bitmap: np.ndarray, spans: list[int]) -> DataFrame:
     """A row per document: doc_id, text_md5, n_words, and its kept hashes that pass the bitmap."""
 
@@ -171,7 +155,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = SPAN) -> tuple[
     ``_row, item_id, lo, hi`` of theirs that an item holds too (spans of one item may overlap)."""
     known = written(item_fingerprints(items, span).distinct(), "items")
     spans = sorted(r["span"] for r in known.select("span").distinct().collect())  # at most ``span`` values
-    rows = written(document_candidates(docs, _bitmap(known), spans).withColumn("_row", F.monotonically_increasing_id()), "candidates")
+    rows = written(document_candidates(docs, hash_bitmap(known, "fp", BITS), spans).withColumn("_row", F.monotonically_increasing_id()), "candidates")
     each = rows.where(F.size("candidates") > 0).select("_row", F.inline("candidates"))
     kind = items.schema["item_id"].dataType.simpleString()
     spans_found = each.join(known, ["fp", "span"]).select("_row", "span", "at", "words", "item_id", "item_words").mapInArrow(_extend, f"_row bigint, item_id {kind}, lo bigint, hi bigint")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import free_name, written
+from parlance.llm.common import free_name, hash_bitmap, written
 from parlance.llm.words import NOT_SPACE, Words, buffer_of, find_words, mix64, parts, shingles
 
 #: Counters of the frequency sketch: 8 MiB on every task.
@@ -53,7 +53,6 @@ SCANS = 3
 PARITY = 8
 #: Bits of the bitmap of nodes whose sets are needed for verification: 4 MiB on every task.
 BITS = 1 << 25
-_BITMAP = 1 << 15
 
 
 def required(n: int, m: int, num: int, den: int) -> int:
@@ -283,19 +282,9 @@ def _near_bits(num: int, den: int) -> Column:
     return (num + den) * (both - apart) >= 2 * num * both
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bitmap of BITS bits of the hashes ``h`` of ``ids``, gathered as BITS / 32768 rows at most."""
-    bit = F.pmod("h", F.lit(BITS))
-    rows = ids.select(bit.alias("b")).distinct().groupBy(F.floor(F.col("b") / _BITMAP).cast("int").alias("s")).agg(F.bitmap_construct_agg(F.col("b") % _BITMAP).alias("bits")).collect()
-    out = np.zeros((BITS // _BITMAP, _BITMAP // 8), np.uint8)
-    for r in rows:
-        out[r["s"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.reshape(-1)
-
-
 def _whole_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     """node, n, whole (the sorted set as bytes) of the ``needed`` nodes (node, rep, sig)."""
-    bits = _bitmap(needed.select(F.xxhash64("rep").alias("h")))
+    bits = hash_bitmap(needed.select(F.xxhash64("rep").alias("h")), "h", BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
