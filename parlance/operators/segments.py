@@ -18,14 +18,12 @@ A hot transcript is split by its bins; AQE's skew-join splitting covers a hot bi
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import word_count
 from parlance.functions.times import py_float
-from parlance.session import ensure_checkpoint_dir
+from parlance.session import scratch_path
 
 ITEM_TYPES = ("pronunciation", "punctuation")
 
@@ -42,7 +40,7 @@ def parsed_once(raw: DataFrame) -> DataFrame:
     """Raw transcripts as a columnar table in the shared folder: the JSON is parsed once, and
     segments, items and counts read the columns they need."""
     spark = raw.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, "raw")
     raw.write.parquet(path)
     return spark.read.schema(raw.schema).parquet(path)
 

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 _shipped: dict[str, str] = {}
+_scratch: list[str] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "parlance") -> SparkSession:
@@ -30,6 +32,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("PARLANCE_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
@@ -78,5 +81,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, below the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the folders ``scratch_path`` has handed out so far; call it once the results that read them are stored.
+    (Checkpoints go when Spark forgets them: ``spark.cleaner.referenceTracking.cleanCheckpoints``.)"""
+    path_of, conf, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _scratch:
+        path = path_of(_scratch.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)

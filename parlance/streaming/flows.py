@@ -9,7 +9,6 @@ restartable, and nothing is collected on the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,11 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.uploads import derive_job_keys, validate_uploads
 from parlance.schemas import TERMINAL_STATES
-from parlance.session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from parlance.session import scratch_path
 
 
 def run_to_table(

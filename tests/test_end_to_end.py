@@ -139,3 +139,13 @@ def test_own_checkpoint_folder_is_respected(spark):
     from parlance.session import ensure_checkpoint_dir
 
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from parlance.session import drop_scratch, scratch_path
+
+    drop_scratch(spark)
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and drop_scratch(spark) == 1
+    assert not os.path.exists(path.removeprefix("file:"))
