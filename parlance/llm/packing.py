@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -57,34 +58,32 @@ def _tokenizer(path: str):
 
 
 class _WordIds:
-    """Ids of words, by word hash; forgets all when it is full."""
+    """Ids of words, by word hash; forgets all when it is full.  Ids are kept one after another in flat arrays."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.at = _tokenizer(path), {}
-        self.first, self.length, self.ids = [], [], []
-        self.arrays = None
+        self.tokenizer = _tokenizer(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[int, int] = {}
+        self.first, self.ids = array("I", [0]), array("I")
 
     def of(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, length) into the flat array of ids, for each hash; ``text_of(i)`` gives word i."""
         if len(self.at) > CACHE:
-            self.at, self.first, self.length, self.ids, self.arrays = {}, [], [], [], None
+            self.forget()
         keys = hashes.tolist()
         place = np.fromiter((self.at.get(h, -1) for h in keys), np.int64, len(keys))
         new = np.flatnonzero(place < 0)
         if len(new):
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000].tolist()
+            for i in range(0, len(new), 5000):
+                some = new[i : i + 5000].tolist()
                 for w, e in zip(some, self.tokenizer.encode_batch_fast([text_of(w) for w in some], add_special_tokens=False)):
-                    ids = e.ids
-                    self.at[keys[w]] = place[w] = len(self.first)
+                    self.at[keys[w]] = place[w] = len(self.first) - 1
+                    self.ids.extend(e.ids)
                     self.first.append(len(self.ids))
-                    self.length.append(len(ids))
-                    self.ids.extend(ids)
-            self.arrays = None
-        if self.arrays is None:
-            self.arrays = np.asarray(self.first, np.int64), np.asarray(self.length, np.int64), np.asarray(self.ids, np.uint32)
-        first, length, ids = self.arrays
-        return first[place], length[place], ids
+        first = np.array(self.first, np.int64)
+        return first[place], np.diff(first)[place], np.array(self.ids, np.uint32)
 
 
 def _document_ids(texts: pa.Array, known: _WordIds) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +96,7 @@ def _document_ids(texts: pa.Array, known: _WordIds) -> tuple[np.ndarray, np.ndar
     start, end = words.start[example].tolist(), words.end[example].tolist()
     first, length, ids = known.of(distinct if plain else distinct ^ np.uint64(1), lambda i: raw[start[i] : end[i]].decode("utf-8", "replace"))
     first, length = first[which], length[which]
+    del start, end, raw
     per_doc = np.add.reduceat(np.append(length, 0), np.minimum(words.first[:-1], len(length))) if len(at) > 1 else np.zeros(0, np.int64)
     per_doc = np.where(np.diff(words.first) > 0, per_doc, 0)
     begin = np.concatenate([[0], np.cumsum(per_doc + 1)])
@@ -114,7 +114,7 @@ def tokenize(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordIds(path)
         for batch in batches:
-            for i, j in parts(batch.column("text"), 1 << 22):
+            for i, j in parts(batch.column("text")):
                 part = batch.slice(i, j - i)
                 ids, begin = _document_ids(part.column("text"), known)
                 count = np.diff(begin)
