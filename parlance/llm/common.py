@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.session import checkpoint_dir
-
-_made: list[str] = []
+from parlance.session import drop_scratch, scratch_path  # noqa: F401 - used and passed on
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +25,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends
     there, so a lost executor costs a reread and never a recomputation with other row ids."""
@@ -49,16 +39,6 @@ def literal_table(df: DataFrame, rows: list[dict], ddl: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.inline(kind))
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete what ``scratch_path`` has handed out so far; call it once the results are stored."""
-    jvm, n = spark.sparkContext._jvm, 0
-    for path in list(_made):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        n += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
-        _made.remove(path)
-    return n
-
-
 def summed_counts(df: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray], size: int, slices: int = 64) -> np.ndarray:
     """Sum over all batches of ``of_batch(batch)``, an integer array of a fixed ``size``.
 
