@@ -439,7 +439,27 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int
     told = classes.join(keeper, "component_id").withColumn("keeps", F.struct(*keys) == F.col("keeper"))
     dropped = written(told.where(~F.col("keeps")).select(*keys).distinct(), "dropped")
     repeated = written(told.where("keeps").groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*keys), "repeated")
-    rest = docs.withColumn(md5, F.md5("text")).join(dropped, keys, "left_anti")
+    marked = written(dropped.union(repeated), "marked")
+    named = docs.withColumn(md5, F.md5("text"))
+    # only documents whose key is in the bitmap of dropped and repeated ones meet the tables; the others do not move
+    sure, maybe = _by_bitmap(named, hash_bitmap(marked.select(F.xxhash64(*keys).alias("h")), "h", BITS), keys)
+    rest = maybe.join(dropped, keys, "left_anti")
     if not repeated.isEmpty():
         rest = rest.join(repeated, keys, "left_anti").unionByName(rest.join(repeated, keys, "left_semi").dropDuplicates(keys))
-    return rest.select(*docs.columns)
+    return sure.unionByName(rest).select(*docs.columns)
+
+
+def _by_bitmap(df: DataFrame, bits: np.ndarray, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows whose ``keys`` hash to no set bit, and those whose do."""
+    h = free_name(df, "_h")
+    hashed = df.withColumn(h, F.xxhash64(*keys))
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                low = batch.column(h).to_numpy() % BITS
+                yield batch.filter(pa.array(((bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1) == hit))
+
+        return hashed.mapInArrow(run, hashed.schema).drop(h)
+
+    return part(False), part(True)
