@@ -10,8 +10,9 @@ below a least length.  Fixed rules on length and repetition come first.
 Common words are those with a share of at least ``SHARE`` in the language.  Such a word
 has at least half that share in batches that hold half of its occurrences or more, so
 batches report only words of half the share, and the words whose reported count reaches
-half the share are bounded by 2 / SHARE for each language; the exact counts follow in
-the second reading.  Languages are two-letter codes; any other value is ``und``.
+half the share are bounded by 2 / SHARE for each language.  The second reading counts
+these candidates exactly, and those below ``SHARE`` go to the class of all others, so
+the common words do not depend on how rows fall into batches.  Languages are two-letter codes; any other value is ``und``.
 
 Defined results: a null text has no words and fails the length rule; a null lang is
 ``und``; a document is compared with a reference that it is part of; repeated rows get
@@ -166,6 +167,16 @@ def _reference(rows: DataFrame, column: str) -> dict[str, np.ndarray]:
     return {lang: np.asarray([by[i] for i in range(len(by))], float) for lang, by in out.items()}
 
 
+def _common_classes(reference: np.ndarray) -> np.ndarray:
+    """The classes of a word histogram whose exact share is at least ``SHARE``; the last class holds all others and is left out."""
+    return np.flatnonzero(reference[:-1] >= SHARE * reference.sum())
+
+
+def _folded(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A word histogram with every class but ``classes`` added to the class of all others."""
+    return np.append(counts[classes], counts.sum() - counts[classes].sum())
+
+
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> float:
     """Jensen-Shannon distance (root of the divergence, base 2) of two histograms; 0 if one is empty."""
     if not counts.sum() or not reference.sum():
@@ -182,6 +193,8 @@ def measure(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", language(F.col("lang")).alias("lang"), "text")
     rows = written(_histograms(docs, common_words(docs)), "histograms")
     chars, words = _reference(rows, "chars"), _reference(rows, "words")
+    classes = {lang: _common_classes(reference) for lang, reference in words.items()}
+    words = {lang: _folded(reference, classes[lang]) for lang, reference in words.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +203,8 @@ def measure(docs: DataFrame) -> DataFrame:
             for c, (column, reference) in enumerate((("chars", chars), ("words", words))):
                 lists = batch.column(column)
                 flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-                far[c] = [js_distance(flat[at[r] : at[r + 1]], reference[lang]) for r, lang in enumerate(langs)]
+                own = (flat[at[r] : at[r + 1]] for r in range(len(langs)))
+                far[c] = [js_distance(_folded(h, classes[lang]) if column == "words" else h, reference[lang]) for h, lang in zip(own, langs)]
             lists = batch.column("chars")
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             total = np.add.reduceat(np.append(flat, 0), at[:-1])

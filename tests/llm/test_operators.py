@@ -483,6 +483,23 @@ def test_common_words_are_all_those_of_enough_share(spark):
     assert set(words.find_words(data, at, words.NOT_SPACE, fold=False).hash.tolist()) <= known and len(known) <= 200
 
 
+def test_word_distances_do_not_depend_on_the_layout(spark):
+    # "burst" has an exact share between SHARE / 2 and SHARE, and is common within the batch that holds all of it
+    rows = [(i, " ".join(["the", "of", "and"] * 40 + [f"u{i}x{j}" for j in range(80)] + ["burst"] * (30 if i < 4 else 0)), "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = 400 * 200 + 120
+    assert quality.SHARE / 2 < 120 / n < quality.SHARE
+    far = lambda df: sorted((r.doc_id, r.word_distance) for r in quality.measure(df).collect())
+    spread = far(docs.repartition(1).orderBy(F.col("doc_id") % 100, "doc_id").coalesce(1))
+    bunched = far(docs.repartitionByRange(100, "doc_id"))
+    assert spread == bunched
+    count = collections.Counter(w for _, t, _ in rows for w in t.split())
+    common = [w for w in count if count[w] >= quality.SHARE * n]
+    assert sorted(common) == ["and", "of", "the"]
+    of = lambda c: np.asarray([*(c[w] for w in common), sum(c.values()) - sum(c[w] for w in common)])
+    assert all(abs(d - quality.js_distance(of(collections.Counter(rows[i][1].split())), of(count))) < 1e-12 for i, d in bunched)
+
+
 # --- 9 sharding
 
 
