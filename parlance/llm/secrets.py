@@ -4,8 +4,12 @@ A vocabulary learned from text spends few tokens on words and many on random str
 Runs of at least ``MIN_RUN`` characters ``[A-Za-z0-9+/_-]`` (with padding ``=``) whose
 characters per token stay below ``MAX_RATIO`` are spans of kind ``random``, unless a
 pattern span covers part of them or they are known to be harmless: digests (hex of a
-usual digest length), UUIDs, numbers and dates, pieces of an address or path, and
-identifiers made of words and short numbers.
+usual digest length), UUIDs, numbers and dates, and identifiers made of words and short
+numbers, whose words the tokenizer must know.  In the host and path of an address each
+piece between slashes is a run of its own; what stands in front of an ``@``, or behind a
+quote, a comma or a query separator, is a run like any other.  The only piece of a path,
+right behind a host without credentials and with nothing after it, names the page and
+is not tested.
 
 Spans count code points, end exclusive.  Defined results: null and empty texts have no
 spans; ids may be null or repeated (one row per row); extra columns are ignored by
@@ -44,6 +48,9 @@ _RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RUN)
 _RUN_BYTES = _class((0x2B, 0x2B), (0x2D, 0x2D), (0x2F, 0x39), (0x3D, 0x3D), (0x41, 0x5A), (0x5F, 0x5F), (0x61, 0x7A))
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Host and path of an address: up to white space, a quote, a bracket, or what separates lists and queries.
+_ADDRESS = re.compile(r"""(?:://|www\.)[^\s"'`<>(){}\[\]|\\,;?&=#]*""")
+_LONE_PAGE = re.compile(r"://[A-Za-z0-9.-]+(:\d+)?/[^/]+")
 _PIECE = re.compile(r"[A-Z]?[a-z]+([A-Z][a-z]+)*\d{0,4}|[A-Z]+\d{0,4}|\d{1,8}|")
 
 
@@ -58,34 +65,62 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _harmless(run: str, before: str) -> bool:
+def _known(pieces: list[str], vocabulary: str) -> bool:
+    """Whether the words among the pieces of an identifier (not numbers, not single letters) are words to the tokenizer."""
+    words = [w if not w.isupper() else w.lower() for w in (p.rstrip("0123456789") for p in pieces) if len(w) > 1]
+    return sum(map(len, words)) >= MAX_RATIO * sum(len(encoding(vocabulary).encode_ordinary(w)) for w in words)
+
+
+def _harmless(run: str, vocabulary: str) -> bool:
     if _HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS or _UUID.fullmatch(run):
         return True
-    if re.fullmatch(r"[\d+/_-]+", run) or re.search(r"://\S*$|@\S*$|www\.\S*$", before):
+    if re.fullmatch(r"[\d+/_-]+", run):
         return True
     pieces = re.split(r"[+/_-]", run)
-    return len(pieces) > 1 and all(_PIECE.fullmatch(p) for p in pieces)
+    return len(pieces) > 1 and all(_PIECE.fullmatch(p) for p in pieces) and _known(pieces, vocabulary)
 
 
-def looks_random(run: str, before: str, vocabulary: str) -> bool:
-    """The token-efficiency test of one run; ``before`` is the text just in front of it."""
+def looks_random(run: str, vocabulary: str) -> bool:
+    """The token-efficiency test of one run."""
     body = run.rstrip("=")
-    if len(body) < MIN_RUN or _harmless(body, before):
+    if len(body) < MIN_RUN or _harmless(body, vocabulary):
         return False
     if body.isalpha() and body.isupper():
         body = body.lower()  # shouted words are words
     return len(body) < MAX_RATIO * len(encoding(vocabulary).encode_ordinary(body))
 
 
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every run to test, in order: in addresses, of every piece between slashes that is long enough."""
+    addresses = _ADDRESS.finditer(text) if "://" in text or "www." in text else iter(())
+    address = next(addresses, None)
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        while address and address.end() <= a:
+            address = next(addresses, None)
+        if not address or a < address.start():
+            yield a, b
+        elif text[b : b + 1] == "@":  # credentials
+            a += len(text[a:b]) - len(text[a:b].lstrip("/"))
+            if b - a >= MIN_RUN:
+                yield a, b
+        elif not (_LONE_PAGE.fullmatch(address[0]) and text[address.end() : address.end() + 1] not in ("?", "&", "=", "#", ";", "|")):
+            while a < b:
+                end = text.find("/", a, b)
+                end = b if end < 0 else end
+                if end - a >= MIN_RUN:
+                    yield a, end
+                a = end + 1
+
+
 def spans_of(text: str, vocabulary: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of every span of one text, sorted."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST] if _has_keyword(text) else []
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= HEX_LEAST]
     base = list(out)
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and looks_random(m[0], text[max(0, a - 200) : a], vocabulary):
+    for a, b in _runs(text):
+        if not any(s < b and a < e for s, _, e in base) and looks_random(text[a:b], vocabulary):
             out.append((a, 3, b))
     return sorted(out)
 
