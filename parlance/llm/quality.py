@@ -12,7 +12,8 @@ has at least half that share in batches that hold half of its occurrences or mor
 batches report only words of half the share, and the words whose reported count reaches
 half the share are bounded by 2 / SHARE for each language.  The second reading counts
 these candidates exactly, and those below ``SHARE`` go to the class of all others, so
-the common words do not depend on how rows fall into batches.  Languages are two-letter codes; any other value is ``und``.
+the common words do not depend on how rows fall into batches.  Languages are
+primary subtags of two or three letters; any other value is ``und``.
 
 Defined results: a null text has no words and fails the length rule; a null lang is
 ``und``; a document is compared with a reference that it is part of; repeated rows get
@@ -56,7 +57,9 @@ _LINE = ~_class((0x0A, 0x0A))
 
 
 def language(lang: Column) -> Column:
-    return F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise("und")
+    """The primary subtag (en of en-US, pt of pt_br, deu) in lower case, of two or three letters; any other value is ``und``."""
+    primary = F.regexp_extract(F.lower(lang), "^([a-z]{2,3})([-_].*)?$", 1)
+    return F.when(primary != "", primary).otherwise("und")
 
 
 def _repeats(key: np.ndarray) -> np.ndarray:

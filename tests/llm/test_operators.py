@@ -519,6 +519,12 @@ def test_word_distances_do_not_depend_on_the_layout(spark):
     assert all(abs(d - quality.js_distance(of(collections.Counter(rows[i][1].split())), of(count))) < 1e-12 for i, d in bunched)
 
 
+def test_languages_are_primary_subtags(spark):
+    given = {"en": "en", "en-US": "en", "EN": "en", "pt_br": "pt", "zh-Hant-TW": "zh", "deu": "deu", "x9": "und", "english": "und", "e": "und", "": "und", None: "und", "en us": "und"}
+    docs = spark.createDataFrame([(v,) for v in given], "lang string")
+    assert {r.lang: r.l for r in docs.select("lang", quality.language(F.col("lang")).alias("l")).collect()} == given
+
+
 # --- 9 sharding
 
 
