@@ -9,7 +9,10 @@ Features are two per word, hashed into ``SLOTS`` weights: the word, and its firs
 its length (spelling families).  Those that toxic documents hold significantly more often
 than others get weights.  Training takes at most ``sample`` labelled
 documents of each class (the first by a hash of the id), their whole texts, weighted
-back to the share of the classes; it runs in one task.  Scoring runs over all texts.
+back to the share of the classes; of rows that share an id the one whose text has the
+smallest MD5 stands for the document.  Of each class documents are taken until
+``sample_bytes`` of text are reached, so training, which runs in one task, holds at most
+that and one document more.  Scoring runs over all texts.
 
 Defined results: null and empty texts and texts without words score 0; rows without a
 label are scored like any other; labels other than null and 0 count as toxic, of several
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ from parlance.llm.words import _BYTE, _POW, ALNUM, FOLD, Words, _class, buffer_o
 SLOTS = 1 << 18
 #: Labelled documents of each class that training takes at most.
 SAMPLE = 6000
+#: Bytes of text of each class after which training takes no further document.
+SAMPLE_BYTES = 64 << 20
 _PREFIX = 6
 _END = _class((0x0A, 0x0A), (0x21, 0x21), (0x2E, 0x2E), (0x3F, 0x3F))  # \n ! . ?
 STEPS, RATE, DECAY, BIAS, Z = 150, 0.1, 1e-6, -5.0, 3.5
@@ -144,8 +150,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights learned from at most ``sample`` labelled documents of each class that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Weights learned from at most ``sample`` labelled documents of each class that are not held out, one row of
+    each, as far as ``sample_bytes`` of text."""
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.max(F.abs("toxic")) > 0).alias("toxic"))
@@ -156,13 +163,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     chosen = [known.where(F.col("toxic") == is_toxic).orderBy(order, "doc_id").limit(sample) for is_toxic in (True, False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), schema=pa.schema([("text", pa.string()), ("toxic", pa.bool_())])).combine_chunks()
+        taken, kept = {True: 0, False: 0}, []
+        for batch in batches:
+            mask = []
+            for toxic, size in zip(batch.column("toxic").to_pylist(), pc.binary_length(batch.column("text")).to_pylist()):
+                mask.append(taken[toxic] < sample_bytes)
+                taken[toxic] += size or 0
+            kept.append(batch.filter(pa.array(mask, pa.bool_())))
+        rows = pa.Table.from_batches(kept, schema=pa.schema([("text", pa.string()), ("toxic", pa.bool_())])).combine_chunks()
         texts = rows.column("text").cast(pa.large_string()).combine_chunks()
         weights = fit(texts, rows.column("toxic").to_numpy(), share)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
     few = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * sample ids
-    rows = few.select("text", "toxic").repartition(1).mapInArrow(run, "weights binary").collect()
+    first = F.min(F.when(F.col("text").isNotNull(), F.struct(F.md5("text").alias("md5"), "text")))
+    single = few.groupBy("doc_id", "toxic").agg(first.alias("first")).select("doc_id", F.col("first.text").alias("text"), "toxic")
+    rows = single.repartition(1).sortWithinPartitions(order, "doc_id").select("text", "toxic").mapInArrow(run, "weights binary").collect()
     return np.frombuffer(bytes(rows[0]["weights"]), np.float32) if rows else _no_weights()
 
 

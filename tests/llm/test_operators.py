@@ -125,6 +125,21 @@ def test_toxicity_finds_sentences_from_document_labels(spark):
     assert sum("vile" in r.text or "nasty" in r.text for r in found) >= 0.95 * len(found)
 
 
+def test_repeated_ids_do_not_weigh_more_in_training(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(12)) + (" vile." if i % 4 == 0 else ".")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    often = next(i for i in range(200) if i % 4 and zlib.crc32(str(i).encode()) % 5)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    others = [t for t in (f"vile nasty {j}." for j in range(600)) if md5(t) > md5(rows[often][1])][:100]
+    assert others
+    more = rows + [rows[often]] * 300 + [(often, t) for t in others] + [(often, None)]
+    trained = lambda r, **k: toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(5), labels, **k).tobytes()
+    assert trained(more) == trained(rows)
+    # a document that reaches the bound of bytes is the last of its class
+    assert trained(rows, sample_bytes=1) == trained(rows, sample=1) != trained(rows)
+
+
 def test_noisy_or_matches_its_definition():
     weights = np.zeros(toxicity.SLOTS + 1, np.float32)
     weights[: toxicity.SLOTS] = np.random.RandomState(0).normal(0, 1, toxicity.SLOTS)
