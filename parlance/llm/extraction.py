@@ -6,8 +6,10 @@ and after it, whether it is a heading, and what its surroundings say: 1 inside a
 element that names an article, -1 inside one that names menus, notices, adverts,
 comments and the like, by tag, role or class and id words.  The inner of the two counts.
 A small decision tree over these features, grown on ``LABELLED`` (example blocks with
-their label), keeps or drops the block.  Scripts, styles, form controls, heads and
-comments are no text at all.
+their label), keeps or drops the block.  Scripts, styles, form controls, embedded media, heads and
+comments are no text at all.  Only scripts, styles and heads are skipped to an end tag
+wherever it stands; the others end with their parents, and those without an end tag of
+their own also where the next element of the page's structure begins.
 
 Character references are decoded, white space inside a block becomes one space, and kept
 blocks are joined by one space.  Pages are one row each, so a page is handled by one
@@ -33,7 +35,12 @@ from pyspark.sql import DataFrame
 # fixed values: element names of HTML by their part in a page
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title select option button svg math iframe object canvas audio video head datalist".split())
+RAW = frozenset("script style head".split())
+#: Elements whose contents are no text; those of the first group are skipped if they are closed.
+SKIPPED = frozenset("noscript template textarea title iframe".split())
+HIDDEN = SKIPPED | frozenset("select option button svg math object canvas audio video datalist".split())
+#: Hidden elements that do not end the text block around them.
+WITHIN = frozenset("script style template svg math".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset address".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
@@ -47,8 +54,11 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+# a slash that belongs to the tag, not to an unquoted value
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])[^\s"'=]*/\s*\Z""")
 _SPACE = re.compile(r"\s+")
 _CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav main form h1 h2 h3 h4 h5 h6 hr pre blockquote figure address fieldset".split())
+_STRUCTURE = _CLOSES_P | frozenset("body li dt dd tr td th tbody thead caption figcaption details summary".split())
 
 #: Example blocks: words, link density, words and link density of the block before, the same of the block after,
 #: surroundings, heading; and whether the block is main text.  Written by hand for this tree.
@@ -135,15 +145,35 @@ def _place(tag: str, attributes: str) -> int:
     return found
 
 
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of one name that are closed begin, and where their end tags end."""
+    out, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*)|([^>]*))>", page, re.I):
+        if not m[1]:
+            if not _SELF_CLOSED.search(m[2] if m[2] is not None else m[3]):
+                opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, place, heading) of every text block, in page order."""
     out: list[tuple[str, int, int, int, int]] = []
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int]] = []
-    links = 0
+    # name, place, and of hidden elements whether they are closed (None: not hidden)
+    stack: list[tuple[str, int, bool | None]] = []
+    closed: dict[str, dict[int, int]] = {}
+    links = hidden = 0
 
     def place() -> int:
-        return next((p for _, p in reversed(stack) if p), 0)
+        return next((p for _, p, _ in reversed(stack) if p), 0)
+
+    def pop() -> str:
+        nonlocal hidden
+        tag, _, kind = stack.pop()
+        hidden -= kind is not None
+        return tag
 
     def end() -> None:
         if text:
@@ -151,11 +181,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if whole:
                 n = len(whole.split(" "))
                 linked = min(n, len(" ".join(t for t, in_link in text if in_link).split()))
-                out.append((whole, n, linked, place(), int(any(t in HEADINGS for t, _ in stack))))
+                out.append((whole, n, linked, place(), int(any(t in HEADINGS for t, _, _ in stack))))
             text.clear()
 
     def say(raw: str) -> None:
-        if raw:
+        if raw and not hidden:
             text.append((html_lib.unescape(raw), links > 0))
 
     at, n = 0, len(page)
@@ -172,37 +202,71 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         closing = bool(m[1] or m[4])
         attributes = m[3] if m[2] else m[6]
         if tag in RAW and not closing:
-            if attributes.rstrip().endswith("/") and tag in ("svg", "math", "script"):
+            if tag != "head" and _SELF_CLOSED.search(attributes):
                 continue
             # ends at its own end tag; an unclosed head ends where the body begins
             ends = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(page, at)
             if tag != "head" or ends:
                 at = ends.end() if ends else n
-            if tag not in ("script", "style", "template", "svg", "math"):
+            if tag not in WITHIN and not hidden:
                 end()
             continue
+        if tag in HIDDEN and not closing:
+            if tag not in WITHIN and not hidden:
+                end()
+            if not _SELF_CLOSED.search(attributes):
+                if tag not in closed:
+                    closed[tag] = _closed(page, tag)
+                ends_at = closed[tag].get(m.start())
+                if ends_at and tag in SKIPPED:
+                    at = ends_at
+                else:
+                    stack.append((tag, 0, ends_at is not None))
+                    hidden += 1
+            continue
+        if hidden:
+            first = next(i for i, e in enumerate(stack) if e[2] is not None)
+            if closing:
+                own = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+                if own >= first:
+                    while len(stack) > own:
+                        pop()
+                    continue
+                # the end of an element around the hidden one, which inline elements without attributes do not show
+                if own < 0 and (tag not in INLINE or stack[first][2]):
+                    continue
+                if tag in INLINE and stack[first][2]:
+                    continue
+            elif stack[first][2] or tag not in _STRUCTURE | MAIN_TAGS:
+                if tag not in VOID and not _SELF_CLOSED.search(attributes):
+                    stack.append((tag, 0, None))
+                continue
+            if tag not in INLINE:
+                end()
+            while len(stack) > first:
+                pop()
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else links + 1
             elif not closing and attributes and tag not in VOID:
-                stack.append((tag, _place(tag, attributes)))
-            elif closing and any(t == tag for t, _ in stack) and stack[-1][0] == tag:
-                stack.pop()
+                stack.append((tag, _place(tag, attributes), None))
+            elif closing and any(t == tag for t, _, _ in stack) and stack[-1][0] == tag:
+                pop()
             continue
         end()
         links = 0
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if any(t == tag for t, _, _ in stack):
+                while pop() != tag:
                     pass
         else:
-            if tag in _CLOSES_P and any(t == "p" for t, _ in stack):
+            if tag in _CLOSES_P and any(t == "p" for t, _, _ in stack):
                 while stack and stack[-1][0] in INLINE | {"p"}:
-                    if stack.pop()[0] == "p":
+                    if pop() == "p":
                         break
-            stack.append((tag, _place(tag, attributes)))
+            stack.append((tag, _place(tag, attributes), None))
     else:
         say(page[at:])
     end()

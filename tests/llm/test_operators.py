@@ -609,6 +609,22 @@ def test_extraction_of_articles():
     assert extraction.main_text(plain) == ("A long paragraph of running text with hardly any links in it. " * 5).strip()
 
 
+def test_elements_without_end_tags_hide_no_article():
+    words_ = "A long paragraph of running text with hardly any links in it. " * 4
+    article, want = f"<article><p>{words_}</p></article>", words_.strip()
+    for before in (
+        "<video src=x />", '<video src="x"/>', "<object data='x' />", "<iframe src=x />", "<audio controls/>", "<button>Menu", "<select><option>a<option>b", "<iframe src=x>", "<video src=x>",
+        "<div><button>Menu</div>", "<p><canvas></p>", "<button title=it's>Menu", "<noscript>", "<textarea />", "<svg><path d=x>", "<div><video src=x></div>", "<div><object data=x><param name=y></div>",
+    ):
+        for after in ("", "<div><button>OK</button><video src=y></video><iframe src=y></iframe></div><object></object><svg></svg>"):
+            assert extraction.main_text(f"<body>{before}{article}{after}</body>") == want, before
+    for inside in ("<button>Menu</button>", "<select><option>a<option>b</select>", "<video src=x><p>No video here</p></video>", "<svg><title>t</title><g><text>t</text></g></svg>", "<iframe src=x/>no</iframe>", "<object><object>a</object>b</object>"):
+        assert extraction.main_text(f"<article><p>First words.</p>{inside}<p>Second words.</p></article>") == "First words. Second words.", inside
+    assert extraction.main_text("<article><p>One <svg><path d='x'/><text>no</text></svg>two <math><mi>x</mi></math>three.</p></article>") == "One two three."
+    assert extraction.blocks("<p>One <svg><g><path></g></svg>two</p>")[0][0] == "One two"
+    assert extraction.main_text("<article><p>One <b><button>Menu</b> two.</p></article>") == "One two."
+
+
 def test_tree_learns_its_table():
     tree = extraction.default_tree()
     assert all(extraction.classify(tree, row) == label for row, label in extraction.LABELLED)
