@@ -4,7 +4,10 @@ A page is cut into text blocks at every tag that is not inline.  A block has its
 count and link density (share of its words inside links), those of the blocks before
 and after it, whether it is a heading, and what its surroundings say: 1 inside an
 element that names an article, -1 inside one that names menus, notices, adverts,
-comments and the like, by tag, role or class and id words.  The inner of the two counts.
+comments and the like, by tag, role or class and id words.  The inner of the two counts.  An
+element that names both is 0 unless it is inside a -1, so words and links decide; names
+that only say what a page has or lacks (no-sidebar, with-comments, share-enabled) say
+nothing of their element.
 A small decision tree over these features, grown on ``LABELLED`` (example blocks with
 their label), keeps or drops the block.  Scripts, styles, form controls, embedded media, heads and
 comments are no text at all.  Only scripts, styles and heads are skipped to an end tag
@@ -50,6 +53,11 @@ BOILER_WORDS = frozenset(
     "footer header masthead comment comments reply replies disqus respond cookie cookies consent notice notices alert gdpr privacy newsletter subscribe subscription signup login "
     "share sharing social related recommended popular trending widget toolbar pagination pager tags copyright legal disclaimer popup modal overlay skip search form".split()
 )
+#: Words of a name that say the page has or lacks what the words behind or in front of them name.
+MODIFIERS = frozenset("no non not without with has have hide show".split())
+STATES = frozenset("enabled disabled open closed".split())
+#: What an element says that names both an article and other things.
+DOUBT = 2
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -121,28 +129,32 @@ def default_tree():
     return grow_tree(np.asarray([r for r, _ in LABELLED], float), np.asarray([y for _, y in LABELLED]))
 
 
+def _words(name: str) -> set[str]:
+    """The words of one class or id that name the element itself."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    words = words[: next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))]
+    return set() if words and words[-1] in STATES else set(words)
+
+
 def _place(tag: str, attributes: str) -> int:
-    """What an element says of its text: 1 main, -1 not, 0 nothing."""
+    """What an element says of its text: 1 main, -1 not, 0 nothing, DOUBT both."""
     if tag in MAIN_TAGS:
         return 1
     if tag in BOILER_TAGS:
         return -1
     if not attributes or tag in ("body", "html"):
         return 0
-    found = 0
+    main = boiler = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "role":
-            found = -1 if value in BOILER_ROLES else 1 if value in MAIN_TAGS else found
+            main, boiler = main or value in MAIN_TAGS, boiler or value in BOILER_ROLES
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return -1
         elif name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & BOILER_WORDS:
-                return -1
-            if words & MAIN_WORDS:
-                found = 1
-    return found
+            words = set().union(*map(_words, value.split()))
+            main, boiler = main or bool(words & MAIN_WORDS), boiler or bool(words & BOILER_WORDS)
+    return DOUBT if main and boiler else main - boiler
 
 
 def _closed(page: str, tag: str) -> dict[int, int]:
@@ -162,12 +174,17 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     out: list[tuple[str, int, int, int, int]] = []
     text: list[tuple[str, bool]] = []
     # name, place, and of hidden elements whether they are closed (None: not hidden)
-    stack: list[tuple[str, int, bool | None]] = []
+    stack: list[tuple[str, int | None, bool | None]] = []
     closed: dict[str, dict[int, int]] = {}
     links = hidden = 0
 
     def place() -> int:
-        return next((p for _, p, _ in reversed(stack) if p), 0)
+        return next((p for _, p, _ in reversed(stack) if p is not None), 0)
+
+    def push(tag: str, attributes: str) -> None:
+        """Opens an element whose text is shown; its place is None if it says nothing."""
+        own = _place(tag, attributes)
+        stack.append((tag, min(place(), 0) if own == DOUBT else own or None, None))
 
     def pop() -> str:
         nonlocal hidden
@@ -221,7 +238,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 if ends_at and tag in SKIPPED:
                     at = ends_at
                 else:
-                    stack.append((tag, 0, ends_at is not None))
+                    stack.append((tag, None, ends_at is not None))
                     hidden += 1
             continue
         if hidden:
@@ -239,7 +256,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     continue
             elif stack[first][2] or tag not in _STRUCTURE | MAIN_TAGS:
                 if tag not in VOID and not _SELF_CLOSED.search(attributes):
-                    stack.append((tag, 0, None))
+                    stack.append((tag, None, None))
                 continue
             if tag not in INLINE:
                 end()
@@ -249,7 +266,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if tag == "a":
                 links = max(0, links - 1) if closing else links + 1
             elif not closing and attributes and tag not in VOID:
-                stack.append((tag, _place(tag, attributes), None))
+                push(tag, attributes)
             elif closing and any(t == tag for t, _, _ in stack) and stack[-1][0] == tag:
                 pop()
             continue
@@ -266,7 +283,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 while stack and stack[-1][0] in INLINE | {"p"}:
                     if pop() == "p":
                         break
-            stack.append((tag, _place(tag, attributes), None))
+            push(tag, attributes)
     else:
         say(page[at:])
     end()

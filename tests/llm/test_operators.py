@@ -625,6 +625,20 @@ def test_elements_without_end_tags_hide_no_article():
     assert extraction.main_text("<article><p>One <b><button>Menu</b> two.</p></article>") == "One two."
 
 
+def test_names_of_what_a_page_has_do_not_hide_its_article():
+    long = ("A long paragraph of running text with hardly any links in it. " * 4).strip()
+    for named in (
+        'id="content" class="no-sidebar"', 'class="post has-sidebar"', 'class="entry share-enabled"', 'class="main-content with-comments"', 'class="post-without-footer"', 'class="comments-open"',
+        'class="post sidebar"', 'id="main" class="share"', 'class="post__social"', 'role="main" class="search"',
+    ):
+        assert extraction.main_text(f"<body><div {named}><p>{long}</p></div></body>") == long, named
+    links = "<a href=1>One</a> <a href=2>Two</a>"
+    assert extraction.main_text(f"<body><div class='post sidebar'><p>{links}</p><p>{long}</p></div></body>") == long
+    for named in ('class="sidebar"', 'class="cookie-banner"', 'id="comments"', 'class="share"', 'role="navigation"', 'class="site-footer widget"'):
+        assert extraction.main_text(f"<body><div {named}><p>{long}</p></div></body>") == "", named
+        assert extraction.main_text(f"<body><div {named}><div class='comment-body'><p>{long}</p></div></div></body>") == "", named
+
+
 def test_tree_learns_its_table():
     tree = extraction.default_tree()
     assert all(extraction.classify(tree, row) == label for row, label in extraction.LABELLED)
