@@ -7,7 +7,7 @@ element that names an article, -1 inside one that names menus, notices, adverts,
 comments and the like, by tag, role or class and id words.  The inner of the two counts.  An
 element that names both is 0 unless it is inside a -1, so words and links decide; names
 that only say what a page has or lacks (no-sidebar, with-comments, share-enabled) say
-nothing of their element.
+nothing of their element.  A <header> is -1 unless it is inside an article.
 A small decision tree over these features, grown on ``LABELLED`` (example blocks with
 their label), keeps or drops the block.  Scripts, styles, form controls, embedded media, heads and
 comments are no text at all.  Only scripts, styles and heads are skipped to an end tag
@@ -152,7 +152,7 @@ def _place(tag: str, attributes: str) -> int:
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return -1
         elif name in ("class", "id"):
-            words = set().union(*map(_words, value.split()))
+            words = set().union(*map(_words, value.split())) - {tag}
             main, boiler = main or bool(words & MAIN_WORDS), boiler or bool(words & BOILER_WORDS)
     return DOUBT if main and boiler else main - boiler
 
@@ -184,6 +184,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     def push(tag: str, attributes: str) -> None:
         """Opens an element whose text is shown; its place is None if it says nothing."""
         own = _place(tag, attributes)
+        if tag == "header" and place() != 1 and not any(t in MAIN_TAGS for t, _, _ in stack):
+            own = -1
         stack.append((tag, min(place(), 0) if own == DOUBT else own or None, None))
 
     def pop() -> str:

@@ -639,6 +639,16 @@ def test_names_of_what_a_page_has_do_not_hide_its_article():
         assert extraction.main_text(f"<body><div {named}><div class='comment-body'><p>{long}</p></div></div></body>") == "", named
 
 
+def test_header_of_the_site_and_of_an_article():
+    tagline = "This is the tagline of a site that says in some thirty words or so what the site is all about and who writes all of it for whom and why."
+    menu, long = "<ul><li><a href=1>One</a></li></ul>", ("A long paragraph of running text with hardly any links in it. " * 4).strip()
+    for name in ("", " class='site-header'", " class='main-header'"):
+        assert extraction.main_text(f"<body>{menu}<header{name}><p>{tagline}</p></header>{menu}<article><p>{long}</p></article></body>") == long, name
+    for name in ("", " class='entry-header'", " class='header'"):
+        for main in ("article", "main", "div class='post'"):
+            assert extraction.main_text(f"<body><{main}><header{name}><h1>Title</h1></header><p>{long}</p></{main.split()[0]}></body>") == f"Title {long}", (name, main)
+
+
 def test_tree_learns_its_table():
     tree = extraction.default_tree()
     assert all(extraction.classify(tree, row) == label for row, label in extraction.LABELLED)
