@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.llm.clustering import cluster_vectors, with_inertia
 from parlance.llm.common import table
 from parlance.llm.decontaminate import contamination
 from parlance.llm.extraction import extract_text
 from parlance.llm.importance import resample
+from parlance.llm.merkle import fingerprint_documents
 from parlance.llm.oracles import ORACLES  # noqa: F401 - for __spark_entry__
 from parlance.llm.packing import pack_documents
 from parlance.llm.quality import apply_rules
+from parlance.llm.ranking import rank_documents
 from parlance.llm.secrets import find_secrets, listing
 from parlance.llm.setjoin import near_duplicates
 from parlance.llm.sharding import shard_documents
@@ -74,7 +77,19 @@ def op10_block_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
-_QUERIES = [op1_importance_resampling, op2_noisy_or, op3_boundary_chain, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards, op10_block_tree]
+def op11_threshold_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings"))).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_automaton_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_importance_resampling, op2_noisy_or, op3_boundary_chain, op4_exact_complement, op5_shingle_join, op6_winnowed_overlap, op7_token_efficiency, op8_divergence_rules, op9_ring_shards, op10_block_tree, op11_threshold_centroids, op12_automaton_rank, op13_merkle_fingerprints]
 
 
 def _ready(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

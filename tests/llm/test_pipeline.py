@@ -40,6 +40,6 @@ def test_stages_by_brute_force(spark):
 
 def test_queries_are_registered_once_per_operator(spark):
     names = sorted(llm.queries(), key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     out = llm.queries()["op2_noisy_or"](spark, SF).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in out)
