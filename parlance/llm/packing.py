@@ -37,6 +37,8 @@ from parlance.llm.words import NOT_SPACE, SINGLE, _class, buffer_of, find_words,
 SIZE, END = 2048, 0
 #: Word hashes whose ids a worker keeps.
 CACHE = 400_000
+#: Bytes of text tokenized in one go.
+PART = 1 << 19
 #: Parts into which the pieces of one length are dealt before they are ranked.
 SALTS = 64
 
@@ -82,8 +84,9 @@ class _WordIds:
                     self.at[keys[w]] = place[w] = len(self.first) - 1
                     self.ids.extend(e.ids)
                     self.first.append(len(self.ids))
-        first = np.array(self.first, np.int64)
-        return first[place], np.diff(first)[place], np.array(self.ids, np.uint32)
+        first = np.frombuffer(self.first, np.uint32)  # a view: gone before the next words are added
+        begin, end = first[place].astype(np.int64), first[place + 1].astype(np.int64)
+        return begin, end - begin, np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
 
 
 def _document_ids(texts: pa.Array, known: _WordIds) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +117,7 @@ def tokenize(docs: DataFrame, size: int = SIZE, tokenizer: str | None = None, wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordIds(path)
         for batch in batches:
-            for i, j in parts(batch.column("text")):
+            for i, j in parts(batch.column("text"), PART):
                 part = batch.slice(i, j - i)
                 ids, begin = _document_ids(part.column("text"), known)
                 count = np.diff(begin)

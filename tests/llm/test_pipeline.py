@@ -3,7 +3,9 @@ import zlib
 
 import corpus_pipeline
 from parlance.llm import queries as llm
-from tests.llm.test_operators import _components, _hits
+from pyspark.sql import functions as F
+
+from tests.llm.test_operators import _components, _hits, odd  # noqa: F401 - odd is a fixture
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +45,21 @@ def test_queries_are_registered_once_per_operator(spark):
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     out = llm.queries()["op2_noisy_or"](spark, SF).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in out)
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd):  # noqa: F811
+    docs = odd.withColumn("row", F.lit("clash"))
+    for df, some in ((docs, True), (docs.where("1 = 0"), False)):
+        now = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before = now.count()
+            now = stage(spark, now, SF).cache()
+            assert now.columns == df.columns and now.count() <= before
+        kept = now.collect()
+        assert (len(kept) > 0) == some
+        if some:
+            assert sum(r.text is None for r in kept) == 2 and sum(r.text == "one" and r.doc_id is None for r in kept) == 1
+            ids = [r.doc_id for r in kept if r.text and r.text.split()]
+            assert ids.count(5) == 1 and 6 not in ids and ids.count(7) == 1  # a repeated row and a near copy
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and (len(packed) > 0) == some
