@@ -10,6 +10,12 @@ one operator of ``parlance.llm``:
 5. ``packing``: documents become pieces placed in sequences of 2048 tokens.
 
 All but the last return the columns of their input.
+
+Defined results: a null or empty text is not toxic, is no copy of anything, holds no passage and no
+secret, so its document passes the first four stages and becomes one piece (its end id); a document with a null id is scored,
+checked for passages and redacted like any other, and is no copy of another; of repeated rows of the document that stays one
+row stays; an empty table gives empty tables; columns besides ``doc_id``, ``text`` and ``n_chars`` go along
+unread, whatever their names.  A table without ``n_chars`` gets none.
 """
 
 from __future__ import annotations
@@ -28,9 +34,16 @@ from parlance.llm.toxicity import train, without_toxic
 from parlance.session import ensure_checkpoint_dir, ship_package
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session names another number.
+BATCH_BYTES = 4 << 20
+
+
 def _ready(spark: SparkSession) -> None:
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
