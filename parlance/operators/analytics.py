@@ -53,7 +53,8 @@ def apply_vocabulary(segments: DataFrame, vocab: dict[str, str] | DataFrame, *,
     """RM-5: replace whole words (split on single spaces) by preferred forms.
 
     A vocabulary given as a dict has a fixed, known size and becomes a literal map (no
-    shuffle).  Of a vocabulary table of unknown size (``term, preferred``, terms unique)
+    shuffle).  Of a vocabulary table of unknown size (``term, preferred``; of a
+    repeated term the smallest preferred form counts, null terms and forms count for nothing)
     only the words that occur are joined: the distinct words of each text meet their
     replacements, and those come back to the text as one map per row, so a text is
     neither exploded nor rebuilt word by word.  Rows are told apart by a row id of their
@@ -71,7 +72,7 @@ def apply_vocabulary(segments: DataFrame, vocab: dict[str, str] | DataFrame, *,
     # the row id must not change between its two uses
     rows = segments.withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
     words = rows.select("_row", F.explode(F.array_distinct(F.split(F.col(text), " ", -1))).alias("_w"))
-    terms = vocab.select(F.col("term").alias("_w"), F.col("preferred").alias("_p")).where("_p is not null")
+    terms = vocab.where("term is not null and preferred is not null").groupBy(F.col("term").alias("_w")).agg(F.min("preferred").alias("_p"))
     known = words.join(terms, "_w").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_p"))).alias("_m"))
     word = lambda w: F.coalesce(F.try_element_at("_m", w), w)
     out = F.array_join(F.transform(F.split(F.col(text), " ", -1), word), " ")

@@ -32,6 +32,7 @@ DEFAULT_CATALOGUE = (
     ("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
     ("LICENSE", r"[Ll]icensed under [^.\n]+\."),
     ("ACCOUNT_NUMBER", r"[0-9]{16}"),
+    ("LICENSE", r"[Aa]ll rights reserved"),
 )
 
 
@@ -49,22 +50,28 @@ def entities_from_gazetteer(docs: DataFrame, gazetteer: DataFrame, *, key: str =
 
 
 def extract_entities(docs: DataFrame, catalogue=DEFAULT_CATALOGUE, *, key: str = "transcript_id", text: str = "text") -> DataFrame:
-    """UDF-3 + AGG-6: long entity table with unique values in first-appearance order."""
-    per_rule = [
-        F.struct(F.lit(cat).alias("category"), F.lit(i).alias("cat_pos"),
-                 F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rx), 0)).alias("vals"))
-        for i, (cat, rx) in enumerate(catalogue)
+    """UDF-3 + AGG-6: long entity table with unique values.  Categories are numbered as the catalogue first
+    names them; the values of a category come rule by rule, those of one rule in the order of first appearance."""
+    rules: dict[str, list[str]] = {}
+    for cat, rx in catalogue:
+        rules.setdefault(cat, []).append(rx)
+    found = lambda rx: F.regexp_extract_all(F.col(text), F.lit(rx), 0)
+    per_category = [
+        F.struct(F.lit(cat).alias("category"), F.lit(i).alias("cat_pos"), F.array_distinct(F.concat(*map(found, rxs))).alias("vals"))
+        for i, (cat, rxs) in enumerate(rules.items())
     ]
-    rules = docs.select(key, F.explode(F.array(*per_rule)).alias("r")).select(key, "r.*")
-    return rules.select(key, "category", "cat_pos", F.posexplode("vals").alias("pos", "value")).withColumn(
+    each = docs.select(key, F.explode(F.array(*per_category)).alias("r")).select(key, "r.*")
+    return each.select(key, "category", "cat_pos", F.posexplode("vals").alias("pos", "value")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
 
 
 def entity_map(long: DataFrame, *, key: str = "transcript_id") -> DataFrame:
-    """Long form -> D9 map per transcript, categories in ``cat_pos`` order."""
-    per_cat = long.groupBy(key, "category", "cat_pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values")
+    """Long form -> D9 map per transcript, categories in ``cat_pos`` order.  A category under several
+    ``cat_pos`` is one list: its values in the order of (cat_pos, pos), each once, in the place of the smallest."""
+    per_cat = long.groupBy(key, "category").agg(
+        F.min("cat_pos").alias("cat_pos"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("cat_pos", "pos", "value"))), lambda x: x["value"])).alias("values"),
     )
     return per_cat.groupBy(key).agg(
         F.map_from_entries(

@@ -100,14 +100,17 @@ def plan_job_starts(events: DataFrame, submissions, *, job: str = "job_name") ->
     )
 
 
-def _left_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Left join in which rows with a null key, which match nothing, are spread over the
+def _left_join(left: DataFrame, right: DataFrame, on: str, *also: str) -> DataFrame:
+    """Left join on ``on`` and ``also`` in which rows with a null ``on``, which match nothing, are spread over the
     partitions by their other values instead of meeting in one."""
     rest = [c for c in left.columns if c != on]
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rest), F.lit(1 << 20)).cast("string"))
     key = F.coalesce(F.col(on), spread)
-    right = right.where(F.col(on).isNotNull()).withColumnRenamed(on, "_right")
-    return left.withColumn("_left", key).join(right, F.col("_left") == F.col("_right"), "left").drop("_left", "_right")
+    right = right.where(F.col(on).isNotNull()).withColumnRenamed(on, "_right").withColumnsRenamed({c: f"_right_{c}" for c in also})
+    same = F.col("_left") == F.col("_right")
+    for c in also:
+        same = same & (F.col(c) == F.col(f"_right_{c}"))
+    return left.withColumn("_left", key).join(right, same, "left").drop("_left", "_right", *(f"_right_{c}" for c in also))
 
 
 def plan_uploads(uploads: DataFrame, latest: DataFrame, *, job: str = "job_name") -> DataFrame:
@@ -124,14 +127,14 @@ def status_report(requests: DataFrame, latest: DataFrame, results: DataFrame, *,
     """JOIN-2 + PRJ-11/14/15: HTTP-style status per request.
 
     ``requests``: request rows with a (nullable) file name.  ``latest``: AGG-7
-    output keyed by ``job_name`` with ``result_key`` derived from the URI.
-    ``results``: enhanced results keyed by ``result_key`` with ``transcript`` and, if
+    output keyed by ``job_name`` with ``result_bucket`` and ``result_key`` derived from the URI.
+    ``results``: enhanced results keyed by ``result_bucket`` and ``result_key``, one row each, with ``transcript`` and, if
     there, ``segments, entities, s3``; ``result`` is the struct of those (D10).
     """
     document = [c for c in ("transcript", "segments", "entities", "s3") if c in results.columns]
     req = requests.withColumn("job_name", F.concat(F.lit(JOB_PREFIX), F.col(name)))
     latest = latest.withColumn("uri", F.nullif(F.col("uri"), F.lit("")))  # an empty address is none
-    joined = _left_join(_left_join(req, latest, "job_name"), results.select("result_key", *document), "result_key")
+    joined = _left_join(_left_join(req, latest, "job_name"), results.select("result_key", "result_bucket", *document), "result_key", "result_bucket")
     has_result = F.col("transcript").isNotNull() & (F.length("transcript") > 0)
     st = F.col("status")
     http = (

@@ -72,12 +72,29 @@ def _python_json_object(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+def _no_text(x: Column) -> Column:
+    """Whether a variant holds something else than text or null."""
+    return x.isNotNull() & ~F.schema_of_variant(x).isin("STRING", "VOID")
+
+
+def _text(x: Column) -> Column:
+    """The text of a variant that is text, else null."""
+    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+
+
+def _texts(x: Column) -> Column:
+    """The texts of a variant that is a list (what else it holds is left out) or one text; null for anything else."""
+    many = F.filter(F.transform(F.try_variant_get(x, "$", "array<variant>"), _text), lambda t: t.isNotNull())
+    return F.when(F.schema_of_variant(x) == "STRING", F.array(F.try_variant_get(x, "$", "string"))).otherwise(many)
+
+
 def clean_model_output(df: DataFrame, response: str = "response", *, exact_json: bool = False) -> DataFrame:
     """Parse model responses into D8 fields with an error column (never raises).
 
     Adds ``ok``, ``error`` (``no_response`` / ``bad_fence`` / ``invalid_json`` /
-    ``missing_transcript`` / ``missing_segments``: absent, not a list, or holding
-    something else than objects), ``transcript``, ``segments`` and ``entities``.
+    ``missing_transcript``: absent or not text / ``missing_segments``: absent, not a list, or holding
+    something else than objects whose fields are text, null or absent), ``transcript``, ``segments`` and
+    ``entities`` (of a category the texts of its list; one text counts as a list of it, any other value as no category).
     Validation is native by default; ``exact_json=True`` decides validity with
     Python's ``json.loads`` in an Arrow-batched UDF (slower; closes the gaps the
     native check has on contrived bodies and duplicate keys), and fields are then
@@ -90,11 +107,14 @@ def clean_model_output(df: DataFrame, response: str = "response", *, exact_json:
             _python_json_object(F.col("_cleaned")), F.lit("\u0000invalid"))))
     v = strict_json_object(F.col("_cleaned"))
     out = out.withColumn("_v", v)
-    transcript = F.try_variant_get(F.col("_v"), "$.transcript", "string")
+    transcript = _text(F.try_variant_get(F.col("_v"), "$.transcript", "variant"))
     segments = F.try_variant_get(F.col("_v"), "$.segments", f"array<{SEGMENT_STRUCT}>")
-    bad_segments = segments.isNull() | F.exists(segments, lambda s: s.isNull())
+    typed = F.try_variant_get(F.col("_v"), "$.segments", "array<struct<timestamp:variant,speaker:variant,text:variant>>")
+    bad_segments = segments.isNull() | F.exists(typed, lambda s: s.isNull() | F.exists(F.array(s["timestamp"], s["speaker"], s["text"]), _no_text))
+    segments = F.when(~bad_segments, segments)
+    listed = F.try_variant_get(F.col("_v"), "$.entities", "map<string,variant>")
     entities = F.coalesce(
-        F.try_variant_get(F.col("_v"), "$.entities", "map<string,array<string>>"),
+        F.map_filter(F.transform_values(listed, lambda _, x: _texts(x)), lambda _, x: x.isNotNull()),
         F.create_map().cast("map<string,array<string>>"),
     )
     error = (

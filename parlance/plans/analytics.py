@@ -90,18 +90,17 @@ def q_apply_vocabulary(spark, sf_dir):
     return apply_vocabulary(conv, VOCABULARY).select("conv_id", "turn", "text_out")
 
 
-BENCH_VOCAB_SQL = """(SELECT DISTINCT term, upper(term) AS preferred
- FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark))"""
+BENCH_VOCAB_SQL = """(SELECT term, min(upper(term) || '_' || item_id % 3) AS preferred
+ FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) GROUP BY term)"""
 
 
 @query("apply_vocabulary_table", _vocab_oracle(BENCH_VOCAB_SQL))
 def q_apply_vocabulary_table(spark, sf_dir):
-    """Vocabulary of unknown size (derived from ``benchmark``): join path."""
-    bench = table(spark, sf_dir, "benchmark").select("text")
+    """Vocabulary of unknown size (derived from ``benchmark``): join path.  A term of several items has several preferred forms."""
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
     vocab = (
-        bench.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term"))
-        .distinct()
-        .select("term", F.upper("term").alias("preferred"))
+        bench.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term"))
+        .select("term", F.concat(F.upper("term"), F.lit("_"), F.col("item_id") % 3).alias("preferred"))
     )
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return apply_vocabulary(conv, vocab).select("conv_id", "turn", "text_out")

@@ -44,10 +44,10 @@ CATS_SQL = "(VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(ENTITY_C
 
 def _extract_sql() -> str:
     parts = []
-    for i, (cat, rx) in enumerate(DEFAULT_CATALOGUE):
-        parts.append(
-            f"SELECT doc_id, '{cat}' AS category, {i} AS cat_pos, regexp_extract_all(text, '{rx}') AS vals FROM documents"
-        )
+    categories = list(dict.fromkeys(cat for cat, _ in DEFAULT_CATALOGUE))
+    for i, cat in enumerate(categories):
+        vals = " || ".join(f"regexp_extract_all(text, '{rx}')" for c, rx in DEFAULT_CATALOGUE if c == cat)
+        parts.append(f"SELECT doc_id, '{cat}' AS category, {i} AS cat_pos, {vals} AS vals FROM documents")
     return f"""WITH r AS ({' UNION ALL '.join(parts)}),
 u AS (SELECT doc_id, category, cat_pos, unnest(vals) AS value, generate_subscripts(vals, 1) AS idx FROM r),
 f AS (SELECT doc_id, category, cat_pos, value, min(idx) AS first_idx FROM u GROUP BY ALL)

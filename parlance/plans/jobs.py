@@ -139,13 +139,13 @@ FROM j"""
 def _status_report(spark, sf_dir):
     # looked up by base name, so restarted (suffixed) jobs are found as well
     latest = latest_job_status(job_events(spark, sf_dir), by_base=True)
-    latest = resolve_result_uri(latest, "uri").select("job_name", "status", "uri", "result_key")
+    latest = resolve_result_uri(latest, "uri").select("job_name", "status", "uri", "result_bucket", "result_key")
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     results = conv.groupBy("conv_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias(
             "transcript"
         )
-    ).select(F.concat(F.lit("stt-u"), F.col("conv_id").cast("string"), F.lit("_enhanced.json")).alias("result_key"), "transcript")
+    ).select(F.concat(F.lit("stt-u"), F.col("conv_id").cast("string"), F.lit("_enhanced.json")).alias("result_key"), F.lit("results").alias("result_bucket"), "transcript")
     req = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("request_id"),
         F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))

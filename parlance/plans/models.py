@@ -2,10 +2,11 @@
 
 Stand-in for model responses: every ``events`` row is the response to one chunk
 (``user_id`` = transcript, ``event_id`` = chunk).  The body is a JSON object
-built from the row; the shape depends on ``event_id % 16``: plain JSON, a
+built from the row; the shape depends on ``event_id % 20``: plain JSON, a
 ```` ```json ```` fence, a bare fence, trailing text, a preamble before the fence,
 single quotes, an empty string (11), missing or malformed segments (12, 13), two
-objects that close a list between them (14) and a body with entities (15), so every
+objects that close a list between them (14), a body with entities (15), values that are no
+text (16, 17) and entities that are one text or a mixed list (18, 19), so every
 cleaning rule is exercised on the whole table.
 """
 
@@ -23,7 +24,7 @@ from parlance.sources.tables import conversation_segments, spread, table
 
 BODY_SQL = """'{"transcript": "' || event_type || ' ' || event_id || '", "segments": [{"timestamp": "' || event_id
   || '", "speaker": "spk_' || (user_id % 3) || '", "text": "' || event_type || '"}]}'"""
-RESPONSE_SQL = f"""CASE event_id % 16
+RESPONSE_SQL = f"""CASE event_id % 20
     WHEN 0 THEN {BODY_SQL}
     WHEN 1 THEN '```json' || chr(10) || {BODY_SQL} || chr(10) || '```'
     WHEN 2 THEN '```' || chr(10) || {BODY_SQL} || chr(10) || '```'
@@ -39,6 +40,10 @@ RESPONSE_SQL = f"""CASE event_id % 16
     WHEN 12 THEN '{{"transcript": "no list"}}'
     WHEN 13 THEN '{{"transcript": "no list", "segments": "none"}}'
     WHEN 14 THEN {BODY_SQL} || '],[' || {BODY_SQL}
+    WHEN 16 THEN '{{"transcript": ' || event_id || ', "segments": []}}'
+    WHEN 17 THEN '{{"transcript": "t", "segments": [{{"timestamp": "1", "text": ' || event_id || '}}]}}'
+    WHEN 18 THEN '{{"entities": {{"JUDGE": "' || event_type || '", "COURT": ' || user_id || '}}, "transcript": "t", "segments": [{{"text": null}}]}}'
+    WHEN 19 THEN '{{"entities": {{"JUDGE": [' || event_id || ', "' || event_type || '", null]}}, "transcript": "t", "segments": []}}'
     ELSE '{{"entities": {{"JUDGE": ["' || event_type || '", "' || user_id || '"]}}, "transcript": "t", "segments": []}}' END"""
 
 
@@ -70,13 +75,16 @@ c AS (
 SELECT event_id, user_id,
        CASE WHEN cleaned IS NULL THEN 'bad_fence'
             WHEN NOT valid THEN 'invalid_json'
-            WHEN json_extract_string(cleaned, '$.transcript') IS NULL THEN 'missing_transcript'
-            WHEN coalesce(json_type(cleaned, '$.segments'), '') <> 'ARRAY' THEN 'missing_segments' END AS error,
-       CASE WHEN valid THEN json_extract_string(cleaned, '$.transcript') END AS transcript,
-       CASE WHEN valid AND json_type(cleaned, '$.segments') = 'ARRAY' THEN json_array_length(cleaned, '$.segments') END::BIGINT AS n_segments,
-       CASE WHEN valid AND json_exists(cleaned, '$.entities.JUDGE')
-            THEN json_extract_string(cleaned, '$.entities.JUDGE[0]') || '|' || json_extract_string(cleaned, '$.entities.JUDGE[1]') ELSE '' END AS judges
-FROM v"""
+            WHEN coalesce(json_type(cleaned, '$.transcript'), '') <> 'VARCHAR' THEN 'missing_transcript'
+            WHEN NOT listed THEN 'missing_segments' END AS error,
+       CASE WHEN valid AND json_type(cleaned, '$.transcript') = 'VARCHAR' THEN json_extract_string(cleaned, '$.transcript') END AS transcript,
+       CASE WHEN valid AND listed THEN json_array_length(cleaned, '$.segments') END::BIGINT AS n_segments,
+       CASE WHEN valid AND json_type(cleaned, '$.entities.JUDGE') = 'VARCHAR' THEN json_extract_string(cleaned, '$.entities.JUDGE')
+            WHEN valid AND json_type(cleaned, '$.entities.JUDGE') = 'ARRAY'
+            THEN array_to_string(list_transform(list_filter(json_extract(cleaned, '$.entities.JUDGE[*]'), lambda j: json_type(j) = 'VARCHAR'), lambda j: json_extract_string(j, '$')), '|') ELSE '' END AS judges
+FROM (SELECT *, coalesce(json_type(cleaned, '$.segments'), '') = 'ARRAY'
+                AND NOT list_has_any(json_type(cleaned, '$.segments[*].text'), ['UBIGINT', 'BIGINT', 'DOUBLE']) AS listed
+      FROM (SELECT event_id, user_id, valid, CASE WHEN cleaned IS NULL OR valid THEN cleaned ELSE '{{}}' END AS cleaned FROM v))"""
 
 
 @query("clean_model_output", CLEAN_SQL)

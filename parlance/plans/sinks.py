@@ -124,8 +124,9 @@ def _enhanced_from_conversations(spark, sf_dir):
         F.array_join(F.transform("_s", lambda x: x["text"]), " ").alias("transcript"),
         segs.alias("segments"),
         F.create_map().cast("map<string,array<string>>").alias("entities"),
-        F.lit("results").alias("bucket"),
-        F.concat(F.lit("stt-c"), F.col("conv_id").cast("string"), F.lit(".json")).alias("job_key"),
+        # two conversations share a job name, in different buckets
+        F.concat(F.lit("results-"), F.col("conv_id") % 2).alias("bucket"),
+        F.concat(F.lit("stt-c"), F.floor(F.col("conv_id") / 2), F.lit(".json")).alias("job_key"),
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 4).cast("int")).alias("ingest_date"),
     )
     return with_lineage(out).drop("bucket", "job_key")
@@ -135,19 +136,23 @@ def _enhanced_from_conversations(spark, sf_dir):
     "sink_roundtrip",
     """SELECT conv_id, DATE '2024-01-01' + (conv_id % 4)::INT AS ingest_date, count(*)::BIGINT AS n_segments,
        length(string_agg(text, ' ' ORDER BY turn))::BIGINT AS transcript_chars,
-       'stt-c' || conv_id || '_enhanced.json' AS output_key, NULL::VARCHAR AS reject_reason
+       'results-' || conv_id % 2 AS result_bucket, 'stt-c' || conv_id // 2 || '_enhanced.json' AS output_key, NULL::VARCHAR AS reject_reason
 FROM conversations GROUP BY conv_id""",
 )
 def q_sink_roundtrip(spark, sf_dir):
+    """Equal job names in two buckets, named batches beside unnamed ones of the same days, a batch written again,
+    and drafts that a later unnamed batch replaces: every conversation comes back once, as last written."""
     path = scratch_path(spark, "enhanced")
     enhanced = _enhanced_from_conversations(spark, sf_dir)
-    even = F.col("conv_id") % 2 == 0
-    # two batches of the same days, then one day of the first batch again
-    write_results(enhanced.where(even), path, batch="a")
-    write_results(enhanced.where(~even), path, batch="b")
-    write_results(enhanced.where(even & (F.col("ingest_date") == F.lit("2024-01-01").cast("date"))), path, batch="a")
+    third = F.col("conv_id") % 3
+    write_results(enhanced.where(third == 0), path, batch="0001")
+    write_results(enhanced.where(third > 0).withColumn("transcript", F.lit("draft")), path)
+    write_results(enhanced.where(third == 1), path)
+    write_results(enhanced.where(third == 2), path)
+    write_results(enhanced.where((third == 0) & (F.col("ingest_date") == F.lit("2024-01-01").cast("date"))), path, batch="0001")
     back = store_validation(read_enhanced(spark, path))
     return back.select(
+        "result_bucket",
         "conv_id", "ingest_date", F.size("segments").cast("bigint").alias("n_segments"),
         F.length("transcript").cast("bigint").alias("transcript_chars"), "output_key", "reject_reason",
     )
@@ -241,7 +246,7 @@ def _raw_enhanced(spark, sf_dir):
     raw = parsed_once(read_raw_transcripts(spark, path, multi_line=False))
     segs, items = raw_segments_and_items(raw)
     texts = segment_text(segs.select("transcript_id", "seg_no", "timestamp", "speaker", "start_s", "end_s", "reject_reason"), items)
-    places = raw.select("transcript_id", F.lit("media").alias("bucket"), F.concat("transcript_id", F.lit(".json")).alias("job_key"))
+    places = raw.select("transcript_id", F.concat(F.lit("media-"), F.pmod(F.crc32("transcript_id"), F.lit(2))).alias("bucket"), F.concat("transcript_id", F.lit(".json")).alias("job_key"))
     return enhance(texts.select("transcript_id", "seg_no", "timestamp", "speaker", "text", "reject_reason"), transcripts=places, budget=RAW_BUDGET)
 
 
@@ -267,20 +272,24 @@ FROM docs""",
 )
 def q_pipeline_status(spark, sf_dir):
     """Both entry points on one another: raw JSON -> enhance -> result table -> read by key -> status
-    answers with the whole document, for every transcript."""
+    answers with the whole document, for every transcript.  Jobs write to two buckets."""
     from parlance.operators.jobs import status_report
     from parlance.operators.uploads import resolve_result_uri
 
     path = scratch_path(spark, "results")
     docs = _raw_enhanced(spark, sf_dir).withColumn("ingest_date", F.lit("2024-01-01").cast("date"))
-    write_results(docs.where(F.col("reject_reason").isNull()), path)
+    # beside every document another one under the same name, in a bucket that no job names
+    both = docs.where(F.col("reject_reason").isNull()).withColumn("other", F.explode(F.array(F.lit(False), F.lit(True))))
+    elsewhere = F.col("s3").withField("transcriptionOutputBucket", F.when(F.col("other"), "elsewhere").otherwise(F.col("s3.transcriptionOutputBucket")))
+    write_results(both.withColumn("s3", elsewhere).withColumn("transcript", F.when(F.col("other"), "other").otherwise(F.col("transcript"))).drop("other"), path)
     results = read_enhanced(spark, path)
     ev = table(spark, sf_dir, "events").select(
         F.concat(F.lit("stt-u"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("event_id") / 100).cast("string")).alias("job_name")
     ).distinct()
+    bucket = F.concat(F.lit("media-"), F.pmod(F.crc32("job_name"), F.lit(2)))
     latest = resolve_result_uri(
-        ev.select("job_name", F.lit("COMPLETED").alias("status"), F.concat(F.lit("https://store.example.com/media/"), "job_name", F.lit(".json")).alias("uri")), "uri"
-    ).select("job_name", "status", "uri", "result_key")
+        ev.select("job_name", F.lit("COMPLETED").alias("status"), F.concat(F.lit("https://store.example.com/"), bucket, F.lit("/"), "job_name", F.lit(".json")).alias("uri")), "uri"
+    ).select("job_name", "status", "uri", "result_bucket", "result_key")
     report = status_report(ev.select(F.substr("job_name", F.lit(5)).alias("file_name")), latest, results)
     n_ent = F.aggregate(F.map_values("result.entities"), F.lit(0), lambda acc, v: acc + F.size(v)).cast("bigint")
     return report.select(

@@ -7,6 +7,9 @@ exactly the partitions it produced and never duplicates rows.
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +44,17 @@ def store_validation(df: DataFrame) -> DataFrame:
     )
 
 
-def write_results(df: DataFrame, path: str, partition_col: str = "ingest_date", batch: str = "0") -> None:
-    """SNK-1: idempotent write of one batch of enhanced results.  The table is partitioned by
-    day and ``batch``: writing a batch again replaces exactly its partitions, and
-    another batch of the same day stays beside it.  ``read_results`` lets the batch that
-    sorts last win per key (name batches so that they sort, e.g. by time)."""
+def new_batch() -> str:
+    """A batch name that sorts after those of earlier times: UTC time and a random end."""
+    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}Z-{uuid.uuid4().hex[:8]}"
+
+
+def write_results(df: DataFrame, path: str, partition_col: str = "ingest_date", batch: str | None = None) -> str:
+    """SNK-1: write one batch of enhanced results; returns its name.  The table is partitioned by
+    day and ``batch``: writing a named batch again replaces exactly its partitions, and any
+    other batch of the same day stays beside it.  Without a name every write is a batch of its own, named by the time.
+    ``read_results`` lets the batch that sorts last win per place (name batches so that they sort, e.g. by time)."""
+    batch = batch or new_batch()
     (
         df.withColumn("batch", F.lit(batch))
         .write.mode("overwrite")
@@ -53,16 +62,28 @@ def write_results(df: DataFrame, path: str, partition_col: str = "ingest_date",
         .partitionBy(partition_col, "batch")
         .parquet(path)
     )
+    return batch
+
+
+def result_place(df: DataFrame) -> DataFrame:
+    """``df`` with ``result_bucket`` and ``result_key``, the place JOIN-2 derives from a job's output address."""
+    return df.withColumn("result_bucket", F.col("s3.transcriptionOutputBucket")).withColumn("result_key", enhanced_key(F.col("s3.transcriptionJobName")))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-4/6: the results as stored, one row per result key: of a key written by several
-    batches the row of the last batch.  Adds ``result_key`` (as JOIN-2 derives it).
-    Rows without a key (rejected ones) are left out."""
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("batch", F.col("batch").cast("string"))
-    rows = rows.withColumn("result_key", enhanced_key(F.col("s3.transcriptionJobName"))).where(F.col("result_key").isNotNull())
-    newest = rows.groupBy("result_key").agg(F.max("batch").alias("batch"))  # keys and batches only
-    return rows.join(newest, ["result_key", "batch"]).dropDuplicates(["result_key"])
+    """SRC-4/6: the results as stored, one row per place (``result_bucket``, ``result_key``, which are added): of
+    a place written by several batches the row of the last one, of several rows for it in that batch the one whose
+    SHA-256 (of its JSON text) is largest.  Rows without a place (rejected ones) are left out."""
+    place = ["result_bucket", "result_key"]
+    stored = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    rows = result_place(stored.withColumn("batch", F.col("batch").cast("string"))).where("result_bucket is not null and result_key is not null")
+    newest = rows.groupBy(*place).agg(F.max("batch").alias("batch"), F.count(F.lit(1)).alias("_n"))  # places and batches only
+    last = rows.join(newest, [*place, "batch"])
+    # only places with several rows in all are looked at again
+    once, more = last.where("_n = 1").drop("_n"), last.where("_n > 1").drop("_n")
+    marked = more.withColumn("_sha", F.sha2(F.to_json(F.struct(*stored.columns)), 256))
+    winner = marked.groupBy(*place).agg(F.max("_sha").alias("_sha"))
+    return once.unionByName(marked.join(winner, [*place, "_sha"]).drop("_sha").dropDuplicates(place))
 
 
 def export_json(df: DataFrame, path: str, partition_col: str | None = "ingest_date") -> None:

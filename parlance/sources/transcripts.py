@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.keys import enhanced_key
 from parlance.operators.uploads import explode_notifications
 from parlance.schemas import ENHANCED_DDL, JOB_EVENT_DDL, NOTIFICATION_DDL, RAW_TRANSCRIPT_DDL
-from parlance.sinks.results import read_results
+from parlance.sinks.results import read_results, result_place
 
 # MIME types by file extension for audio listings.
 AUDIO_MIME = {"mp3": "audio/mpeg", "m4a": "audio/mp4", "mp4": "video/mp4", "wav": "audio/wav", "flac": "audio/flac",
@@ -65,14 +64,14 @@ def read_enhanced(spark: SparkSession, path: str, fmt: str = "parquet", multi_li
     """SRC-4 / SRC-6: enhanced transcripts from the result table (Parquet), from
     ``*_enhanced.json`` objects (one per file, ``multi_line=True``) or from JSON-lines
     exports (``multi_line=False, glob=None``).
-    Every form has ``result_key``, as JOIN-2 derives it from the job's output address."""
+    Every form has ``result_bucket`` and ``result_key``, as JOIN-2 derives them from the job's output address."""
     if fmt == "parquet":
         return read_results(spark, path)
     reader = spark.read.schema(ENHANCED_DDL).option("multiLine", multi_line)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     docs = reader.json(path).withColumn("source_file", F.input_file_name())
-    return docs.withColumn("result_key", enhanced_key(F.col("s3.transcriptionJobName")))
+    return result_place(docs)
 
 
 def read_job_events(spark: SparkSession, path: str) -> DataFrame:

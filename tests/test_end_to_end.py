@@ -91,7 +91,7 @@ def test_enhanced_results_are_found_by_the_status_lookup(spark):
     done.select("job_name", F.lit("COMPLETED").alias("status"), F.timestamp_add("HOUR", F.lit(1), F.current_timestamp()).alias("ts"), F.lit(9).cast("bigint").alias("event_id"), "uri").write.mode("append").parquet(log)
     latest = resolve_result_uri(latest_job_status(read_job_events(spark, log), by_base=True), "uri")
     requests = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), (None,)], "file_name string")
-    report = status_report(requests, latest.select("job_name", "status", "uri", "result_key"), read_enhanced(spark, path))
+    report = status_report(requests, latest.select("job_name", "status", "uri", "result_bucket", "result_key"), read_enhanced(spark, path))
     got = {r.file_name: r for r in report.collect()}
     assert (got["a"].http_code, got["a"].result.transcript, got["a"].result.segments[0].speaker) == (200, "hello there", "s")
     assert (got["b"].status, got["d"].http_code, got[None].http_code) == ("IN_PROGRESS", 404, 400)

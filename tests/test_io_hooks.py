@@ -149,6 +149,21 @@ def test_batches_of_one_day_stay_and_the_last_one_wins_per_key(spark):
     assert got == {1: ("first", "stt-1_enhanced.json"), 2: ("third again", "stt-2_enhanced.json"), 3: ("second", "stt-3_enhanced.json")}
 
 
+def test_results_of_two_buckets_and_unnamed_batches(spark):
+    d = tempfile.mkdtemp(prefix="parlance-places-")
+    ddl = "id long, note string, ingest_date string, s3 struct<transcriptionOutputBucket:string,transcriptionJobName:string>"
+    rows = lambda xs: spark.createDataFrame([(i, note, "2024-01-01", (b, k)) for i, note, b, k in xs], ddl)
+    first = write_results(rows([(1, "a", "b1", "k.json"), (2, "b", "b2", "k.json")]), d)
+    second = write_results(rows([(3, "c", "b1", "l.json"), (4, "x", None, "k.json"), (5, "x", "b1", None)]), d)
+    assert first < second
+    write_results(rows([(6, "later", "b2", "k.json"), (7, "also later", "b2", "k.json"), (7, "also later", "b2", "k.json")]), d)
+    back = read_enhanced(spark, d)
+    got = {(r.result_bucket, r.result_key): r.id for r in back.collect()}
+    assert got.pop(("b2", "k_enhanced.json")) in (6, 7) and back.count() == 3
+    assert got == {("b1", "k_enhanced.json"): 1, ("b1", "l_enhanced.json"): 3}
+    assert sorted(map(str, back.collect())) == sorted(map(str, read_enhanced(spark, d).repartition(5).collect()))
+
+
 def test_notification_url_decoding_option(spark):
     d = tempfile.mkdtemp(prefix="parlance-notes-dec-")
     doc = {"Records": [{"s3": {"bucket": {"name": "b"}, "object": {"key": "My+File%281%29.mp3"}}},

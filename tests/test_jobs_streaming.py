@@ -27,8 +27,8 @@ def test_status_report_cases(spark):
         "event_id long, job_name string, status string, ts timestamp, uri string",
     )
     latest = latest_job_status(ev)
-    latest = latest.withColumn("result_key", F.regexp_replace(F.regexp_extract("uri", "[^/]*$", 0), r"\.json", "_enhanced.json"))
-    results = spark.createDataFrame([("stt-done_enhanced.json", "text")], "result_key string, transcript string")
+    latest = latest.withColumn("result_key", F.regexp_replace(F.regexp_extract("uri", "[^/]*$", 0), r"\.json", "_enhanced.json")).withColumn("result_bucket", F.lit("b"))
+    results = spark.createDataFrame([("b", "stt-done_enhanced.json", "text"), ("c", "stt-nores_enhanced.json", "elsewhere")], "result_bucket string, result_key string, transcript string")
     req = spark.createDataFrame([("done",), ("nores",), ("q",), ("f",), ("nope",), (None,), ("nouri",)], "file_name string")
     got = {r.file_name: (r.http_code, r.status) for r in status_report(req, latest, results).collect()}
     assert got == {
@@ -142,8 +142,8 @@ def test_status_lookup_finds_restarted_jobs(spark):
     latest = latest_job_status(ev, by_base=True)
     row = latest.first()
     assert (row.job_name, row.latest_job, row.status) == ("stt-a", "stt-a-20240101000200-0123abcd", "COMPLETED")
-    latest = latest.withColumn("result_key", F.lit("k"))
-    results = spark.createDataFrame([("k", "text")], "result_key string, transcript string")
+    latest = latest.withColumn("result_key", F.lit("k")).withColumn("result_bucket", F.lit("b"))
+    results = spark.createDataFrame([("b", "k", "text")], "result_bucket string, result_key string, transcript string")
     req = spark.createDataFrame([("a",)], "file_name string")
     r = status_report(req, latest, results).first()
     assert (r.http_code, r.status, r.result_transcript) == (200, "COMPLETED", "text")

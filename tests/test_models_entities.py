@@ -22,6 +22,12 @@ def test_response_cleaning_fixtures(spark):
         (BODY + ", " + BODY, "invalid_json"),
         ('{"segments": []}', "missing_transcript"),
         (None, "no_response"),
+        ('{"transcript": 5, "segments": []}', "missing_transcript"),
+        ('{"transcript": null, "segments": []}', "missing_transcript"),
+        ('{"transcript": ["a"], "segments": []}', "missing_transcript"),
+        ('{"transcript": "a", "segments": [{"text": 1}]}', "missing_segments"),
+        ('{"transcript": "a", "segments": [{"text": {"a": "b"}}]}', "missing_segments"),
+        ('{"transcript": "a", "segments": ["a"]}', "missing_segments"),
     ]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i long, response string")
     out = {r.i: r for r in clean_model_output(df).collect()}
@@ -33,6 +39,33 @@ def test_response_cleaning_fixtures(spark):
             assert out[i].entities == {}  # missing 'entities' key -> empty map
 
 
+def test_entity_values_that_are_no_lists(spark):
+    body = '{"transcript": "a", "segments": [{"text": null}], "entities": {"JUDGE": "Smith", "COURT": ["A", 1, null, "B"], "DATE": 5, "EXPERT": null, "COMPANY": []}}'
+    r = clean_model_output(spark.createDataFrame([(body,)], "response string")).first()
+    assert r.error is None and r.entities == {"JUDGE": ["Smith"], "COURT": ["A", "B"], "COMPANY": []}
+    assert r.segments[0].text is None
+    odd = '{"transcript": "a", "segments": [], "entities": "none"}'
+    assert clean_model_output(spark.createDataFrame([(odd,)], "response string")).first().entities == {}
+
+
+def test_two_rules_of_one_category_give_one_list(spark):
+    from parlance.operators.entities import entity_map
+
+    df = spark.createDataFrame([(1, "b2 a1 b2 a3"), (2, "none"), (3, None)], "transcript_id long, text string")
+    long = extract_entities(df, (("X", "a[0-9]"), ("Y", "[0-9]"), ("X", "[ab][0-9]")))
+    assert {r.transcript_id: r.entities for r in entity_map(long).collect()} == {1: {"X": ["a1", "a3", "b2"], "Y": ["2", "1", "3"]}}
+    split = spark.createDataFrame([(1, "X", 3, 0, "v"), (1, "X", 0, 1, "w"), (1, "X", 0, 0, "v"), (1, "Y", 1, 0, "y")], "transcript_id long, category string, cat_pos int, pos long, value string")
+    assert list(entity_map(split).first().entities.items()) == [("X", ["v", "w"]), ("Y", ["y"])]
+
+
+def test_repeated_vocabulary_terms(spark):
+    from parlance.operators.analytics import apply_vocabulary
+
+    vocab = spark.createDataFrame([("a", "Z"), ("a", "Y"), ("a", None), (None, "N"), ("b", None)], "term string, preferred string")
+    out = apply_vocabulary(spark.createDataFrame([("a b a",), (None,)], "text string"), vocab)
+    assert sorted(str(r.text_out) for r in out.collect()) == ["None", "Y b Y"]
+
+
 def test_apply_model_echo_and_failures(spark):
     df = spark.createDataFrame([(1, 0, json.dumps([{"timestamp": "0", "speaker": "a", "text": "x y"}])), (1, 1, None)],
                                "transcript_id long, chunk_no long, payload string")
