@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load_all() -> None:
     # import for side effects: each module registers its queries
-    from parlance.plans import chunking, segments, keys, models, entities, jobs, streams, sinks, analytics  # noqa: F401
+    from parlance.plans import chunking, segments, keys, models, entities, jobs, streams, sinks, analytics, phrases  # noqa: F401
 
 
 def _shipping(fn: QueryFn) -> QueryFn:

@@ -94,8 +94,8 @@ def test_dynamic_overwrite_and_start_records(spark):
     d = tempfile.mkdtemp(prefix="parlance-res-")
     rows = [(i, f"t{i}", f"2024-01-0{i % 2 + 1}") for i in range(6)]
     df = spark.createDataFrame(rows, "id long, transcript string, ingest_date string")
-    write_results(df, d)
-    write_results(df.where(F.col("ingest_date") == "2024-01-01"), d)
+    write_results(df, d, batch="0")
+    write_results(df.where(F.col("ingest_date") == "2024-01-01"), d, batch="0")
     assert spark.read.parquet(d).count() == 6
     ev = tempfile.mkdtemp(prefix="parlance-ev-")
     write_start_records(spark.createDataFrame([("stt-a",)], "job_name string"), ev)
