@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.ordered import with_next, with_prev
 from parlance.schemas import JOB_STATES
 
 TERM_PATTERN = r"[a-z]+"
@@ -49,6 +50,34 @@ def job_progress(events: DataFrame, *, job: str = "job_name") -> DataFrame:
     return agg.withColumn("turnaround_s", turnaround).withColumn("span_s", span)
 
 
+def state_spells(events: DataFrame, *, job: str = "job_name") -> DataFrame:
+    """RM-3/RM-4: gaps and islands of a job's states.  A spell is a run of events of one status in ``(ts, event_id)``
+    order, whatever restarts lie in it; it lasts until the first event of another status (the last spell of a
+    job is open: no end).  One row per spell: job, ``status, start_ts, event_id`` (its first event) and ``end_ts``.
+
+    Rows where the status changes are found by a skew-safe lag; each ends where the next of them begins, a
+    skew-safe lead over those rows alone.  A hot job is split over tasks in both."""
+    order = ["ts", "event_id"]
+    rows = with_prev(events.select(job, "ts", "event_id", "status"), job, order, ["status", "event_id"])
+    # the status of the row before; a job's first row has no row before it (an event id is never null)
+    starts = rows.where(F.col("prev_event_id").isNull() | ~F.col("prev_status").eqNullSafe(F.col("status")))
+    spells = with_next(starts.select(job, "ts", "event_id", "status"), job, order, ["ts"])
+    return spells.select(job, "status", F.col("ts").alias("start_ts"), "event_id", F.col("next_ts").alias("end_ts"))
+
+
+def state_durations(events: DataFrame, *, job: str = "job_name") -> DataFrame:
+    """RM-3/RM-4: per job and status how often it was entered, the seconds spent in it over all spells that ended,
+    the longest of them, and since when it has been in it (null: it is not)."""
+    spells = state_spells(events, job=job)
+    us = F.timestamp_diff("MICROSECOND", F.col("start_ts"), F.col("end_ts"))
+    return spells.groupBy(job, "status").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_entered"),
+        (F.coalesce(F.sum(us), F.lit(0)) / F.lit(1e6)).alias("seconds"),
+        (F.max(us) / F.lit(1e6)).alias("longest_s"),
+        F.max(F.when(F.col("end_ts").isNull(), F.col("start_ts"))).alias("open_since"),
+    )
+
+
 def apply_vocabulary(segments: DataFrame, vocab: dict[str, str] | DataFrame, *, text: str = "text") -> DataFrame:
     """RM-5: replace whole words (split on single spaces) by preferred forms.
 

@@ -11,6 +11,7 @@ from parlance.operators.analytics import (
     job_history,
     job_progress,
     language_counts,
+    state_durations,
     top_entities,
     top_terms,
 )
@@ -70,6 +71,20 @@ def q_job_progress(spark, sf_dir):
     return job_progress(job_events(spark, sf_dir))
 
 
+@query(
+    "state_durations",
+    f"""WITH {JOB_EVENTS_SQL},
+s AS (SELECT *, lag(status) OVER o AS prior FROM job_events WINDOW o AS (PARTITION BY job_name ORDER BY ts, event_id)),
+e AS (SELECT job_name, status, ts, lead(ts) OVER (PARTITION BY job_name ORDER BY ts, event_id) AS until
+      FROM s WHERE prior IS NULL OR prior <> status)
+SELECT job_name, status, count(*)::BIGINT AS n_entered, coalesce(sum(epoch_us(until) - epoch_us(ts)), 0)::BIGINT / 1e6 AS seconds,
+       max(epoch_us(until) - epoch_us(ts)) / 1e6 AS longest_s, max(ts) FILTER (WHERE until IS NULL) AS open_since
+FROM e GROUP BY job_name, status""",
+)
+def q_state_durations(spark, sf_dir):
+    return state_durations(job_events(spark, sf_dir))
+
+
 # a small fixed vocabulary (literal map path)
 VOCABULARY = {"the": "THE", "and": "AND", "und": "UND", "le": "LE", "la": "LA", "de": "DE", "in": "IN"}
 VOCAB_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in VOCABULARY.items()) + ") AS v(term, preferred)"

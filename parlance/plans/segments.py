@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from parlance.functions.times import epoch_seconds, hms, js_parse_float
 from parlance.operators.ordered import with_next
 from parlance.operators.segments import resolve_speakers, segment_text, speaker_cap
+from parlance.operators.speakers import infer_speakers
 from parlance.plans.registry import query
 from parlance.sources.tables import conversation_segments, spread, table
 
@@ -117,3 +118,36 @@ FROM conversations GROUP BY conv_id""",
 def q_speaker_cap(spark, sf_dir):
     out = speaker_cap(conversation_segments(spark, sf_dir), cap=2)
     return out.select(F.col("transcript_id").alias("conv_id"), "n_speakers", "within_cap")
+
+
+# stand-in evidence: the first capitalised word of a turn names its speaker, one before a comma the next
+# speaker, one that ends a sentence the previous one
+EVIDENCE = (("self", "^([A-Z][a-z]+)", 3), ("next", "([A-Z][a-z]+), ", 2), ("previous", "([A-Z][a-z]+)[.]", 1))
+
+
+@query(
+    "infer_speakers",
+    """WITH RECURSIVE s AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nx, lag(role) OVER w AS pv FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+e AS (SELECT conv_id, role AS label, unnest(regexp_extract_all(text, '^([A-Z][a-z]+)', 1)) AS name, 3 AS weight FROM s
+  UNION ALL SELECT conv_id, nx, unnest(regexp_extract_all(text, '([A-Z][a-z]+), ', 1)), 2 FROM s WHERE nx <> role
+  UNION ALL SELECT conv_id, pv, unnest(regexp_extract_all(text, '([A-Z][a-z]+)[.]', 1)), 1 FROM s WHERE pv <> role),
+p AS (SELECT conv_id, label, name, sum(weight)::BIGINT AS score FROM e GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, label, name) AS k FROM p),
+g AS (SELECT conv_id, 1::BIGINT AS k, [label] AS labels, [name] AS names, label, name, score, true AS taken FROM c WHERE k = 1
+  UNION ALL
+  SELECT c.conv_id, c.k, CASE WHEN f THEN list_append(labels, c.label) ELSE labels END, CASE WHEN f THEN list_append(names, c.name) ELSE names END, c.label, c.name, c.score, f
+  FROM (SELECT c.*, g.labels, g.names, NOT list_contains(g.labels, c.label) AND NOT list_contains(g.names, c.name) AS f
+        FROM g JOIN c ON c.conv_id = g.conv_id AND c.k = g.k + 1) c),
+m AS (SELECT conv_id, label, name, score FROM g WHERE taken)
+SELECT s.conv_id, s.turn, s.role, coalesce(m.name, s.role) AS speaker_name, m.score
+FROM s LEFT JOIN m ON m.conv_id = s.conv_id AND m.label = s.role""",
+)
+def q_infer_speakers(spark, sf_dir):
+    """JOIN-5 with names from the texts: evidence per conversation and role, one name per role, joined to every turn."""
+    segs = conversation_segments(spark, sf_dir)
+    names = infer_speakers(segs, EVIDENCE)
+    out = resolve_speakers(segs, names)
+    scores = names.select("transcript_id", F.col("speaker_label").alias("speaker"), "score")
+    return out.join(scores, ["transcript_id", "speaker"], "left").select(
+        F.col("transcript_id").alias("conv_id"), F.col("seg_no").alias("turn"), F.col("speaker").alias("role"), "speaker_name", "score"
+    )
