@@ -74,7 +74,7 @@ def unique_suffix(key, ts, salt) -> F.Column:
     )
 
 
-def _start(prior: F.Column, job: str, salt: str) -> tuple[F.Column, F.Column]:
+def start_action(prior: F.Column, job: str, salt: str) -> tuple[F.Column, F.Column]:
     """What to do about a submission whose job was last in state ``prior``, and the name to start under."""
     action = F.when(prior.isNull(), F.lit("start")).when(prior.isin(*TERMINAL_STATES), F.lit("delete_and_start")).otherwise(F.lit("start_unique"))
     unique = F.concat(F.col(job), F.lit("-"), unique_suffix(job, "ts", salt))
@@ -93,7 +93,7 @@ def plan_job_starts(events: DataFrame, submissions, *, job: str = "job_name") ->
     ev = events.withColumn("_is_sub", submissions)
     with_prior = with_prev(ev, job, ["ts", "event_id"], ["status"])
     subs = with_prior.where(F.col("_is_sub"))
-    action, name = _start(F.col("prev_status"), job, "event_id")
+    action, name = start_action(F.col("prev_status"), job, "event_id")
     return subs.select(
         "event_id", job, F.col("prev_status").alias("prior_status"), action.alias("action"), name.alias("start_name"),
         F.lit("QUEUED").alias("record_status"),
@@ -119,7 +119,7 @@ def plan_uploads(uploads: DataFrame, latest: DataFrame, *, job: str = "job_name"
     (start / start_unique / delete_and_start) and ``start_name``."""
     prior = latest.select(job, F.col("status").alias("prior_status"))
     joined = _left_join(uploads, prior, job)
-    action, name = _start(F.col("prior_status"), job, "upload_id")
+    action, name = start_action(F.col("prior_status"), job, "upload_id")
     return joined.withColumn("action", action).withColumn("start_name", name)
 
 

@@ -56,9 +56,7 @@ def q_latest_job_status(spark, sf_dir):
     )
 
 
-@query(
-    "plan_job_starts",
-    f"""WITH {JOB_EVENTS_SQL},
+JOB_STARTS_SQL = f"""WITH {JOB_EVENTS_SQL},
 p AS (SELECT *, lag(status) OVER (PARTITION BY job_name ORDER BY ts, event_id) AS prior_status FROM job_events)
 SELECT event_id, job_name, prior_status,
        CASE WHEN prior_status IS NULL THEN 'start'
@@ -67,8 +65,10 @@ SELECT event_id, job_name, prior_status,
             ELSE job_name || '-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || left(sha256(job_name || '|' || event_id), 8) END
          AS start_name,
        'QUEUED' AS record_status
-FROM p WHERE is_submission""",
-)
+FROM p WHERE is_submission"""
+
+
+@query("plan_job_starts", JOB_STARTS_SQL)
 def q_plan_job_starts(spark, sf_dir):
     ev = job_events(spark, sf_dir)
     return plan_job_starts(ev, F.col("is_submission")).select(

@@ -1,5 +1,5 @@
 """Queries: stream_uploads, stream_dedup, stream_latest_status, stream_job_timeout,
-stream_result_join.
+stream_result_join, stream_job_starts.
 
 Each reads ``events.parquet`` as a file stream (``pathGlobFilter``), runs with
 ``trigger(availableNow=True)`` into a table in the shared checkpoint folder and
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.times import instant_to_ntz, ntz_to_instant
-from parlance.plans.jobs import JOB_EVENTS_SQL, STATUS_SQL
+from parlance.plans.jobs import JOB_EVENTS_SQL, JOB_STARTS_SQL, STATUS_SQL
 from parlance.plans.registry import query
 from parlance.sources.tables import table
 from parlance.streaming.flows import (
@@ -24,6 +24,7 @@ from parlance.streaming.flows import (
     run_to_table,
     upload_stream,
 )
+from parlance.streaming.starts import job_start_stream, keyed_state
 
 
 def _cores(spark) -> int:
@@ -145,3 +146,11 @@ def q_stream_result_join(spark, sf_dir):
     joined = result_join_stream(views, buys, key="user_id", within="2 hours", delay="1 hour")
     return run_to_table(joined.select("view_id", "purchase_id", "user_id"), spark, "stream_result_join",
                         state_partitions=_cores(spark))
+
+
+@query("stream_job_starts", JOB_STARTS_SQL)
+def q_stream_job_starts(spark, sf_dir):
+    """JOIN-3 on the live log: every submission is decided as its event arrives, from the state of its job."""
+    ev = job_event_stream(spark, sf_dir)
+    with keyed_state(spark):
+        return run_to_table(job_start_stream(ev, F.col("status") == "QUEUED"), spark, "stream_job_starts", state_partitions=_cores(spark))

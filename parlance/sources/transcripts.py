@@ -37,6 +37,13 @@ def read_notifications(
     return explode_notifications(notes, "Records", id_field or "source_file", url_decode=url_decode)
 
 
+def audio_mime(path: str) -> F.Column:
+    """MIME type by the extension of a path."""
+    ext = F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+    known = F.create_map(*[F.lit(x) for kv in AUDIO_MIME.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, ext), F.lit("application/octet-stream"))
+
+
 def list_audio(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """SRC-2: object listing (path, size, modification time, MIME from extension).
 
@@ -44,11 +51,7 @@ def list_audio(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select("path", "length", "modificationTime")
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
-    mime = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in AUDIO_MIME.items() for x in kv]), ext),
-                      F.lit("application/octet-stream"))
-    return files.withColumn("mime", mime)
+    return reader.load(path).select("path", "length", "modificationTime").withColumn("mime", audio_mime("path"))
 
 
 def read_raw_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
