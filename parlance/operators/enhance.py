@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.operators.answers import AnswerStore, apply_model_by_language, ask_once
 from parlance.operators.entities import DEFAULT_CATALOGUE, entity_map, extract_entities
 from parlance.operators.models import ModelFactory, answers_audit, apply_model, clean_model_output, echo_model_factory, entities_with_model
 from parlance.operators.packing import DEFAULT_BUDGET, pack_chunks, token_counts
@@ -35,6 +36,8 @@ def enhance(
     key: str = "transcript_id",
     exact_json: bool = False,
     model_concurrency: int | None = None,
+    languages: DataFrame | None = None,
+    answer_store: AnswerStore | None = None,
 ) -> DataFrame:
     """``segments``: key, seg_no (dense ordinal), timestamp, speaker, text and, if known, reject_reason.
 
@@ -46,7 +49,11 @@ def enhance(
     which it fails is stored without entities, with status NER_FAILED.
 
     ``answers`` (key, chunk_no, response) are model answers of an earlier run: chunks that
-    have one are not asked again.
+    have one are not asked again.  ``answer_store`` keeps answers by request instead, as they come: a lost executor or a run
+    that broke off costs no answered request (``operators.answers``).
+
+    ``languages`` (key, language) routes chunks: ``model_factory`` is then called with the language, once for each
+    client, and a client sees one language (a transcript without one: the default language).
 
     Output, one row per transcript: ``transcript, segments, entities, s3`` (D10) plus
     ``status`` (OK / PARTIAL / FAILED / NER_FAILED), ``n_chunks``, ``n_lost``, ``n_rejected``
@@ -62,7 +69,15 @@ def enhance(
     known = None if answers is None else answers.where(F.col("response").isNotNull()).select(key, "chunk_no", "response").dropDuplicates([key, "chunk_no"])
     if known is not None:
         requests = requests.join(known.select(key, "chunk_no"), [key, "chunk_no"], "left_anti")
-    answered = apply_model(requests, model_factory, concurrency=model_concurrency, spread_by=[key, "chunk_no"]).drop("payload")
+    if languages is not None:
+        requests = requests.join(languages.select(key, "language"), key, "left")
+    if answer_store is not None:
+        answered = ask_once(requests, model_factory, answer_store, language="language" if languages is not None else None, concurrency=model_concurrency)
+    elif languages is not None:
+        answered = apply_model_by_language(requests, model_factory)
+    else:
+        answered = apply_model(requests, model_factory, concurrency=model_concurrency, spread_by=[key, "chunk_no"])
+    answered = answered.select(key, "chunk_no", "response", "response_error")
     if known is not None:
         chunks = packed.select(key, "chunk_no").distinct()
         answered = answered.unionByName(known.join(chunks, [key, "chunk_no"], "left_semi").withColumn("response_error", F.lit(None).cast("string")))
@@ -72,11 +87,11 @@ def enhance(
     # one row per chunk sent, so the audit is one aggregation
     audit = answers_audit(cleaned, key=key)
     combined = combine_chunks(cleaned.select(key, "chunk_no", "transcript", "segments", "ok"), key=key, ok="ok")
+    combined = combined.checkpoint(eager=True)  # read by the entities and by the document
     status = F.col("status")
     if entity_model is None:
         long = extract_entities(combined.select(key, F.col("transcript").alias("text")), catalogue, key=key)
     else:
-        combined = combined.checkpoint(eager=True)
         long, failures = entities_with_model(combined, entity_model, key=key)
         failed = failures.select(key, F.lit(True).alias("_ner_failed"))
     ents = entity_map(long, key=key)

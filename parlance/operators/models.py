@@ -134,6 +134,24 @@ def clean_model_output(df: DataFrame, response: str = "response", *, exact_json:
     )
 
 
+def ask_batch(model: Callable[[list], list], requests: list) -> list[tuple]:
+    """(answer, error) of each request.  A batch whose call fails, or that gets another number of answers than it has
+    requests, is asked again request by request, so only the requests that fail themselves have an error."""
+
+    def ask(part: list, alone: bool) -> list[tuple] | None:
+        try:
+            got = list(model(part))
+            if len(got) == len(part):
+                return [(g, None) for g in got]
+            problem = f"{len(got)} answers to {len(part)} requests"
+        except Exception as e:  # noqa: BLE001 - a failed call fails only its request
+            problem = f"{type(e).__name__}: {e}"
+        return [(None, problem)] if alone else None
+
+    got = ask(requests, alone=False)
+    return got if got is not None else [ask([r], alone=True)[0] for r in requests]
+
+
 def apply_model(
     df: DataFrame,
     model_factory: ModelFactory,
@@ -157,25 +175,13 @@ def apply_model(
     if concurrency:
         df = df.repartition(int(concurrency), *(spread_by or [request]))
 
-    def ask(model, part: list, alone: bool = False) -> list[tuple] | None:
-        try:
-            got = list(model(part))
-            if len(got) == len(part):
-                return [(g, None) for g in got]
-            problem = f"{len(got)} answers to {len(part)} requests"
-        except Exception as e:  # noqa: BLE001 - a failed call fails only its request
-            problem = f"{type(e).__name__}: {e}"
-        return [(None, problem)] if alone else None
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for pdf in batches:
             reqs = pdf[request].tolist()
             outs: list[tuple] = []
             for i in range(0, len(reqs), batch_rows):
-                part = reqs[i : i + batch_rows]
-                got = ask(model, part)
-                outs.extend(got if got is not None else [ask(model, [r], alone=True)[0] for r in part])
+                outs.extend(ask_batch(model, reqs[i : i + batch_rows]))
             pdf[response], pdf[error] = [o for o, _ in outs], [e for _, e in outs]
             yield pdf
 

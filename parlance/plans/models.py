@@ -1,4 +1,4 @@
-"""Queries: clean_model_output, chunk_audit, apply_model.
+"""Queries: clean_model_output, chunk_audit, apply_model, apply_model_stored, enhance_by_language.
 
 Stand-in for model responses: every ``events`` row is the response to one chunk
 (``user_id`` = transcript, ``event_id`` = chunk).  The body is a JSON object
@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.text import WS
+from parlance.operators.answers import AnswerStore, ask_once
 from parlance.operators.models import apply_model, chunk_audit, clean_model_output, echo_model_factory
 from parlance.operators.packing import pack_chunks, token_counts
 from parlance.operators.recombine import chunk_payload
@@ -134,3 +135,60 @@ def q_apply_model(spark, sf_dir):
         F.col("transcript_id").alias("conv_id"), "chunk_no", "ok", "transcript",
         F.size("segments").cast("bigint").alias("n_segments"),
     )
+
+
+@query(
+    "apply_model_stored",
+    packing_cte(60)
+    + """
+, c AS (SELECT conv_id, chunk_no, string_agg(p.text, ' ' ORDER BY p.turn) AS transcript, count(*)::BIGINT AS n_segments,
+               list((p.turn, role, p.text) ORDER BY p.turn) AS request
+        FROM packed p JOIN conversations USING (conv_id, turn) GROUP BY ALL)
+SELECT conv_id, chunk_no, transcript, n_segments, request IN (SELECT request FROM c WHERE conv_id % 2 = 0) AS reused FROM c""",
+)
+def q_apply_model_stored(spark, sf_dir):
+    """UDF-2 with durable answers: a first run asks for half of the conversations, a second one for all of them, and what
+    the store has is not asked again."""
+    from parlance.session import scratch_path
+
+    packed = pack_chunks(token_counts(conversation_segments(spark, sf_dir)), 60)
+    requests = chunk_payload(packed).select("transcript_id", "chunk_no", "payload").checkpoint(eager=True)
+    store = AnswerStore(scratch_path(spark, "answers"))
+    ask_once(requests.where(F.col("transcript_id") % 2 == 0), echo_model_factory, store)
+    out = clean_model_output(ask_once(requests, echo_model_factory, store))
+    return out.select(
+        F.col("transcript_id").alias("conv_id"), "chunk_no", "transcript", F.size("segments").cast("bigint").alias("n_segments"), F.col("response_reused").alias("reused"),
+    )
+
+
+LANGUAGE_SQL = "CASE conv_id % 7 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' WHEN 2 THEN NULL ELSE 'en' END"
+
+
+def language_echo(language: str):
+    """Stand-in for a client of one language: the echo with the language in front of the transcript."""
+    import json
+
+    echo = echo_model_factory()
+
+    def model(payloads: list[str]) -> list:
+        answers = [json.loads(a) for a in echo(payloads)]
+        return [json.dumps(a | {"transcript": f"[{language}] {a['transcript']}"}) for a in answers]
+
+    return model
+
+
+@query(
+    "enhance_by_language",
+    packing_cte(60)
+    + f"""
+, c AS (SELECT conv_id, chunk_no, '[' || coalesce({LANGUAGE_SQL}, 'en-US') || '] ' || string_agg(text, ' ' ORDER BY turn) AS t, count(*) AS n FROM packed GROUP BY conv_id, chunk_no)
+SELECT conv_id, {strip_sql("string_agg(t, ' ' ORDER BY chunk_no)")} AS transcript, sum(n)::BIGINT AS n_segments, 'OK' AS status FROM c GROUP BY conv_id""",
+)
+def q_enhance_by_language(spark, sf_dir):
+    """RM-6: every transcript goes to the client of its language; the answers tell which client gave them."""
+    from parlance.operators.enhance import enhance
+
+    segments = conversation_segments(spark, sf_dir)
+    languages = segments.select("transcript_id").distinct().select("transcript_id", F.expr(LANGUAGE_SQL.replace("conv_id", "transcript_id")).alias("language"))
+    out = enhance(segments, model_factory=language_echo, languages=languages, budget=60)
+    return out.select(F.col("transcript_id").alias("conv_id"), "transcript", F.size("segments").cast("bigint").alias("n_segments"), "status")
