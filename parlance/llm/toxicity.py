@@ -22,7 +22,7 @@ rows get equal scores; extra columns are ignored or, in ``without_toxic``, kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +75,16 @@ def _noisy_or(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.bincount(doc, weights=np.logaddexp(0, z), minlength=n)
 
 
-def _telling(slot: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Slots found in toxic documents more often than chance explains: log odds ratio over its standard error >= ``Z``."""
-    found = np.zeros((2, SLOTS))
+def _count_documents(found: np.ndarray, slot: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> None:
+    """Add to ``found`` (2 x SLOTS), by label, in how many documents each slot is."""
     for column in range(slot.shape[1]):
         pairs = np.unique(doc.astype(np.int64) * SLOTS + slot[:, column])
         for label in (0, 1):
             found[label] += np.bincount(pairs[toxic[pairs // SLOTS] == bool(label)] % SLOTS, minlength=SLOTS)
+
+
+def _telling(found: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Slots found in toxic documents more often than chance explains: log odds ratio over its standard error >= ``Z``."""
     of = np.asarray([[(~toxic).sum()], [toxic.sum()]])
     with_, without = found + 0.5, np.maximum(of - found, 0) + 0.5
     odds = np.log(with_ / without)
@@ -96,37 +99,47 @@ def _no_weights() -> np.ndarray:
     return weights
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> np.ndarray:
-    """Weights (bias last) from whole texts and their labels; ``share`` is the share of toxic labels overall."""
-    slots, firsts, docs, words_before, rows_before = [], [], [], 0, 0
-    for i, j in parts(texts):
-        data, at = buffer_of(texts.slice(i, j - i))
-        words = find_words(data, at, ALNUM)
-        first, doc = _sentences(data, words)
-        slots.append(_features(data, words))
-        firsts.append(first + words_before)
-        docs.append(doc + rows_before)
-        words_before, rows_before = words_before + len(words.start), rows_before + j - i
+def fit(labelled: Iterable[tuple[pa.Array, np.ndarray]], share: float) -> np.ndarray:
+    """Weights (bias last) from batches of whole texts and their labels; ``share`` is the share of toxic labels overall.
+
+    Texts are read once and not kept: of each word two slots stay, and of those only the telling ones."""
+    slots, sizes, docs, labels, rows = [], [], [], [], 0
+    found = np.zeros((2, SLOTS))
+    for texts, toxic in labelled:
+        labels.append(toxic)
+        for i, j in parts(texts):
+            data, at = buffer_of(texts.slice(i, j - i))
+            words = find_words(data, at, ALNUM)
+            first, doc = _sentences(data, words)
+            size = np.diff(np.append(first, len(words.start)))
+            slots.append(_features(data, words))
+            sizes.append(size)
+            docs.append(doc + rows)
+            _count_documents(found, slots[-1], np.repeat(doc, size), toxic[i:j])
+            rows += j - i
     weights = _no_weights()
-    if not words_before or not toxic.any() or toxic.all():
+    toxic = np.concatenate(labels) if labels else np.zeros(0, bool)
+    if not any(map(len, slots)) or not toxic.any() or toxic.all():
         return weights
-    slot, first, doc = np.concatenate(slots), np.concatenate(firsts), np.concatenate(docs)
-    n = len(toxic)
-    sentence_size = np.diff(np.append(first, len(slot)))
-    names = _telling(slot, np.repeat(doc, sentence_size), toxic)
+    names = _telling(found, toxic)
     index = np.full(SLOTS, len(names), np.int32)
     index[names] = np.arange(len(names))
-    slot = index[slot]
-    # words without a telling feature change nothing: leave them out
-    told = (slot < len(names)).any(1)
-    sentence_of = np.repeat(np.arange(len(first)), sentence_size)[told]
-    slot = slot[told]
+    sentences, told_slots, told_sentences = 0, [], []
+    for k, size in enumerate(sizes):
+        slot = index[slots[k]]
+        slots[k] = None
+        # words without a telling feature change nothing: leave them out
+        told = (slot < len(names)).any(1)
+        told_slots.append(slot[told])
+        told_sentences.append(np.repeat(np.arange(sentences, sentences + len(size)), size)[told])
+        sentences += len(size)
+    slot, sentence_of, doc, n = np.concatenate(told_slots), np.concatenate(told_sentences), np.concatenate(docs), len(toxic)
     w, b = np.zeros(len(names) + 1), BIAS
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     weight /= weight.sum()
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        z = b + np.bincount(sentence_of, weights=w[slot].sum(1), minlength=len(first))
+        z = b + np.bincount(sentence_of, weights=w[slot].sum(1), minlength=sentences)
         p = _sigmoid(z)
         log_not = np.minimum(_noisy_or(z, doc, n), -1e-12)
         odds = np.exp(log_not) / -np.expm1(log_not)
@@ -163,16 +176,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     chosen = [known.where(F.col("toxic") == is_toxic).orderBy(order, "doc_id").limit(sample) for is_toxic in (True, False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken, kept = {True: 0, False: 0}, []
-        for batch in batches:
-            mask = []
-            for toxic, size in zip(batch.column("toxic").to_pylist(), pc.binary_length(batch.column("text")).to_pylist()):
-                mask.append(taken[toxic] < sample_bytes)
-                taken[toxic] += size or 0
-            kept.append(batch.filter(pa.array(mask, pa.bool_())))
-        rows = pa.Table.from_batches(kept, schema=pa.schema([("text", pa.string()), ("toxic", pa.bool_())])).combine_chunks()
-        texts = rows.column("text").cast(pa.large_string()).combine_chunks()
-        weights = fit(texts, rows.column("toxic").to_numpy(), share)
+        def labelled() -> Iterator[tuple[pa.Array, np.ndarray]]:
+            taken = {True: 0, False: 0}
+            for batch in batches:
+                mask = []
+                for toxic, size in zip(batch.column("toxic").to_pylist(), pc.binary_length(batch.column("text")).to_pylist()):
+                    mask.append(taken[toxic] < sample_bytes)
+                    taken[toxic] += size or 0
+                kept = batch.filter(pa.array(mask, pa.bool_()))
+                yield kept.column("text"), kept.column("toxic").to_numpy(zero_copy_only=False)
+
+        weights = fit(labelled(), share)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 
     few = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * sample ids
