@@ -7,9 +7,13 @@ element that names an article, -1 inside one that names menus, notices, adverts,
 comments and the like, by tag, role or class and id words.  The inner of the two counts.  An
 element that names both is 0 unless it is inside a -1, so words and links decide; names
 that only say what a page has or lacks (no-sidebar, with-comments, share-enabled) say
-nothing of their element.  A <header> is -1 unless it is inside an article.
+nothing of their element.  Inside an article a name says -1 only if all its words do
+(comment-list, share-buttons, but not social-history), and an <address> says nothing.  A
+<header> is -1 unless it is inside an article.
+The links of a paragraph inside an article count as its words.
 A small decision tree over these features, grown on ``LABELLED`` (example blocks with
-their label), keeps or drops the block.  Scripts, styles, form controls, embedded media, heads and
+their label), keeps or drops the block.  Of a page of which the tree keeps
+nothing the blocks stay that are in no -1 place and not mostly links, so a short page is its own text.  Scripts, styles, form controls, embedded media, heads and
 comments are no text at all.  Only scripts, styles and heads are skipped to an end tag
 wherever it stands; the others end with their parents, and those without an end tag of
 their own also where the next element of the page's structure begins.
@@ -56,6 +60,8 @@ BOILER_WORDS = frozenset(
 #: Words of a name that say the page has or lacks what the words behind or in front of them name.
 MODIFIERS = frozenset("no non not without with has have hide show".split())
 STATES = frozenset("enabled disabled open closed".split())
+#: Words that say nothing of their own beside others.
+GENERIC = frozenset("a area bar block body bottom box btn button buttons col column container content group icon icons id inner item items left link links list main nav outer panel post posts right row section site slot top unit ul wrap wrapper x".split())
 #: What an element says that names both an article and other things.
 DOUBT = 2
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -65,6 +71,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 # a slash that belongs to the tag, not to an unquoted value
 _SELF_CLOSED = re.compile(r"""(?:^|[\s"'])[^\s"'=]*/\s*\Z""")
 _SPACE = re.compile(r"\s+")
+_P_OR_INLINE = INLINE | {"p"}
 _CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav main form h1 h2 h3 h4 h5 h6 hr pre blockquote figure address fieldset".split())
 _STRUCTURE = _CLOSES_P | frozenset("body li dt dd tr td th tbody thead caption figcaption details summary".split())
 
@@ -136,11 +143,17 @@ def _words(name: str) -> set[str]:
     return set() if words and words[-1] in STATES else set(words)
 
 
-def _place(tag: str, attributes: str) -> int:
-    """What an element says of its text: 1 main, -1 not, 0 nothing, DOUBT both."""
+def _names(name: str) -> bool:
+    """Whether one class or id names boilerplate and nothing else."""
+    words = _words(name)
+    return bool(words & BOILER_WORDS) and words <= BOILER_WORDS | GENERIC
+
+
+def _place(tag: str, attributes: str, inside: bool = False) -> int:
+    """What an element says of its text: 1 main, -1 not, 0 nothing, DOUBT both.  ``inside``: it is in an article."""
     if tag in MAIN_TAGS:
         return 1
-    if tag in BOILER_TAGS:
+    if tag in BOILER_TAGS and not (inside and tag == "address"):
         return -1
     if not attributes or tag in ("body", "html"):
         return 0
@@ -153,7 +166,8 @@ def _place(tag: str, attributes: str) -> int:
             return -1
         elif name in ("class", "id"):
             words = set().union(*map(_words, value.split())) - {tag}
-            main, boiler = main or bool(words & MAIN_WORDS), boiler or bool(words & BOILER_WORDS)
+            main = main or bool(words & MAIN_WORDS)
+            boiler = boiler or (any(map(_names, value.split())) and bool(words) if inside else bool(words & BOILER_WORDS))
     return DOUBT if main and boiler else main - boiler
 
 
@@ -170,41 +184,66 @@ def _closed(page: str, tag: str) -> dict[int, int]:
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, place, heading) of every text block, in page order."""
+    """(text, words, words in links, place, heading) of every text block, in page order.
+
+    What is asked of the open elements is kept beside the stack, so a page takes time in proportion to its length however deep it is."""
     out: list[tuple[str, int, int, int, int]] = []
     text: list[tuple[str, bool]] = []
-    # name, place, and of hidden elements whether they are closed (None: not hidden)
-    stack: list[tuple[str, int | None, bool | None]] = []
+    # name, place of what is in it (its own or that around it), and of hidden elements whether they are closed (None: not hidden)
+    stack: list[tuple[str, int, bool | None]] = []
+    at_tag: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+    hidden_at: list[int] = []
+    headings = mains = 0
     closed: dict[str, dict[int, int]] = {}
-    links = hidden = 0
+    links = 0
 
     def place() -> int:
-        return next((p for _, p, _ in reversed(stack) if p is not None), 0)
+        return stack[-1][1] if stack else 0
+
+    def add(tag: str, where: int, kind: bool | None) -> None:
+        nonlocal headings, mains
+        headings += tag in HEADINGS
+        mains += tag in MAIN_TAGS
+        at_tag.setdefault(tag, []).append(len(stack))
+        if kind is not None:
+            hidden_at.append(len(stack))
+        stack.append((tag, where, kind))
 
     def push(tag: str, attributes: str) -> None:
-        """Opens an element whose text is shown; its place is None if it says nothing."""
-        own = _place(tag, attributes)
-        if tag == "header" and place() != 1 and not any(t in MAIN_TAGS for t, _, _ in stack):
+        """Opens an element whose text is shown."""
+        around = place()
+        own = _place(tag, attributes, mains > 0 and around == 1)
+        if tag == "header" and around != 1 and not mains:
             own = -1
-        stack.append((tag, min(place(), 0) if own == DOUBT else own or None, None))
+        add(tag, min(around, 0) if own == DOUBT else own or around, None)
 
     def pop() -> str:
-        nonlocal hidden
+        nonlocal headings, mains
         tag, _, kind = stack.pop()
-        hidden -= kind is not None
+        headings -= tag in HEADINGS
+        mains -= tag in MAIN_TAGS
+        at_tag[tag].pop()
+        if kind is not None:
+            hidden_at.pop()
         return tag
 
+    def last(tag: str) -> int:
+        """Where the innermost open element of a name is, or -1."""
+        return at_tag[tag][-1] if at_tag.get(tag) else -1
+
     def end() -> None:
         if text:
             whole = _SPACE.sub(" ", "".join(t for t, _ in text)).strip()
             if whole:
                 n = len(whole.split(" "))
                 linked = min(n, len(" ".join(t for t, in_link in text if in_link).split()))
-                out.append((whole, n, linked, place(), int(any(t in HEADINGS for t, _, _ in stack))))
+                if place() == 1 and last("p") >= 0:
+                    linked = 0
+                out.append((whole, n, linked, place(), int(headings > 0)))
             text.clear()
 
     def say(raw: str) -> None:
-        if raw and not hidden:
+        if raw and not hidden_at:
             text.append((html_lib.unescape(raw), links > 0))
 
     at, n = 0, len(page)
@@ -227,11 +266,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             ends = re.compile(rf"</{tag}\s*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(page, at)
             if tag != "head" or ends:
                 at = ends.end() if ends else n
-            if tag not in WITHIN and not hidden:
+            if tag not in WITHIN and not hidden_at:
                 end()
             continue
         if tag in HIDDEN and not closing:
-            if tag not in WITHIN and not hidden:
+            if tag not in WITHIN and not hidden_at:
                 end()
             if not _SELF_CLOSED.search(attributes):
                 if tag not in closed:
@@ -240,13 +279,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 if ends_at and tag in SKIPPED:
                     at = ends_at
                 else:
-                    stack.append((tag, None, ends_at is not None))
-                    hidden += 1
+                    add(tag, place(), ends_at is not None)
             continue
-        if hidden:
-            first = next(i for i, e in enumerate(stack) if e[2] is not None)
+        if hidden_at:
+            first = hidden_at[0]
             if closing:
-                own = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+                own = last(tag)
                 if own >= first:
                     while len(stack) > own:
                         pop()
@@ -258,7 +296,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     continue
             elif stack[first][2] or tag not in _STRUCTURE | MAIN_TAGS:
                 if tag not in VOID and not _SELF_CLOSED.search(attributes):
-                    stack.append((tag, None, None))
+                    add(tag, place(), None)
                 continue
             if tag not in INLINE:
                 end()
@@ -269,7 +307,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 links = max(0, links - 1) if closing else links + 1
             elif not closing and attributes and tag not in VOID:
                 push(tag, attributes)
-            elif closing and any(t == tag for t, _, _ in stack) and stack[-1][0] == tag:
+            elif closing and stack and stack[-1][0] == tag:
                 pop()
             continue
         end()
@@ -277,12 +315,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if last(tag) >= 0:
                 while pop() != tag:
                     pass
         else:
-            if tag in _CLOSES_P and any(t == "p" for t, _, _ in stack):
-                while stack and stack[-1][0] in INLINE | {"p"}:
+            if tag in _CLOSES_P and last("p") >= 0:
+                while stack and stack[-1][0] in _P_OR_INLINE:
                     if pop() == "p":
                         break
             push(tag, attributes)
@@ -296,9 +334,10 @@ def main_text(page: str | None, tree=None) -> str:
     """The kept blocks of one page, joined by one space."""
     found = blocks(page or "")
     tree = default_tree() if tree is None else tree
-    size = [(n, linked / n) for _, n, linked, _, _ in found]
+    size = [(b[1], b[2] / b[1]) for b in found]
     around = [(0, 0.0), *size, (0, 0.0)]
-    return " ".join(b[0] for i, b in enumerate(found) if classify(tree, (*size[i], *around[i], *around[i + 2], b[3], b[4])))
+    kept = [b for i, b in enumerate(found) if classify(tree, (*size[i], *around[i], *around[i + 2], *b[3:]))]
+    return " ".join(b[0] for b in kept or [b for b in found if b[3] >= 0 and 2 * b[2] < b[1]])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

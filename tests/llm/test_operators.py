@@ -649,6 +649,39 @@ def test_header_of_the_site_and_of_an_article():
             assert extraction.main_text(f"<body><{main}><header{name}><h1>Title</h1></header><p>{long}</p></{main.split()[0]}></body>") == f"Title {long}", (name, main)
 
 
+def test_what_an_article_holds_stays():
+    long = ("A long paragraph of running text with hardly any links in it. " * 4).strip()
+    for named in ('id="social-history"', 'class="newsletter-archive-story"', 'id="search-for-truth"'):
+        assert extraction.main_text(f"<body><article><p>First.</p><section {named}><p>{long}</p></section></article></body>") == f"First. {long}", named
+    for named in ('class="comments"', 'id="comment-list"', 'class="related-posts"', 'class="share-buttons wrapper"', 'class="ad-slot"'):
+        assert extraction.main_text(f"<body><article><p>First.</p><div {named}><p>{long}</p></div></article></body>") == "First.", named
+    linked = "<p><a href=1>A whole paragraph that is one link</a></p><address>By <a href=2>Ann Lee</a> in Paris</address>"
+    assert extraction.main_text(f"<article><p>{long}</p>{linked}</article><address>Imprint of this site</address>") == f"{long} A whole paragraph that is one link By Ann Lee in Paris"
+    assert extraction.main_text(f"<article><p>{long}</p><ul><li><a href=1>One link</a></li></ul></article>") == long
+
+
+def test_short_pages_are_their_own_text():
+    assert extraction.main_text("<p>One short paragraph.</p>") == "One short paragraph."
+    assert extraction.main_text("<body><nav>Menu</nav><p>Short.</p><p><a href=1>More</a></p><footer>Foot</footer></body>") == "Short."
+    assert extraction.main_text("<body><nav><a href=1>Menu</a></nav><footer>Foot</footer></body>") == ""
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    n = 200_000
+    for page in ("<div>" * n + "text", "<article>" + "<div class='x'><p>" * (n // 2) + "text", "<button>" + "<i>" * n + "</i>" * n, "<header>" * n):
+        began = time.process_time()
+        extraction.main_text(page)
+        assert time.process_time() - began < 5
+
+
+def test_no_pages_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>Text.</p>", 5, "x")], "page_id long, url string, html string, n_chars long, text string")
+    assert [tuple(r) for r in extraction.extract_text(df).collect()] == [(1, "u", "Text.", 5)]
+    assert extraction.extract_text(empty(df)).collect() == []
+
+
 def test_tree_learns_its_table():
     tree = extraction.default_tree()
     assert all(extraction.classify(tree, row) == label for row, label in extraction.LABELLED)
