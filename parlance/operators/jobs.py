@@ -129,12 +129,18 @@ def status_report(requests: DataFrame, latest: DataFrame, results: DataFrame, *,
     ``requests``: request rows with a (nullable) file name.  ``latest``: AGG-7
     output keyed by ``job_name`` with ``result_bucket`` and ``result_key`` derived from the URI.
     ``results``: enhanced results keyed by ``result_bucket`` and ``result_key``, one row each, with ``transcript`` and, if
-    there, ``segments, entities, s3``; ``result`` is the struct of those (D10).
+    there, ``segments, entities, s3``; ``result`` is the struct of those (D10).  A table of
+    ``publish_lookup`` has ``place`` and is joined by it.
     """
     document = [c for c in ("transcript", "segments", "entities", "s3") if c in results.columns]
     req = requests.withColumn("job_name", F.concat(F.lit(JOB_PREFIX), F.col(name)))
     latest = latest.withColumn("uri", F.nullif(F.col("uri"), F.lit("")))  # an empty address is none
-    joined = _left_join(_left_join(req, latest, "job_name"), results.select("result_key", "result_bucket", *document), "result_key", "result_bucket")
+    asked = _left_join(req, latest, "job_name")
+    if "place" in results.columns:  # a published table is bucketed by it: no shuffle of results
+        asked = asked.withColumn("place", F.concat("result_bucket", F.lit("/"), "result_key"))
+        joined = _left_join(asked, results.select("place", *document), "place")
+    else:
+        joined = _left_join(asked, results.select("result_key", "result_bucket", *document), "result_key", "result_bucket")
     has_result = F.col("transcript").isNotNull() & (F.length("transcript") > 0)
     st = F.col("status")
     http = (

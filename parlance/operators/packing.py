@@ -336,8 +336,10 @@ def pack_chunks(
     entry = entry.select(F.col(key).alias("_key"), F.col("_node").alias("_node_frag"), "_c_in", "_k_in")
 
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_frag") == F.col("_node_frag"))
+    # the fold sees numbers only; all other columns meet their chunk number afterwards
+    rest = [c for c in segments.columns if c not in (key, order, tokens)]
     rows = with_frag.join(entry, same, "left").select(
-        *[F.col(c) for c in segments.columns],
+        key, order, tokens,
         "_frag",
         F.coalesce("_c_in", F.lit(0).cast("long")).alias("_c_in"),
         F.coalesce("_k_in", F.lit(0).cast("long")).alias("_k_in"),
@@ -347,6 +349,9 @@ def pack_chunks(
         list(rows.schema.fields) + [T.StructField("chunk_no", T.LongType(), False)]
     )
     folded = rows.mapInArrow(_fold_batches(key, "_frag", tokens, budget, True), fold_schema)
+    if rest:
+        numbers = folded.select(F.col(key).alias("_nkey"), F.col(order).alias("_nord"), "chunk_no")
+        folded = segments.join(numbers, F.col(key).eqNullSafe(F.col("_nkey")) & F.col(order).eqNullSafe(F.col("_nord")))
     return folded.select(*[F.col(f.name) for f in out_schema.fields])
 
 

@@ -137,10 +137,15 @@ def segment_text(
     # an infinite end reaches to the last item of its transcript; bins need finite ends
     endless = usable.where(~_finite(F.col("_s")) | ~_finite(F.col("_e")))
     reach = finite_items.groupBy(key).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    clipped = endless.join(reach, key).select(key, "seg_no", F.greatest("_s", "_lo").alias("_s"), F.least("_e", F.col("_hi") + 1.0).alias("_e")).where("_e >= _s")
+    clipped = endless.join(reach, key).select(key, "seg_no", F.greatest("_s", "_lo").alias("_s"), F.least("_e", F.col("_hi") + F.greatest(F.lit(1.0), F.abs("_hi") * 1e-9)).alias("_e")).where("_e >= _s")
     s = usable.where(_finite(F.col("_s")) & _finite(F.col("_e"))).union(clipped)
     if tiers is None or bin_s is None:
-        bin_s, tiers = _bin_plan(s.select(F.col("_s").alias("start_s"), F.col("_e").alias("end_s")), bin_s, fanout)
+        as_segments = lambda s: s.select(F.col("_s").alias("start_s"), F.col("_e").alias("end_s"))
+        width_given = bin_s
+        bin_s, tiers = _bin_plan(as_segments(s), width_given, fanout)
+        if tiers > 1:  # what reaches beyond the items of its transcript need not be long
+            s = s.join(reach, key).select(key, "seg_no", F.greatest("_s", "_lo").alias("_s"), F.least("_e", F.col("_hi") + F.greatest(F.lit(1.0), F.abs("_hi") * 1e-9)).alias("_e")).where("_e >= _s")
+            bin_s, tiers = _bin_plan(as_segments(s), width_given, fanout)
     # tier: smallest with at most `fanout` bins
     span_bins = (F.col("_e") - F.col("_s")) / F.lit(bin_s)
     tier = F.least(
@@ -151,7 +156,11 @@ def segment_text(
     width = F.lit(bin_s) * F.pow(F.lit(float(fanout)), F.col("_tier"))
     s = s.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
 
-    it = finite_items.withColumn("_tier", F.explode(F.sequence(F.lit(0), F.lit(tiers - 1))))
+    if tiers > 1:  # items are repeated for the tiers that their own transcript has
+        used = s.groupBy(key).agg(F.collect_set("_tier").alias("_tiers"))
+        it = finite_items.join(used, key).withColumn("_tier", F.explode("_tiers")).drop("_tiers")
+    else:
+        it = finite_items.withColumn("_tier", F.lit(0))
     it = it.withColumn(
         "_bin", F.floor(F.col("_t") / (F.lit(bin_s) * F.pow(F.lit(float(fanout)), F.col("_tier"))))
     )

@@ -16,6 +16,8 @@ from parlance.operators.jobs import latest_job_status, plan_job_starts, plan_upl
 from parlance.operators.uploads import resolve_result_uri
 from parlance.plans.registry import query
 from parlance.schemas import JOB_FAILED_ERROR, MISSING_NAME_ERROR, NO_CONTENT_ERROR, NO_JOB_ERROR, NO_URI_ERROR
+from parlance.session import scratch_path
+from parlance.sinks.store import publish_lookup
 from parlance.sources.tables import table
 
 STATUS_SQL = """CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'purchase' THEN 'COMPLETED'
@@ -136,7 +138,7 @@ SELECT request_id, file_name,
 FROM j"""
 
 
-def _status_report(spark, sf_dir):
+def _status_report(spark, sf_dir, publish=None):
     # looked up by base name, so restarted (suffixed) jobs are found as well
     latest = latest_job_status(job_events(spark, sf_dir), by_base=True)
     latest = resolve_result_uri(latest, "uri").select("job_name", "status", "uri", "result_bucket", "result_key")
@@ -151,7 +153,20 @@ def _status_report(spark, sf_dir):
         F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("u"), F.col("c_custkey").cast("string"))).alias("file_name"),
     )
-    return status_report(req, latest, results)
+    return status_report(req, latest, publish(results) if publish else results)
+
+
+@query("status_lookup", STATUS_REPORT_SQL)
+def q_status_lookup(spark, sf_dir):
+    """JOIN-2 against a published results table: bucketed and sorted by place, so results are not shuffled."""
+    path = scratch_path(spark, "lookup")
+    name = f"lookup_{path[-12:]}"
+
+    def publish(results):
+        publish_lookup(results, name, path)
+        return spark.table(name)
+
+    return _status_report(spark, sf_dir, publish).select("request_id", "file_name", "http_code", "status", "error", "result_transcript", "has_result")
 
 
 @query("status_report", STATUS_REPORT_SQL)

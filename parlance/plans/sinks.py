@@ -19,6 +19,7 @@ from parlance.operators.segments import parsed_once, raw_segments_and_items, seg
 from parlance.plans.registry import query
 from parlance.schemas import SEGMENT_STRUCT
 from parlance.sinks.results import store_validation, with_lineage, write_results
+from parlance.sinks.store import ResultStore
 from parlance.sources.tables import table
 from parlance.sources.transcripts import read_enhanced, read_job_events, read_raw_transcripts
 from parlance.streaming.flows import scratch_path
@@ -132,13 +133,20 @@ def _enhanced_from_conversations(spark, sf_dir):
     return with_lineage(out).drop("bucket", "job_key")
 
 
-@query(
-    "sink_roundtrip",
-    """SELECT conv_id, DATE '2024-01-01' + (conv_id % 4)::INT AS ingest_date, count(*)::BIGINT AS n_segments,
+ROUNDTRIP_SQL = """SELECT conv_id, DATE '2024-01-01' + (conv_id % 4)::INT AS ingest_date, count(*)::BIGINT AS n_segments,
        length(string_agg(text, ' ' ORDER BY turn))::BIGINT AS transcript_chars,
        'results-' || conv_id % 2 AS result_bucket, 'stt-c' || conv_id // 2 || '_enhanced.json' AS output_key, NULL::VARCHAR AS reject_reason
-FROM conversations GROUP BY conv_id""",
-)
+FROM conversations GROUP BY conv_id"""
+
+
+def _stored(results):
+    return store_validation(results).select(
+        "result_bucket", "conv_id", "ingest_date", F.size("segments").cast("bigint").alias("n_segments"),
+        F.length("transcript").cast("bigint").alias("transcript_chars"), "output_key", "reject_reason",
+    )
+
+
+@query("sink_roundtrip", ROUNDTRIP_SQL)
 def q_sink_roundtrip(spark, sf_dir):
     """Equal job names in two buckets, named batches beside unnamed ones of the same days, a batch written again,
     and drafts that a later unnamed batch replaces: every conversation comes back once, as last written."""
@@ -150,12 +158,23 @@ def q_sink_roundtrip(spark, sf_dir):
     write_results(enhanced.where(third == 1), path)
     write_results(enhanced.where(third == 2), path)
     write_results(enhanced.where((third == 0) & (F.col("ingest_date") == F.lit("2024-01-01").cast("date"))), path, batch="0001")
-    back = store_validation(read_enhanced(spark, path))
-    return back.select(
-        "result_bucket",
-        "conv_id", "ingest_date", F.size("segments").cast("bigint").alias("n_segments"),
-        F.length("transcript").cast("bigint").alias("transcript_chars"), "output_key", "reject_reason",
-    )
+    return _stored(read_enhanced(spark, path))
+
+
+@query("results_compacted", ROUNDTRIP_SQL)
+def q_results_compacted(spark, sf_dir):
+    """The same rows through a store that is compacted between and after the writes, once over a base."""
+    store = ResultStore(spark, scratch_path(spark, "store"))
+    enhanced = _enhanced_from_conversations(spark, sf_dir)
+    third = F.col("conv_id") % 3
+    store.write(enhanced.where(third < 2).withColumn("transcript", F.lit("draft")))
+    store.write(enhanced.where(third == 0), batch="0001")
+    store.write(enhanced.where(third == 2), batch="0002")
+    store.compact(ranges=4)
+    store.write(enhanced.where(third < 2))
+    store.compact()
+    store.vacuum()
+    return _stored(store.read())
 
 
 @query(

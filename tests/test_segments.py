@@ -119,3 +119,25 @@ def test_closed_left_option(spark):
     left = run(spark, segs, items, closed="left")
     assert both == {(1, 0): "edge", (1, 1): "edge end"}
     assert left == {(1, 0): "", (1, 1): "edge"}
+
+
+def test_one_endless_segment_does_not_change_the_plan_of_the_others(spark):
+    from pyspark.sql import functions as F
+
+    from parlance.operators.segments import segment_text
+
+    segs = spark.createDataFrame([("a", i, float(i), float(i + 1)) for i in range(50)] + [("b", 0, 0.0, 1e12), ("b", 1, 3.0, 4.0), ("c", 0, 0.0, 5e6), ("c", 1, 1.0, 2.0)], "transcript_id string, seg_no long, start_s double, end_s double")
+    items = spark.createDataFrame([(t, i, i + 0.5, "pronunciation", f"w{i}") for t in "ab" for i in range(60)] + [("c", i, i * 1e5 + 1.5, "pronunciation", f"w{i}") for i in range(50)], "transcript_id string, item_no long, start_s double, type string, content string")
+    want = {}
+    for t, no, s, e in [tuple(r) for r in segs.collect()]:
+        want[(t, no)] = " ".join(r.content for r in sorted(items.collect(), key=lambda r: r.item_no) if r.transcript_id == t and s <= r.start_s <= e)
+    for closed in ("both", "left"):
+        out = segment_text(segs, items, closed=closed)
+        assert {(r.transcript_id, r.seg_no): r.text for r in out.collect()} == want
+    # items of transcripts without long segments are listed once
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(_tier" in plan
+    short = segment_text(segs.where("transcript_id <> 'c'"), items.where("transcript_id <> 'c'"), fanout=512)
+    assert "collect_set(_tier" not in short._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.transcript_id, r.seg_no): r.text for r in short.collect()} == {k: v for k, v in want.items() if k[0] != "c"}
+    assert short.where(F.col("text") != "").count() > 0
