@@ -2,7 +2,7 @@
 
 Words and pairs of neighbouring words are hashed into ``BUCKETS`` classes.  Two bags of
 them are counted: the raw text (all documents) and the target (at most ``sample``
-documents labelled good, the first by a hash of the id).  A document's log weight is the
+documents labelled good, the first by a hash of the id, one row of each).  A document's log weight is the
 sum over its n-grams of log p(target) - log p(raw).  Adding Gumbel noise to the log
 weights and taking the k largest draws k documents without replacement in proportion to
 their weights.
@@ -57,7 +57,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     if not good:
         return np.zeros(BUCKETS), 1.0
     chosen = known.where("good > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")  # ``sample`` ids
-    target = summed_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text"), _count, BUCKETS)
+    # one row of each chosen document: of several texts under its id the one of the smallest MD5
+    few = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = few.groupBy("doc_id").agg(F.min(F.struct(F.md5("text").alias("md5"), "text")).alias("first")).select("first.text")
+    target = summed_counts(one, _count, BUCKETS)
     # as many pseudo counts as the raw text's shape explains keep thin buckets near ratio 1
     target = target + len(target) * raw / raw.sum()
     return np.log(target / target.sum()) - np.log(raw / raw.sum()), good / n
@@ -71,7 +74,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 0) -> DataFrame:
             for i, j in parts(batch.column("text")):
                 part = batch.slice(i, j - i)
                 bucket, doc = _buckets(part.column("text"))
-                weight = np.bincount(doc, weights=ratios[bucket], minlength=j - i)
+                weight = np.bincount(doc, weights=ratios[bucket], minlength=j - i).astype(float)  # integers for no words at all
                 u = ((part.column("h").to_numpy().view(np.uint64) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.bincount(doc, minlength=j - i)), pa.array(weight), pa.array(weight - np.log(-np.log(u)))], ["doc_id", "n_grams", "log_weight", "key"]
