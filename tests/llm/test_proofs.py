@@ -148,3 +148,51 @@ def _vocabularies():
     import inspect
 
     return re.findall(r'path\("([^"]+)"\)', inspect.getsource(secrets))
+
+
+def _class_of(c):
+    o = ord(c)
+    if o >= 0x80:
+        return "beyond"
+    for name, members in (("symbol", "#*$%&|<>"), ("stop", "!,.:;?"), ("quote", "\"'()-"), ("space", " \t"), ("line", "\n\r")):
+        if c in members:
+            return name
+    return "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if c.isdigit() else "other"
+
+
+def _divergence(a, b):
+    """Jensen-Shannon distance of two Counters."""
+    n, m = sum(a.values()), sum(b.values())
+    if not n or not m:
+        return 0.0
+    total = 0.0
+    for k in a.keys() | b.keys():
+        p, q = a[k] / n, b[k] / m
+        mid = (p + q) / 2
+        total += (p * math.log2(p / mid) if p else 0) + (q * math.log2(q / mid) if q else 0)
+    return math.sqrt(max(0.0, total / 2))
+
+
+def test_distances_and_verdicts_of_all_documents(spark):
+    from collections import Counter
+
+    docs = {r.doc_id: (re.sub("[-_].*", "", (r.lang or "und").lower()), r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, (_, t) in docs.items()}
+    chars = {i: Counter(map(_class_of, t)) for i, (_, t) in docs.items()}
+    of_language, char_reference = {}, {}
+    for i, (lang, _) in docs.items():
+        of_language.setdefault(lang, Counter()).update(words[i])
+        char_reference.setdefault(lang, Counter()).update(chars[i])
+    common = {lang: {w for w, n in c.items() if n >= 0.002 * sum(c.values())} for lang, c in of_language.items()}
+    fold = lambda counts, lang: sum((Counter({w if w in common[lang] else None: n}) for w, n in counts.items()), Counter())
+    word_reference = {lang: fold(c, lang) for lang, c in of_language.items()}
+    out = queries.queries()["op8_divergence_rules"](spark, SF).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        lang, text = docs[r.doc_id]
+        far_chars, far_words = _divergence(chars[r.doc_id], char_reference[lang]), _divergence(fold(Counter(words[r.doc_id]), lang), word_reference[lang])
+        assert abs(r.char_distance - far_chars) < 1e-9 and abs(r.word_distance - far_words) < 1e-9
+        n, c = len(words[r.doc_id]), len(text)
+        odd = (c >= 200 and far_chars > 0.18 + 2 / math.sqrt(c)) or (n >= 40 and far_words > 0.32 + 1.5 / math.sqrt(n))
+        assert r.base_failed == (n < 10 or 100 * r.n_repeat_words > 20 * n) and r.kept == (not r.base_failed and not odd)
+    assert 0 < sum(r.kept for r in out) < len(out)
