@@ -13,17 +13,17 @@ def _c(c) -> Column:
 
 
 def key_base(key) -> Column:
-    """``key.rsplit('.', 1)[0]``: key without its last extension (no dot: whole key)."""
+    """A key without its extension: what stands before the last dot, or all of it."""
     return F.regexp_replace(_c(key), r"\.[^.]*$", "")
 
 
 def media_format(key) -> Column:
-    """``key.rsplit('.', 1)[-1]``: text after the last dot (no dot: whole key)."""
+    """The extension of a key: what stands behind the last dot, or all of it."""
     return F.regexp_extract(_c(key), r"([^.]*)$", 1)
 
 
 def client_stem(name) -> Column:
-    """``name.split('.').slice(0, -1).join('.')``: drop the last dot part; no dot -> ``''``."""
+    """The viewer's stem of a file name: all dot parts but the last; empty for a name without a dot."""
     parts = F.split(_c(name), r"\.", -1)
     return F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ".")
 

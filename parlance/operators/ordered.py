@@ -6,8 +6,8 @@ range-sorted on ``(key, order)`` (range partitioning splits a hot key over many
 partitions), the sorted table is checkpointed to the shared checkpoint folder so
 partition contents are stable, each partition computes its local lead in one
 Arrow pass, and the last row of every partition is completed from the first row
-of the next non-empty partition (a table with one row per partition, so its
-size is bounded by the partition count and it is safe to broadcast).
+of the next non-empty partition (a table with one row per partition; it grows with the
+partitions, so how it is joined is left to Spark).
 """
 
 from __future__ import annotations

@@ -14,11 +14,11 @@ place where a single transcript must not end up in one task: a transcript is cut
 into fragments of at most ``fragment_rows`` consecutive segments and every
 fragment is processed in parallel.
 
-* Fast path (every transcript fits one fragment): one shuffle on
-  ``transcript_id``, a sort within partitions, and a ``mapInArrow`` pass that
-  folds the sorted rows batch by batch with O(1) state carried across batch
-  boundaries (no group is ever materialised).
-* Long transcripts: a fragment whose entering state is unknown is summarised as
+* The fold: one shuffle on a key derived from transcript and fragment, a sort within
+  partitions, and a ``mapInArrow`` pass that folds the sorted rows batch by batch with
+  O(1) state carried across batch boundaries (no group is ever materialised).  It sees
+  key, ordinal and token count only; other columns are joined to the chunk numbers afterwards.
+* Transcripts of several fragments first: a fragment whose entering state is unknown is summarised as
   a piecewise function ``entering count -> (exit count, chunks closed)``; the
   greedy chains started from the different entry points are advanced together
   with ``numpy.searchsorted`` jumps, one step per chunk.  The summaries are
@@ -27,7 +27,7 @@ fragment is processed in parallel.
   entering states flow back down the tree and are joined to the fragments, and
   the same ``mapInArrow`` fold assigns final chunk numbers.
 
-Rows keep all their columns; only ``chunk_no`` is added.
+Rows keep all their columns; only ``chunk_no`` is added.  (key, ordinal) tells rows apart.
 """
 
 from __future__ import annotations

@@ -88,11 +88,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the folders ``scratch_path`` has handed out so far; call it once the results that read them are stored.
+def scratch_mark() -> int:
+    """How many folders ``scratch_path`` has handed out and not deleted yet."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the folders ``scratch_path`` has handed out since ``scratch_mark`` gave ``since`` (default:
+    all of them); call it once the results that read them are stored.
     (Checkpoints go when Spark forgets them: ``spark.cleaner.referenceTracking.cleanCheckpoints``.)"""
     path_of, conf, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _scratch:
+    while len(_scratch) > since:
         path = path_of(_scratch.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
