@@ -25,13 +25,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import table, written
+from parlance.llm.common import table
 from parlance.llm.decontaminate import without_contaminated
 from parlance.llm.packing import pack_documents
 from parlance.llm.secrets import redact
 from parlance.llm.setjoin import without_near_duplicates
 from parlance.llm.toxicity import train, without_toxic
-from parlance.session import ensure_checkpoint_dir, ship_package
+from parlance.session import drop_scratch, ensure_checkpoint_dir, scratch_mark, scratch_path, ship_package
 
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, unless the session names another number.
@@ -85,9 +85,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read back by the next."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read back by the next.
+    A stage's intermediate tables are deleted when its own table is written."""
     _ready(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path, mark = scratch_path(spark, name), scratch_mark()
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        drop_scratch(spark, since=mark)
     return STAGES[-1][1](spark, docs, sf_dir)
