@@ -1,4 +1,4 @@
-"""Queries: derive_job_keys, resolve_result_uri, validate_uploads, explode_notifications.
+"""Queries: derive_job_keys, resolve_result_uri, validate_uploads, explode_notifications, transcribe_audio.
 
 Stand-ins: every ``documents`` row is an uploaded file (name from source and
 doc_id, one of six key shapes; MIME type from the language; size from n_chars),
@@ -115,3 +115,43 @@ def q_explode_notifications(spark, sf_dir):
     notes.write.mode("overwrite").json(path)
     out = read_notifications(spark, path, id_field="notif_id")
     return out.select("notif_id", "rec_no", "bucket", "key", "reject_reason")
+
+
+def speech_factory():
+    """Deterministic stand-in for the speech service: the words of an object's name, then the language, as items.  Names that end
+    in a dot get no answer, hidden ones an answer without results; objects of format mp3 name their job."""
+    import json
+
+    def model(requests: list[str]) -> list:
+        out = []
+        for r in map(json.loads, requests):
+            name = r["uri"].rsplit("/", 1)[-1]
+            words = [*name.split("_"), r["language"]]
+            items = [{"start_time": str(i), "end_time": str(i + 1), "type": "pronunciation", "alternatives": [{"content": w}]} for i, w in enumerate(words)]
+            job = {"jobName": f"raw-{name}"} if r["format"] == "mp3" else {}
+            out.append(None if name.endswith(".") else json.dumps(job | ({} if name.startswith(".") else {"results": {"items": items}})))
+        return out
+
+    return model
+
+
+@query(
+    "transcribe_audio",
+    f"""WITH u AS (SELECT doc_id, lang, {UPLOAD_KEY_SQL} AS key FROM documents)
+SELECT doc_id,
+       CASE WHEN key LIKE '%.mp3' THEN 'raw-' || key ELSE 'stt-' || regexp_replace(key, '\\.[^.]*$', '') END AS transcript_id,
+       CASE WHEN doc_id % 6 = 4 THEN 'no_response' WHEN doc_id % 6 = 3 THEN 'invalid_transcript' END AS transcribe_error,
+       CASE WHEN doc_id % 6 NOT IN (3, 4) THEN replace(key, '_', ' ') || ' ' || coalesce(nullif(lang, 'es'), 'en-US') END AS words
+FROM u""",
+)
+def q_transcribe_audio(spark, sf_dir):
+    """UDF-1 over every upload: requests with format, language and speaker settings, answers parsed as raw transcripts."""
+    from parlance.operators.models import transcribe
+    from parlance.operators.uploads import derive_job_keys
+
+    lang = table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.col("lang"), F.lit("es")).alias("language"))
+    objects = derive_job_keys(uploads(spark, sf_dir).drop("bucket"), bucket=None).join(lang, "doc_id")
+    audio = objects.withColumn("path", F.concat(F.lit("s3://in/"), "key")).withColumn("content", F.lit(None).cast("binary"))
+    out = transcribe(audio, speech_factory)
+    words = F.array_join(F.transform("raw.results.items", lambda i: F.get(i["alternatives"], 0)["content"]), " ")
+    return out.select("doc_id", "transcript_id", "transcribe_error", words.alias("words"))

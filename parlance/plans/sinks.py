@@ -18,7 +18,7 @@ from parlance.functions.times import epoch_seconds
 from parlance.operators.segments import parsed_once, raw_segments_and_items, segment_text
 from parlance.plans.registry import query
 from parlance.schemas import SEGMENT_STRUCT
-from parlance.sinks.results import store_validation, with_lineage, write_results
+from parlance.sinks.results import export_json, store_validation, with_lineage, write_results
 from parlance.sinks.store import ResultStore
 from parlance.sources.tables import table
 from parlance.sources.transcripts import read_enhanced, read_job_events, read_raw_transcripts
@@ -161,6 +161,20 @@ def q_sink_roundtrip(spark, sf_dir):
     return _stored(read_enhanced(spark, path))
 
 
+@query(
+    "enhanced_json_read",
+    """SELECT 'results-' || conv_id % 2 AS result_bucket, 'stt-c' || conv_id // 2 || '_enhanced.json' AS result_key,
+       count(*)::BIGINT AS n_segments, string_agg(text, ' ' ORDER BY turn) AS transcript, min(role) AS first_role
+FROM conversations GROUP BY conv_id""",
+)
+def q_enhanced_json_read(spark, sf_dir):
+    """SRC-6: every enhanced document exported as a line of JSON and read back with the D10 schema."""
+    path = scratch_path(spark, "export")
+    export_json(_enhanced_from_conversations(spark, sf_dir), path)
+    back = read_enhanced(spark, path, fmt="json", multi_line=False, glob=None)
+    return back.select("result_bucket", "result_key", F.size("segments").cast("bigint").alias("n_segments"), "transcript", F.array_min(F.col("segments.speaker")).alias("first_role"))
+
+
 @query("results_compacted", ROUNDTRIP_SQL)
 def q_results_compacted(spark, sf_dir):
     """The same rows through a store that is compacted between and after the writes, once over a base."""
