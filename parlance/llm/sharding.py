@@ -8,8 +8,9 @@ so counts differ by at most one; with slack fewer rows move when a shard is adde
 
 Only counts per arc of the ring (at most ``shards * vnodes`` of them, whatever the
 input) reach the driver.  They say which ranks within an arc go to which shard;
-ranks come from a window over (arc, salt), where the salt splits an arc that one
-repeated key fills.  All row work is DataFrame expressions.
+ranks come from a window over (arc, part), where the part is the task that wrote the
+row: an arc that one repeated key fills is split over as many parts as the input has.
+All row work is DataFrame expressions.
 
 Defined results: null ids hash by their text (null text: empty, 0 bytes); repeated
 rows are rows like any other; an empty table gives an empty result; other columns of
@@ -25,8 +26,6 @@ from parlance.llm.common import literal_table, written
 
 #: Positions on the ring; a fixed table of this many rows is the only one that is broadcast besides the plan.
 RING = 1 << 16
-#: Parts into which the rows of an arc are dealt before they are ranked.
-SALTS = 64
 
 
 def _positions(df: DataFrame, shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -85,7 +84,7 @@ def shard_rows(df: DataFrame, key: Column, shards: int, *, tie: list[str], vnode
     owners = [s for _, s in ring]
     keep = df.columns
     base = written(
-        df.select("*", key.alias("_h"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt"))
+        df.select("*", key.alias("_h"), F.spark_partition_id().alias("_part"))
         .withColumn("_at", F.pmod(F.col("_h"), F.lit(RING)).cast("int")),
         "ring",
     )
@@ -97,15 +96,15 @@ def shard_rows(df: DataFrame, key: Column, shards: int, *, tie: list[str], vnode
         .select("_at", F.coalesce(F.last("arc", ignorenulls=True).over(last), F.lit(0)).alias("arc"))
     )
     placed = base.join(F.broadcast(positions), "_at").drop("_at")
-    counts = placed.groupBy("arc", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed.groupBy("arc", "_part").agg(F.count(F.lit(1)).alias("_n"))
     per_arc = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("_n").alias("n")).collect()}
     plan = literal_table(df, assign_arcs(owners, per_arc, shards, slack), "arc:int,lo:bigint,hi:bigint,shard:int,slot:bigint")
-    before = Window.partitionBy("arc").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("arc", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # at most shards * vnodes * SALTS rows
-    rank = F.row_number().over(Window.partitionBy("arc", "_salt").orderBy("_h", *tie)) - 1
+    before = Window.partitionBy("arc").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("arc", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each arc and part: joined by the key its ranks are dealt by
+    rank = F.row_number().over(Window.partitionBy("arc", "_part").orderBy("_h", *tie)) - 1
     return (
         placed.withColumn("_rank", rank)
-        .join(F.broadcast(starts), ["arc", "_salt"])
+        .join(starts, ["arc", "_part"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
         .join(F.broadcast(plan.withColumnRenamed("arc", "_arc")), (F.col("arc") == F.col("_arc")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
         .select(*keep, "shard", (F.col("slot") + F.col("_rank") - F.col("lo")).alias("slot"))
