@@ -31,19 +31,13 @@ from parlance.llm.packing import pack_documents
 from parlance.llm.secrets import redact
 from parlance.llm.setjoin import without_near_duplicates
 from parlance.llm.toxicity import train, without_toxic
-from parlance.session import drop_scratch, ensure_checkpoint_dir, scratch_mark, scratch_path, ship_package
-
-
-#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session names another number.
-BATCH_BYTES = 4 << 20
+from parlance.session import drop_scratch, ensure_checkpoint_dir, limit_batches, scratch_mark, scratch_path, ship_package
 
 
 def _ready(spark: SparkSession) -> None:
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(limit, None) is None:
-        spark.conf.set(limit, str(BATCH_BYTES))
+    limit_batches(spark)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

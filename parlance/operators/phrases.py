@@ -11,6 +11,8 @@ Terms are normalised to their words in Spark and become a token trie that tasks
 text.  The table is measured first: it is sent out in blocks of at most about ``BLOCK`` bytes.  One block (the usual case) is one
 pass over the texts.  With more blocks every pass notes the longest phrase of its block at each
 place, the texts are checkpointed between passes so that one block at a time is held, and the last pass settles the matches.
+A task takes Arrow batches of a few MB and notes the matches of ``PART`` bytes of text at a time, so its memory does not
+depend on how many texts it gets.
 
 Defined results: of a repeated phrase the smallest payload counts; terms without a word and null payloads count for
 nothing; null texts have no matches and stay null.
@@ -21,15 +23,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.entities import ENTITY_CATEGORIES
-from parlance.session import ensure_checkpoint_dir
+from parlance.session import ensure_checkpoint_dir, limit_batches
 
 #: Bytes of phrases and payloads that tasks hold at a time.
 BLOCK = 2 << 20
+#: Bytes of text whose matches a task holds at a time (one text, if it is longer).
+PART = 1 << 18
 #: A word in Spark's and in Python's regular expressions.
 WORD = r"[\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
@@ -80,17 +86,33 @@ def _settled(candidates: list[tuple]) -> list[tuple]:
     return out
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of the pieces of a batch: at most ``PART`` bytes of text each, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    i, done = 0, 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, done + PART, "right")))
+        yield i, j - i
+        i, done = j, int(ends[j - 1])
+
+
 def _pass(rows: list[tuple[str, str]], text: str, first: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _trie(rows)
         for batch in batches:
-            known = [None] * batch.num_rows if first else batch.column("_matches").to_pylist()
-            out = []
-            for t, before in zip(batch.column(text).to_pylist(), known):
-                found = [tuple(m.values()) for m in before or []] + (list(_longest(trie, t)) if t else [])
-                out.append([dict(zip(_MATCH.names, m)) for m in (_settled(found) if last else found)])
-            columns = [c for c in batch.schema.names if c != "_matches"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.list_(_MATCH))], [*columns, "_matches"])
+            for i, n in _parts(batch.column(text)):
+                part = batch.slice(i, n)
+                known = [None] * n if first else part.column("_matches").to_pylist()
+                # one list for each field, so that a match is no object of its own
+                fields, ends = [[] for _ in _MATCH.names], [0]
+                for t, before in zip(part.column(text).to_pylist(), known):
+                    found = [tuple(m.values()) for m in before or []] + (list(_longest(trie, t)) if t else [])
+                    for values, of_row in zip(fields, zip(*(_settled(found) if last else found))):
+                        values.extend(of_row)
+                    ends.append(len(fields[0]))
+                matches = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, _MATCH)], fields=list(_MATCH))
+                columns = [c for c in part.schema.names if c != "_matches"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), matches)], [*columns, "_matches"])
 
     return run
 
@@ -100,6 +122,7 @@ def match_phrases(texts: DataFrame, terms: DataFrame, *, text: str = "text", ter
     begins and ends in the text (code points, end exclusive), the phrase and its payload; in text order."""
     spark = texts.sparkSession
     ensure_checkpoint_dir(spark)
+    limit_batches(spark)
     words = terms.select(normalised(term).alias("p"), F.col(payload).cast("string").alias("v")).where("p <> '' and v is not null")
     known = words.groupBy("p").agg(F.min("v").alias("v"))
     size = known.agg(F.coalesce(F.sum(F.octet_length("p") + F.octet_length("v") + 16), F.lit(0))).first()[0]

@@ -15,6 +15,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session names another number.
+BATCH_BYTES = 4 << 20
 _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 _shipped: dict[str, str] = {}
 _scratch: list[str] = []
@@ -63,6 +65,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped[app] = out
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` bytes, for jobs over texts (by default 64 MB).
+    A number that the session names stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the one set with ``setCheckpointDir``, else the
     one ``spark.checkpoint.dir`` names.  Only a local session gets a folder of its

@@ -1,6 +1,9 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +68,37 @@ def test_no_terms(spark):
     none = spark.createDataFrame([], "term string, preferred string")
     assert apply_vocabulary_phrases(df, none).first().text_out == "a b"
     assert entities_from_phrases(df.withColumnRenamed("id", "transcript_id"), none.select("term", F.col("preferred").alias("category"))).count() == 0
+
+
+def test_a_task_holds_the_matches_of_few_texts(monkeypatch):
+    """Matches of a batch are made piece by piece; all at once took 96 MB here."""
+    monkeypatch.setattr(phrases, "PART", 1 << 16, raising=False)
+    texts = [f"alpha beta {i} " * 40 for i in range(4000)] + [None, "", "alpha Beta " * 9000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    seen, rows = 0, 0
+    tracemalloc.start()
+    try:
+        for out in phrases._pass([("alpha beta", "v")], "text", True, True)(iter([batch])):
+            assert out.schema.names == ["id", "text", "_matches"] and out.column("id").to_pylist() == list(range(rows, rows + out.num_rows))
+            counts = pc.list_value_length(out.column("_matches")).to_pylist()
+            assert counts == [t.lower().count("alpha beta") if t else 0 for t in out.column("text").to_pylist()]
+            rows, seen = rows + out.num_rows, seen + sum(counts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts) and seen == 4000 * 40 + 9000
+    assert peak < 24 << 20
+
+
+def test_batches_of_texts_are_limited_by_bytes(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    try:
+        for named, then in ((None, str(4 << 20)), ("12345", "12345")):
+            spark.conf.unset(limit)
+            if named:
+                spark.conf.set(limit, named)
+            apply_vocabulary_phrases(spark.createDataFrame([(1, "a b")], "id long, text string"), spark.createDataFrame([("a", "x")], "term string, preferred string"))
+            assert spark.conf.get(limit) == then
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
