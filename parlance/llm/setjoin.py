@@ -381,12 +381,18 @@ def _unsettled(entries: DataFrame, comp: DataFrame) -> DataFrame:
     return entries.join(mixed, "token")
 
 
-def _across(entries: DataFrame, comp: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that share a listed shingle, may link by sizes, places and ``bits`` (node, bits), and are in different components."""
-    entries = _unsettled(entries, comp)
+def _contested(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """The entries, with their components, of lists that hold more than one component; ``main`` is the largest one of the list."""
+    entries = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"))
-    entries = entries.join(main, "token").join(bits, "node")
+    main = per.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return entries.join(main.select("token", "main"), "token")
+
+
+def _across(entries: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that share a listed shingle, may link by sizes, places and ``bits`` (node, bits), and are in different
+    components; ``entries`` as ``_contested`` gives them."""
+    entries = entries.join(bits, "node")
     b = entries.select("token", F.col("bits").alias("bits_b"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("main_b"))
     a = entries.where("comp <> main").select("token", F.col("bits").alias("bits_a"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"))
     met = a.join(b, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("main_b") | (F.col("a") < F.col("b"))))
@@ -415,7 +421,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     comp = components(_linked(docs, nodes, seen, k, num, den).union(light_links(nodes, x, num, den)))
     for scan in range(1, SCANS + 1):
         last = scan == SCANS
-        pairs = _across(entries, comp, nodes.select("node", "bits"), num, den) if last else _neighbours(_unsettled(entries, comp), scan, num, den).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+        if last:
+            # written, so that the many joins of the pairs plan it once
+            pairs = _across(written(_contested(entries, comp), "contested"), nodes.select("node", "bits"), num, den)
+        else:
+            pairs = _neighbours(_unsettled(entries, comp), scan, num, den).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             comp = _merged(comp, _linked(docs, nodes, pairs, k, num, den))

@@ -274,3 +274,21 @@ def test_differing_branches_locate_an_edit(spark):
 def test_no_python_on_the_main_path(spark):
     plan = merkle.fingerprint_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search(r"Python|Arrow|Pandas|ExternalRDD|MapPartitions", plan)
+
+
+def test_plans_of_near_duplicates_stay_small(spark, monkeypatch):
+    """What one write plans is held in the driver; scanning lists anew for each side of a join made one of 18 joins."""
+    from parlance.llm import setjoin
+
+    joins, write = {}, setjoin.written
+
+    def noted(df, name):
+        joins[name] = max(joins.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, name)
+
+    monkeypatch.setattr(setjoin, "written", noted)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} {i}") for i in range(12)] + [(20 + i, f"{base} {' '.join(f'x{i}y{j}' for j in range(10 + 9 * i))}") for i in range(5)]
+    got = {r.doc_id: r.component_id for r in setjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(12)) and got[24] == 24
+    assert max(joins.values()) <= 8, joins
